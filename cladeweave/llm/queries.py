@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, neardup
+from . import decontam, exact_dedup, line_dedup, mixing, neardup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +31,14 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_line_dedup": op3_line_dedup,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
