@@ -13,11 +13,12 @@ takes every pair across components that no round has checked, so no link between
 components is missed. Two sets of similarity 0.75 share none of 64 retained values with
 a probability of 1e-38.
 
-Hot values. A list longer than HOT_LIST holds, besides real copies, all documents that
-share one passage. Two documents that share hot values only have so many of them (at
-least HOT_LEAST of k, or three in four of a smaller set; fewer have a probability under
-1e-7) that documents with fewer leave the hot lists without losing a link: their other
-shared values are in short lists.
+Hot values. A value of a passage that many documents share stands in a long list of
+documents that aren't alike. Sketches of similarity 0.75 share at least LEAST of 64
+values (fewer have a probability under 1e-7; a smaller set shares three in four). So each
+sketch keeps only a prefix, its values rarest first without the last LEAST - 1: two
+sketches that share LEAST values share one of their prefixes. Frequent values fall away
+with no cap on any list, unless a document hardly has others.
 
 Defined results: null or empty text and text without words: n_shingles 0, linked with
 nothing. Under five words: one shingle, the whole sequence. Rows that repeat a doc_id
@@ -29,14 +30,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_split, shared_dir, slices, written
 from .words import mix, shingle_sets
 
 WIDTH, SIMILARITY, K = 5, (75, 100), 64
-HOT_LIST, HOT_LEAST, STAR_ROUNDS = 128, 28, 4
+LEAST, STAR_ROUNDS = 28, 4
 #: Standard errors by which a sketch's estimate may stay below the threshold.
 SLACK = 6
 
@@ -69,15 +70,15 @@ def sketched(docs: DataFrame, k: int, width: int) -> DataFrame:
     return rows.mapInArrow(run, SETS)
 
 
-def retained(classes: DataFrame, root: str) -> DataFrame:
-    """The inverted lists: v, doc, n; values that one class retains are left out, and hot values of classes with few."""
-    posts = classes.select(F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), F.explode("sketch").alias("v"))
+def retained(classes: DataFrame) -> DataFrame:
+    """The inverted lists of the sketches' prefixes: v, doc, n. Values of one class only count for the prefix and are left out."""
+    posts = classes.select(F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
     sizes = posts.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
-    lists = written(posts.join(sizes, "v"), root, "lists")
-    hot = lists.where(F.col("c") > HOT_LIST)
-    least = F.when(F.col("n") > K, F.lit(HOT_LEAST)).otherwise(F.ceil(F.col("n") * SIMILARITY[0] / SIMILARITY[1]))
-    many = hot.groupBy("doc", "n").agg(F.count(F.lit(1)).alias("hot")).where(F.col("hot") >= least).select("doc")
-    return lists.where(F.col("c") <= HOT_LIST).unionByName(hot.join(many, "doc", "left_semi")).drop("c")
+    shared = posts.join(sizes, "v")
+    mine = Window.partitionBy("doc", "n", "k")
+    rank = F.row_number().over(mine.orderBy("c", "v")) + F.col("k") - F.count(F.lit(1)).over(mine)
+    least = F.least(F.lit(LEAST), F.ceil(F.col("k") * SIMILARITY[0] / SIMILARITY[1]))
+    return shared.withColumn("rank", rank).where(F.col("rank") <= F.col("k") - least + 1).select("v", "doc", "n")
 
 
 def _fits(a: str, b: str):
@@ -160,10 +161,8 @@ def components(edges: DataFrame, root: str, name: str) -> DataFrame:
 
 def links(classes: DataFrame, docs: DataFrame, root: str, k: int, width: int) -> DataFrame:
     """doc, comp of the classes that are linked with others."""
-    lists = written(retained(classes, root), root, "inverted")
-    spark = docs.sparkSession
-    found, checked = spark.createDataFrame([], VERIFIED), None
-    labels = None
+    lists = written(retained(classes), root, "inverted")
+    found, checked, labels = docs.sparkSession.createDataFrame([], VERIFIED), None, None
     for step in range(STAR_ROUNDS + 1):
         if labels is None:
             open_lists = lists.withColumn("comp", F.col("doc"))
