@@ -93,18 +93,22 @@ def word_bounds(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts one after the other, and each text's offset among them."""
+def word_hashes(column: pa.Array, stem: int = 0):
+    """Word hashes of all texts one after the other, and each text's offset among them.
+
+    stem: also the hashes of the words' first so many bytes, as a third array.
+    """
     data, offsets = buffers(column)
-    hashes, starts = [], []
+    hashes, starts, stems = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for lo, hi in _cuts(data, offsets):
         inside = offsets[(offsets >= lo) & (offsets < hi)] - lo
         s, e = word_bounds(data[lo:hi], inside)
         hashes.append(range_hashes(data[lo:hi], s, e))
+        if stem:
+            stems.append(range_hashes(data[lo:hi], s, np.minimum(e, s + stem)))
         starts.append(s + lo)
-    words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    where = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    return words, np.searchsorted(where, offsets, side="left")
+    words, at = np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets, side="left")
+    return (words, at, np.concatenate(stems)) if stem else (words, at)
 
 
 def word_counts(column: pa.Array) -> np.ndarray:
