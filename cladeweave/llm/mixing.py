@@ -53,7 +53,7 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS) -
     totals = totals.withColumn("open", F.sum("weight").over(ratio.rowsBetween(0, Window.unboundedFollowing)))
     totals = totals.withColumn("all", F.sum("source_size").over(Window.partitionBy()).cast("double"))
     totals = totals.withColumn("at", (F.col("all") - F.col("full")) / F.col("open"))
-    level = F.min(F.when(F.col("at") <= F.col("ratio"), F.col("at"))).over(Window.partitionBy())
+    level = F.max(F.when(F.col("at") <= F.col("ratio"), F.col("at"))).over(Window.partitionBy())
     target = F.least(F.col("cap"), F.coalesce(level, F.lit(0.0)) * F.col("weight"))
     return totals.select("source", "n_docs", "source_size", target.alias("target"))
 
@@ -85,3 +85,27 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS, seed: str = S
     rows = rows.withColumn("epochs", whole).withColumn("part", part)
     taken = F.col("epochs") * F.col("size") + F.col("part")
     return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "epochs", "part")
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS, seed: str = SEED) -> DataFrame:
+    """The mix itself: rows of docs with all their columns, once for each epoch; a part ends after the words taken."""
+    plan = mix(docs, weights, most, seed).where("taken > 0").select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"), "epochs", "part")
+    # rows that repeat a doc_id, source and size share one plan row: their copies are dealt out below
+    plan = plan.groupBy("_doc", "_source", "_size").agg(F.array_sort(F.collect_list(F.struct("epochs", "part"))).alias("_plans"))
+    words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.withColumn("_words", words)
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
+    rows = rows.join(plan, same)
+    place = F.row_number().over(Window.partitionBy("_doc", "_source", "_size").orderBy("text"))
+    rows = rows.withColumn("_plan", F.get("_plans", place - 1)).where(F.col("_plan").isNotNull())
+    whole = F.array_repeat(F.col("_words"), F.col("_plan.epochs").cast("int"))
+    copies = F.when(F.col("_plan.part") > 0, F.concat(whole, F.array(F.col("_plan.part")))).otherwise(whole)
+    rows = rows.select(*docs.columns, "_words", F.explode(copies).alias("_taken"))
+    cut = F.when(F.col("_taken") < F.col("_words"), first_words(F.col("text"), F.col("_taken"))).otherwise(F.col("text"))
+    return rows.withColumn("text", cut).select(*docs.columns)

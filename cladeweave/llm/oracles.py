@@ -21,7 +21,7 @@ levels AS (
   FROM ratios),
 found AS (SELECT *, (total - filled) / open_weight AS mark FROM levels),
 targets AS (
-  SELECT source, source_size, least(cap, coalesce(min(CASE WHEN mark <= ratio THEN mark END) OVER (), 0.0) * weight) AS target FROM found),
+  SELECT source, source_size, least(cap, coalesce(max(CASE WHEN mark <= ratio THEN mark END) OVER (), 0.0) * weight) AS target FROM found),
 runs AS (
   SELECT s.doc_id, s.size, t.source_size, t.target,
     coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
@@ -47,10 +47,26 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) A
 FROM marked GROUP BY doc_id
 """
 
+OP5 = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+sized AS (
+  SELECT *, length('<|im_start|>' || replace(replace(role, '<|', '<||'), chr(10), '<|nl|>') || chr(10) || replace(text, '<|', '<||') || '<|im_end|>' || chr(10)) AS chars
+  FROM rows),
+joined AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS told,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS learned, CAST(sum(chars) AS BIGINT) AS formatted_chars
+  FROM sized GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, CAST(length(learned) AS BIGINT) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars
+FROM joined
+"""
+
 OP9 = r"""
 WITH hashed AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
 FROM hashed WINDOW w AS (PARTITION BY text_sha256)
 """
 
-ORACLES = {"op1_mixing": OP1, "op3_line_dedup": OP3, "op9_exact_dedup": OP9}
+ORACLES = {"op1_mixing": OP1, "op3_line_dedup": OP3, "op5_chat_formatting": OP5, "op9_exact_dedup": OP9}
