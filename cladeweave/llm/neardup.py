@@ -6,12 +6,16 @@ inverted lists of retained values propose pairs of classes, an estimate on the s
 the union filters them, and the exact Jaccard similarity of full sets, recomputed from
 whole texts, decides. Components of the links are the groups.
 
-Which pairs are proposed. Only connectivity is asked for, so a list never emits all its
-pairs. First every list links its members to one leader. Lists whose members are then in
-one component are done. In the others later rounds take other leaders, and a last round
-takes every pair across components that no round has checked, so no link between
-components is missed. Two sets of similarity 0.75 share none of 64 retained values with
-a probability of 1e-38.
+Which pairs are proposed. Only connectivity is asked for, so no list emits all its pairs.
+First every list links its members to one leader. Lists whose members are then in one
+component are done. The documents of the others go through an exact prefix join of their
+full sets: with shingles ordered rarest first, two sets of the similarity share one among
+the first n - 6n/7 + 1 of the smaller and the first n - 3n/4 + 1 of the larger. A
+document that differs from a group too much to be linked has only shingles of its own
+there, and meets nobody. Those lists again link to leaders, and at last every pair
+across components that no round has checked is checked, so no link between components is
+missed. Two sets of similarity 0.75 share none of 64 retained values with a probability
+of 1e-38.
 
 Hot values. A value of a passage that many documents share stands in a long list of
 documents that aren't alike. Sketches of similarity 0.75 share at least LEAST of 64
@@ -37,7 +41,7 @@ from .common import join_split, shared_dir, slices, written
 from .words import mix, shingle_sets
 
 WIDTH, SIMILARITY, K = 5, (75, 100), 64
-LEAST, STAR_ROUNDS = 28, 4
+LEAST = 28
 #: Standard errors by which a sketch's estimate may stay below the threshold.
 SLACK = 6
 
@@ -81,24 +85,69 @@ def retained(classes: DataFrame) -> DataFrame:
     return shared.withColumn("rank", rank).where(F.col("rank") <= F.col("k") - least + 1).select("v", "doc", "n")
 
 
+def gathered(docs: DataFrame, classes: DataFrame, lists: DataFrame, root: str) -> DataFrame:
+    """rep, fp, sketch, text of the classes that stand in a list: all that later steps read of the documents."""
+    nodes = classes.select("rep", "fp", "sketch").join(lists.select(F.col("doc").alias("rep")).distinct(), "rep", "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    return written(rows.join(nodes, "rep").select("rep", "fp", "sketch", "text"), root, "texts")
+
+
+def prefixes(texts: DataFrame, torn: DataFrame, width: int) -> DataFrame:
+    """Lists of full sets' prefixes among the documents of torn: v, doc, n, small (whether the prefix of the smaller set has it)."""
+
+    def run(batches):
+        for piece in slices(batches):
+            ids, fps = piece.column("rep").to_pylist(), piece.column("fp").to_pylist()
+            docs, values = [], []
+            for i, s in enumerate(shingle_sets(piece.column("text"), width)):
+                if len(s) and fingerprint(s) == fps[i]:
+                    docs.append(np.full(len(s), ids[i], np.int64))
+                    values.append((s ^ _TOP).view(np.int64))
+            none = np.zeros(0, np.int64)
+            columns = [np.concatenate([none, *docs]), np.concatenate([none, *values]), np.concatenate([none, *(np.full(len(d), len(d)) for d in docs)])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "v", "n"])
+
+    own = texts.select("rep", "fp", "text").join(torn.select(F.col("doc").alias("rep")).distinct(), "rep", "left_semi")
+    posts = own.mapInArrow(run, "doc BIGINT, v BIGINT, n BIGINT")
+    sizes = posts.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
+    mine = Window.partitionBy("doc", "n")
+    rank = F.row_number().over(mine.orderBy("c", "v")) + F.col("n") - F.count(F.lit(1)).over(mine)
+    ranked = posts.join(sizes, "v").withColumn("rank", rank)
+    large = F.col("n") - F.ceil(F.col("n") * SIMILARITY[0] / SIMILARITY[1]) + 1
+    small = F.col("n") - F.ceil(F.col("n") * (2 * SIMILARITY[0]) / (SIMILARITY[0] + SIMILARITY[1])) + 1
+    return ranked.where(F.col("rank") <= large).select("v", "doc", "n", (F.col("rank") <= small).alias("small"))
+
+
 def _fits(a: str, b: str):
     """Whether two set sizes allow the similarity."""
     return F.least(a, b) * SIMILARITY[1] >= F.greatest(a, b) * SIMILARITY[0]
 
 
-def _pairs(left: DataFrame, right: DataFrame, root: str, name: str, checked: DataFrame | None) -> DataFrame:
-    """Distinct pairs a < b of two lists that meet in v, in different components, of fitting sizes, not checked so far."""
-    other = right.select("v", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-    met = left.join(other, "v").where((F.col("comp") != F.col("comp2")) & _fits("n", "n2"))
-    met = met.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
-    if checked is not None:
-        met = met.join(checked, ["a", "b"], "left_anti")
-    return written(met, root, name)
+def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """lists with comp, a member's component so far, and only those that hold more than one."""
+    here = lists.join(labels.withColumnRenamed("comp", "found"), "doc", "left").withColumn("comp", F.coalesce("found", "doc")).drop("found")
+    torn = here.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("v")
+    return here.join(torn, "v", "left_semi")
+
+
+def _to_leaders(lists: DataFrame, step: int) -> DataFrame:
+    """Pairs a < b of each list's members with its leader, in different components."""
+    leader = lists.groupBy("v").agg(F.min(F.struct(F.xxhash64("doc", F.lit(step)).alias("h"), "doc", "n", "comp")).alias("x"))
+    met = lists.join(leader, "v").where((F.col("comp") != F.col("x.comp")) & _fits("n", "x.n"))
+    return met.select(F.least("doc", "x.doc").alias("a"), F.greatest("doc", "x.doc").alias("b")).distinct()
+
 
+def _across(lists: DataFrame) -> DataFrame:
+    """Pairs a < b of a list in different components, the smaller set by its shorter prefix."""
+    small = lists.where("small").select("v", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+    later = (F.col("n") > F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("doc") > F.col("doc2")))
+    met = lists.join(small, "v").where((F.col("comp") != F.col("comp2")) & _fits("n", "n2") & later)
+    return met.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
 
-def _alike(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+
+def _alike(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """Pairs whose union sketch doesn't rule the similarity out."""
-    of = lambda x: classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}"))
+    of = lambda x: texts.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     both = both.withColumn("union", union).withColumn("common", F.size(F.array_intersect("union", F.array_intersect("sa", "sb"))))
@@ -110,12 +159,9 @@ def _alike(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
 VERIFIED = "a BIGINT, b BIGINT"
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, root: str, name: str, width: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, root: str, name: str, width: int) -> DataFrame:
     """The pairs whose full sets have the similarity."""
     pairs = written(pairs, root, f"{name}_alike")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(classes.select("rep", "fp"), "rep")
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    texts = written(rows.join(nodes, "rep"), root, f"{name}_texts")
     of = lambda x: texts.select(F.col("rep").alias(x), F.col("fp").alias(f"fp{x}"), F.col("text").alias(f"text{x}"))
     both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "fpa", "fpb", "texta", "textb")
 
@@ -161,33 +207,21 @@ def components(edges: DataFrame, root: str, name: str) -> DataFrame:
 
 def links(classes: DataFrame, docs: DataFrame, root: str, k: int, width: int) -> DataFrame:
     """doc, comp of the classes that are linked with others."""
-    lists = written(retained(classes), root, "inverted")
-    found, checked, labels = docs.sparkSession.createDataFrame([], VERIFIED), None, None
-    for step in range(STAR_ROUNDS + 1):
-        if labels is None:
-            open_lists = lists.withColumn("comp", F.col("doc"))
-        else:
-            here = lists.join(labels.withColumnRenamed("comp", "found"), "doc", "left").withColumn("comp", F.coalesce("found", "doc")).drop("found")
-            torn = here.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("v")
-            lists = written(here.join(torn, "v", "left_semi").drop("comp"), root, f"lists_{step}")
-            open_lists = lists.join(labels.withColumnRenamed("comp", "found"), "doc", "left").withColumn("comp", F.coalesce("found", "doc")).drop("found")
-        last = step == STAR_ROUNDS
-        if not last and step:
-            per = open_lists.groupBy("v", "comp").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("v").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-            crossing, rows = per.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0)), F.coalesce(F.sum("s"), F.lit(0.0))).first()
-            last = crossing <= 8 * rows
-        if last:
-            right = open_lists
-        else:
-            first = open_lists.groupBy("v").agg(F.min(F.struct(F.xxhash64("doc", F.lit(step)).alias("h"), "doc", "n", "comp")).alias("x"))
-            right = first.select("v", "x.doc", "x.n", "x.comp")
-        pairs = _pairs(open_lists, right, root, f"pairs_{step}", checked)
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        found = found.unionByName(verified(_alike(pairs, classes, k), docs, classes, root, f"round_{step}", width))
-        labels = components(found, root, f"comp_{step}")
-        if last:
-            break
-    return labels
+    lists = written(retained(classes), root, "lists")
+    texts = gathered(docs, classes, lists, root)
+    check = lambda pairs, name: verified(_alike(pairs, texts, k), texts, root, name, width)
+    first = written(_to_leaders(lists.withColumn("comp", F.col("doc")), 0), root, "pairs_0")
+    found = check(first, "leaders")
+    labels = components(found, root, "comp_0")
+    exact = written(prefixes(texts, _labelled(lists, labels), width), root, "prefixes")
+    open_lists = written(_labelled(exact, labels), root, "open_1")
+    second = written(_to_leaders(open_lists, 1).join(first, ["a", "b"], "left_anti"), root, "pairs_1")
+    found = found.unionByName(check(second, "leaders_again"))
+    labels = components(found, root, "comp_1")
+    open_lists = written(_labelled(open_lists.drop("comp"), labels), root, "open_2")
+    third = _across(open_lists).join(first.unionByName(second), ["a", "b"], "left_anti")
+    found = found.unionByName(check(written(third, root, "pairs_2"), "across"))
+    return components(found, root, "comp_2")
 
 
 def near_dedup(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
