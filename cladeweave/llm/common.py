@@ -17,6 +17,8 @@ BLANK_RUN, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A key counts as hot from this share of the rows on, so at most 1 / HOT_SHARE keys are hot.
 HOT_SHARE = 1 / 1000
+#: Texts in an Arrow batch.
+BATCH_ROWS = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,7 +71,14 @@ def join_split(left: DataFrame, right: DataFrame, key: str, n: str, rows: int) -
     return on_hot.unionByName(on_cold)
 
 
-def slices(batches, column: str = "text", nbytes: int = 4 << 20):
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Let Arrow batches hold few texts: JVM and worker each hold whole batches, of both sides, for every running task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, rows)
+
+
+def slices(batches, column: str = "text", nbytes: int = 2 << 20):
     """Arrow batches cut into pieces of about nbytes of text; a longer text is a piece of its own."""
     for batch in batches:
         lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

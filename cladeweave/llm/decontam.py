@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, slices
+from .common import WORD, slices, small_batches
 from .words import gram_hashes, word_hashes
 
 MIN_MATCH, COVERAGE, BLOCK_WORDS = 5, 0.6, 4_000_000
@@ -135,6 +135,7 @@ def judged(piece: pa.RecordBatch, block: Items, coverage: float) -> tuple[list,
 def blocks(benchmark: DataFrame, width: int, block_words: int):
     """The benchmark's blocks one after the other, each broadcast."""
     spark = benchmark.sparkSession
+    small_batches(spark)
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     words = bench.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
     n = max(1, -(-words // block_words))

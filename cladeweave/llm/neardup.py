@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_split, shared_dir, slices, written
+from .common import join_split, shared_dir, slices, small_batches, written
 from .words import mix, shingle_sets
 
 WIDTH, SIMILARITY, K = 5, (75, 100), 64
@@ -226,6 +226,7 @@ def links(classes: DataFrame, docs: DataFrame, root: str, k: int, width: int) ->
 
 def near_dedup(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
+    small_batches(docs.sparkSession)
     root = shared_dir(docs.sparkSession)
     sets = written(sketched(docs, k, width), root, "sets")
     some = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 from .transducer import tokenizer
 from .words import buffers
 
@@ -32,6 +32,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
             counts = tokenizer(path).emissions(text, False)
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.mapInArrow(run, "doc_id BIGINT, n_bytes BIGINT, n_tokens BIGINT")
     return rows.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 from .rangecoder import BLOCK, decode, encode
 from .transducer import tokenizer
 
@@ -76,6 +76,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = END_ID, chu
         if held_docs:
             yield flush()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     ranged = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")

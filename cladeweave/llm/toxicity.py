@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 from .words import gram_hashes, mix, word_hashes
 
 BITS, STEM, FOLDS, HELD_OUT, SAMPLE, THRESHOLD = 20, 4, 4, 2, 12_000, 0.3
@@ -78,6 +78,7 @@ class Ftrl:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> list[tuple[int, float]]:
     """Slots and weights, learned in one task from at most `sample` labelled rows."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out() & F.col("doc_id").isNotNull())
     chosen = known.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", F.xxhash64("doc_id", F.lit(SEED)).alias("h")).orderBy("h", "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -122,6 +123,7 @@ def _dense(model: list[tuple[int, float]]) -> np.ndarray:
 
 def score(docs: DataFrame, model: list[tuple[int, float]], threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
