@@ -7,15 +7,17 @@ the union filters them, and the exact Jaccard similarity of full sets, recompute
 whole texts, decides. Components of the links are the groups.
 
 Which pairs are proposed. Only connectivity is asked for, so no list emits all its pairs.
-First every list links its members to one leader. Lists whose members are then in one
-component are done. The documents of the others go through an exact prefix join of their
-full sets: with shingles ordered rarest first, two sets of the similarity share one among
-the first n - 6n/7 + 1 of the smaller and the first n - 3n/4 + 1 of the larger. A
-document that differs from a group too much to be linked has only shingles of its own
-there, and meets nobody. Those lists again link to leaders, and at last every pair
-across components that no round has checked is checked, so no link between components is
-missed. Two sets of similarity 0.75 share none of 64 retained values with a probability
-of 1e-38.
+First every list links its members to one leader, the member whose values occur most
+often: in a group of copies the one that the others come from. Lists whose members are
+then in one component are done. The documents of the others go through an exact prefix
+join of their full sets: with shingles ordered rarest first, two sets of the similarity
+share one among the first n - 3n/4 + 1 of each, and their first common one stands early
+enough in both for the rest to hold the overlap that the similarity takes. A document
+that differs too much from a group has only shingles of its own there and meets nobody;
+a pair is also left out when one of the two shares fewer shingles with all others
+together than the similarity takes. Those lists link to leaders again, and at last every
+pair across components that is left is checked, so no link between components is missed.
+Two sets of similarity 0.75 share none of 64 retained values with a probability of 1e-38.
 
 Hot values. A value of a passage that many documents share stands in a long list of
 documents that aren't alike. Sketches of similarity 0.75 share at least LEAST of 64
@@ -75,14 +77,15 @@ def sketched(docs: DataFrame, k: int, width: int) -> DataFrame:
 
 
 def retained(classes: DataFrame) -> DataFrame:
-    """The inverted lists of the sketches' prefixes: v, doc, n. Values of one class only count for the prefix and are left out."""
+    """The inverted lists of the sketches' prefixes: v, doc, n, pop (how often the document's values occur). Values of one class only count for the prefix and are left out."""
     posts = classes.select(F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
     sizes = posts.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
     shared = posts.join(sizes, "v")
     mine = Window.partitionBy("doc", "n", "k")
     rank = F.row_number().over(mine.orderBy("c", "v")) + F.col("k") - F.count(F.lit(1)).over(mine)
     least = F.least(F.lit(LEAST), F.ceil(F.col("k") * SIMILARITY[0] / SIMILARITY[1]))
-    return shared.withColumn("rank", rank).where(F.col("rank") <= F.col("k") - least + 1).select("v", "doc", "n")
+    ranked = shared.withColumn("rank", rank).withColumn("pop", F.sum("c").over(mine))
+    return ranked.where(F.col("rank") <= F.col("k") - least + 1).select("v", "doc", "n", "pop", F.col("n").alias("m"))
 
 
 def gathered(docs: DataFrame, classes: DataFrame, lists: DataFrame, root: str) -> DataFrame:
@@ -93,7 +96,7 @@ def gathered(docs: DataFrame, classes: DataFrame, lists: DataFrame, root: str) -
 
 
 def prefixes(texts: DataFrame, torn: DataFrame, width: int) -> DataFrame:
-    """Lists of full sets' prefixes among the documents of torn: v, doc, n, small (whether the prefix of the smaller set has it)."""
+    """Lists of full sets' prefixes among the documents of torn: v, doc, n, pop, m (values that others have too), at (v's place in the document's order)."""
 
     def run(batches):
         for piece in slices(batches):
@@ -112,15 +115,15 @@ def prefixes(texts: DataFrame, torn: DataFrame, width: int) -> DataFrame:
     sizes = posts.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
     mine = Window.partitionBy("doc", "n")
     rank = F.row_number().over(mine.orderBy("c", "v")) + F.col("n") - F.count(F.lit(1)).over(mine)
-    ranked = posts.join(sizes, "v").withColumn("rank", rank)
+    ranked = posts.join(sizes, "v").withColumn("rank", rank).withColumn("pop", F.sum("c").over(mine)).withColumn("m", F.count(F.lit(1)).over(mine))
     large = F.col("n") - F.ceil(F.col("n") * SIMILARITY[0] / SIMILARITY[1]) + 1
-    small = F.col("n") - F.ceil(F.col("n") * (2 * SIMILARITY[0]) / (SIMILARITY[0] + SIMILARITY[1])) + 1
-    return ranked.where(F.col("rank") <= large).select("v", "doc", "n", (F.col("rank") <= small).alias("small"))
+    return ranked.where(F.col("rank") <= large).select("v", "doc", "n", "pop", "m", F.col("rank").alias("at"))
 
 
-def _fits(a: str, b: str):
-    """Whether two set sizes allow the similarity."""
-    return F.least(a, b) * SIMILARITY[1] >= F.greatest(a, b) * SIMILARITY[0]
+def _fits(n1: str, n2: str, m1: str, m2: str):
+    """Whether two set sizes allow the similarity, and the values that the sets share with any others the overlap it takes."""
+    overlap = (F.col(n1) + F.col(n2)) * SIMILARITY[0] <= F.least(m1, m2) * (SIMILARITY[0] + SIMILARITY[1])
+    return (F.least(n1, n2) * SIMILARITY[1] >= F.greatest(n1, n2) * SIMILARITY[0]) & overlap
 
 
 def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
@@ -130,19 +133,28 @@ def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return here.join(torn, "v", "left_semi")
 
 
-def _to_leaders(lists: DataFrame, step: int) -> DataFrame:
-    """Pairs a < b of each list's members with its leader, in different components."""
-    leader = lists.groupBy("v").agg(F.min(F.struct(F.xxhash64("doc", F.lit(step)).alias("h"), "doc", "n", "comp")).alias("x"))
-    met = lists.join(leader, "v").where((F.col("comp") != F.col("x.comp")) & _fits("n", "x.n"))
+def _leaders(lists: DataFrame) -> DataFrame:
+    """v, x: the member whose values occur most, which others are likeliest to be copies of."""
+    return lists.groupBy("v").agg(F.max(F.struct("pop", F.xxhash64("doc").alias("h"), "doc", "n", "m", "comp")).alias("x"))
+
+
+def _to_leaders(lists: DataFrame, second: bool = False) -> DataFrame:
+    """Pairs a < b of each list's members with its leader, in different components. second: with the leader of those outside the first one's component."""
+    leader = _leaders(lists)
+    if second:
+        leader = _leaders(lists.join(leader, "v").where(F.col("comp") != F.col("x.comp")).drop("x"))
+    met = lists.join(leader, "v").where((F.col("comp") != F.col("x.comp")) & _fits("n", "x.n", "m", "x.m"))
     return met.select(F.least("doc", "x.doc").alias("a"), F.greatest("doc", "x.doc").alias("b")).distinct()
 
 
 def _across(lists: DataFrame) -> DataFrame:
-    """Pairs a < b of a list in different components, the smaller set by its shorter prefix."""
-    small = lists.where("small").select("v", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-    later = (F.col("n") > F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("doc") > F.col("doc2")))
-    met = lists.join(small, "v").where((F.col("comp") != F.col("comp2")) & _fits("n", "n2") & later)
-    return met.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
+    """Pairs a < b of a list in different components. The first value that two sets share leaves both long enough a rest for the overlap it takes."""
+    other = lists.select("v", *[F.col(c).alias(f"{c}2") for c in ("doc", "n", "m", "at", "comp")])
+    overlap = (F.col("n") + F.col("n2")) * SIMILARITY[0]
+    rest = lambda n, at: (F.col(n) - F.col(at) + 1) * (SIMILARITY[0] + SIMILARITY[1])
+    met = lists.join(other, "v").where((F.col("doc") < F.col("doc2")) & (F.col("comp") != F.col("comp2")) & _fits("n", "n2", "m", "m2"))
+    met = met.where((overlap <= rest("n", "at")) & (overlap <= rest("n2", "at2")))
+    return met.select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct()
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -210,12 +222,12 @@ def links(classes: DataFrame, docs: DataFrame, root: str, k: int, width: int) ->
     lists = written(retained(classes), root, "lists")
     texts = gathered(docs, classes, lists, root)
     check = lambda pairs, name: verified(_alike(pairs, texts, k), texts, root, name, width)
-    first = written(_to_leaders(lists.withColumn("comp", F.col("doc")), 0), root, "pairs_0")
+    first = written(_to_leaders(lists.withColumn("comp", F.col("doc"))), root, "pairs_0")
     found = check(first, "leaders")
     labels = components(found, root, "comp_0")
     exact = written(prefixes(texts, _labelled(lists, labels), width), root, "prefixes")
     open_lists = written(_labelled(exact, labels), root, "open_1")
-    second = written(_to_leaders(open_lists, 1).join(first, ["a", "b"], "left_anti"), root, "pairs_1")
+    second = written(_to_leaders(open_lists, True).join(first, ["a", "b"], "left_anti"), root, "pairs_1")
     found = found.unionByName(check(second, "leaders_again"))
     labels = components(found, root, "comp_1")
     open_lists = written(_labelled(open_lists.drop("comp"), labels), root, "open_2")
