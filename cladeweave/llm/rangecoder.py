@@ -9,7 +9,7 @@ How far each is trusted is learned for every pair of confidences (and whether th
 agree): adaptive probabilities that the order-2 id is right and, if not, the order-1 id.
 What is left goes to order 0: adaptive frequencies of 256 groups of ids, brought up to
 date every REFRESH ids, ids in a group alike. The groups are small for small ids, which
-a BPE vocabulary gives to frequent pieces.
+a BPE vocabulary gives to frequent pieces; sizes are powers of 2.
 
 Arithmetic coding: 64-bit low and range, 16 bits leave whenever the range falls under
 2**48; a range that would straddle a carry is cut at it, so no carry is ever passed on.
@@ -30,22 +30,21 @@ _LEAST, _REST = _U(1 << 48), _U((1 << 48) - 1)
 
 @functools.cache
 def groups(vocab: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Group of each id, first id and size of each group: 128 of 8 ids, 64 of 64, 64 of equal parts of the rest."""
-    last = max(1, -(-(vocab - 5120) // 64))
-    sizes = np.repeat([8, 64, last], [128, 64, 64]).astype(np.int64)
+    """Group of each id, first id and bits of the size of each group: 103 of 8 ids, 64 of 64, 89 of a power of 2 for the rest."""
+    last = max(3, (max(1, -(-(vocab - 4920) // 89)) - 1).bit_length())
+    bits = np.repeat([3, 6, last], [103, 64, 89]).astype(np.int64)
+    sizes = 1 << bits
     firsts = np.cumsum(sizes) - sizes
-    of = np.repeat(np.arange(_GROUPS), sizes)
-    return of.astype(np.int64), firsts, sizes.astype(np.uint64)
+    return np.repeat(np.arange(_GROUPS), sizes), firsts, bits.astype(np.uint64)
 
 
 class _Model:
-    """The models of n blocks."""
+    """The models of n blocks. Cells of the context tables hold (id + 1) << 2 | confidence; trust holds both probabilities, 16 bits each."""
 
     def __init__(self, n: int, vocab: int):
-        self.group, self.firsts, self.sizes = groups(vocab)
-        self.t2, self.k2 = np.zeros(n << _T2, np.uint16 if vocab < 1 << 16 else np.uint32), np.zeros(n << _T2, np.uint8)
-        self.t1, self.k1 = np.zeros(n << _T1, self.t2.dtype), np.zeros(n << _T1, np.uint8)
-        self.p2, self.p1 = np.full(n * 32, 1 << 14, np.int32), np.full(n * 32, 1 << 14, np.int32)
+        self.group, self.firsts, self.bits = groups(vocab)
+        self.t2, self.t1 = np.zeros(n << _T2, np.uint32), np.zeros(n << _T1, np.uint32)
+        self.trust = np.full(n * 32, 1 << 30 | 1 << 14, np.uint32)
         self.counts = np.full((n, _GROUPS), _START, np.uint16)
         self.sums = np.zeros((n, _GROUPS + 1), np.uint32)
         lanes = np.arange(n)
@@ -54,37 +53,35 @@ class _Model:
 
     def refresh(self, n: int) -> None:
         np.cumsum(self.counts[:n], axis=1, dtype=np.uint32, out=self.sums[:n, 1:])
+        self.totals = self.sums[:, _GROUPS].astype(np.uint64)
 
     def predict(self, n: int):
-        """Candidates plus 1 and the three shares of 65536."""
+        """The shares of 65536 that order 2 and order 1 get."""
         last = self.last[:n]
-        self.s2 = self.base2[:n] + (((self.before[:n] * 0x9E3779B1 + last * 0x85EBCA6B) >> 15) & ((1 << _T2) - 1))
-        self.s1 = self.base1[:n] + ((last * 0x9E3779B1 >> 12) & ((1 << _T1) - 1))
-        self.c2, self.c1 = self.t2[self.s2], self.t1[self.s1]
-        self.q2, self.q1 = self.k2[self.s2], self.k1[self.s1]
+        scaled = last * 0x85EBCA6B
+        self.s2 = self.base2[:n] + ((self.before[:n] * 0x9E3779B1 + scaled >> 15) & ((1 << _T2) - 1))
+        self.s1 = self.base1[:n] + ((scaled >> 12) & ((1 << _T1) - 1))
+        e2, e1 = self.t2[self.s2], self.t1[self.s1]
+        self.c2, self.c1 = e2 >> 2, e1 >> 2
+        self.q2, self.q1 = e2 & 3, e1 & 3
         self.m = self.base[:n] + (self.q2 << 3 | self.q1 << 1 | (self.c2 == self.c1))
-        a, b = self.p2[self.m], self.p1[self.m]
-        self.a, self.b = a, b
-        f2 = a.astype(np.uint64)
-        f1 = ((65536 - a.astype(np.int64)) * b >> 16).astype(np.uint64)
-        return f2, f1
+        both = self.trust[self.m]
+        self.a, self.b = both >> 16, both & 0xFFFF
+        return self.a.astype(np.uint64), ((65536 - self.a) * self.b >> 16).astype(np.uint64)
 
     def update(self, n: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """hit1: the order-1 id is right and the order-2 id isn't."""
-        a, b = self.a, self.b
-        a = a + ((hit2 * np.int32(65535) - a) >> 5)
-        self.p2[self.m] = np.clip(a, 512, 65024)
-        b = np.where(hit2, b, b + ((hit1 * np.int32(65535) - b) >> 5))
-        self.p1[self.m] = np.clip(b, 512, 65024)
-        self.k2[self.s2] = np.minimum(self.q2 + 1, 3) * hit2
-        known = (ids + 1).astype(self.t2.dtype)
-        self.k1[self.s1] = np.minimum(self.q1 + 1, 3) * (self.c1 == known)
-        self.t2[self.s2] = known
-        self.t1[self.s1] = known
+        """hit1: the order-1 id is right and the order-2 id isn't. Probabilities stay between 512 and 65055 of 65536."""
+        known = (ids + 1).astype(np.uint32)
+        a = self.a - (self.a >> 5) + hit2 * np.uint32(2016) + 16
+        b = np.where(hit2, self.b, self.b - (self.b >> 5) + hit1 * np.uint32(2016) + 16)
+        self.trust[self.m] = a << 16 | b
+        cell = known << 2
+        self.t2[self.s2] = cell | np.minimum(self.q2 + 1, 3) * hit2
+        self.t1[self.s1] = cell | np.minimum(self.q1 + 1, 3) * (self.c1 == known)
         self.before, self.last = self.last[:n], ids
 
     def learn(self, lanes: np.ndarray, group: np.ndarray) -> None:
-        self.counts[lanes, group] += np.uint16(_STEP)
+        self.counts.reshape(-1)[lanes * _GROUPS + group] += np.uint16(_STEP)
 
 
 def _lanes(sizes: np.ndarray, t: int) -> int:
@@ -104,7 +101,9 @@ def encode(ids: np.ndarray, vocab: int, block: int = BLOCK) -> list[bytes]:
     cells = np.ascontiguousarray(padded.reshape(n, block).T)
     model = _Model(n, vocab)
     low, size = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
-    out, at = np.zeros((n, 4 * block + 8), np.uint16), np.zeros(n, np.int64)
+    width = 4 * block + 8
+    flat_out, first = np.zeros(n * width, np.uint16), np.arange(n) * width
+    at = first.copy()
     for t in range(int(sizes[0])):
         k = _lanes(sizes, t)
         if t % REFRESH == 0:
@@ -117,9 +116,8 @@ def encode(ids: np.ndarray, vocab: int, block: int = BLOCK) -> list[bytes]:
         low_k, size_k = low[:k], size[:k]
         r = size_k >> _U(16)
         both = f2 + f1
-        skip = np.where(hit2, _U(0), np.where(hit1, f2, both))
-        low_k += r * skip
-        size_k[:] = r * np.where(hit2, f2, np.where(hit1, f1, _U(65536) - both))
+        low_k += r * (f2 * ~hit2 + f1 * other)
+        size_k[:] = r * (f2 * hit2 + f1 * hit1 + (_U(65536) - both) * other)
         lanes = np.flatnonzero(other)
         if len(lanes):
             mine = now[lanes]
@@ -127,8 +125,8 @@ def encode(ids: np.ndarray, vocab: int, block: int = BLOCK) -> list[bytes]:
             cell = model.row[lanes] + g
             flat = model.sums.reshape(-1)
             start, end = flat[cell].astype(np.uint64), flat[cell + 1].astype(np.uint64)
-            r = size_k[lanes] // flat[model.row[lanes] + _GROUPS]
-            inner = r * (end - start) // model.sizes[g]
+            r = size_k[lanes] // model.totals[lanes]
+            inner = r * (end - start) >> model.bits[g]
             low_k[lanes] += r * start + inner * (mine - model.firsts[g]).astype(np.uint64)
             size_k[lanes] = inner
             model.learn(lanes, g)
@@ -137,15 +135,16 @@ def encode(ids: np.ndarray, vocab: int, block: int = BLOCK) -> list[bytes]:
             lo, sz = low_k[lanes], size_k[lanes]
             room = _LEAST - (lo & _REST)
             sz = np.minimum(sz, room)
-            out[lanes, at[lanes]] = (lo >> _U(48)).astype(np.uint16)
-            at[lanes] += 1
+            here = at[lanes]
+            flat_out[here] = lo >> _U(48)
+            at[lanes] = here + 1
             sz <<= _U(16)
             low_k[lanes], size_k[lanes] = lo << _U(16), sz
             lanes = lanes[sz < _LEAST]
         model.update(k, now, hit2, hit1)
     end = (low + _REST) >> _U(48)
-    out[np.arange(n), at] = end.astype(np.uint16)
-    return [out[i, : at[i] + 1].astype("<u2").tobytes() for i in range(n)]
+    flat_out[at] = end
+    return [flat_out[a : b + 1].astype("<u2").tobytes() for a, b in zip(first.tolist(), at.tolist())]
 
 
 def decode(payloads: list[bytes], total: int, vocab: int, block: int = BLOCK) -> np.ndarray:
@@ -160,7 +159,7 @@ def decode(payloads: list[bytes], total: int, vocab: int, block: int = BLOCK) ->
         words[i, : len(p) // 2] = np.frombuffer(p, "<u2")
     flat_words, first = words.reshape(-1), np.arange(n) * words.shape[1]
     off = words[:, 0] << _U(48) | words[:, 1] << _U(32) | words[:, 2] << _U(16) | words[:, 3]  # the code less low
-    at = first + 4
+    at, last_word = first + 4, first + words.shape[1] - 1
     low, size = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
     model = _Model(n, vocab)
     cells = np.zeros((block, n), np.int64)
@@ -174,25 +173,27 @@ def decode(payloads: list[bytes], total: int, vocab: int, block: int = BLOCK) ->
         both = f2 + f1
         hit2 = off_k < r * f2
         hit1 = ~hit2 & (off_k < r * both)
-        skip = r * np.where(hit2, _U(0), np.where(hit1, f2, both))
+        other = ~(hit2 | hit1)
+        skip = r * (f2 * ~hit2 + f1 * other)
         off_k -= skip
         low_k += skip
-        size_k[:] = r * np.where(hit2, f2, np.where(hit1, f1, _U(65536) - both))
+        size_k[:] = r * (f2 * hit2 + f1 * hit1 + (_U(65536) - both) * other)
         now = np.where(hit2, model.c2, model.c1).astype(np.int64) - 1
-        lanes = np.flatnonzero(~(hit2 | hit1))
+        lanes = np.flatnonzero(other)
         if len(lanes):
             flat, row = model.sums.reshape(-1), model.row[lanes]
-            r = size_k[lanes] // flat[row + _GROUPS]
+            total_k = model.totals[lanes]
+            r = size_k[lanes] // total_k
             o = off_k[lanes]
-            want = np.minimum(o // r, (flat[row + _GROUPS] - np.uint32(1)).astype(np.uint64)).astype(np.uint32)
+            want = np.minimum(o // r, total_k - _U(1)).astype(np.uint32)
             cell = row.copy()
             for step in (128, 64, 32, 16, 8, 4, 2, 1):
                 cell += step * (flat[cell + step] <= want)
             g = cell - row
             start, end = flat[cell].astype(np.uint64), flat[cell + 1].astype(np.uint64)
-            inner = r * (end - start) // model.sizes[g]
+            inner = r * (end - start) >> model.bits[g]
             o = o - r * start
-            which = np.minimum(o // inner, model.sizes[g] - _U(1))
+            which = np.minimum(o // inner, (_U(1) << model.bits[g]) - _U(1))
             off_k[lanes] = o - inner * which
             low_k[lanes] += r * start + inner * which
             size_k[lanes] = inner
@@ -202,8 +203,9 @@ def decode(payloads: list[bytes], total: int, vocab: int, block: int = BLOCK) ->
         while len(lanes):
             lo, sz = low_k[lanes], size_k[lanes]
             sz = np.minimum(sz, _LEAST - (lo & _REST)) << _U(16)
-            off_k[lanes] = off_k[lanes] << _U(16) | flat_words[np.minimum(at[lanes], first[lanes] + words.shape[1] - 1)]
-            at[lanes] += 1
+            here = at[lanes]
+            off_k[lanes] = off_k[lanes] << _U(16) | flat_words[here]
+            at[lanes] = np.minimum(here + 1, last_word[lanes])
             low_k[lanes], size_k[lanes] = lo << _U(16), sz
             lanes = lanes[sz < _LEAST]
         cells[t, :k] = now

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, small_batches
 from .rangecoder import BLOCK, decode, encode
-from .transducer import tokenizer
+from .transducer import compared, tokenizer
 
 END_ID, CHUNK_IDS = 0, 1 << 22
 FILE = "shard INT, chunk INT, n_ids BIGINT, vocab INT, block INT, doc_ids ARRAY<BIGINT>, lengths ARRAY<BIGINT>, block_bytes ARRAY<INT>, block_crc32 ARRAY<BIGINT>, payload BINARY"
@@ -63,7 +63,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = END_ID, chu
             return pa.RecordBatch.from_pylist([row], schema=kind)
 
         for piece in slices(batches):
-            counts, flat = tok.emissions(piece.column("text"), True)
+            counts, flat = tok.emissions(piece.column("text"), True, compared)
             ids = np.insert(flat, np.cumsum(counts), end_id)
             held_docs += piece.column("doc_id").to_pylist()
             held_lengths.append(counts + 1)

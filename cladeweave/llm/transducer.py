@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ import pyarrow as pa
 from .words import buffers, range_hashes
 
 CHUNK = 256
-TABLE_BITS, POOL = 21, 1 << 23
+TABLE_BITS, POOL = 22, 1 << 24
 _AS_IS = np.arange(1, 257, dtype=np.uint64)
 
 # character classes
@@ -117,23 +118,29 @@ def run(symbols: np.ndarray) -> np.ndarray:
     return out.T.reshape(-1)[: len(symbols)]
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, special: bytes | None) -> np.ndarray:
-    """Byte positions at which pieces start; data is valid UTF-8, texts start at offsets."""
-    if not len(data):
-        return np.zeros(0, np.int64)
-    raw = data.tobytes()
-    lead = np.flatnonzero((data & 0xC0) != 0x80)
-    symbols = classes()[np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), dtype=np.uint32)]
-    resets, inside, at = [offsets[offsets < len(data)]], [], raw.find(special) if special else -1
+def _resets(raw: bytes, offsets: np.ndarray, special: bytes | None) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Where texts start and special strings start and end, and the special strings' places; those across two texts don't count."""
+    resets, inside, at = [offsets[offsets < len(raw)]], [], raw.find(special) if special else -1
     while at >= 0:
         end = at + len(special)
         if np.searchsorted(offsets, at, "right") == np.searchsorted(offsets, end - 1, "right"):
-            resets.append(np.array([at, end] if end < len(data) else [at]))
+            resets.append(np.array([at, end] if end < len(raw) else [at]))
             inside.append((at, end))
             at = raw.find(special, end)
         else:
             at = raw.find(special, at + 1)
-    cuts = np.unique(np.searchsorted(lead, np.concatenate(resets)))
+    return np.unique(np.concatenate(resets)), inside
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, special: bytes | None) -> np.ndarray:
+    """Byte positions at which pieces start, by the transducer; data is valid UTF-8, texts start at offsets."""
+    if not len(data):
+        return np.zeros(0, np.int64)
+    raw = data.tobytes()
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    symbols = classes()[np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), dtype=np.uint32)]
+    resets, inside = _resets(raw, offsets, special)
+    cuts = np.searchsorted(lead, resets)
     place = np.arange(len(lead)) + np.searchsorted(cuts, np.arange(len(lead)), "right")
     full = np.zeros(len(lead) + len(cuts) + 1, np.uint8)
     full[place] = symbols
@@ -146,6 +153,47 @@ def pieces(data: np.ndarray, offsets: np.ndarray, special: bytes | None) -> np.n
     return starts
 
 
+_KINDS = np.array([0, 1, 1, 1, 1, 1, 2, 4, 5, 3, 3], dtype=np.uint8)  # letters 1, numbers 2, marks 3, space 4, other blanks 5
+_SHORT = re.compile(rb"'(?:s|t|re|ve|m|ll|d)")
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    return _KINDS[classes()]
+
+
+def compared(data: np.ndarray, offsets: np.ndarray, special: bytes | None) -> np.ndarray:
+    """The same positions as pieces(), by comparing each character with its neighbours; contractions are put right one by one."""
+    if not len(data):
+        return np.zeros(0, np.int64)
+    raw = data.tobytes()
+    kind = _kinds()[np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), dtype=np.uint32)]
+    one_byte = len(kind) == len(data)
+    lead = None if one_byte else np.flatnonzero((data & 0xC0) != 0x80)
+    resets, inside = _resets(raw, offsets, special)
+    cuts = resets if one_byte else np.searchsorted(lead, resets)
+    before, after = np.zeros(len(kind), np.uint8), np.zeros(len(kind), np.uint8)
+    before[1:], after[:-1] = kind[:-1], kind[1:]
+    before[cuts] = 0
+    after[cuts[cuts > 0] - 1] = 0
+    blank, beside = kind >= 4, before < 4
+    first = (blank & (beside | ((after < 4) & (after > 0)))) | (~blank & ((before == 5) | (beside & (before != kind))))
+    starts = np.zeros(len(data), bool)
+    starts[np.flatnonzero(first) if one_byte else lead[first]] = True
+    ends = np.append(resets, len(data))
+    for m in _SHORT.finditer(raw):
+        at, end = m.span()
+        if starts[at]:
+            stop = ends[np.searchsorted(ends, at, "right")]
+            if end <= stop:
+                starts[at + 1] = False
+                if end < stop:
+                    starts[end] = True
+    for at, end in inside:
+        starts[at + 1 : end] = False
+    return np.flatnonzero(starts)
+
+
 class Tokenizer:
     """A tokenizers file; ids and counts of whole texts."""
 
@@ -158,6 +206,7 @@ class Tokenizer:
         self.library.no_padding()
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = special[0].encode() if special else None
+        (self.line_end,) = self.library.encode("\n", add_special_tokens=False).ids
         self.keys = np.zeros(1 << TABLE_BITS, np.uint64)
         self.first, self.count = np.zeros(1 << TABLE_BITS, np.int32), np.zeros(1 << TABLE_BITS, np.int32)
         self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
@@ -166,10 +215,21 @@ class Tokenizer:
     def _learn(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Encode pieces and put them in the table; a full pool starts anew."""
         raw = data.tobytes()
-        found = self.library.encode_batch_fast([raw[s:e].decode() for s, e in zip(starts.tolist(), ends.tolist())], add_special_tokens=False)
-        ids = [x.ids for x in found]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), self.kind, int(counts.sum()))
+        texts = [raw[s:e].decode() for s, e in zip(starts.tolist(), ends.tolist())]
+        # pieces that end in no blank stay pieces of their own on lines of one text, which is one call
+        alone = np.fromiter((t[-1].isspace() for t in texts), bool, len(texts))
+        order = np.concatenate([np.flatnonzero(~alone), np.flatnonzero(alone)])
+        hashes = hashes[order]
+        lines = self.library.encode("".join(texts[i] + "\n" for i in order[: len(order) - alone.sum()]), add_special_tokens=False).ids
+        lines = np.array(lines, self.kind)
+        ends = np.flatnonzero(lines == self.line_end)
+        counts, flat = np.diff(ends, prepend=-1) - 1, lines[lines != self.line_end]
+        if alone.any():
+            found = [x.ids for x in self.library.encode_batch_fast([texts[i] for i in np.flatnonzero(alone)], add_special_tokens=False)]
+            counts = np.concatenate([counts, np.fromiter(map(len, found), np.int64, len(found))])
+            flat = np.concatenate([flat, np.fromiter((i for x in found for i in x), self.kind)])
+        if len(counts) != len(texts):
+            raise RuntimeError("the tokenizer doesn't cut lines as its pattern says")
         if self.used + len(flat) > len(self.pool):
             self.keys[:] = 0
             self.used = 0
@@ -181,11 +241,11 @@ class Tokenizer:
         self.first[slot] = self.used + np.cumsum(counts) - counts
         self.used += len(flat)
 
-    def emissions(self, column: pa.Array, ids: bool):
-        """Per text the number of its tokens; with ids also all ids one after the other."""
+    def emissions(self, column: pa.Array, ids: bool, cut=pieces):
+        """Per text the number of its tokens; with ids also all ids one after the other. cut: pieces or compared."""
         column = _valid(column)
         data, offsets = buffers(column)
-        starts = pieces(data, offsets, self.special)
+        starts = cut(data, offsets, self.special)
         ends = np.append(starts[1:], len(data)).astype(np.int64) if len(starts) else starts
         hashes = range_hashes(data, starts, ends, _AS_IS) | np.uint64(1)
         first, count = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
