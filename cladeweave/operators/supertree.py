@@ -7,7 +7,10 @@ own pairs against, at several rates) improved by single moves in fixed order. Ea
 goes on with one label for the other; quartets cut two and two are done. A cut is a
 split of all tips, and the splits found make the tree.
 
-One replicate is one task, on its distinct resolved quartets (at most 3 * C(n, 4) rows).
+A problem of at most LOCAL_ROWS distinct quartets is solved in one task. Larger ones are
+cut as Spark plans: pair sums are aggregated, one task finds candidate cuts in a problem's
+pair matrix (labels squared), another aggregate weighs the candidates on all quartets, and
+a join with the two label maps deals the quartets to the halves, until all are small.
 Trees may differ from other programs' on noisy data; on quartets of one tree without
 noise that tree comes back.
 """
@@ -19,10 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoints
 from .trees import canonical, parse_newick, relabel, tree_of_splits, write_newick
 
 #: The first of AGAINST that leaves a cut of positive value is used: with the last, chance level is 0.
 RATES, EXACT, AGAINST = (0.25, 0.5, 1.0, 2.0, 4.0), 9, (2.0, 1.0, 0.5)
+LOCAL_ROWS, CANDIDATES = 2_000_000, 8
 
 
 def _value(sides: np.ndarray, q: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -50,8 +55,31 @@ def _improved(sides: np.ndarray, m: np.ndarray) -> np.ndarray:
     return sides
 
 
+def _spectral_cuts(good: np.ndarray, bad: np.ndarray) -> list[np.ndarray]:
+    """Cuts from the pair matrices: cross pairs' weights and own pairs' weights."""
+    n, cuts = len(good), []
+    for rate in RATES:
+        m = good - rate * bad * 2
+        _, vectors = np.linalg.eigh(m)
+        for v in vectors[:, :3].T:
+            order = np.argsort(v, kind="stable")
+            for start in (v > 0, np.isin(np.arange(n), order[: n // 2])):
+                if 2 <= start.sum() <= n - 2:
+                    cuts.append(_improved(start, m))
+    return cuts
+
+
+def _chosen(cuts: list, values: list[tuple[float, float]]):
+    """The cut of the most value, None where none has any."""
+    for against in AGAINST:
+        worth = [good - against * bad for good, bad in values]
+        if worth and max(worth) > 1e-12:
+            return cuts[int(np.argmax(worth))]
+    return None
+
+
 def best_cut(n: int, q: np.ndarray, w: np.ndarray) -> np.ndarray | None:
-    """Which labels 0..n-1 stand on the side of label 0's opposite; None where no cut gains."""
+    """Which of labels 0..n-1 stand on one side; None where no cut gains."""
     if n <= EXACT:
         masks = [((np.arange(n) > 0) & ((m << 1 >> np.arange(n)) & 1).astype(bool)) for m in range(1, 1 << (n - 1))]
         cuts = [c for c in masks if 2 <= c.sum() <= n - 2]
@@ -61,22 +89,8 @@ def best_cut(n: int, q: np.ndarray, w: np.ndarray) -> np.ndarray | None:
             np.add.at(good, (q[:, x], q[:, y]), w)
         for x, y in ((0, 1), (2, 3)):
             np.add.at(bad, (q[:, x], q[:, y]), w)
-        good, bad = good + good.T, bad + bad.T
-        cuts = []
-        for rate in RATES:
-            m = good - rate * bad * 2
-            _, vectors = np.linalg.eigh(m)
-            for v in vectors[:, :3].T:
-                order = np.argsort(v, kind="stable")
-                for start in (v > 0, np.isin(np.arange(n), order[: n // 2])):
-                    if 2 <= start.sum() <= n - 2:
-                        cuts.append(_improved(start, m))
-    values = [_value(c, q, w) for c in cuts]
-    for against in AGAINST:
-        worth = [good - against * bad for good, bad in values]
-        if worth and max(worth) > 1e-12:
-            return cuts[int(np.argmax(worth))]
-    return None
+        cuts = _spectral_cuts(good + good.T, bad + bad.T)
+    return _chosen(cuts, [_value(c, q, w) for c in cuts])
 
 
 def max_cut_splits(q: np.ndarray, w: np.ndarray, tips: list[int]) -> list[tuple]:
@@ -114,27 +128,126 @@ def max_cut_splits(q: np.ndarray, w: np.ndarray, tips: list[int]) -> list[tuple]
     return sorted(set(found), key=lambda s: (len(s), s))
 
 
-def _distinct(splits: DataFrame) -> DataFrame:
-    """Equal resolved quartets of a replicate added up."""
-    keys = ["rep"] if "rep" in splits.columns else []
+def _halves(cut: np.ndarray, labels: list[frozenset]) -> list[tuple[list[int], list[frozenset]]]:
+    """For each side its map from old to new labels and its labels; what is across is one label more."""
+    out = []
+    for half in (cut, ~cut):
+        own = np.flatnonzero(half)
+        new = np.full(len(labels), len(own))
+        new[own] = np.arange(len(own))
+        out.append((new.tolist(), [labels[i] for i in own] + [frozenset().union(*(labels[i] for i in np.flatnonzero(~half)))]))
+    return out
+
+
+def _merged(state: DataFrame) -> DataFrame:
+    """Equal resolved quartets of a problem added up."""
     first, second = F.array_sort(F.array("a", "b")), F.array_sort(F.array("c", "d"))
-    pairs = splits.select(*keys, F.array_sort(F.array(first, second)).alias("p"), "weight")
-    rows = pairs.groupBy(*keys, "p").agg(F.sum("weight").alias("weight"))
-    return rows.select(*keys, *[F.col("p")[i // 2][i % 2].cast("int").alias("abcd"[i]) for i in range(4)], "weight")
+    pairs = state.select("rep", "prob", F.array_sort(F.array(first, second)).alias("p"), "weight")
+    rows = pairs.groupBy("rep", "prob", "p").agg(F.sum("weight").alias("weight"))
+    return rows.select("rep", "prob", *[F.col("p")[i // 2][i % 2].cast("int").alias("abcd"[i]) for i in range(4)], "weight")
 
 
-def supertrees(splits: DataFrame) -> DataFrame:
-    """rep, newick (tips are sample indices) of each replicate's weighted splits."""
-    rows = splits if "rep" in splits.columns else splits.withColumn("rep", F.lit(0).cast("long"))
+def _candidates(large: DataFrame) -> DataFrame:
+    """rep, prob, cuts: some cuts of each problem, from its summed pairs."""
+    cross = [("a", "c"), ("a", "d"), ("b", "c"), ("b", "d")]
+    pair = lambda x, y, good: F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"), F.lit(good).alias("good"))
+    pairs = F.array(*[pair(x, y, 1.0) for x, y in cross], pair("a", "b", 0.0), pair("c", "d", 0.0))
+    sums = large.select("rep", "prob", "weight", F.explode(pairs).alias("p"))
+    sums = sums.groupBy("rep", "prob", F.col("p.x").alias("x"), F.col("p.y").alias("y")).agg(F.sum(F.col("weight") * F.col("p.good")).alias("good"), F.sum(F.col("weight") * (1 - F.col("p.good"))).alias("bad"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = int(pdf["y"].max()) + 1
+        good, bad = np.zeros((n, n)), np.zeros((n, n))
+        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
+        good[x, y] = good[y, x] = pdf["good"]
+        bad[x, y] = bad[y, x] = pdf["bad"]
+        cuts = {c.tobytes(): c for c in _spectral_cuts(good, bad)}
+        value = lambda c: float((good - 0.5 * bad)[np.ix_(c, ~c)].sum())
+        best = sorted(cuts.values(), key=value, reverse=True)[:CANDIDATES]
+        return pd.DataFrame({"rep": [pdf["rep"].iloc[0]], "prob": [pdf["prob"].iloc[0]], "cuts": [[c.tolist() for c in best]]})
+
+    return sums.groupBy("rep", "prob").applyInPandas(run, "rep BIGINT, prob BIGINT, cuts ARRAY<ARRAY<BOOLEAN>>")
+
+
+def _weighed(large: DataFrame, cuts: DataFrame) -> DataFrame:
+    """rep, prob, good, bad: both weights of each candidate over all quartets of the problem."""
+    rows, values = large.join(F.broadcast(cuts), ["rep", "prob"]), []
+    for k in range(CANDIDATES):
+        cut = F.get("cuts", F.lit(k))
+        a, b, c, d = (F.get(cut, F.col(x)) for x in "abcd")
+        good = (a == b) & (c == d) & (a != c)
+        two = (a.cast("int") + b.cast("int") + c.cast("int") + d.cast("int")) == 2
+        values += [F.coalesce(F.sum(F.when(x, F.col("weight"))), F.lit(0.0)) for x in (good, two & ~good)]
+    return rows.groupBy("rep", "prob").agg(F.array(*values[::2]).alias("good"), F.array(*values[1::2]).alias("bad"))
+
+
+def supertrees(splits: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """rep, newick (tips are sample indices) of each replicate's weighted splits.
+
+    The driver holds labels and cuts of the problems, which are samples, and no quartets.
+    """
+    spark = splits.sparkSession
+    checkpoints(spark)
+    rows = splits if "rep" in splits.columns else splits.withColumn("rep", F.lit(0))
+    state = _merged(rows.select(F.col("rep").cast("long").alias("rep"), F.lit(0).cast("long").alias("prob"), "a", "b", "c", "d", "weight"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["a", "b", "c", "d"])
         q, w = pdf[["a", "b", "c", "d"]].to_numpy(np.int64), pdf["weight"].to_numpy(float)
-        tips = np.unique(q).tolist()
-        newick = write_newick(tree_of_splits(max_cut_splits(q, w, tips), tips))
-        return pd.DataFrame({"rep": [int(pdf["rep"].iloc[0])], "newick": [newick]})
-
-    return _distinct(rows.withColumn("rep", F.col("rep").cast("long"))).groupBy("rep").applyInPandas(run, "rep BIGINT, newick STRING")
+        sides = max_cut_splits(q, w, np.unique(q).tolist())
+        return pd.DataFrame({"rep": [pdf["rep"].iloc[0]], "prob": [pdf["prob"].iloc[0]], "labels": [np.unique(q).tolist()], "sides": [[list(map(int, s)) for s in sides]]})
+
+    kind = "rep BIGINT, prob BIGINT, labels ARRAY<INT>, sides ARRAY<ARRAY<INT>>"
+    found: dict[int, list[tuple]] = {}
+    tips: dict[int, list[int]] = {}
+    labels: dict[tuple[int, int], list[frozenset]] = {}
+    number = 0
+    while True:
+        sizes = {(r.rep, r.prob): r["count"] for r in state.groupBy("rep", "prob").count().collect()}
+        large = [k for k, v in sizes.items() if v > local_rows]
+        marks = spark.createDataFrame([(*k, k in large) for k in sizes], "rep BIGINT, prob BIGINT, large BOOLEAN")
+        marked = state.join(F.broadcast(marks), ["rep", "prob"])
+        for r in marked.where(~F.col("large")).drop("large").groupBy("rep", "prob").applyInPandas(solve, kind).collect():
+            own = labels.get((r.rep, r.prob))
+            if own is None:
+                own = {t: frozenset([t]) for t in r.labels}
+                tips[r.rep] = list(r.labels)
+            every = tips[r.rep]
+            found.setdefault(r.rep, []).extend(canonical(frozenset().union(*(own[i] for i in side)), every) for side in r.sides)
+        if not large:
+            break
+        big = marked.where("large").drop("large")
+        for r in big.where("prob = 0").select("rep", F.explode(F.array("a", "b", "c", "d")).alias("t")).groupBy("rep").agg(F.array_sort(F.collect_set("t")).alias("tips")).collect():
+            tips[r.rep] = list(r.tips)
+            labels[r.rep, 0] = [frozenset([t]) if t in set(r.tips) else frozenset() for t in range(max(r.tips) + 1)]
+        cuts = _candidates(big).checkpoint()
+        weighed = {(r.rep, r.prob): r for r in _weighed(big, cuts).collect()}
+        maps = []
+        for r in cuts.collect():
+            own = labels[r.rep, r.prob]
+            tried = [np.array(c) for c in r.cuts]
+            w = weighed[r.rep, r.prob]
+            cut = _chosen(tried, list(zip(w.good, w.bad)))
+            if cut is None:
+                continue
+            side = frozenset().union(*(own[i] for i in np.flatnonzero(cut)))
+            if side and side != frozenset(tips[r.rep]):
+                found.setdefault(r.rep, []).append(canonical(side, tips[r.rep]))
+            for new, names in _halves(cut, own):
+                number += 1
+                labels[r.rep, number] = names
+                maps.append((r.rep, r.prob, number, new, len(names) - 1))
+        if not maps:
+            break
+        dealt = big.join(F.broadcast(spark.createDataFrame(maps, "rep BIGINT, prob BIGINT, next BIGINT, new ARRAY<INT>, rest INT")), ["rep", "prob"])
+        moved = dealt.select("rep", F.col("next").alias("prob"), *[F.get("new", F.col(x)).alias(x) for x in "abcd"], "weight", "rest")
+        outside = sum((F.when(F.col(x) == F.col("rest"), 1).otherwise(0) for x in "abcd"), F.lit(0))
+        state = _merged(moved.where(outside <= 1)).checkpoint()
+    trees = []
+    for rep, every in sorted(tips.items()):
+        sides = {s for s in found.get(rep, []) if 1 < len(s) < len(every) - 1}
+        trees.append((rep, write_newick(tree_of_splits(sorted(sides, key=lambda s: (len(s), s)), every))))
+    return spark.createDataFrame(trees, "rep BIGINT, newick STRING")
 
 
 def named(newick: str, names: dict[int, str]) -> str:

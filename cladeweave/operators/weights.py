@@ -25,9 +25,9 @@ def filtered(quartets: DataFrame, strategy: int, min_snps: int = 0, min_ratio: f
 
 
 def weighted_splits(quartets: DataFrame, strategy: int = 1, min_snps: int = 0, min_ratio: float = 1.0) -> DataFrame:
-    """rep (if any), a, b, c, d, weight."""
+    """rep (if any), a, b, c, d, weight. A quartet without a weight (strategy 3, all scores 0) says nothing and goes."""
     keys = ["rep"] if "rep" in quartets.columns else []
-    return split_order(filtered(quartets, strategy, min_snps, min_ratio)).select(*keys, "a", "b", "c", "d", "weight")
+    return split_order(filtered(quartets, strategy, min_snps, min_ratio).where("weight IS NOT NULL")).select(*keys, "a", "b", "c", "d", "weight")
 
 
 def qmc_lines(splits: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -14,3 +15,9 @@ def session(name: str = "cladeweave", cores: int = 0) -> SparkSession:
     if not os.environ.get("SPARK_MASTER") and "PYSPARK_SUBMIT_ARGS" not in os.environ:
         builder = builder.master(f"local[{cores or '*'}]").config("spark.sql.shuffle.partitions", str(cores or os.cpu_count() or 8))
     return builder.getOrCreate()
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """Have a folder for checkpoints: the one in spark.checkpoint.dir, else a temporary one, as in tests and on one machine."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cladeweave_"))

@@ -174,6 +174,16 @@ def test_supertree_recovers_a_tree(n, seed):
     assert set(got) == set(trees.splits(root))
 
 
+@pytest.mark.parametrize("rows", [10**6, 300])
+def test_supertrees_of_replicates(spark, rows):
+    roots = [random_tree(random.Random(seed), 13) for seed in (21, 22)]
+    table = [(rep, *map(int, r), 1.0) for rep, root in enumerate(roots) for r in quartets_of_tree(root, 13)]
+    splits = spark.createDataFrame(table, "rep INT, a INT, b INT, c INT, d INT, weight DOUBLE")
+    got = {r.rep: r.newick for r in supertree.supertrees(splits, rows).collect()}
+    for rep, root in enumerate(roots):
+        assert set(trees.splits(trees.parse_newick(got[rep]))) == set(trees.splits(root))
+
+
 def test_supertree_with_noise():
     rng = random.Random(8)
     root = random_tree(rng, 14)
