@@ -98,12 +98,18 @@ def no_data(quartets: DataFrame, seed: int) -> DataFrame:
     return quartets.select(*keys, *NAMES, *s, res.alias("res"), F.lit(0).cast("long").alias("nsnps"))
 
 
+_BASES = np.arange(256)
+#: Of each of the 256 patterns the cell with three bits a base; the patterns of four equal bases.
+_CELLS = (_BASES >> 6) << 9 | (_BASES >> 4 & 3) << 6 | (_BASES >> 2 & 3) << 3 | (_BASES & 3)
+_EQUAL = np.arange(4) * 85
+
+
 class Matrix:
     """A block of the matrix: packed codes (samples x sites, 4 where missing) and each site's locus."""
 
     def __init__(self, packed: list[bytes], locus: list[int], n: int):
-        self.data = np.frombuffer(b"".join(packed), np.uint8)
-        self.codes = np.ascontiguousarray(self.data.reshape(-1, n).T) if len(packed) else np.zeros((n, 0), np.uint8)
+        data = np.frombuffer(b"".join(packed), np.uint8)
+        self.codes = np.ascontiguousarray(data.reshape(-1, n).T) if len(packed) else np.zeros((n, 0), np.uint8)
         self.locus = np.asarray(locus, dtype=np.int64)
 
     def counts(self, quartets: np.ndarray, unlinked: bool) -> np.ndarray:
@@ -111,9 +117,14 @@ class Matrix:
         out = np.zeros((len(quartets), 256), np.int64)
         for k, q in enumerate(quartets):
             a, b, c, d = (self.codes[i] for i in q)
+            if not unlinked:  # three bits a base, so that missing ones fall into cells of their own
+                cell = (a.astype(np.uint16) << 9) | (b.astype(np.uint16) << 6) | (c << 3) | d
+                out[k] = np.bincount(cell, minlength=4096)[_CELLS]
+                out[k, _EQUAL] = 0
+                continue
             known = (a < 4) & (b < 4) & (c < 4) & (d < 4) & ~((a == b) & (b == c) & (c == d))
             at = np.flatnonzero(known)
-            if unlinked and len(at):
+            if len(at):
                 locus = self.locus[at]
                 at = at[np.concatenate([[True], locus[1:] != locus[:-1]])]
             cell = (a[at].astype(np.int64) << 6) | (b[at].astype(np.int64) << 4) | (c[at].astype(np.int64) << 2) | d[at]
