@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -78,8 +79,11 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(name, rows)
 
 
-def slices(batches, column: str = "text", nbytes: int = 2 << 20):
-    """Arrow batches cut into pieces of about nbytes of text; a longer text is a piece of its own."""
+def slices(batches, column: str = "text", nbytes: int = 1 << 20):
+    """Arrow batches cut into pieces of about nbytes of text; a longer text is a piece of its own.
+
+    Behind the last one the worker hands memory that it freed back to the system.
+    """
     for batch in batches:
         lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         lo = size = 0
@@ -90,3 +94,13 @@ def slices(batches, column: str = "text", nbytes: int = 2 << 20):
             size += int(k)
         if lo < batch.num_rows:
             yield batch.slice(lo)
+    hand_back()
+
+
+def hand_back() -> None:
+    """Freed memory of this process to the system: workers live on, next to others and the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass

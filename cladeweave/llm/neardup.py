@@ -179,7 +179,7 @@ def verified(pairs: DataFrame, texts: DataFrame, root: str, name: str, width: in
 
     def run(batches):
         last_key, last = None, None
-        for piece in slices(batches, "textb", 2 << 20):
+        for piece in slices(batches, "textb", 1 << 20):
             a, b = piece.column("a").to_pylist(), piece.column("b").to_pylist()
             fpa, fpb = piece.column("fpa").to_pylist(), piece.column("fpb").to_pylist()
             good = []
@@ -246,7 +246,7 @@ def near_dedup(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
     classes = written(classes, root, "classes")
     # a doc_id that stands for several rows links their sets
     same = some.groupBy("doc_id").agg(F.countDistinct("fp").alias("sets")).where("sets > 1").select("doc_id")
-    twice = some.join(F.broadcast(same) if same.isEmpty() else same, "doc_id", "left_semi")
+    twice = some.join(same, "doc_id", "left_semi")
     labels = links(classes, docs, root, k, width)
     named = classes.join(labels.withColumnRenamed("doc", "rep"), "rep", "left")
     of_class = named.select("fp", F.coalesce("comp", "rep").alias("component_id"), "copies")
