@@ -22,7 +22,7 @@ import functools
 import numpy as np
 
 BLOCK, REFRESH = 2048, 64
-_T2, _T1 = 11, 10
+_T2, _T1 = 9, 8
 _GROUPS, _START, _STEP = 256, 8, 24
 _U = np.uint64
 _LEAST, _REST = _U(1 << 48), _U((1 << 48) - 1)
