@@ -33,6 +33,8 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("json")
     run.add_argument("-c", "--cores", type=int, default=0)
     run.add_argument("-b", "--nboots", type=int, default=0)
+    run.add_argument("-f", "--force", action="store_true", help="score replicates anew that are there")
+    run.add_argument("--save-counts", action="store_true", help="keep the site patterns' counts")
     info = sub.add_parser("info", help="show a project")
     info.add_argument("json")
     info.add_argument("-s", "--samples", action="store_true")
@@ -90,7 +92,11 @@ def _run(args) -> None:
     spark = session(cores=args.cores)
     project = files.Project.load(args.json)
     snps = spark.read.parquet(project.path("snps"))
-    done = inference.run(snps, project.nsamples, project.path("quartets"), args.nboots, project.nquartets, project.random_seed, project.subsample_snps)
+    kept = project.path("counts") if args.save_counts else None
+    if args.force:
+        for what in ("quartets", "counts", "trees"):
+            files.delete(spark, project.path(what))
+    done = inference.run(snps, project.nsamples, project.path("quartets"), args.nboots, project.nquartets, project.random_seed, project.subsample_snps, counts_out=kept)
     quartets = files.read_quartets(spark, project.path("quartets"))
     rows = inference.replicate_trees(quartets, project.weights)
     rows.write.mode("overwrite").parquet(project.path("trees"))

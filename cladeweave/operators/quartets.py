@@ -80,15 +80,18 @@ def random_quartets(spark: SparkSession, n: int, k: int, seed: int, rep: int = 0
         taken = min(domain, 2 * taken)
 
 
-def budget(n: int, wanted: int = 0) -> dict:
-    """How many quartets to take: all by default, never more than there are.
+def budget(n: int, wanted: int = 0, default: str = "all") -> dict:
+    """How many quartets to take, never more than there are. default: what 0 means, "all" or "rough".
 
     rough: the number from which samples of quartets cover a tree well.
     """
     total, rough = comb(n, 4), int(n**2.8)
     if total >= MOST:
         raise ValueError(f"{n} samples have {total} quartets; at most {MOST - 1} are supported")
-    taken = total if wanted <= 0 else min(wanted, total)
+    if wanted <= 0:
+        taken = min(rough, total) if default == "rough" else total
+    else:
+        taken = min(wanted, total)
     return {"n_samples": n, "total": total, "rough": rough, "taken": taken, "sparse": 0 < wanted < min(rough, total)}
 
 

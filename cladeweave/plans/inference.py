@@ -34,11 +34,11 @@ def chosen_quartets(spark: SparkSession, n: int, wanted: int, seed: int, rep: in
     return random_quartets(spark, n, k, seed, rep) if wanted else all_quartets(spark, n)
 
 
-def run(snps: DataFrame, n: int, out: str, reps: int = 0, wanted: int = 0, seed: int = 0, unlinked: bool = False, dense_cells: int = DENSE_CELLS) -> list[int]:
+def run(snps: DataFrame, n: int, out: str, reps: int = 0, wanted: int = 0, seed: int = 0, unlinked: bool = False, dense_cells: int = DENSE_CELLS, counts_out: str | None = None) -> list[int]:
     """Score quartets of replicates 0..reps and write them below out by replicate; those already there stay.
 
     A replicate is the unit of restart. Dense where the matrix has a bounded size, else
-    relational.
+    relational. counts_out: a folder that keeps each replicate's pattern counts too.
     """
     spark = snps.sparkSession
     try:
@@ -63,6 +63,9 @@ def run(snps: DataFrame, n: int, out: str, reps: int = 0, wanted: int = 0, seed:
             scored = score_dense(codes, quartets, n, seed, unlinked, rep)
         else:
             scored = score_relational(codes, quartets, seed, unlinked)
+        if counts_out:
+            kept = unlinked_counts(codes, quartets) if unlinked else pattern_counts(codes, quartets)
+            write_quartets(kept.withColumn("rep", F.lit(rep).cast("long")), counts_out)
         write_quartets(scored.withColumn("rep", F.lit(rep).cast("long")), out)
         done.append(rep)
     return done

@@ -98,6 +98,12 @@ def read_quartets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(QUARTETS + ", rep BIGINT").parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """A folder in any file system that Spark reaches, if it is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def write_quartets_tsv(quartets: DataFrame, path: str) -> None:
     """Tab-separated without header, scores with six decimals."""
     s = [F.format_string("%.6f", c).alias(c) for c in ("s0", "s1", "s2")]

@@ -120,6 +120,7 @@ def test_budget_limits():
     with pytest.raises(ValueError):
         quartets.budget(569)
     assert quartets.budget(8, 10**6)["taken"] == 70
+    assert quartets.budget(30, default="rough")["taken"] == int(30**2.8) and quartets.budget(8, default="rough")["taken"] == 70
 
 
 def test_equal_splits(spark):
@@ -304,6 +305,10 @@ def test_command_line(spark, tmp_path, capsys):
     assert files.read_quartets(spark, str(tmp_path / "p.quartets")).count() == 2 * 495
     main(["run", project, "-b", "2"])
     assert "[2]" in capsys.readouterr().out
+    main(["run", project, "-b", "1", "--force", "--save-counts"])
+    assert "[0, 1]" in capsys.readouterr().out
+    assert files.read_quartets(spark, str(tmp_path / "p.quartets")).count() == 2 * 495
+    assert spark.read.parquet(str(tmp_path / "p.counts")).select("rep").distinct().count() == 2
     main(["supertree", project, "-i", "1"])
     tree = capsys.readouterr().out.strip()
     assert len(trees.parse_newick(tree).tips()) == 12
