@@ -59,9 +59,11 @@ def pattern_counts(codes: DataFrame, quartets: DataFrame | None = None, compress
 def unlinked_counts(codes: DataFrame, quartets: DataFrame | None = None) -> DataFrame:
     """As pattern_counts, but of each locus only the first site that counts for the quartet."""
     keys = _keys(codes)
-    first = F.min_by(F.struct("r", "c"), "site").alias("p")
+    # site and pattern in one number: its minimum is a hash aggregate, that of a struct a sort
+    first = F.min(F.col("site") * 256 + F.col("r") * 16 + F.col("c")).alias("p")
     chosen = patterns(codes, quartets).groupBy(*keys, *NAMES, "locus").agg(first)
-    return chosen.groupBy(*keys, *NAMES, F.col("p.r").alias("r"), F.col("p.c").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    r, c = (F.shiftright(F.col("p"), 4) % 16).cast("int"), (F.col("p") % 16).cast("int")
+    return chosen.groupBy(*keys, *NAMES, r.alias("r"), c.alias("c")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def random_site_counts(codes: DataFrame, seed: int, quartets: DataFrame | None = None) -> DataFrame:
