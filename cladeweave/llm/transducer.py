@@ -29,7 +29,7 @@ import pyarrow as pa
 from .words import buffers, range_hashes
 
 CHUNK = 256
-TABLE_BITS, POOL = 21, 1 << 23
+TABLE_BITS, POOL, LINES = 21, 1 << 23, 2000
 _AS_IS = np.arange(1, 257, dtype=np.uint64)
 
 # character classes
@@ -216,12 +216,14 @@ class Tokenizer:
         """Encode pieces and put them in the table; a full pool starts anew."""
         raw = data.tobytes()
         texts = [raw[s:e].decode() for s, e in zip(starts.tolist(), ends.tolist())]
-        # pieces that end in no blank stay pieces of their own on lines of one text, which is one call
+        # pieces that end in no blank stay pieces of their own on the lines of a text, and one call encodes many
         alone = np.fromiter((t[-1].isspace() for t in texts), bool, len(texts))
         order = np.concatenate([np.flatnonzero(~alone), np.flatnonzero(alone)])
         hashes = hashes[order]
-        lines = self.library.encode("".join(texts[i] + "\n" for i in order[: len(order) - alone.sum()]), add_special_tokens=False).ids
-        lines = np.array(lines, self.kind)
+        plain = [texts[i] for i in order[: len(order) - alone.sum()]]
+        blocks = ["\n".join(plain[i : i + LINES]) + "\n" for i in range(0, len(plain), LINES)]
+        found = [np.array(x.ids, self.kind) for x in self.library.encode_batch_fast(blocks, add_special_tokens=False)]
+        lines = np.concatenate([np.zeros(0, self.kind), *found])
         ends = np.flatnonzero(lines == self.line_end)
         counts, flat = np.diff(ends, prepend=-1) - 1, lines[lines != self.line_end]
         if alone.any():
