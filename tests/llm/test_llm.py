@@ -395,7 +395,7 @@ def test_digest_index_persists(spark):
     assert sorted((r.doc_id, r.keep_id, r.kept) for r in again.decide(second, 2).collect()) == [(1, 3, False), (2, 2, True)]
 
 
-def test_pipeline(spark, rows):
+def test_pipeline(spark, rows, library):
     import corpus_pipeline as pipeline
 
     assert 4 <= len(pipeline.STAGES) <= 5
@@ -407,18 +407,37 @@ def test_pipeline(spark, rows):
     frame(spark, docs).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id BIGINT, text STRING").write.parquet(f"{root}/benchmark.parquet")
     spark.createDataFrame([(i, 1, 0) for i, _, _ in clean], "doc_id BIGINT, quality INT, toxic INT").write.parquet(f"{root}/labels.parquet")
-    table = spark.read.parquet(f"{root}/documents.parquet")
+    tables = [spark.read.parquet(f"{root}/documents.parquet")]
     for k, (name, stage) in enumerate(pipeline.STAGES):
-        stage(spark, table, root).write.parquet(f"{root}/{k}")
-        after = spark.read.parquet(f"{root}/{k}")
-        if k < len(pipeline.STAGES) - 1:
-            assert after.columns == table.columns
-        ids = {r.doc_id for r in after.select("doc_id").collect()}
-        if k in (0, 1, 2):
-            assert {i for i, _, _ in clean} <= ids
-        assert (3000 in ids) == (k < 1) and (k > 2 or (3001 in ids) == (k < 2))
-        table = after
-    assert table.count() > 0
+        stage(spark, tables[-1], root).write.parquet(f"{root}/{k}")
+        tables.append(spark.read.parquet(f"{root}/{k}"))
+        assert k == len(pipeline.STAGES) - 1 or tables[-1].columns == tables[0].columns
+    civil, single, uncontaminated, mixed = ([tuple(r)[:4] for r in t.collect()] for t in tables[1:5])
+    for left in (civil, single, uncontaminated):
+        assert {i for i, _, _ in clean} <= {r[0] for r in left}
+    # one row of each group of near copies, rows without doc_id untouched
+    group, _ = groups([(r[0], r[1]) for r in civil if r[0] is not None])
+    named = [r[0] for r in single if r[0] is not None]
+    assert sorted(named) == sorted({i for i in group if group[i] == i}) and set(single) <= set(civil)
+    assert sum(r[0] is None for r in civil) == sum(r[0] is None for r in single)
+    assert 3000 not in named and 3001 in named
+    covered = lambda t: brute_tiles(words(item), words(t), 5) / 30 >= decontam.COVERAGE
+    want = [r for r in single if len(words(r[1])) > 3000 or not covered(r[1])]
+    assert collections.Counter(want) == collections.Counter(uncontaminated) and 3001 not in [r[0] for r in uncontaminated]
+    # words taken of each source are its target, no document more than three times
+    target = {r.source: r.target for r in mixing.source_targets(mixing.sizes(tables[3])).collect()}
+    taken = collections.Counter()
+    for i, t, _, source in mixed:
+        taken[source] += len(words(t))
+    assert all(abs(taken[s] - target[s]) < 1 for s in target)
+    most = collections.Counter(r[0] for r in mixed)
+    assert all(n <= 3 * sum(r[0] == i for r in uncontaminated) for i, n in most.items())
+    # every row of the mix is in the file once, in order
+    got = tables[5].orderBy("start").collect()
+    ids = lambda t: np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+    assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == collections.Counter((i, len(ids(t)), zlib.crc32(ids(t).tobytes())) for i, t, _, _ in mixed)
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    assert pipeline.run(spark, root).count() == len(got)
 
 
 def test_shingle_sets_of_short_texts():
