@@ -1,15 +1,22 @@
 """An adaptive context-mixing range coder for token ids, many blocks in step.
 
-A block is up to BLOCK ids and is coded on its own from a fresh model, so blocks can be
-read in any order; numpy codes one id of every block at a time.
+A block is up to BLOCK ids and is coded on its own, so blocks can be read in any order;
+numpy codes one id of every block of a chunk at a time.
 
-The model of one id mixes three predictions. Order 2 and order 1 each name the id that
-last followed the same two ids or one id, with a confidence of 0 to 3 by its last hits.
-How far each is trusted is learned for every pair of confidences (and whether the two
-agree): adaptive probabilities that the order-2 id is right and, if not, the order-1 id.
-What is left goes to order 0: adaptive frequencies of 256 groups of ids, brought up to
-date every REFRESH ids, ids in a group alike. The groups are small for small ids, which
-a BPE vocabulary gives to frequent pieces; sizes are powers of 2.
+The distribution of one id is a weighted sum of three predictions:
+
+- order 0: how often each id stands in the chunk;
+- order 1: how often it follows the id before it, for pairs that stand there LEAST_PAIR
+  times or more;
+- order 2: the id that last followed the same two ids in this block (a cell that two
+  contexts share knows whose it is).
+
+What a chunk's blocks start from, the counts of orders 0 and 1, is the chunk's prior; it
+is stored once a chunk. Within a block the rest adapts: the contexts of order 2 and how
+often they were right in a row, the weight of order 2 for each such number, and the
+weight of order 1 against order 0 for each class of contexts (how much of what follows
+an id the prior's pairs hold). The latter takes LEVELS steps, so that the decoder finds
+an id in sums made once for each step. An id's interval is the sum of its three shares.
 
 Arithmetic coding: 64-bit low and range, 16 bits leave whenever the range falls under
 2**48; a range that would straddle a carry is cut at it, so no carry is ever passed on.
@@ -17,71 +24,195 @@ Arithmetic coding: 64-bit low and range, 16 bits leave whenever the range falls
 
 from __future__ import annotations
 
-import functools
+import zlib
 
 import numpy as np
 
-BLOCK, REFRESH = 2048, 64
-_T2, _T1 = 9, 8
-_GROUPS, _START, _STEP = 256, 8, 24
+BLOCK, LEAST_PAIR, SLOT_BITS, RATE = 1024, 3, 9, 5
+#: Shares of 256 that order 1 gets against order 0; none where an id has no listed pairs.
+LEVELS = np.array([0, 112, 176, 216, 238, 250], dtype=np.int64)
+_LEVEL_OF = np.abs(np.arange(256)[:, None] - LEVELS[None, 1:]).argmin(1) + 1
+_LEVEL_OF[0] = 0
+#: Where weights of order 2 start, by the hits in a row before, of 2**16.
+_TRUST = np.array([6000, 26000, 44000, 56000, 61000, 63000, 64000, 64500], dtype=np.int64)
+#: Entries of the decoder's guide to a chunk's lists, all levels together; each list gets 8 to 256 a level.
+_GUIDE = 1 << 22
 _U = np.uint64
 _LEAST, _REST = _U(1 << 48), _U((1 << 48) - 1)
 
 
-@functools.cache
-def groups(vocab: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Group of each id, first id and bits of the size of each group: 103 of 8 ids, 64 of 64, 89 of a power of 2 for the rest."""
-    last = max(3, (max(1, -(-(vocab - 4920) // 89)) - 1).bit_length())
-    bits = np.repeat([3, 6, last], [103, 64, 89]).astype(np.int64)
-    sizes = 1 << bits
-    firsts = np.cumsum(sizes) - sizes
-    return np.repeat(np.arange(_GROUPS), sizes), firsts, bits.astype(np.uint64)
+def _shares(counts: np.ndarray, first: np.ndarray, total: int) -> np.ndarray:
+    """Counts of consecutive groups (starting at first) as shares that add up to total, each 1 at least; the largest of a group takes the rest."""
+    if not len(counts):
+        return counts.astype(np.int64)
+    sizes = np.diff(np.append(first, len(counts)))
+    sums = np.add.reduceat(counts, first)
+    shares = counts * np.repeat((total - sizes), sizes) // np.repeat(sums, sizes) + 1
+    group = np.repeat(np.arange(len(first)), sizes)
+    order = np.lexsort((counts, group))
+    top = order[np.append(first[1:], len(counts)) - 1]
+    shares[top] += total - np.add.reduceat(shares, first)
+    return shares
+
+
+def _rounded(counts: np.ndarray) -> np.ndarray:
+    """Counts with four significant bits: the prior gets shorter."""
+    drop = np.maximum(np.int64(0), np.frexp(counts.astype(float))[1].astype(np.int64) - 4)
+    return counts >> drop << drop
+
+
+class Prior:
+    """Counts of a chunk's ids and pairs and what coding takes of them; symbols are ranks of the ids that the chunk holds."""
 
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, ctx: np.ndarray, nxt: np.ndarray, pairs: np.ndarray, level: np.ndarray):
+        """ids, counts: of symbols; ctx, nxt, pairs: listed pairs in order and their counts; level: of each symbol as a context."""
+        self.ids, self.counts, self.ctx, self.nxt, self.pairs, self.level = ids, counts, ctx, nxt, pairs, level
+        d = len(ids)
+        self.scale = max(16, int(d).bit_length() + 1)
+        total = 1 << self.scale
+        self.f0 = _shares(counts, np.zeros(1, np.int64), total)
+        self.F0 = np.cumsum(self.f0) - self.f0
+        self.of_slot = np.repeat(np.arange(d), self.f0)
+        # an entry without a share of its own leads each context's list, so that each place has an entry at or before it
+        size = np.bincount(ctx, minlength=d)
+        self.base = np.cumsum(size) - size + np.arange(d)
+        n = d + len(ctx)
+        at = np.arange(len(ctx)) + ctx + 1
+        self.sym = np.zeros(n, np.int64)
+        self.sym[at] = nxt
+        f1, F1 = np.zeros(n, np.int64), np.zeros(n + 1, np.int64)
+        first = np.flatnonzero(np.diff(ctx, prepend=-1))
+        f1[at] = _shares(pairs, first, total)
+        lists = np.repeat(np.arange(d), size + 1)
+        run = np.cumsum(f1) - f1
+        F1[:n] = run - run[self.base][lists]
+        self.f1, self.F1_next = f1, F1[:n] + f1
+        # start << 32 | share, of symbols in order 0; of places (2 * entry, plus 1 if the symbol is the entry's own) in order 1
+        self.packed0 = self.F0 << 32 | self.f0
+        self.packed1 = np.stack([self.F1_next << 32, F1[:n] << 32 | f1], axis=1).reshape(-1)
+        a = LEVELS[:, None]
+        f0, F0 = self.f0[self.sym], self.F0[self.sym]
+        self.sums = (a * F1[None, :n] + (256 - a) * F0).astype(np.int32).reshape(-1)
+        # what part of a listed symbol's share order 1 has; what isn't listed speaks for order 0
+        part = (a * f1 * 65535 // (a * f1 + (256 - a) * f0)).astype(np.int32)
+        self.resp = np.stack([np.full_like(part, 16384), part], axis=2).reshape(-1)
+        self.entries = n
+        self.row = np.cumsum(size > 0) * (size > 0)
+        self.lists = int(self.row.max(initial=0)) + 1
+        bits = min(8, max(3, (_GUIDE // (len(LEVELS) * self.lists)).bit_length() - 1))
+        self.shift, self.guide_row = 8 + self.scale - bits, (1 << bits) + 2
+        marks = self.row[ctx] * self.guide_row
+        cells = self.lists * self.guide_row
+        guide = [np.bincount(marks - (-self.sums[i * n + at].astype(np.int64) >> self.shift), minlength=cells).astype(np.int32) for i in range(len(LEVELS))]
+        self.guide = np.cumsum(np.concatenate(guide).reshape(-1, self.guide_row), axis=1, dtype=np.int32).reshape(-1)
 
-class _Model:
-    """The models of n blocks. Cells of the context tables hold (id + 1) << 2 | confidence; trust holds both probabilities, 16 bits each."""
+    @classmethod
+    def of(cls, ids: np.ndarray, block: int) -> tuple["Prior", np.ndarray, np.ndarray]:
+        """The prior of a chunk's ids; the ids as symbols, and each one's place. A block's first context is symbol 0."""
+        counts = np.bincount(ids)
+        known = np.flatnonzero(counts)
+        counts, d = counts[known], len(known)
+        rank = np.zeros(int(known[-1]) + 1, np.int32)
+        rank[known] = np.arange(d)
+        symbols = rank[ids]
+        kind = np.uint32 if d < 1 << 16 else np.uint64
+        keys = np.zeros(len(ids), kind)
+        keys[1:] = symbols[:-1]
+        keys[::block] = 0
+        keys *= kind(d)
+        keys += symbols.astype(kind)
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.diff(keys, prepend=keys[:1] + kind(1)) != 0
+        keys = keys[new].astype(np.int64)
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(ids)))
+        keep = n >= LEAST_PAIR
+        ctx, nxt, pairs = keys[keep] // d, keys[keep] % d, n[keep]
+        held = np.bincount(ctx, pairs, d) / np.maximum(np.bincount(keys // d, n, d), 1)
+        level = _LEVEL_OF[np.minimum(255, (held * 256)).astype(np.int64)]
+        level[np.bincount(ctx, minlength=d) == 0] = 0
+        prior = cls(known, _rounded(counts), ctx, nxt, _rounded(pairs), level)
+        entry = np.searchsorted(ctx * d + nxt, keys, "right") + keys // d
+        places = np.empty(len(ids), np.int32)
+        places[order] = np.repeat((2 * entry + keep).astype(np.int32), n)
+        return prior, symbols, places
 
-    def __init__(self, n: int, vocab: int):
-        self.group, self.firsts, self.bits = groups(vocab)
-        self.t2, self.t1 = np.zeros(n << _T2, np.uint32), np.zeros(n << _T1, np.uint32)
-        self.trust = np.full(n * 32, 1 << 30 | 1 << 14, np.uint32)
-        self.counts = np.full((n, _GROUPS), _START, np.uint16)
-        self.sums = np.zeros((n, _GROUPS + 1), np.uint32)
+    def tobytes(self) -> bytes:
+        size = np.bincount(self.ctx, minlength=len(self.ids))
+        gaps = np.diff(self.nxt, prepend=0)
+        first = np.flatnonzero(np.diff(self.ctx, prepend=-1))
+        gaps[first] = self.nxt[first]
+        head = np.array([len(self.ids), len(self.ctx)], "<u4").tobytes()
+        planes = [np.diff(self.ids, prepend=0), self.counts, size, gaps, self.pairs]
+        body = b"".join(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in planes) + self.level.astype(np.uint8).tobytes()
+        return head + zlib.compress(body, 6)
+
+    @classmethod
+    def frombytes(cls, raw: bytes) -> "Prior":
+        d, n = np.frombuffer(raw[:8], "<u4").tolist()
+        body, at, planes = zlib.decompress(raw[8:]), 0, []
+        for k in (d, d, d, n, n):
+            planes.append(np.frombuffer(body, np.uint8, 4 * k, at).reshape(4, k).T.copy().view("<u4").reshape(-1).astype(np.int64))
+            at += 4 * k
+        ids, counts, size, gaps, pairs = planes
+        ctx = np.repeat(np.arange(d), size)
+        run = np.cumsum(gaps)
+        first = np.cumsum(size) - size
+        nxt = run - np.repeat((run - gaps)[first[size > 0]], size[size > 0])
+        return cls(np.cumsum(ids), counts, ctx, nxt, pairs, np.frombuffer(body, np.uint8, d, at).astype(np.int64))
+
+
+class _Mixer:
+    """What n blocks learn as they go."""
+
+    def __init__(self, prior: Prior, n: int):
+        self.p = prior
         lanes = np.arange(n)
-        self.base2, self.base1, self.base, self.row = lanes << _T2, lanes << _T1, lanes * 32, lanes * (_GROUPS + 1)
+        # cells of order 2, 16 bytes each: the two ids, and symbol << 32 | place << 3 | hits
+        self.cells = np.zeros(n << SLOT_BITS, np.complex128)
+        self.cell_base = lanes << SLOT_BITS
+        self.trust = np.tile(_TRUST, n)
+        self.trust_base = lanes * len(_TRUST)
+        self.weight = np.tile(LEVELS << 8, n)
+        self.weight_base = lanes * len(LEVELS)
         self.before = self.last = np.zeros(n, np.int64)
 
-    def refresh(self, n: int) -> None:
-        np.cumsum(self.counts[:n], axis=1, dtype=np.uint32, out=self.sums[:n, 1:])
-        self.totals = self.sums[:, _GROUPS].astype(np.uint64)
-
-    def predict(self, n: int):
-        """The shares of 65536 that order 2 and order 1 get."""
-        last = self.last[:n]
-        scaled = last * 0x85EBCA6B
-        self.s2 = self.base2[:n] + ((self.before[:n] * 0x9E3779B1 + scaled >> 15) & ((1 << _T2) - 1))
-        self.s1 = self.base1[:n] + ((scaled >> 12) & ((1 << _T1) - 1))
-        e2, e1 = self.t2[self.s2], self.t1[self.s1]
-        self.c2, self.c1 = e2 >> 2, e1 >> 2
-        self.q2, self.q1 = e2 & 3, e1 & 3
-        self.m = self.base[:n] + (self.q2 << 3 | self.q1 << 1 | (self.c2 == self.c1))
-        both = self.trust[self.m]
-        self.a, self.b = both >> 16, both & 0xFFFF
-        return self.a.astype(np.uint64), ((65536 - self.a) * self.b >> 16).astype(np.uint64)
-
-    def update(self, n: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """hit1: the order-1 id is right and the order-2 id isn't. Probabilities stay between 512 and 65055 of 65536."""
-        known = (ids + 1).astype(np.uint32)
-        a = self.a - (self.a >> 5) + hit2 * np.uint32(2016) + 16
-        b = np.where(hit2, self.b, self.b - (self.b >> 5) + hit1 * np.uint32(2016) + 16)
-        self.trust[self.m] = a << 16 | b
-        cell = known << 2
-        self.t2[self.s2] = cell | np.minimum(self.q2 + 1, 3) * hit2
-        self.t1[self.s1] = cell | np.minimum(self.q1 + 1, 3) * (self.c1 == known)
-        self.before, self.last = self.last[:n], ids
-
-    def learn(self, lanes: np.ndarray, group: np.ndarray) -> None:
-        self.counts.reshape(-1)[lanes * _GROUPS + group] += np.uint16(_STEP)
+    def predict(self, k: int) -> None:
+        p = self.p
+        last = self.last[:k]
+        self.level_at = self.weight_base[:k] + p.level[last]
+        self.w = self.weight[self.level_at]
+        self.step = _LEVEL_OF[self.w >> 8]
+        self.a = LEVELS[self.step]
+        self.key = (self.before[:k] << 32 | last) + 1
+        self.slot = self.cell_base[:k] + ((self.key * 0x1E3779B97F4A7C15 >> 40) & ((1 << SLOT_BITS) - 1))
+        cell = self.cells[self.slot].view(np.int64)
+        self.known = cell[::2] == self.key
+        value = cell[1::2]
+        self.guess, self.hits = value >> 32, value & 7
+        self.guess_place = value >> 3 & 0x1FFFFFFF
+        self.trust_at = self.trust_base[:k] + self.hits
+        self.t = self.trust[self.trust_at]
+        # of 4096
+        self.w2 = (self.t >> 4) * self.known
+        self.w01 = 4096 - self.w2
+
+    def mixed(self, symbols: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and share of symbols in the sum of orders 0 and 1."""
+        both = self.a * self.p.packed1[places] + (256 - self.a) * self.p.packed0[symbols]
+        return both >> 32, both & 0xFFFFFFFF
+
+    def learn(self, k: int, symbols: np.ndarray, places: np.ndarray) -> None:
+        hit = self.known & (self.guess == symbols)
+        self.trust[self.trust_at] = self.t + (((hit * 65535 - self.t) >> RATE) * self.known)
+        resp = self.p.resp[self.step * (2 * self.p.entries) + places]
+        self.weight[self.level_at] = self.w + ((resp - self.w >> RATE) * (self.w > 0))
+        cell = np.empty((k, 2), np.int64)
+        cell[:, 0] = self.key
+        cell[:, 1] = symbols << 32 | places << 3 | np.minimum(self.hits + 1, len(_TRUST) - 1) * hit
+        self.cells[self.slot] = cell.view(np.complex128)[:, 0]
+        self.before, self.last = self.last[:k], symbols
 
 
 def _lanes(sizes: np.ndarray, t: int) -> int:
@@ -89,125 +220,136 @@ def _lanes(sizes: np.ndarray, t: int) -> int:
     return int(np.searchsorted(-sizes, -t, "left"))
 
 
-def encode(ids: np.ndarray, vocab: int, block: int = BLOCK) -> list[bytes]:
-    """One payload for each block of `block` ids; the last may be shorter."""
-    n = -(-len(ids) // block)
-    if n == 0:
-        return []
+def _sizes(total: int, block: int) -> np.ndarray:
+    n = -(-total // block)
     sizes = np.full(n, block)
-    sizes[-1] = len(ids) - block * (n - 1)
-    padded = np.zeros(n * block, np.int64)
-    padded[: len(ids)] = ids
-    cells = np.ascontiguousarray(padded.reshape(n, block).T)
-    model = _Model(n, vocab)
+    sizes[-1:] = total - block * (n - 1)
+    return sizes
+
+
+def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, list[bytes]]:
+    """The chunk's prior, and one payload for each block of `block` ids; the last may be shorter."""
+    total = len(ids)
+    if total == 0:
+        return b"", []
+    prior, symbols, places = Prior.of(ids, block)
+    sizes = _sizes(total, block)
+    n = len(sizes)
+
+    def by_step(x: np.ndarray) -> np.ndarray:
+        cells = np.zeros(n * block, np.int32)
+        cells[:total] = x
+        return np.ascontiguousarray(cells.reshape(n, block).T)
+
+    symbol_cells, place_cells = by_step(symbols), by_step(places)
+    del symbols, places
+    mixer = _Mixer(prior, n)
+    top = _U(12 + 8 + prior.scale)
+    one = 8 + prior.scale
     low, size = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
-    width = 4 * block + 8
-    flat_out, first = np.zeros(n * width, np.uint16), np.arange(n) * width
-    at = first.copy()
+    width = block + 64
+    out, at = np.zeros((n, width), np.uint16), np.zeros(n, np.int64)
     for t in range(int(sizes[0])):
         k = _lanes(sizes, t)
-        if t % REFRESH == 0:
-            model.refresh(k)
-        now = cells[t, :k]
-        f2, f1 = model.predict(k)
-        hit2 = model.c2 == now + 1
-        hit1 = (model.c1 == now + 1) & ~hit2
-        other = ~(hit2 | hit1)
+        now, place = symbol_cells[t, :k].astype(np.int64), place_cells[t, :k].astype(np.int64)
+        mixer.predict(k)
+        start, share = mixer.mixed(now, place)
+        w2 = mixer.w2 << one
+        start = mixer.w01 * start + w2 * (mixer.guess < now)
+        share = mixer.w01 * share + w2 * (mixer.guess == now)
         low_k, size_k = low[:k], size[:k]
-        r = size_k >> _U(16)
-        both = f2 + f1
-        low_k += r * (f2 * ~hit2 + f1 * other)
-        size_k[:] = r * (f2 * hit2 + f1 * hit1 + (_U(65536) - both) * other)
-        lanes = np.flatnonzero(other)
-        if len(lanes):
-            mine = now[lanes]
-            g = model.group[mine]
-            cell = model.row[lanes] + g
-            flat = model.sums.reshape(-1)
-            start, end = flat[cell].astype(np.uint64), flat[cell + 1].astype(np.uint64)
-            r = size_k[lanes] // model.totals[lanes]
-            inner = r * (end - start) >> model.bits[g]
-            low_k[lanes] += r * start + inner * (mine - model.firsts[g]).astype(np.uint64)
-            size_k[lanes] = inner
-            model.learn(lanes, g)
+        r = size_k >> top
+        low_k += r * start.astype(np.uint64)
+        size_k[:] = r * share.astype(np.uint64)
         lanes = np.flatnonzero(size_k < _LEAST)
         while len(lanes):
+            if int(at.max()) + 2 >= out.shape[1]:
+                out = np.concatenate([out, np.zeros_like(out)], axis=1)
             lo, sz = low_k[lanes], size_k[lanes]
-            room = _LEAST - (lo & _REST)
-            sz = np.minimum(sz, room)
-            here = at[lanes]
-            flat_out[here] = lo >> _U(48)
-            at[lanes] = here + 1
-            sz <<= _U(16)
+            sz = np.minimum(sz, _LEAST - (lo & _REST)) << _U(16)
+            out[lanes, at[lanes]] = lo >> _U(48)
+            at[lanes] += 1
             low_k[lanes], size_k[lanes] = lo << _U(16), sz
             lanes = lanes[sz < _LEAST]
-        model.update(k, now, hit2, hit1)
-    end = (low + _REST) >> _U(48)
-    flat_out[at] = end
-    return [flat_out[a : b + 1].astype("<u2").tobytes() for a, b in zip(first.tolist(), at.tolist())]
+        mixer.learn(k, now, place)
+    out[np.arange(n), at] = (low + _REST) >> _U(48)
+    return prior.tobytes(), [out[i, : at[i] + 1].astype("<u2").tobytes() for i in range(n)]
+
 
+def _placed(prior: Prior, mixer: _Mixer, y: np.ndarray, contexts: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols that hold y in the sum of orders 0 and 1, and their places."""
+    row = (step * prior.lists + prior.row[contexts]) * prior.guide_row + (y >> prior.shift)
+    base, sums = prior.base[contexts], step * prior.entries
+    lo, hi = base + prior.guide[row], base + prior.guide[row + 1]
+    open_ = np.flatnonzero(lo < hi)
+    while len(open_):
+        a, b = lo[open_], hi[open_]
+        middle = (a + b + 1) >> 1
+        under = prior.sums[sums[open_] + middle] <= y[open_]
+        a, b = np.where(under, middle, a), np.where(under, b, middle - 1)
+        lo[open_], hi[open_] = a, b
+        open_ = open_[a < b]
+    a = LEVELS[step]
+    symbol, f1 = prior.sym[lo], prior.f1[lo]
+    beyond = np.flatnonzero((y >= prior.sums[sums + lo] + a * f1 + (256 - a) * prior.f0[symbol]) | (f1 == 0))
+    over = (y[beyond] - a[beyond] * prior.F1_next[lo[beyond]]).astype(np.uint64)
+    symbol[beyond] = prior.of_slot[over // (256 - a[beyond]).astype(np.uint64)]
+    places = 2 * lo + 1
+    places[beyond] -= 1
+    return symbol, places
 
-def decode(payloads: list[bytes], total: int, vocab: int, block: int = BLOCK) -> np.ndarray:
+
+def decode(model: bytes, payloads: list[bytes], total: int, block: int = BLOCK) -> np.ndarray:
     """The ids of all blocks, `total` of them."""
     n = len(payloads)
     if n == 0:
         return np.zeros(0, np.int64)
-    sizes = np.full(n, block)
-    sizes[-1] = total - block * (n - 1)
-    words = np.zeros((n, max(map(len, payloads)) // 2 + 8), np.uint64)
+    prior, sizes = Prior.frombytes(model), _sizes(total, block)
+    width = max(map(len, payloads)) // 2 + 8
+    words = np.zeros((n, width), np.uint16)
     for i, p in enumerate(payloads):
         words[i, : len(p) // 2] = np.frombuffer(p, "<u2")
-    flat_words, first = words.reshape(-1), np.arange(n) * words.shape[1]
-    off = words[:, 0] << _U(48) | words[:, 1] << _U(32) | words[:, 2] << _U(16) | words[:, 3]  # the code less low
-    at, last_word = first + 4, first + words.shape[1] - 1
+    flat, first = words.reshape(-1), np.arange(n) * width
+    lead = words[:, :4].astype(np.uint64)
+    off = lead[:, 0] << _U(48) | lead[:, 1] << _U(32) | lead[:, 2] << _U(16) | lead[:, 3]  # the code less low
+    at, last_word = first + 4, first + width - 1
     low, size = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
-    model = _Model(n, vocab)
-    cells = np.zeros((block, n), np.int64)
+    mixer = _Mixer(prior, n)
+    top, one, most = _U(12 + 8 + prior.scale), 8 + prior.scale, _U((1 << 20 + prior.scale) - 1)
+    cells = np.zeros((block, n), np.int32)
     for t in range(int(sizes[0])):
         k = _lanes(sizes, t)
-        if t % REFRESH == 0:
-            model.refresh(k)
-        f2, f1 = model.predict(k)
+        mixer.predict(k)
         off_k, low_k, size_k = off[:k], low[:k], size[:k]
-        r = size_k >> _U(16)
-        both = f2 + f1
-        hit2 = off_k < r * f2
-        hit1 = ~hit2 & (off_k < r * both)
-        other = ~(hit2 | hit1)
-        skip = r * (f2 * ~hit2 + f1 * other)
+        r = size_k >> top
+        v = np.minimum(off_k // r, most).astype(np.int64)
+        guess_start, guess_share = mixer.mixed(mixer.guess, mixer.guess_place)
+        w2 = mixer.w2 << one
+        begin = mixer.w01 * guess_start
+        end = begin + w2 + mixer.w01 * guess_share
+        known = mixer.known
+        now, place = mixer.guess.copy(), mixer.guess_place.copy()
+        rest = np.flatnonzero(~known | (v < begin) | (v >= end))
+        if len(rest):
+            u = v[rest] - w2[rest] * (v[rest] >= end[rest])
+            y = (u.astype(np.uint64) // mixer.w01[rest].astype(np.uint64)).astype(np.int64)
+            now[rest], place[rest] = _placed(prior, mixer, y, mixer.last[rest], mixer.step[rest])
+        start, share = mixer.mixed(now, place)
+        start = mixer.w01 * start + w2 * (mixer.guess < now)
+        share = mixer.w01 * share + w2 * (mixer.guess == now)
+        skip = r * start.astype(np.uint64)
         off_k -= skip
         low_k += skip
-        size_k[:] = r * (f2 * hit2 + f1 * hit1 + (_U(65536) - both) * other)
-        now = np.where(hit2, model.c2, model.c1).astype(np.int64) - 1
-        lanes = np.flatnonzero(other)
-        if len(lanes):
-            flat, row = model.sums.reshape(-1), model.row[lanes]
-            total_k = model.totals[lanes]
-            r = size_k[lanes] // total_k
-            o = off_k[lanes]
-            want = np.minimum(o // r, total_k - _U(1)).astype(np.uint32)
-            cell = row.copy()
-            for step in (128, 64, 32, 16, 8, 4, 2, 1):
-                cell += step * (flat[cell + step] <= want)
-            g = cell - row
-            start, end = flat[cell].astype(np.uint64), flat[cell + 1].astype(np.uint64)
-            inner = r * (end - start) >> model.bits[g]
-            o = o - r * start
-            which = np.minimum(o // inner, (_U(1) << model.bits[g]) - _U(1))
-            off_k[lanes] = o - inner * which
-            low_k[lanes] += r * start + inner * which
-            size_k[lanes] = inner
-            now[lanes] = model.firsts[g] + which.astype(np.int64)
-            model.learn(lanes, g)
+        size_k[:] = r * share.astype(np.uint64)
         lanes = np.flatnonzero(size_k < _LEAST)
         while len(lanes):
             lo, sz = low_k[lanes], size_k[lanes]
             sz = np.minimum(sz, _LEAST - (lo & _REST)) << _U(16)
             here = at[lanes]
-            off_k[lanes] = off_k[lanes] << _U(16) | flat_words[here]
+            off_k[lanes] = off_k[lanes] << _U(16) | flat[here]
             at[lanes] = np.minimum(here + 1, last_word[lanes])
             low_k[lanes], size_k[lanes] = lo << _U(16), sz
             lanes = lanes[sz < _LEAST]
         cells[t, :k] = now
-        model.update(k, now, hit2, hit1)
-    return cells.T.reshape(-1)[:total]
+        mixer.learn(k, now, place)
+    return prior.ids[cells.T.reshape(-1)[:total]]

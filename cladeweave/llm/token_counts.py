@@ -29,7 +29,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
         for piece in slices(batches):
             text = piece.column("text")
             n_bytes = np.diff(buffers(text)[1])
-            counts = tokenizer(path).emissions(text, False)
+            counts = tokenizer(path).counts(text)
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     small_batches(docs.sparkSession)

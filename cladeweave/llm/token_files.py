@@ -2,17 +2,20 @@
 
 Format. A file is a Parquet folder whose rows are chunks, in order of shard and chunk. A
 chunk holds whole documents in ascending doc_id order: `doc_ids`, `lengths` (ids of each,
-the end id included), `payload` (the coded blocks one after the other), `block_bytes` and
-`block_crc32` (of each block's ids as little-endian unsigned 32-bit integers). Every
-block is decoded on its own. Reading checks each checksum and raises on a mismatch.
+the end id included), `prior` (what every block starts from) and its checksum, `payload`
+(the coded blocks one after the other), `block_bytes` and `block_crc32` (of each block's
+ids as little-endian unsigned 32-bit integers). Every block is decoded on its own, from
+the prior. Reading checks each checksum and raises on a mismatch.
 
 Documents are range-partitioned by doc_id; a partition is a shard, its chunks are of
 about CHUNK_IDS ids. Starts are prefix sums over shards, over a shard's chunks and over
 a chunk's documents.
 
-Defined results: a null or empty text is the end id alone. Rows that repeat a doc_id
-follow each other, ordered by a hash of the text. A null doc_id comes first. Extra
-columns are ignored. An empty table gives an empty file and an empty result.
+Defined results: a null or empty text is the end id alone. A text of any length is one
+document of one chunk; pieces of about a megabyte hold several texts or one longer one.
+Rows that repeat a doc_id follow each other, ordered by a hash of the text; equal rows
+are as many documents. A null doc_id comes first. Extra columns are ignored. An empty
+table gives an empty file and an empty result.
 """
 
 from __future__ import annotations
@@ -25,12 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import hand_back, slices, small_batches
 from .rangecoder import BLOCK, decode, encode
-from .transducer import compared, tokenizer
+from .transducer import tokenizer
 
-END_ID, CHUNK_IDS = 0, 1 << 22
-FILE = "shard INT, chunk INT, n_ids BIGINT, vocab INT, block INT, doc_ids ARRAY<BIGINT>, lengths ARRAY<BIGINT>, block_bytes ARRAY<INT>, block_crc32 ARRAY<BIGINT>, payload BINARY"
+END_ID, CHUNK_IDS = 0, 1 << 21
+FILE = "shard INT, chunk INT, n_ids BIGINT, block INT, doc_ids ARRAY<BIGINT>, lengths ARRAY<BIGINT>, block_bytes ARRAY<INT>, block_crc32 ARRAY<BIGINT>, prior BINARY, prior_crc32 BIGINT, payload BINARY"
 READ = "shard INT, chunk INT, place BIGINT, doc_id BIGINT, inside BIGINT, n_tokens BIGINT, ids_crc32 BIGINT"
 
 
@@ -38,11 +41,11 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _chunk(shard: int, number: int, docs: list, lengths: np.ndarray, ids: np.ndarray, vocab: int, block: int) -> dict:
-    payloads = encode(ids, vocab, block)
+def _chunk(shard: int, number: int, docs: list, lengths: np.ndarray, ids: np.ndarray, block: int) -> dict:
+    prior, payloads = encode(ids, block)
     return {
-        "shard": shard, "chunk": number, "n_ids": len(ids), "vocab": vocab, "block": block, "doc_ids": docs, "lengths": lengths.tolist(),
-        "block_bytes": [len(p) for p in payloads], "block_crc32": [_crc(ids[i : i + block]) for i in range(0, len(ids), block)], "payload": b"".join(payloads),
+        "shard": shard, "chunk": number, "n_ids": len(ids), "block": block, "doc_ids": docs, "lengths": lengths, "block_bytes": list(map(len, payloads)),
+        "block_crc32": [_crc(ids[i : i + block]) for i in range(0, len(ids), block)], "prior": prior, "prior_crc32": zlib.crc32(prior), "payload": b"".join(payloads),
     }
 
 
@@ -50,20 +53,21 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = END_ID, chu
     """Encode every text of docs with the tokenizers file at path and write the ids to the folder out."""
     def run(batches):
         kind = pa.schema([
-            ("shard", pa.int32()), ("chunk", pa.int32()), ("n_ids", pa.int64()), ("vocab", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())),
-            ("lengths", pa.list_(pa.int64())), ("block_bytes", pa.list_(pa.int32())), ("block_crc32", pa.list_(pa.int64())), ("payload", pa.binary()),
+            ("shard", pa.int32()), ("chunk", pa.int32()), ("n_ids", pa.int64()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())),
+            ("lengths", pa.list_(pa.int64())), ("block_bytes", pa.list_(pa.int32())), ("block_crc32", pa.list_(pa.int64())), ("prior", pa.binary()), ("prior_crc32", pa.int64()), ("payload", pa.binary()),
         ])
         tok = tokenizer(path)
-        vocab = tok.library.get_vocab_size()
         shard, number = TaskContext.get().partitionId(), 0
         held_docs, held_lengths, held_ids, size = [], [], [], 0
 
         def flush():
-            row = _chunk(shard, number, held_docs, np.concatenate(held_lengths), np.concatenate(held_ids), vocab, block)
+            row = _chunk(shard, number, held_docs, np.concatenate(held_lengths), np.concatenate(held_ids), block)
+            held_ids.clear()
+            hand_back()
             return pa.RecordBatch.from_pylist([row], schema=kind)
 
         for piece in slices(batches):
-            counts, flat = tok.emissions(piece.column("text"), True, compared)
+            counts, flat = tok.ids(piece.column("text"))
             ids = np.insert(flat, np.cumsum(counts), end_id)
             held_docs += piece.column("doc_id").to_pylist()
             held_lengths.append(counts + 1)
@@ -90,7 +94,9 @@ def read_file(spark: SparkSession, out: str) -> DataFrame:
 def read_tokens(row: dict) -> np.ndarray:
     """All ids of one chunk, checked."""
     cuts = np.concatenate([[0], np.cumsum(row["block_bytes"])]).astype(int)
-    ids = decode([row["payload"][a:b] for a, b in zip(cuts[:-1], cuts[1:])], row["n_ids"], row["vocab"], row["block"])
+    if zlib.crc32(row["prior"]) != row["prior_crc32"]:
+        raise ValueError(f"shard {row['shard']}, chunk {row['chunk']}: the prior's checksum doesn't fit")
+    ids = decode(row["prior"], [row["payload"][a:b] for a, b in zip(cuts[:-1], cuts[1:])], row["n_ids"], row["block"])
     for i, crc in enumerate(row["block_crc32"]):
         if _crc(ids[i * row["block"] : (i + 1) * row["block"]]) != crc:
             raise ValueError(f"shard {row['shard']}, chunk {row['chunk']}, block {i}: the checksum doesn't fit")
@@ -106,6 +112,7 @@ def read_documents(spark: SparkSession, out: str) -> DataFrame:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 ids = read_tokens(row).astype("<u4")
+                hand_back()
                 lengths = np.array(row["lengths"], dtype=np.int64)
                 ends = np.cumsum(lengths)
                 n = len(lengths)

@@ -9,10 +9,18 @@ symbols; the map from each possible state before a chunk to the state behind it
 for all chunks at once, the maps compose by a parallel prefix scan, and a second run
 from the true states reads the output off.
 
-Level two annotates pieces with what the tokenizer's merges emit for them: the ids and
-their number. BPE inside a piece has no small automaton, so this part is compiled lazily:
-the tokenizers library encodes a piece when it first appears, and a table of fixed size,
-direct-mapped by 64-bit hash, keeps the emissions.
+Level two is a deterministic transducer over the characters of a piece. What the merges
+emit for a piece isn't settled before its end, so inner transitions emit nothing, and the
+transition that leads from a piece's last state back to the first one is annotated with
+the number of tokens. The merges' whole automaton would have a state for every start of
+every piece there can be, so it is compiled as texts reach it: new transitions make new
+states, and the tokenizers library counts a new end's tokens once. All pieces of a batch
+take a step at a time. States live in a table of fixed size that starts anew when half
+full; pieces over LONGEST characters are one transition, in the table of whole pieces.
+
+Where ids are asked for, a second table of fixed size, direct-mapped, keeps those of
+whole pieces. It compares a piece's key, which holds the bytes themselves up to 15 of
+them and a 128-bit digest beyond (see words), never a plain hash.
 
 Special strings inside texts are single tokens, as the library's default has it.
 """
@@ -26,11 +34,11 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from .words import buffers, range_hashes
+from .words import buffers, key_hashes, range_keys
 
 CHUNK = 256
 TABLE_BITS, POOL, LINES = 21, 1 << 23, 2000
-_AS_IS = np.arange(1, 257, dtype=np.uint64)
+STATE_BITS, LONGEST, GROUP = 21, 64, 1 << 18
 
 # character classes
 END, LETTER, STMD, RV, ELL, E, NUMBER, SPACE, BLANK, QUOTE, MARK = range(11)
@@ -194,6 +202,10 @@ def compared(data: np.ndarray, offsets: np.ndarray, special: bytes | None) -> np
     return np.flatnonzero(starts)
 
 
+def _utf32(data: np.ndarray) -> np.ndarray:
+    return np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+
+
 class Tokenizer:
     """A tokenizers file; ids and counts of whole texts."""
 
@@ -207,19 +219,15 @@ class Tokenizer:
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = special[0].encode() if special else None
         (self.line_end,) = self.library.encode("\n", add_special_tokens=False).ids
-        self.keys = np.zeros(1 << TABLE_BITS, np.uint64)
-        self.first, self.count = np.zeros(1 << TABLE_BITS, np.int32), np.zeros(1 << TABLE_BITS, np.int32)
         self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
-        self.pool, self.used = np.zeros(POOL, self.kind), 0
+        self.keys = None  # the table of whole pieces
+        self.states = None  # the states of level two
 
-    def _learn(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        """Encode pieces and put them in the table; a full pool starts anew."""
-        raw = data.tobytes()
-        texts = [raw[s:e].decode() for s, e in zip(starts.tolist(), ends.tolist())]
-        # pieces that end in no blank stay pieces of their own on the lines of a text, and one call encodes many
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of tokens of strings that hold no line end, or only blanks, and all their ids; the order in which both come."""
+        # strings that end in no blank stay pieces of their own on the lines of a text, and one call encodes many
         alone = np.fromiter((t[-1].isspace() for t in texts), bool, len(texts))
         order = np.concatenate([np.flatnonzero(~alone), np.flatnonzero(alone)])
-        hashes = hashes[order]
         plain = [texts[i] for i in order[: len(order) - alone.sum()]]
         blocks = ["\n".join(plain[i : i + LINES]) + "\n" for i in range(0, len(plain), LINES)]
         found = [np.array(x.ids, self.kind) for x in self.library.encode_batch_fast(blocks, add_special_tokens=False)]
@@ -232,31 +240,42 @@ class Tokenizer:
             flat = np.concatenate([flat, np.fromiter((i for x in found for i in x), self.kind)])
         if len(counts) != len(texts):
             raise RuntimeError("the tokenizer doesn't cut lines as its pattern says")
+        return counts, flat, order
+
+    def _learn(self, data: np.ndarray, a: np.ndarray, b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Encode pieces with keys a, b and put them in the table; a full pool starts anew."""
+        raw = memoryview(data)
+        counts, flat, order = self._encoded([str(raw[s:e], "utf-8") for s, e in zip(starts.tolist(), ends.tolist())])
         if self.used + len(flat) > len(self.pool):
             self.keys[:] = 0
             self.used = 0
             if len(flat) > len(self.pool):
                 self.pool = np.zeros(2 * len(flat), self.kind)
-        slot = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        a, b = a[order], b[order]
+        slot = self._slots(a, b)
         self.pool[self.used : self.used + len(flat)] = flat
-        self.keys[slot], self.count[slot] = hashes, counts
+        self.keys[slot, 0], self.keys[slot, 1], self.count[slot] = a, b, counts
         self.first[slot] = self.used + np.cumsum(counts) - counts
         self.used += len(flat)
 
-    def emissions(self, column: pa.Array, ids: bool, cut=pieces):
-        """Per text the number of its tokens; with ids also all ids one after the other. cut: pieces or compared."""
-        column = _valid(column)
-        data, offsets = buffers(column)
-        starts = cut(data, offsets, self.special)
-        ends = np.append(starts[1:], len(data)).astype(np.int64) if len(starts) else starts
-        hashes = range_hashes(data, starts, ends, _AS_IS) | np.uint64(1)
-        first, count = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    @staticmethod
+    def _slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (key_hashes(a, b) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+    def _looked_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: bool) -> tuple[np.ndarray, list]:
+        """Token counts of pieces, and with ids parts (pieces, counts, ids) that cover all of them."""
+        if self.keys is None:
+            self.keys = np.zeros((1 << TABLE_BITS, 2), np.uint64)
+            self.first, self.count = np.zeros(1 << TABLE_BITS, np.int32), np.zeros(1 << TABLE_BITS, np.int32)
+            self.pool, self.used = np.zeros(POOL, self.kind), 0
+        a, b = range_keys(data, starts, ends)
+        slots = self._slots(a, b)
+        count, parts = np.zeros(len(starts), np.int64), []
         todo = np.arange(len(starts))
-        parts = [] if ids else None
         while len(todo):  # pieces that share a slot take turns
-            h = hashes[todo]
-            slot = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-            hit = self.keys[slot] == h
+            slot = slots[todo]
+            kept = self.keys[slot]
+            hit = (kept[:, 0] == a[todo]) & (kept[:, 1] == b[todo])
             got, at = todo[hit], slot[hit]
             count[got] = self.count[at]
             if ids and len(got):
@@ -265,21 +284,90 @@ class Tokenizer:
                 parts.append((got, n, self.pool[k]))
             todo = todo[~hit]
             if len(todo):
-                _, one = np.unique(hashes[todo], return_index=True)
-                # of pieces that share a slot the first
-                _, alone = np.unique(hashes[todo[one]] >> np.uint64(64 - TABLE_BITS), return_index=True)
-                new = todo[one[alone]]
-                self._learn(data, hashes[new], starts[new], ends[new])
-        doc = np.searchsorted(starts, offsets)
+                _, alone = np.unique(slots[todo], return_index=True)  # of pieces that share a slot the first
+                new = todo[alone]
+                self._learn(data, a[new], b[new], starts[new], ends[new])
+        return count, parts
+
+    def ids(self, column: pa.Array, cut=None) -> tuple[np.ndarray, np.ndarray]:
+        """Per text the number of its tokens, and all ids one after the other. cut: pieces or compared."""
+        data, offsets = buffers(_valid(column))
+        starts = (cut or compared)(data, offsets, self.special)
+        ends = np.append(starts[1:], len(data)).astype(np.int64) if len(starts) else starts
+        count, parts = self._looked_up(data, starts, ends, True)
         total = np.concatenate([[0], np.cumsum(count)])
-        counts = total[doc[1:]] - total[doc[:-1]]
-        if not ids:
-            return counts
         flat = np.zeros(int(total[-1]), self.kind)
         for got, n, values in parts:
             k = np.repeat(total[got] - (np.cumsum(n) - n), n) + np.arange(len(values))
             flat[k] = values
-        return counts, flat
+        return np.diff(total[np.searchsorted(starts, offsets)]), flat
+
+    def _reset(self) -> None:
+        """Level two with its first state only. A state's key is the state before it and a character; `emits` annotates the transition from it back to the first state, 0 where none is known."""
+        self.states, self.emits = np.zeros(1 << STATE_BITS, np.int64), np.zeros(1 << STATE_BITS, np.int32)
+        self.n_states = 0
+
+    def _moved(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The states behind states (-1: the first) by characters c."""
+        last = (1 << STATE_BITS) - 1
+        key = (state + 2) << 21 | c
+        slot = (key * 0x1E3779B97F4A7C15 >> 63 - STATE_BITS) & last
+        todo = np.flatnonzero(self.states[slot] != key)
+        while len(todo):  # by the place of its key, and the next ones while others stand there
+            free = todo[self.states[slot[todo]] == 0]
+            # of keys that claim one place the last gets it
+            self.states[slot[free]] = key[free]
+            todo = todo[self.states[slot[todo]] != key[todo]]
+            slot[todo] = (slot[todo] + 1) & last
+            todo = todo[self.states[slot[todo]] != key[todo]]
+        return slot
+
+    def _run(self, chars: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Token counts of pieces, the longest first, of about GROUP characters together."""
+        if self.states is None or self.n_states > (1 << STATE_BITS) // 2:
+            self._reset()
+        ends = np.empty(len(first), np.int64)
+        state = np.full(len(first), -1)
+        for k in range(int(size.max(initial=0))):
+            n = int(np.searchsorted(-size, -k, "left"))
+            state = self._moved(state[:n], chars[first[:n] + k].astype(np.int64))
+            ends[:n] = state
+        new, one = np.unique(ends[self.emits[ends] == 0], return_index=True)
+        if len(new):
+            lanes = np.flatnonzero(self.emits[ends] == 0)[one]
+            texts = ["".join(map(chr, chars[i : i + n].tolist())) for i, n in zip(first[lanes].tolist(), size[lanes].tolist())]
+            counts, _, order = self._encoded(texts)
+            self.emits[new[order]] = counts
+            self.n_states = int(np.count_nonzero(self.states))
+        return self.emits[ends]
+
+    def counts(self, column: pa.Array) -> np.ndarray:
+        """Per text the number of its tokens, by the two transducers alone but for very long pieces."""
+        data, offsets = buffers(_valid(column))
+        starts = pieces(data, offsets, self.special)
+        if not len(starts):
+            return np.zeros(len(column), np.int64)
+        ends = np.append(starts[1:], len(data)).astype(np.int64)
+        chars = _utf32(data)
+        if len(chars) == len(data):
+            first, last = starts, ends
+        else:
+            lead = np.cumsum((data & 0xC0) != 0x80)
+            first, last = lead[starts] - 1, np.append(lead[starts[1:]] - 1, len(chars))
+        size = last - first
+        total = np.zeros(len(starts), np.int64)
+        long = np.flatnonzero(size > LONGEST)
+        if len(long):
+            total[long], _ = self._looked_up(data, starts[long], ends[long], False)
+        order = np.flatnonzero(size <= LONGEST)
+        order = order[np.argsort(LONGEST - size[order].astype(np.uint8), kind="stable")]
+        group = np.cumsum(size[order]) // GROUP
+        cuts = np.flatnonzero(np.diff(group, prepend=-1))
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(order))):
+            own = order[lo:hi]
+            total[own] = self._run(chars, first[own], size[own])
+        run_ = np.concatenate([[0], np.cumsum(total)])
+        return np.diff(run_[np.searchsorted(starts, offsets)])
 
 
 def _valid(column: pa.Array) -> pa.Array:

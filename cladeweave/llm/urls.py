@@ -28,7 +28,6 @@ from .common import lower_ascii, slices
 from .words import buffers, mix, range_hashes
 
 BITS, NGRAMS, MOST, THRESHOLD, STEPS, RATE, DECAY = 18, (3, 4, 5), 4000, 0.5, 60, 4.0, 1e-5
-_AS_IS = np.arange(1, 257, dtype=np.uint64)
 
 #: verdict, host, path of each rule.
 RULES = (
@@ -77,7 +76,7 @@ def features(hosts: pa.Array, paths: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         for n in NGRAMS:
             at = np.arange(max(0, len(data) - n + 1))
             at = at[row[at] == row[at + n - 1]]
-            h = mix(range_hashes(data, at, at + n, _AS_IS) + np.uint64(salt))
+            h = mix(range_hashes(data, at, at + n) + np.uint64(salt))
             slots.append((h >> np.uint64(64 - BITS)).astype(np.int64))
             rows.append(row[at])
     return np.concatenate(slots), np.concatenate(rows)

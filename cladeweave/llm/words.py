@@ -1,23 +1,26 @@
-"""Words and word shingles of Arrow text columns as 64-bit hashes, by numpy.
+"""Words and word shingles of Arrow text columns as numbers, by numpy.
 
-A word is a run of bytes other than 0x20 and 0x09-0x0D with A-Z lower-cased. Its hash
-is a polynomial of its bytes modulo 2**64, taken from running sums over the whole
-column, then mixed; it does not depend on where the word stands.
+A word is a run of bytes other than 0x20 and 0x09-0x0D with A-Z lower-cased. Its key is
+two 64-bit numbers. Up to PACKED bytes the key holds the bytes themselves and their
+number, so equal keys are equal words; a longer word's key is its 128-bit xxh3 digest
+with a mark that no short word has. A word's hash is a 64-bit mix of its key. Neither
+depends on where the word stands.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-PIECE = 1 << 20
-_P, _PINV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-_FOLD = np.arange(256, dtype=np.uint64)
-_FOLD[65:91] += 32
-_FOLD += np.uint64(1)
+PIECE, PACKED = 1 << 20, 15
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_tables: dict[int, np.ndarray] = {}
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+_LONG = np.uint64(0xFF << 56)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,21 +30,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    have = _tables.get(base)
-    if have is None or len(have) < n:
-        have = np.empty(max(n, PIECE + 1), dtype=np.uint64)
-        have[0] = 1
-        have[1:] = np.uint64(base)
-        _tables[base] = have = np.cumprod(have, dtype=np.uint64)
-    return have[:n]
+def range_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of data[starts:ends], range by range: two arrays."""
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    eights = np.ndarray((len(data) + 9,), "<u8", buffer=padded, strides=(1,))
+    size = ends - starts
+    a = eights[starts] & _FIRST[np.minimum(size, 8)]
+    rest = np.clip(size - 8, 0, 7)
+    b = size.astype(np.uint64) << np.uint64(56)
+    more = np.flatnonzero(rest)
+    b[more] |= eights[starts[more] + 8] & _FIRST[rest[more]]
+    long = np.flatnonzero(size > PACKED)
+    if len(long):
+        raw = memoryview(data)
+        digests = b"".join([xxhash.xxh3_128_digest(raw[s:e]) for s, e in zip(starts[long].tolist(), ends[long].tolist())])
+        both = np.frombuffer(digests, dtype=">u8").astype(np.uint64)
+        a[long], b[long] = both[1::2], both[::2] | _LONG
+    return a, b
 
 
-def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = _FOLD) -> np.ndarray:
+def key_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a ^ mix(b + np.uint64(0x632BE59BD9B4E019)))
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of data[starts:ends], range by range."""
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(fold[data] * powers(_P, len(data)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(_PINV, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+    return key_hashes(*range_keys(data, starts, ends))
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,27 +108,25 @@ def word_bounds(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def word_hashes(column: pa.Array, stem: int = 0):
-    """Word hashes of all texts one after the other, and each text's offset among them.
-
-    stem: also the hashes of the words' first so many bytes, as a third array.
-    """
+def word_keys(column: pa.Array):
+    """Keys (two arrays) of the words of all texts one after the other, and each text's offset among them."""
     data, offsets = buffers(column)
-    hashes, starts, stems = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    none = np.zeros(0, np.uint64)
+    first, second, starts = [none], [none], [np.zeros(0, np.int64)]
     for lo, hi in _cuts(data, offsets):
         inside = offsets[(offsets >= lo) & (offsets < hi)] - lo
         s, e = word_bounds(data[lo:hi], inside)
-        hashes.append(range_hashes(data[lo:hi], s, e))
-        if stem:
-            stems.append(range_hashes(data[lo:hi], s, np.minimum(e, s + stem)))
+        a, b = range_keys(_LOWER[data[lo:hi]], s, e)
+        first.append(a)
+        second.append(b)
         starts.append(s + lo)
-    words, at = np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets, side="left")
-    return (words, at, np.concatenate(stems)) if stem else (words, at)
+    return np.concatenate(first), np.concatenate(second), np.searchsorted(np.concatenate(starts), offsets, side="left")
 
 
-def word_counts(column: pa.Array) -> np.ndarray:
-    """Words of each text."""
-    return np.diff(word_hashes(column)[1])
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts one after the other, and each text's offset among them."""
+    a, b, at = word_keys(column)
+    return key_hashes(a, b), at
 
 
 def gram_hashes(words: np.ndarray, width: int, salt: int = 0) -> np.ndarray:

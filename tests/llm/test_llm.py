@@ -19,6 +19,8 @@ from cladeweave.llm.words import shingle_sets, word_hashes
 
 DOCS = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT, hash STRING, tag INT, c INT, kept INT, _hot INT, size INT, score INT"
 BLANKS = " \t\n\x0b\x0c\r"
+# two words that any polynomial hash modulo a power of 2 takes for one
+THUE_MORSE = ["".join("ab"[(bin(i).count("1") + k) % 2] for i in range(2048)) for k in (0, 1)]
 
 
 def frame(spark, rows):
@@ -157,11 +159,12 @@ def library():
 
 def test_transducer_equals_library(library):
     rng = random.Random(5)
-    parts = ["a", "s", "t", "re", "ve", "'", "''", " ", "  ", "\n", "\t", "1", "²", "é", "ñ", "!", "<|endoftext|>", "<|", "ll", "'ll", "'re", "'ra", "'S", "字", "🙂", "\u0301", "'l", "'v", "\x1c", "\x85", "\u200b", "٣", "ǅ"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)] + ["", "x" * 5000, " " * 3000 + "y"]
+    parts = ["a", "s", "t", "re", "ve", "'", "''", " ", "  ", "\n", "\t", "1", "²", "é", "ñ", "!", "<|endoftext|>", "<|", "ll", "'ll", "'re", "'ra", "'S", "字", "🙂", "\u0301", "'l", "'v", "\x1c", "\x85", "\u200b", "٣", "ǅ", "\x00"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)] + ["", "x" * 5000, " " * 3000 + "y", *THUE_MORSE, "é" * 64, "é" * 65]
     want = library.encode_batch(texts, add_special_tokens=False)
+    assert transducer.tokenizer(vocabulary()).counts(pa.array(texts, pa.string())).tolist() == [len(w.ids) for w in want]
     for cut in (transducer.pieces, transducer.compared):
-        counts, ids = transducer.tokenizer(vocabulary()).emissions(pa.array(texts, pa.string()), True, cut)
+        counts, ids = transducer.tokenizer(vocabulary()).ids(pa.array(texts, pa.string()), cut)
         at = np.concatenate([[0], np.cumsum(counts)])
         for i, text in enumerate(texts):
             assert ids[at[i] : at[i + 1]].tolist() == want[i].ids, text
@@ -178,11 +181,23 @@ def test_range_coder_round_trip():
     for ids in ([], [0], [50256] * 3, rng.integers(0, 50257, 5000), np.zeros(4097, int), rng.zipf(1.3, 9000) % 50257):
         ids = np.asarray(ids, dtype=np.int64)
         for block in (64, 2048):
-            blocks = rangecoder.encode(ids, 50257, block)
-            assert (rangecoder.decode(blocks, len(ids), 50257, block) == ids).all()
+            prior, blocks = rangecoder.encode(ids, block)
+            assert (rangecoder.decode(prior, blocks, len(ids), block) == ids).all()
             for k in range(len(blocks)):  # each block on its own
                 own = ids[k * block : (k + 1) * block]
-                assert (rangecoder.decode([blocks[k]], len(own), 50257, block) == own).all()
+                assert (rangecoder.decode(prior, [blocks[k]], len(own), block) == own).all()
+
+
+def test_range_coder_beats_zlib():
+    rng = np.random.default_rng(3)
+    step = rng.integers(0, 3000, (3000, 4))
+    ids = [0]
+    for k in rng.integers(0, 4, 60_000).tolist():
+        ids.append(int(step[ids[-1], k]) if rng.random() < 0.9 else int(rng.zipf(1.4) % 3000))
+    prior, blocks = rangecoder.encode(np.array(ids))
+    raw = np.array(ids, "<u2").tobytes()
+    zlibbed = sum(len(zlib.compress(raw[i : i + 2 * rangecoder.BLOCK], 9)) for i in range(0, len(raw), 2 * rangecoder.BLOCK))
+    assert len(prior) + sum(map(len, blocks)) < 0.7 * zlibbed
 
 
 def test_token_files(spark, rows, library):
