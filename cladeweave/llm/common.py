@@ -23,14 +23,17 @@ BATCH_ROWS = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir,
-    and where that is unset (tests) below a temporary folder set for it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder that driver and executors share: below spark.checkpoint.dir.
+
+    Where that is unset a temporary folder is set for it, on a local master (tests) only:
+    elsewhere executors would write what nobody else can read.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="llm_shared_")
-            spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="llm_shared_")
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
@@ -41,6 +44,13 @@ def written(df: DataFrame, root: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def finished(df: DataFrame, root: str) -> DataFrame:
+    """The result df in a folder of its own; what led to it, below root, is deleted."""
+    result = written(df, shared_dir(df.sparkSession), "result")
+    release(df.sparkSession, root)
+    return result
+
+
 def release(spark: SparkSession, path: str) -> None:
     """Delete a folder written by `written` that nothing reads any more."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,26 +1,32 @@
 """Benchmark decontamination by greedy string tiling.
 
 Word windows of MIN_MATCH words that a document shares with a benchmark item are the
-seeds, found by running (Karp-Rabin) hashes. For each item with enough seeds the longest
-match of unmarked words is marked in both, again and again, until none of MIN_MATCH words
-is left: the tiles. A document is contaminated when its tiles cover `coverage` of an
-item's words. Tiles may stand anywhere, so a reordered passage is caught too.
-
-Words are runs of non-blanks with A-Z lower-cased, as 64-bit hashes. The benchmark goes
-to the executors in blocks of about BLOCK_WORDS words, one pass over the documents each,
-so what is broadcast has a fixed bound (a block holds one item at least).
-
-Defined results: a null or empty text, and one under MIN_MATCH words, has coverage 0 and
-no item. Items under MIN_MATCH words, null or empty items have no seeds and match
-nothing; an empty benchmark matches nothing. Of items covered alike the smallest item_id
-is named. Repeated rows are judged alike, each on its own. Extra columns are ignored. An
-empty table gives an empty result.
+seeds, joined by running (Karp-Rabin) hashes. A seed whose words before it differ too
+starts a match, which is extended word by word. For an item the longest match of
+unmarked words is marked in both, again and again, until none of MIN_MATCH words is left:
+the tiles. A document is contaminated when its tiles cover `coverage` of an item's words.
+Tiles may stand anywhere, so a reordered passage is caught too.
+
+Only seeds that start a match are paired, so a text that repeats itself against an item
+that does gives as many matches as diagonals, not as many as pairs of windows. Items are
+tiled in the order of what their seeds could cover at most, until none can do better.
+
+Words are runs of non-blanks with A-Z lower-cased. Hashes only find seeds: what a tile
+covers are words whose keys (see words) are the same. The benchmark goes to the executors
+in blocks of about BLOCK_WORDS words, one pass over the documents each, so what is
+broadcast has a fixed bound (a block holds one item at least).
+
+Defined results: every row gets the item covered best, contaminated or not, and null
+where no item covers anything; of items covered alike the smallest item_id. A null or
+empty text, and one under MIN_MATCH words, has coverage 0 and no item. Items under
+MIN_MATCH words, null or empty items have no seeds and match nothing; an empty benchmark
+matches nothing. Whole texts are read and tiled, however long. Repeated rows are judged
+alike, each on its own. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -28,107 +34,155 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, slices, small_batches
-from .words import gram_hashes, word_hashes
+from .words import gram_hashes, key_hashes, mix, word_keys
 
 MIN_MATCH, COVERAGE, BLOCK_WORDS = 5, 0.6, 4_000_000
 JUDGED = "doc_id BIGINT, tag BIGINT, item_id BIGINT, coverage DOUBLE"
 _BITS = 22
+#: What stands before the first word of an item, and of a document.
+_ITEM_HEAD, _DOC_HEAD = np.uint64(1), np.uint64(2)
 
 
-def tiles(seeds: list[tuple[int, int]], width: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling from seeds (i, j): equal windows of `width` words at i of one text and j of the other.
+def tiles(matches: list[tuple[int, int, int]], sizes: tuple[int, int], width: int) -> list[tuple[int, int, int]]:
+    """Greedy tiling from all maximal matches (length, i, j) of two texts of the given sizes.
 
     Tiles (i, j, length), the longest first; ties by the earliest i, then j. Nothing is marked twice.
     """
-    matches = []
-    run = None
-    for d, i in sorted((j - i, i) for i, j in set(seeds)):
-        if run and run[0] == d and run[1] + run[2] == i:
-            run[2] += 1
-        else:
-            run = [d, i, 1]
-            matches.append(run)
-    heap = [(-(n + width - 1), i, i + d) for d, i, n in matches]
+    heap = [(-n, i, j) for n, i, j in matches if n >= width]
     heapq.heapify(heap)
-    marked_i, marked_j, found = set(), set(), []
+    marked_i, marked_j, found = np.zeros(sizes[0], bool), np.zeros(sizes[1], bool), []
     while heap:
         n, i, j = heapq.heappop(heap)
-        free = [k for k in range(-n) if i + k not in marked_i and j + k not in marked_j]
-        if len(free) == -n:
+        taken = marked_i[i : i - n] | marked_j[j : j - n]
+        if not taken.any():
             found.append((i, j, -n))
-            marked_i.update(range(i, i - n))
-            marked_j.update(range(j, j - n))
+            marked_i[i : i - n] = marked_j[j : j - n] = True
+            if _longest_free(marked_i) < width or _longest_free(marked_j) < width:
+                break
             continue
-        start = None  # what is unmarked comes back as shorter matches
-        for k, after in zip(free, [*free[1:], None]):
-            start = k if start is None else start
-            if after != k + 1:
-                if k + 1 - start >= width:
-                    heapq.heappush(heap, (-(k + 1 - start), i + start, j + start))
-                start = None
+        edges = np.flatnonzero(np.diff(taken, prepend=True, append=True))
+        for start, end in zip(edges[::2].tolist(), edges[1::2].tolist()):  # what is unmarked comes back as shorter matches
+            if end - start >= width:
+                heapq.heappush(heap, (start - end, i + start, j + start))
     return found
 
 
+def _longest_free(marked: np.ndarray) -> int:
+    edges = np.flatnonzero(np.diff(marked, prepend=True, append=True))
+    return int((edges[1::2] - edges[::2]).max(initial=0))
+
+
+def _before(words: np.ndarray, at: np.ndarray, head: np.uint64) -> np.ndarray:
+    """The word hash before each word, head before a text's first."""
+    out = np.empty_like(words)
+    out[1:] = words[:-1]
+    out[at[:-1][at[:-1] < len(words)]] = head
+    return out
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All k of lo <= k < hi, range by range, and the range of each."""
+    n = np.maximum(hi - lo, 0)
+    which = np.repeat(np.arange(len(lo)), n)
+    return np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which], which
+
+
 class Items:
-    """One block of the benchmark, as its windows' hashes and where they stand."""
+    """One block of the benchmark: its words, and its windows ordered by their hashes and the words before them."""
 
     def __init__(self, rows: list[tuple[int, str]], width: int):
         rows = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
         self.width, self.ids = width, [r[0] for r in rows]
-        words, at = word_hashes(pa.array([r[1] for r in rows], pa.string()))
-        self.words, self.at = words, at
+        self.a, self.b, self.at = word_keys(pa.array([r[1] for r in rows], pa.string()))
+        words, self.sizes = key_hashes(self.a, self.b), np.diff(self.at)
         grams = gram_hashes(words, width)
-        item = np.repeat(np.arange(len(rows)), np.diff(at))[: len(grams)]
+        item = np.repeat(np.arange(len(rows)), self.sizes)[: len(grams)]
         here = np.arange(len(grams))
-        inside = here + width <= at[1:][item] if len(grams) else np.zeros(0, bool)
-        order = np.argsort(grams[inside], kind="stable")
-        self.grams, self.item, self.pos = grams[inside][order], item[inside][order], (here - at[:-1][item])[inside][order] if len(grams) else here
+        inside = here[here + width <= self.at[1:][item]] if len(grams) else here
+        before = _before(words, self.at, _ITEM_HEAD)[: len(grams)]
+        order = inside[np.lexsort((before[inside], grams[inside]))]
+        self.grams, self.item, self.pos = grams[order], item[order], order
+        # windows with the same word before them stand together
+        longer = mix(self.grams ^ mix(before[order]))
+        self.first = np.flatnonzero(np.append(True, longer[1:] != longer[:-1])) if len(order) else here
+        self.last = np.append(self.first[1:], len(order))
+        by = np.argsort(longer[self.first])
+        self.longer, self.first, self.last = longer[self.first][by], self.first[by], self.last[by]
         self.maybe = np.zeros(1 << _BITS, dtype=bool)
         self.maybe[self.grams >> np.uint64(64 - _BITS)] = True
 
-    def best(self, words: np.ndarray, hits: np.ndarray, grams: np.ndarray, coverage: float) -> tuple[int | None, float]:
-        """The item covered best by a document, from its windows `hits` (positions) with hashes `grams`."""
+    def best(self, a: np.ndarray, b: np.ndarray, hits: np.ndarray, grams: np.ndarray, before: np.ndarray) -> tuple[int | None, float]:
+        """The item covered best by a document of word keys a, b, from its windows `hits` (positions) with hashes `grams` and word hashes `before` them."""
         lo, hi = np.searchsorted(self.grams, grams, "left"), np.searchsorted(self.grams, grams, "right")
-        which = np.repeat(np.arange(len(hits)), hi - lo)
-        if not len(which):
-            return None, 0.0
-        k = np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[which]
-        item, i, j = self.item[k], self.pos[k], hits[which]
-        # so many words at most can be covered
-        pairs = np.unique(item.astype(np.int64) << 32 | i)
-        most = np.bincount(pairs >> 32, minlength=len(self.ids)) * self.width
-        sizes = np.diff(self.at)
-        able = (most >= coverage * sizes)[item] | (most == most.max())[item]
-        by = defaultdict(list)
-        for a, b, c in zip(item[able].tolist(), i[able].tolist(), j[able].tolist()):
-            by[a].append((b, c))
+        _, one = np.unique(lo[hi > lo], return_index=True)
+        k, _ = _ranges(lo[hi > lo][one], hi[hi > lo][one])
+        most = self._most(np.unique(self.pos[k]))
+        share = most / np.maximum(self.sizes, 1)
+        starts = self._starts(lo, hi, grams, before)
         found = (None, 0.0)
-        for a in sorted(by):
-            own = self.words[self.at[a] : self.at[a + 1]]
-            covered = sum(n for x, y, n in tiles(by[a], self.width) if np.array_equal(own[x : x + n], words[y : y + n]))
-            if covered / sizes[a] > found[1]:
-                found = (self.ids[a], covered / sizes[a])
+        for x in np.lexsort((np.arange(len(share)), -share)).tolist():
+            if share[x] == 0 or share[x] < found[1]:
+                break
+            at = self.at[x]
+            own = self.item[starts[0]] == x
+            matches = self._extended(a, b, self.pos[starts[0][own]], hits[starts[1][own]], int(self.at[x + 1]))
+            covered = sum(n for _, _, n in tiles([(n, i - at, j) for n, i, j in matches], (int(self.sizes[x]), len(a)), self.width)) / self.sizes[x]
+            if covered > found[1] or covered == found[1] > 0 and self.ids[x] < found[0]:
+                found = (self.ids[x], float(covered))
         return found
 
-
-def judged(piece: pa.RecordBatch, block: Items, coverage: float) -> tuple[list, list]:
+    def _most(self, pos: np.ndarray) -> np.ndarray:
+        """How many words of each item windows at pos (sorted) cover together."""
+        item = np.searchsorted(self.at, pos, "right") - 1
+        gap = np.full(len(pos), self.width)
+        same = item[1:] == item[:-1]
+        gap[:-1][same] = np.minimum(self.width, np.diff(pos)[same])
+        return np.bincount(item, gap, len(self.ids))
+
+    def _starts(self, lo: np.ndarray, hi: np.ndarray, grams: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (window here, which hit) of equal windows with different words before them."""
+        longer = mix(grams ^ mix(before))
+        at = np.minimum(np.searchsorted(self.longer, longer), len(self.longer) - 1)
+        same = self.longer[at] == longer
+        skip_lo, skip_hi = np.where(same, self.first[at], hi), np.where(same, self.last[at], hi)
+        one, two = _ranges(lo, skip_lo), _ranges(skip_hi, hi)
+        return np.concatenate([one[0], two[0]]), np.concatenate([one[1], two[1]])
+
+    def _extended(self, a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, end: int) -> list[tuple[int, int, int]]:
+        """Matches (length, i, j) from starts i here and j in the document, up to where words differ or a text ends."""
+        n = np.zeros(len(i), np.int64)
+        todo = np.arange(len(i))
+        while len(todo):
+            x, y = i[todo] + n[todo], j[todo] + n[todo]
+            ok = (x < end) & (y < len(a))
+            todo, x, y = todo[ok], x[ok], y[ok]
+            same = (self.a[x] == a[y]) & (self.b[x] == b[y])
+            todo = todo[same]
+            n[todo] += 1
+        return list(zip(n.tolist(), i.tolist(), j.tolist()))
+
+
+def judged(piece: pa.RecordBatch, block: Items) -> tuple[list, list]:
     """For each text of a batch the item covered best and its coverage."""
     width = block.width
-    words, at = word_hashes(piece.column("text"))
+    ids, covers = [None] * piece.num_rows, [0.0] * piece.num_rows
+    a, b, at = word_keys(piece.column("text"))
+    words = key_hashes(a, b)
     grams = gram_hashes(words, width)
     hits = np.flatnonzero(block.maybe[grams >> np.uint64(64 - _BITS)])
-    if len(block.grams) and len(hits):
-        near = np.minimum(np.searchsorted(block.grams, grams[hits]), len(block.grams) - 1)
-        hits = hits[block.grams[near] == grams[hits]]
+    if not len(block.grams) or not len(hits):
+        return ids, covers
+    near = np.minimum(np.searchsorted(block.grams, grams[hits]), len(block.grams) - 1)
+    hits = hits[block.grams[near] == grams[hits]]
     doc = np.searchsorted(at, hits, "right") - 1
     inside = hits + width <= at[doc + 1]
     hits, doc = hits[inside], doc[inside]
-    ids, covers = [None] * piece.num_rows, [0.0] * piece.num_rows
+    before = _before(words, at, _DOC_HEAD)
     cuts = np.flatnonzero(np.diff(doc, prepend=-1)).tolist()
     for lo, hi in zip(cuts, [*cuts[1:], len(doc)]):
         d = int(doc[lo])
         own = hits[lo:hi]
-        ids[d], covers[d] = block.best(words[at[d] : at[d + 1]], own - at[d], grams[own], coverage)
+        ids[d], covers[d] = block.best(a[at[d] : at[d + 1]], b[at[d] : at[d + 1]], own - at[d], grams[own], before[own])
     return ids, covers
 
 
@@ -144,10 +198,10 @@ def blocks(benchmark: DataFrame, width: int, block_words: int):
         yield spark.sparkContext.broadcast(Items([(r.item_id, r.text) for r in part.collect()], width))
 
 
-def _judge_block(docs: DataFrame, shared, coverage: float) -> DataFrame:
+def _judge_block(docs: DataFrame, shared) -> DataFrame:
     def run(batches):
         for piece in slices(batches):
-            ids, covers = judged(piece, shared.value, coverage)
+            ids, covers = judged(piece, shared.value)
             columns = [piece.column("doc_id"), piece.column("tag"), pa.array(ids, pa.int64()), pa.array(covers, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "item_id", "coverage"])
 
@@ -157,7 +211,7 @@ def _judge_block(docs: DataFrame, shared, coverage: float) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, width: int = MIN_MATCH, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id (the item covered best), coverage, contaminated for every row."""
-    parts = [_judge_block(docs, shared, coverage) for shared in blocks(benchmark, width, block_words)]
+    parts = [_judge_block(docs, shared) for shared in blocks(benchmark, width, block_words)]
     rows = parts[0]
     if len(parts) > 1:
         for part in parts[1:]:
@@ -174,7 +228,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, wid
     def keep(shared):
         def run(batches):
             for piece in slices(batches):
-                _, covers = judged(piece, shared.value, coverage)
+                _, covers = judged(piece, shared.value)
                 yield piece.filter(pa.array(np.asarray(covers) < coverage))
 
         return run

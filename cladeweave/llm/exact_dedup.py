@@ -8,7 +8,7 @@ space; a null text counts as empty, and all empty texts are equal. Within a batc
 row with the smallest doc_id stays; a digest that an earlier batch brought keeps that
 batch's row. A null doc_id is larger than any other; where all ids of a group are null
 keep_id is null and each of its rows counts as kept. Rows that repeat a doc_id and text
-are all kept or all dropped together. Extra columns are ignored by `digests`. An empty
+are all kept or all dropped together. Whole texts are digested, however long. Extra columns are ignored by `digests`. An empty
 table gives an empty result.
 """
 
@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK_RUN, join_split, shared_dir, text_or_empty, written
+from .common import BLANK_RUN, finished, join_split, shared_dir, text_or_empty, written
 
 INDEX_SCHEMA = "digest BINARY, keep_id BIGINT, group_size BIGINT, batch STRING"
 
@@ -46,6 +46,10 @@ class DigestIndex:
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
 
+    def close(self) -> None:
+        """Take the table's name out of the catalog; the files stay."""
+        self.spark.sql(f"DROP TABLE {self.table}")
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
@@ -72,5 +76,6 @@ def exact_dedup(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     digested = written(digests(docs), root, "digests")
     index = DigestIndex(spark, f"{root}/index", buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
     index.add(digested, "first")
-    decided = index.decide(digested, digested.count())
+    decided = finished(index.decide(digested, digested.count()), root)
+    index.close()
     return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))

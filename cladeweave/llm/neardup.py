@@ -1,10 +1,11 @@
 """MinHash near-dedup by bottom-k sketches from one hash function.
 
 A document is the set of the hashes of its five-word shingles; its sketch is the k
-smallest. Documents with equal sets form a class, which one document represents. The
-inverted lists of retained values propose pairs of classes, an estimate on the sketch of
-the union filters them, and the exact Jaccard similarity of full sets, recomputed from
-whole texts, decides. Components of the links are the groups.
+smallest. Documents with equal sets (by a 128-bit digest) form a class, which one
+document represents. The inverted lists of retained values propose pairs of classes, an
+estimate on the sketch of the union filters them, and the exact Jaccard similarity of
+full sets decides: it is counted on whole texts, word against word, where two hashes are
+the same. Components of the links are the groups.
 
 Which pairs are proposed. Only connectivity is asked for, so no list emits all its pairs.
 First every list links its members to one leader, the member whose values occur most
@@ -19,6 +20,12 @@ together than the similarity takes. Those lists link to leaders again, and at la
 pair across components that is left is checked, so no link between components is missed.
 Two sets of similarity 0.75 share none of 64 retained values with a probability of 1e-38.
 
+The last step pairs by size as well: a place in a list says how large a partner may be at
+most, the similarity how small, and lists are met by (value, class of sizes). A place that
+no size fits, as a common line that is most of a short text leaves, is dropped; so texts
+that share a passage and aren't alike meet nobody, however many they are. Long lists are
+dealt in blocks on both sides.
+
 Hot values. A value of a passage that many documents share stands in a long list of
 documents that aren't alike. Sketches of similarity 0.75 share at least LEAST of 64
 values (fewer have a probability under 1e-7; a smaller set shares three in four). So each
@@ -27,33 +34,38 @@ sketches that share LEAST values share one of their prefixes. Frequent values fa
 with no cap on any list, unless a document hardly has others.
 
 Defined results: null or empty text and text without words: n_shingles 0, linked with
-nothing. Under five words: one shingle, the whole sequence. Rows that repeat a doc_id
-count as one document and are linked. A null doc_id is linked with nothing, has a null
+nothing. Under five words: one shingle, the whole sequence. Whole texts count, however
+long. Rows that repeat a doc_id count as one document and are linked. A null doc_id is linked with nothing, has a null
 component_id and is kept. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_split, shared_dir, slices, small_batches, written
-from .words import mix, shingle_sets
+from .common import finished, join_split, shared_dir, slices, small_batches, written
+from .words import gram_hashes, key_hashes, shingle_sets, word_keys
 
 WIDTH, SIMILARITY, K = 5, (75, 100), 64
 LEAST = 28
 #: Standard errors by which a sketch's estimate may stay below the threshold.
 SLACK = 6
+#: Members of a list that meet in one block.
+MEMBERS = 1024
 
 SETS = "doc_id BIGINT, n_shingles BIGINT, fp BINARY, sketch ARRAY<BIGINT>"
 _TOP = np.uint64(1 << 63)
 
 
 def fingerprint(hashes: np.ndarray) -> bytes:
-    """128 bits of a set of hashes."""
-    return np.array([hashes.sum(dtype=np.uint64), mix(hashes ^ _TOP).sum(dtype=np.uint64)], dtype=np.uint64).tobytes()
+    """128 bits of a set of hashes in order."""
+    return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
 def sketched(docs: DataFrame, k: int, width: int) -> DataFrame:
@@ -76,11 +88,12 @@ def sketched(docs: DataFrame, k: int, width: int) -> DataFrame:
     return rows.mapInArrow(run, SETS)
 
 
-def retained(classes: DataFrame) -> DataFrame:
+def retained(classes: DataFrame, root: str) -> DataFrame:
     """The inverted lists of the sketches' prefixes: v, doc, n, pop (how often the document's values occur). Values of one class only count for the prefix and are left out."""
     posts = classes.select(F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
-    sizes = posts.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
-    shared = posts.join(sizes, "v")
+    sizes = written(posts.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1), root, "values")
+    rows = classes.agg(F.sum(F.size("sketch"))).first()[0] or 0
+    shared = join_split(posts, sizes, "v", "c", rows)
     mine = Window.partitionBy("doc", "n", "k")
     rank = F.row_number().over(mine.orderBy("c", "v")) + F.col("k") - F.count(F.lit(1)).over(mine)
     least = F.least(F.lit(LEAST), F.ceil(F.col("k") * SIMILARITY[0] / SIMILARITY[1]))
@@ -116,8 +129,21 @@ def prefixes(texts: DataFrame, torn: DataFrame, width: int) -> DataFrame:
     mine = Window.partitionBy("doc", "n")
     rank = F.row_number().over(mine.orderBy("c", "v")) + F.col("n") - F.count(F.lit(1)).over(mine)
     ranked = posts.join(sizes, "v").withColumn("rank", rank).withColumn("pop", F.sum("c").over(mine)).withColumn("m", F.count(F.lit(1)).over(mine))
-    large = F.col("n") - F.ceil(F.col("n") * SIMILARITY[0] / SIMILARITY[1]) + 1
-    return ranked.where(F.col("rank") <= large).select("v", "doc", "n", "pop", "m", F.col("rank").alias("at"))
+    least, most = partner_sizes("n", "m", "rank")
+    return ranked.where(least <= most).select("v", "doc", "n", "pop", "m", F.col("rank").alias("at"))
+
+
+def partner_sizes(n: str, m: str, at: str) -> tuple[Column, Column]:
+    """The smallest and largest set that one of n values, m of them shared, can be alike with when the first value in common is its at-th."""
+    low, high = SIMILARITY
+    rest = F.least(F.col(m), F.col(n) - F.col(at) + 1)
+    most = F.least(F.floor(rest * (low + high) / low) - F.col(n), F.floor(F.col(n) * high / low))
+    return F.ceil(F.col(n) * low / high), most
+
+
+def size_class(n: str) -> Column:
+    """Eight classes to each doubling, in order of size; whole numbers only."""
+    return F.expr(f"cast(8 * length(bin({n})) + shiftright({n} * 8, length(bin({n})) - 1) as int)")
 
 
 def _fits(n1: str, n2: str, m1: str, m2: str):
@@ -147,14 +173,27 @@ def _to_leaders(lists: DataFrame, second: bool = False) -> DataFrame:
     return met.select(F.least("doc", "x.doc").alias("a"), F.greatest("doc", "x.doc").alias("b")).distinct()
 
 
-def _across(lists: DataFrame) -> DataFrame:
-    """Pairs a < b of a list in different components. The first value that two sets share leaves both long enough a rest for the overlap it takes."""
-    other = lists.select("v", *[F.col(c).alias(f"{c}2") for c in ("doc", "n", "m", "at", "comp")])
-    overlap = (F.col("n") + F.col("n2")) * SIMILARITY[0]
-    rest = lambda n, at: (F.col(n) - F.col(at) + 1) * (SIMILARITY[0] + SIMILARITY[1])
-    met = lists.join(other, "v").where((F.col("doc") < F.col("doc2")) & (F.col("comp") != F.col("comp2")) & _fits("n", "n2", "m", "m2"))
-    met = met.where((overlap <= rest("n", "at")) & (overlap <= rest("n2", "at2")))
-    return met.select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct()
+def _blocks(rows: DataFrame, other: DataFrame, mine: str, theirs: str) -> DataFrame:
+    """rows with their block among `mine` blocks of their list, once for each of the other side's `theirs` blocks."""
+    many = lambda df, name: df.groupBy("v", "class").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias(name)).where(F.col(name) > 1)
+    held = rows.join(many(rows, "_mine"), ["v", "class"], "left").join(many(other, "_theirs"), ["v", "class"], "left")
+    own = F.pmod(F.xxhash64("doc"), F.coalesce("_mine", F.lit(1))).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("_theirs", F.lit(1)) - 1))
+    return held.withColumn(mine, own).withColumn(theirs, each).drop("_mine", "_theirs")
+
+
+def _across(lists: DataFrame, root: str) -> DataFrame:
+    """Pairs a < b of a list in different components whose sizes and places allow the similarity: the first value that two sets share leaves both long enough a rest for the overlap it takes."""
+    least, most = partner_sizes("n", "m", "at")
+    places = lists.withColumn("least", least).withColumn("most", most).where("least <= most").select("v", "doc", "n", "least", "most", "comp")
+    small = places.where("most >= n").withColumn("class", F.explode(F.sequence(size_class("n"), size_class("most"))))
+    large = places.where("least <= n").withColumn("class", size_class("n"))
+    small, large = written(small, root, "small"), written(large, root, "large")
+    ones = _blocks(small, large, "i", "j")
+    others = _blocks(large, small, "j", "i").select("v", "class", "i", "j", *[F.col(c).alias(f"{c}2") for c in ("doc", "n", "least", "most", "comp")])
+    fit = "comp <> comp2 AND (n < n2 OR n = n2 AND doc < doc2) AND n2 <= most AND n >= least2 AND n <= most2"
+    met = ones.join(others, ["v", "class", "i", "j"]).where(fit)
+    return met.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -168,6 +207,44 @@ def _alike(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return both.where(F.col("common") >= m * t - SLACK * F.sqrt(m * t * (1 - t))).select("a", "b").distinct()
 
 
+class Words:
+    """A text's words, by their keys, and the hashes of its shingles."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, width: int):
+        self.a, self.b = a, b
+        n = min(width, len(a))
+        self.grams = gram_hashes(key_hashes(a, b), n) if n else np.zeros(0, np.uint64)
+
+    @classmethod
+    def of(cls, column: pa.Array, width: int):
+        a, b, at = word_keys(column)
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
+            yield cls(a[lo:hi], b[lo:hi], width)
+
+
+def set_sizes(x: Words, y: Words, width: int) -> tuple[int, int, int]:
+    """Distinct shingles of x, of y and of both together. Equal hashes count as one where the words are the same, word by word."""
+    if min(len(x.a), len(y.a)) < width:  # a whole sequence equals nothing but another one
+        n, m = (len(np.unique(t.grams)) for t in (x, y))
+        return n, m, n + m - (len(x.a) == len(y.a) > 0 and bool((x.a == y.a).all() and (x.b == y.b).all()))
+    grams = np.concatenate([x.grams, y.grams])
+    start = np.concatenate([np.arange(len(x.grams)), len(x.a) + np.arange(len(y.grams))])
+    order = np.argsort(grams, kind="stable")
+    alike = grams[order[1:]] == grams[order[:-1]]
+    one, two = start[order[1:][alike]], start[order[:-1][alike]]
+    a, b = np.concatenate([x.a, y.a]), np.concatenate([x.b, y.b])
+    if not all((a[one + d] == a[two + d]).all() and (b[one + d] == b[two + d]).all() for d in range(width)):
+        plain = [{tuple(zip(t.a[k : k + width].tolist(), t.b[k : k + width].tolist())) for k in range(len(t.grams))} for t in (x, y)]
+        return len(plain[0]), len(plain[1]), len(plain[0] | plain[1])
+    mine = order < len(x.grams)
+    # equal shingles stand together, x's before y's
+    new = np.append(True, ~alike)
+    both = int((alike & mine[:-1] & ~mine[1:]).sum())
+    total = int(new.sum())
+    first_y = int((~mine & (new | np.append(False, mine[:-1]))).sum())
+    return total - first_y + both, first_y, total
+
+
 VERIFIED = "a BIGINT, b BIGINT"
 
 
@@ -183,13 +260,15 @@ def verified(pairs: DataFrame, texts: DataFrame, root: str, name: str, width: in
             a, b = piece.column("a").to_pylist(), piece.column("b").to_pylist()
             fpa, fpb = piece.column("fpa").to_pylist(), piece.column("fpb").to_pylist()
             good = []
-            for i, s in enumerate(shingle_sets(piece.column("textb"), width)):
+            for i, y in enumerate(Words.of(piece.column("textb"), width)):
                 if (a[i], fpa[i]) != last_key:
-                    last_key, last = (a[i], fpa[i]), next(iter(shingle_sets(piece.column("texta").slice(i, 1), width)))
-                if fingerprint(s) == fpb[i] and fingerprint(last) == fpa[i]:
-                    common = len(s) + len(last) - len(np.union1d(s, last))
-                    if common * SIMILARITY[1] >= (len(s) + len(last) - common) * SIMILARITY[0]:
-                        good.append(i)
+                    last_key, x = (a[i], fpa[i]), next(Words.of(piece.column("texta").slice(i, 1), width))
+                    last = x if fingerprint(np.unique(x.grams)) == fpa[i] else None
+                if last is None or fingerprint(np.unique(y.grams)) != fpb[i]:  # a doc_id's other text
+                    continue
+                n, m, union = set_sizes(last, y, width)
+                if (n + m - union) * SIMILARITY[1] >= union * SIMILARITY[0]:
+                    good.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], ["a", "b"])
 
     return written(both.mapInArrow(run, VERIFIED).distinct(), root, f"{name}_links")
@@ -198,11 +277,11 @@ def verified(pairs: DataFrame, texts: DataFrame, root: str, name: str, width: in
 def components(edges: DataFrame, root: str, name: str) -> DataFrame:
     """doc, comp for each node of edges (a, b): comp is the smallest node reachable.
 
-    Alternating large-star and small-star steps; each ends in a written table.
+    Alternating large-star and small-star steps until nothing moves; each ends in a written table.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), root, f"{name}_0")
     state = None
-    for step in range(1, 100):
+    for step in itertools.count(1):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -219,7 +298,7 @@ def components(edges: DataFrame, root: str, name: str) -> DataFrame:
 
 def links(classes: DataFrame, docs: DataFrame, root: str, k: int, width: int) -> DataFrame:
     """doc, comp of the classes that are linked with others."""
-    lists = written(retained(classes), root, "lists")
+    lists = written(retained(classes, root), root, "lists")
     texts = gathered(docs, classes, lists, root)
     check = lambda pairs, name: verified(_alike(pairs, texts, k), texts, root, name, width)
     first = written(_to_leaders(lists.withColumn("comp", F.col("doc"))), root, "pairs_0")
@@ -231,7 +310,7 @@ def links(classes: DataFrame, docs: DataFrame, root: str, k: int, width: int) ->
     found = found.unionByName(check(second, "leaders_again"))
     labels = components(found, root, "comp_1")
     open_lists = written(_labelled(open_lists.drop("comp"), labels), root, "open_2")
-    third = _across(open_lists).join(first.unionByName(second), ["a", "b"], "left_anti")
+    third = _across(open_lists, root).join(first.unionByName(second), ["a", "b"], "left_anti")
     found = found.unionByName(check(written(third, root, "pairs_2"), "across"))
     return components(found, root, "comp_2")
 
@@ -257,4 +336,4 @@ def near_dedup(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
     linked = join_split(some.select("doc_id", "n_shingles", "fp"), of_class, "fp", "copies", sets.count())
     alone = sets.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     rows = linked.select("doc_id", "n_shingles", "component_id").unionByName(alone)
-    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return finished(rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), root)

@@ -1,14 +1,15 @@
 """Toxicity by FTRL-proximal logistic regression.
 
-Features of a text are the hashes of its words, word stems (the first STEM bytes), word
-pairs and pairs that skip one word, each present or not, in 2**BITS slots. Training goes
-once through a bounded sample of labelled rows in a fixed order, `epochs` times, with a
-learning rate for each coordinate and L1 sparsity; what is left is a short list of slots
-and weights that every executor gets.
+Features of a text are the hashes of its words, word pairs and pairs that skip one word,
+each present or not, in 2**BITS slots. Training goes through a bounded sample of labelled
+documents in a fixed order, `epochs` times, with a learning rate for each coordinate and
+L1 sparsity; what is left is a short list of slots and weights that every executor gets.
 
 Only rows whose crc32(doc_id as text) modulo FOLDS is not HELD_OUT teach; doc_id, lang,
-source and labels are never features. The sample is bounded by `sample` rows, those with
-the smallest hashes of (seed, doc_id): a parameter of the fit, nothing else is sampled.
+source and labels are never features. The sample is bounded by `sample` documents, those
+with the smallest hashes of (seed, doc_id): a parameter of the fit, nothing else is
+sampled. Of rows that repeat a doc_id the one with the smallest SHA-256 of its text
+teaches, so there is one row a labelled doc_id, found before anything gathers.
 
 Defined results: null and empty texts have no features and get the score of the bias.
 Labels that are null teach nothing; a doc_id labelled twice counts as toxic if one label
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, small_batches
-from .words import gram_hashes, mix, word_hashes
+from .words import gram_hashes, key_hashes, mix, word_keys
 
 BITS, STEM, FOLDS, HELD_OUT, SAMPLE, THRESHOLD = 20, 4, 4, 2, 12_000, 0.3
 ALPHA, BETA, L1, L2, EPOCHS, SEED = 0.3, 1.0, 8.0, 0.1, 4, 17
@@ -36,16 +37,17 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of all features of all texts, and the text of each."""
-    words, at, stems = word_hashes(column, STEM)
+def features(column: pa.Array, stem: int = STEM) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of all features of all texts, and the text of each; stem 0: word n-grams and skip-grams alone."""
+    a, b, at, *stems = word_keys(column, stem)
+    words = key_hashes(a, b)
     doc = np.repeat(np.arange(len(column)), np.diff(at))
     n = len(words)
     pairs = gram_hashes(words, 2)
     skips = mix(words[: max(0, n - 2)] * np.uint64(0xD6E8FEB86659FD93) + words[2:] + np.uint64(3))
     same2, same3 = doc[: len(pairs)] == doc[1:], doc[: len(skips)] == doc[2:]
-    hashes = np.concatenate([mix(words), mix(stems + np.uint64(1)), pairs[same2], skips[same3]])
-    docs = np.concatenate([doc, doc, doc[: len(pairs)][same2], doc[: len(skips)][same3]])
+    hashes = np.concatenate([mix(words), pairs[same2], skips[same3], *(mix(x + np.uint64(1)) for x in stems)])
+    docs = np.concatenate([doc, doc[: len(pairs)][same2], doc[: len(skips)][same3], *(doc for _ in stems)])
     slots = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
     return np.maximum(slots, 1), docs
 
@@ -77,13 +79,14 @@ class Ftrl:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> list[tuple[int, float]]:
-    """Slots and weights, learned in one task from at most `sample` labelled rows."""
+    """Slots and weights, learned in one task from at most `sample` labelled documents."""
     small_batches(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out() & F.col("doc_id").isNotNull())
-    chosen = known.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", F.xxhash64("doc_id", F.lit(SEED)).alias("h")).orderBy("h", "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # at most `sample` rows of three numbers
-    rows = rows.join(F.broadcast(chosen), "doc_id").repartition(1).sortWithinPartitions("h", "doc_id", F.length("text"), F.md5("text"))
+    chosen = known.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", F.xxhash64("doc_id", F.lit(SEED)).alias("h")).orderBy("h", "doc_id").limit(sample)
+    # at most `sample` rows of three numbers; map sides send one row a doc_id at most
+    rows = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "h").agg(F.min(F.struct(F.sha2("text", 256), "text")).alias("x"))
+    rows = rows.select("doc_id", "toxic", "h", "x.text").repartition(1).sortWithinPartitions("h", "doc_id")
 
     def run(batches):
         model, seen = Ftrl(), []
@@ -95,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int =
                 own = np.unique(slots[order[cuts[i] : cuts[i + 1]]]).astype(np.int32)
                 seen.append((np.concatenate([[BIAS], own]).astype(np.int32), float(y > 0)))
         for _ in range(epochs):
-            for slots, y in seen[: sample]:
+            for slots, y in seen:
                 model.learn(slots, y)
         at, w = model.sparse() if seen else (np.zeros(0, np.int64), np.zeros(0))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], ["slot", "weight"])

@@ -108,19 +108,26 @@ def word_bounds(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def word_keys(column: pa.Array):
-    """Keys (two arrays) of the words of all texts one after the other, and each text's offset among them."""
+def word_keys(column: pa.Array, stem: int = 0):
+    """Keys (two arrays) of the words of all texts one after the other, and each text's offset among them.
+
+    stem: also hashes of the words' first so many bytes, as a fourth array.
+    """
     data, offsets = buffers(column)
     none = np.zeros(0, np.uint64)
-    first, second, starts = [none], [none], [np.zeros(0, np.int64)]
+    first, second, stems, starts = [none], [none], [none], [np.zeros(0, np.int64)]
     for lo, hi in _cuts(data, offsets):
         inside = offsets[(offsets >= lo) & (offsets < hi)] - lo
         s, e = word_bounds(data[lo:hi], inside)
-        a, b = range_keys(_LOWER[data[lo:hi]], s, e)
+        lower = _LOWER[data[lo:hi]]
+        a, b = range_keys(lower, s, e)
         first.append(a)
         second.append(b)
+        if stem:
+            stems.append(range_hashes(lower, s, np.minimum(e, s + stem)))
         starts.append(s + lo)
-    return np.concatenate(first), np.concatenate(second), np.searchsorted(np.concatenate(starts), offsets, side="left")
+    found = np.concatenate(first), np.concatenate(second), np.searchsorted(np.concatenate(starts), offsets, side="left")
+    return (*found, np.concatenate(stems)) if stem else found
 
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
