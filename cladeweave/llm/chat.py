@@ -18,8 +18,8 @@ length in code points of the formatted text, from 0) cover the assistant's texts
 
 Defined results: null roles and texts are empty, a null kind is a delta; other kinds are
 ignored. Events of equal seq go by turn, kind, role, text. Null conv_ids are one
-conversation. Extra columns are ignored. An empty log gives an empty result. A
-conversation is one row in the end, as its format demands; conversations are as long as
+conversation. Texts are kept whole, however long. Extra columns are ignored. An empty log
+gives an empty result. A conversation is one row in the end, as its format demands; conversations are as long as
 people make them, and hot contents or very many short ones spread over all tasks.
 """
 

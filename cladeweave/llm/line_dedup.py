@@ -7,14 +7,16 @@ only.
 
 A line's key is the line without white space at both ends, A-Z lower-cased. Keys of at
 least `min_chars` code points found in at least `min_docs` documents lose all their
-lines except in the document with the largest doc_id. A null or empty text is one empty
-line. Rows that repeat a doc_id are one document here, and each of them is returned; a
+lines except in the document with the largest doc_id. Whole texts are split, however
+long. A null or empty text is one empty line. Rows that repeat a doc_id are one document here, and each of them is returned; a
 null doc_id is a document smaller than any other. Extra columns are ignored. An empty
 table gives an empty result.
 
-A hot key's rows spread over `salts` sorted runs. A run decides all rows but those of its
-first `min_docs` documents: behind so many larger documents a row is a repeat for sure.
-Only these first ones meet in the second pass, at most salts * min_docs documents a key.
+A key's rows spread over `salts` sorted runs, and those of a key that fills more than
+`run_rows` rows of each over as many as its count asks for. A run decides all rows but
+those of its first `min_docs` documents: behind so many larger documents a row is a
+repeat for sure. Only these first ones meet in the second pass, at most min_docs
+documents for each of a key's runs.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, lower_ascii, shared_dir, text_or_empty, written
+from .common import BLANKS, finished, lower_ascii, shared_dir, text_or_empty, written
 
 LINE_END = "\n"
+#: Rows of a key in a run from which on it gets more runs.
+RUN_ROWS = 1 << 20
 
 
 def split_lines(text: Column) -> Column:
@@ -54,10 +58,15 @@ def _ranked(sorted_rows: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("rank", F.sum("first").over(run)).drop("first")
 
 
-def dropped_lines(lines: DataFrame, min_docs: int = 3, salts: int = 16) -> DataFrame:
+def dropped_lines(lines: DataFrame, min_docs: int = 3, salts: int = 16, run_rows: int = RUN_ROWS) -> DataFrame:
     """Of line_rows() those to drop: doc_id, tag, n_lines, pos."""
     kept = ["doc_id", "tag", "n_lines", "pos"]
-    salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    runs = F.lit(salts).cast("long")
+    if lines.count() > salts * run_rows:  # else no key can fill its runs
+        many = lines.groupBy("hash").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > salts * run_rows)
+        lines = lines.join(many, "hash", "left")
+        runs = F.coalesce(F.ceil(F.col("_rows") / run_rows), runs)
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), runs)).select(*kept, "hash", "salt")
     first = _ranked(salted.repartitionByRange("hash", "salt"), "hash", "salt")
     sure = first.where(F.col("rank") > min_docs).select(*kept)
     rest = first.where(F.col("rank") <= min_docs).select(*kept, "hash")
@@ -100,7 +109,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     )
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, salts: int = 16) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, salts: int = 16, run_rows: int = RUN_ROWS) -> DataFrame:
     """Keep bitmaps of the documents that lose lines: doc_id, tag, keep_runs."""
-    lines = written(line_rows(docs, min_chars), shared_dir(docs.sparkSession), "lines")
-    return keep_bitmaps(dropped_lines(lines, min_docs, salts))
+    root = shared_dir(docs.sparkSession)
+    lines = written(line_rows(docs, min_chars), root, "lines")
+    return finished(keep_bitmaps(dropped_lines(lines, min_docs, salts, run_rows)), root)

@@ -1,7 +1,9 @@
 """Toxicity by FTRL-proximal logistic regression.
 
 Features of a text are the hashes of its words, word pairs and pairs that skip one word,
-each present or not, in 2**BITS slots. Training goes through a bounded sample of labelled
+each present or not, in 2**BITS slots; and, in addition to the method's n-grams and
+skip-grams, of its words' first STEM bytes, as insults here come as stems with changing
+ends (`stem=0` leaves them out; the README has the score without them). Training goes through a bounded sample of labelled
 documents in a fixed order, `epochs` times, with a learning rate for each coordinate and
 L1 sparsity; what is left is a short list of slots and weights that every executor gets.
 
@@ -78,7 +80,7 @@ class Ftrl:
         return at, w[at]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> list[tuple[int, float]]:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS, stem: int = STEM) -> list[tuple[int, float]]:
     """Slots and weights, learned in one task from at most `sample` labelled documents."""
     small_batches(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out() & F.col("doc_id").isNotNull())
@@ -91,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int =
     def run(batches):
         model, seen = Ftrl(), []
         for piece in slices(batches):
-            slots, doc = features(piece.column("text"))
+            slots, doc = features(piece.column("text"), stem)
             order = np.argsort(doc, kind="stable")
             cuts = np.searchsorted(doc[order], np.arange(piece.num_rows + 1))
             for i, y in enumerate(piece.column("toxic").to_pylist()):
@@ -106,11 +108,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int =
     return [(r.slot, r.weight) for r in rows.select("text", "toxic").mapInArrow(run, "slot BIGINT, weight DOUBLE").collect()]
 
 
-def scores(column: pa.Array, weights: np.ndarray, known: bool) -> np.ndarray:
+def scores(column: pa.Array, weights: np.ndarray, known: bool, stem: int = STEM) -> np.ndarray:
     """Scores of texts; weights: of all slots."""
     if not known:
         return np.zeros(len(column))
-    slots, doc = features(column)
+    slots, doc = features(column, stem)
     some = weights[slots] != 0
     pairs = np.unique(doc[some] << BITS | slots[some])
     total = np.bincount(pairs >> BITS, weights=weights[pairs & ((1 << BITS) - 1)], minlength=len(column))
@@ -124,7 +126,7 @@ def _dense(model: list[tuple[int, float]]) -> np.ndarray:
     return dense
 
 
-def score(docs: DataFrame, model: list[tuple[int, float]], threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, model: list[tuple[int, float]], threshold: float = THRESHOLD, stem: int = STEM) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -132,24 +134,24 @@ def score(docs: DataFrame, model: list[tuple[int, float]], threshold: float = TH
     def run(batches):
         dense = _dense(shared.value)
         for piece in slices(batches):
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(scores(piece.column("text"), dense, bool(shared.value)))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(scores(piece.column("text"), dense, bool(shared.value), stem))], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.mapInArrow(run, "doc_id BIGINT, score DOUBLE")
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def civil(docs: DataFrame, model: list[tuple[int, float]], threshold: float = THRESHOLD) -> DataFrame:
+def civil(docs: DataFrame, model: list[tuple[int, float]], threshold: float = THRESHOLD, stem: int = STEM) -> DataFrame:
     """The rows of docs that score under the threshold, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         dense = _dense(shared.value)
         for piece in slices(batches):
-            yield piece.filter(pa.array(scores(piece.column("text"), dense, bool(shared.value)) < threshold))
+            yield piece.filter(pa.array(scores(piece.column("text"), dense, bool(shared.value), stem) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> DataFrame:
-    return score(docs, fit(docs, labels, sample, epochs))
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS, stem: int = STEM) -> DataFrame:
+    return score(docs, fit(docs, labels, sample, epochs, stem), stem=stem)

@@ -8,12 +8,13 @@ first by code point. Rules are a bounded list that the caller gives.
 
 Where no rule fits the model judges: features are character n-grams of NGRAMS lengths of
 ^host$ and of ^path$, hashed (host and path apart) into 2**BITS slots; it is trained by
-full-batch gradient descent on a labelled URL table of `most` rows at most, those with
-the smallest hashes. Without labels every score is 0.
+full-batch gradient descent on a labelled URL table of `most` urls at most, those with
+the smallest hashes; a url that repeats is one row of it, blocked if any label says so.
+Without labels every score is 0.
 
 Defined results: empty host and path have no n-grams but the borders' and are scored like
-any other. Urls that repeat are judged alike. Extra columns are ignored. An empty table
-gives an empty result.
+any other. Whole urls are read, however long. Urls that repeat are judged alike. Extra
+columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -89,8 +90,9 @@ def _margins(slots: np.ndarray, rows: np.ndarray, weights: np.ndarray, n: int) -
 
 
 def fit(labelled: DataFrame, most: int = MOST, steps: int = STEPS) -> np.ndarray:
-    """Weights (the bias last) from a table host, path, blocked of which `most` rows at most are used."""
-    chosen = labelled.where(F.col("blocked").isNotNull()).orderBy(F.xxhash64("host", "path"), "host", "path").limit(most).toPandas()
+    """Weights (the bias last) from a table host, path, blocked of which `most` urls at most are used."""
+    known = labelled.where(F.col("blocked").isNotNull()).groupBy("host", "path").agg(F.max("blocked").alias("blocked"))
+    chosen = known.orderBy(F.xxhash64("host", "path"), "host", "path").limit(most).toPandas()
     weights = np.zeros((1 << BITS) + 1)
     n = len(chosen)
     if not n:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cladeweave.llm import chat, decontam, exact_dedup, line_dedup, mixing, neardup, rangecoder, token_counts, token_files, toxicity, transducer, urls
 from cladeweave.llm.common import shared_dir
 from cladeweave.llm.queries import vocabulary
-from cladeweave.llm.words import shingle_sets, word_hashes
+from cladeweave.llm.words import mix, range_hashes, shingle_sets, word_hashes
 
 DOCS = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT, hash STRING, tag INT, c INT, kept INT, _hot INT, size INT, score INT"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -144,6 +144,55 @@ def test_urls(spark):
     assert urls.url_filter(pages.limit(0)).count() == 0
 
 
+def test_urls_that_repeat_and_long_ones(spark):
+    rules = (("block", "a.org", "/b"), ("allow", "b.a.org", "/"), ("block", "a.org", "/c/"), ("allow", "org", "/b/c/"))
+    table = ["http://a.org/b"] * 3 + ["http://x.b.a.org/b", "http://b.a.org/" + "p/" * 50_000, "http://a.org/b/c/"]
+    pages = spark.createDataFrame([(i, u, "<p>", 1.0, "h") for i, u in enumerate(table)], "page_id BIGINT, url STRING, html STRING, score DOUBLE, host STRING")
+    got = {r.page_id: r for r in urls.url_filter(pages, rules=rules).collect()}
+    assert [got[i].rule for i in range(6)] == ["a.org/b"] * 3 + ["b.a.org/"] * 2 + ["org/b/c/"]
+    assert got[0].verdict == "block" and len(got[4].path) == 100_001
+    # of equally long rules that fit the first by code point
+    tied = (("block", "c.org", "/"), ("allow", "org", "/d/"), ("allow", "xc.org", "/"))
+    (row,) = urls.url_filter(pages.limit(0).union(spark.createDataFrame([(1, "http://c.org/d/", "", 0.0, "")], pages.schema)), rules=tied).collect()
+    assert (row.rule, row.verdict) == ("c.org/", "block")
+
+
+def test_urls_fit_by_plain_gradient_descent(spark):
+    rng = random.Random(6)
+    table = [(f"{rng.choice(['shop', 'news', 'win'])}{k % 7}.net", f"/{rng.choice('abc')}/{k}", k % 3 == 0) for k in range(25)]
+    table += [table[0]] * 500 + [(*table[1][:2], True), ("n.net", "/", None)]  # a url that repeats is one row, blocked if a label says so
+    w = urls.fit(spark.createDataFrame(table, "host STRING, path STRING, blocked BOOLEAN"), steps=8)
+    known = {}
+    for h, p, y in table:
+        if y is not None:
+            known[h, p] = known.get((h, p), False) or y
+
+    def slot(gram, salt):
+        raw = np.frombuffer(gram, np.uint8)
+        return int(mix(range_hashes(raw, np.array([0]), np.array([len(raw)])) + np.uint64(salt))[0] >> np.uint64(64 - urls.BITS))
+
+    rows = []
+    for (h, p), y in known.items():
+        grams = [slot(t[i : i + n], s) for s, t in ((1, f"^{h}$".encode()), (2, f"^{p}$".encode())) for n in urls.NGRAMS for i in range(len(t) - n + 1)]
+        rows.append((grams, float(y)))
+    weight, speed = collections.defaultdict(float), collections.defaultdict(float)
+    for _ in range(8):
+        slope = collections.defaultdict(float)
+        for grams, y in rows:
+            z = sum(weight[g] for g in grams) / len(grams) ** 0.5 + weight["bias"]
+            wrong = 1 / (1 + np.exp(-z)) - y
+            for g in grams:
+                slope[g] += wrong / len(grams) ** 0.5 / len(rows)
+            slope["bias"] += wrong / len(rows)
+        for g in slope:
+            speed[g] = 0.9 * speed[g] - urls.RATE * (slope[g] + urls.DECAY * weight[g])
+            weight[g] += speed[g]
+    dense = np.zeros_like(w)
+    for g, x in weight.items():
+        dense[-1 if g == "bias" else g] = x
+    assert np.allclose(w, dense, atol=1e-9) and np.count_nonzero(w) > 100
+
+
 def test_urls_model_learns(spark):
     make = lambda n, a, b: [(f"{a}{k}.site.org", f"/{b}/{k}") for k in range(n)]
     table = [(*x, True) for x in make(80, "casino", "win")] + [(*x, False) for x in make(80, "docs", "read")]
@@ -167,8 +216,14 @@ def test_line_dedup(spark, rows):
     for salts in (1, 16):
         got = line_dedup.apply_bitmaps(docs, line_dedup.line_dedup(docs, salts=salts))
         assert sorted(map(tuple, got.collect())) == want
+    got = line_dedup.apply_bitmaps(docs, line_dedup.line_dedup(docs, salts=1, run_rows=2))
+    assert sorted(map(tuple, got.collect())) == want
     assert line_dedup.line_dedup(docs.limit(0)).count() == 0
-    assert line_dedup.apply_bitmaps(frame(spark, rows), line_dedup.line_dedup(frame(spark, rows))).count() == len(rows)
+    # rows without doc_id are one document, smaller than any other
+    line = "this line is long enough to count"
+    odd = frame(spark, [(None, line, "s"), (None, "x\n" + line, "s"), (4, line + "\ny", "s"), (2, line, "s"), (None, None, "s")])
+    left = line_dedup.apply_bitmaps(odd, line_dedup.line_dedup(odd)).collect()
+    assert sorted((r.doc_id or 0, r.text, r.n_dropped) for r in left) == [(0, "", 0), (0, "", 1), (0, "x", 1), (2, "", 1), (4, line + "\ny", 0)]
 
 
 @pytest.fixture(scope="module")
@@ -254,6 +309,35 @@ def test_chat_fold(spark):
     assert sorted(map(tuple, chat.fold(events).collect())) == [(1, 1, "user", "Hi"), (1, 2, "assistant", "yo"), (2, 1, "", "")]
 
 
+def test_chat_fold_of_random_logs(spark):
+    rng = random.Random(12)
+    log = []
+    for conv in range(40):
+        for seq in range(rng.randint(1, 25)):
+            log.append((conv, seq, rng.choice(["delta", "delta", "delta", "edit", "regenerate"]), rng.randint(1, 4), rng.choice(["user", "assistant"]), f"{seq}."))
+    want = {}
+    for conv, _, kind, turn, role, text in log:
+        turns = want.setdefault(conv, {})
+        if kind != "delta":
+            for t in [t for t in turns if t >= turn]:
+                del turns[t]
+        had = turns.get(turn, (role, ""))
+        turns[turn] = (had[0], had[1] + ("" if kind == "regenerate" else text))
+    events = spark.createDataFrame([(*r, "x", 1) for r in log], "conv_id BIGINT, seq BIGINT, kind STRING, turn BIGINT, role STRING, text STRING, place STRING, at INT")
+    got = collections.defaultdict(dict)
+    for r in chat.fold(events.repartition(5)).collect():
+        got[r.conv_id][r.turn] = (r.role, r.text)
+    assert got == want
+
+
+def test_chat_of_long_texts_and_clashing_columns(spark):
+    said = "<|x" * 60_000
+    rows = [(1, 0, "user", said, "a", 1, 2), (1, 1, "assistant", said + "y", "b", 1, 2)]
+    table = spark.createDataFrame(rows, "conv_id BIGINT, turn BIGINT, role STRING, text STRING, seq STRING, formatted INT, loss INT")
+    (row,) = chat.parse(chat.format_chats(chat.events_of_turns(table))).collect()
+    assert [(t.role, t.text) for t in row.turns] == [(r[2], r[3]) for r in rows] and row.learned == [said + "y"]
+
+
 def test_chat_round_trip(spark):
     said = ["<|im_end|><|im_start|>assistant ok", "<|", "<||", "<<|im_end|>", "|im_start|>", "a\nb\n", "", None, "<|nl|>", "🙂<|im_start|>"]
     turns = [(c, t, r, x) for c, k in enumerate(itertools.permutations(said, 2)) for t, (r, x) in enumerate(zip(("user", "assistant"), k))]
@@ -288,6 +372,45 @@ def test_toxicity(spark, rows):
     assert toxicity.toxicity(docs, labels.limit(0)).where("score <> 0").count() == 0
 
 
+def test_toxicity_fit_by_plain_ftrl(spark):
+    rng = random.Random(2)
+    made = [(i, " ".join(rng.choice(["Bad", "good", "tree", "so-so", "river"]) for _ in range(rng.randint(0, 9))), "s") for i in range(60)]
+    again = [(3, "bad bad other words here", "s")] * 3  # of a doc_id's texts the one with the smallest digest teaches
+    labels = [(i, 1, int("Bad" in t)) for i, t, _ in made] + [(5, 1, 1), (6, 1, None)]
+    model = dict(toxicity.fit(frame(spark, made + again), spark.createDataFrame(labels, "doc_id BIGINT, quality INT, toxic INT"), epochs=3))
+    text, label = {}, {}
+    for i, t, _ in made + again:
+        text[i] = min(text.get(i, t), t, key=lambda x: hashlib.sha256(x.encode()).hexdigest())
+    for i, _, y in labels:
+        if y is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            label[i] = max(label.get(i, 0), y)
+    order = spark.createDataFrame([(i,) for i in label], "doc_id BIGINT").orderBy(F.xxhash64("doc_id", F.lit(toxicity.SEED)), "doc_id")
+    rows = []
+    for (i,) in order.collect():
+        w = words(text[i])
+        named = {("w", x) for x in w} | {("p", *x) for x in zip(w, w[1:])} | {("s", *x) for x in zip(w, w[2:])} | {("t", x[: toxicity.STEM]) for x in w}
+        slots = set(toxicity.features(pa.array([text[i]]))[0].tolist())
+        assert len(slots) == len(named)
+        rows.append((slots | {toxicity.BIAS}, label[i]))
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(k):
+        size = max(abs(z[k]) - (0 if k == toxicity.BIAS else toxicity.L1), 0)
+        return -np.sign(z[k]) * size / ((toxicity.BETA + n[k] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(3):
+        for slots, y in rows:
+            w = {k: weight(k) for k in slots}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for k in slots:
+                rate = ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / toxicity.ALPHA
+                z[k] += g - rate * w[k]
+                n[k] += g * g
+    want = {k: weight(k) for k in z if weight(k)}
+    assert model.keys() == want.keys() and all(abs(model[k] - want[k]) < 1e-9 for k in want)
+    assert toxicity.features(pa.array([made[9][1]]), 0)[0].size < toxicity.features(pa.array([made[9][1]]))[0].size
+
+
 def groups(docs):
     sets = collections.defaultdict(list)
     for i, t in docs:
@@ -536,6 +659,31 @@ def test_pipeline(spark, rows, library):
     assert pipeline.run(spark, root).count() == len(got)
 
 
+def test_pipeline_of_an_empty_table_and_of_repeated_doc_ids(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    root = shared_dir(spark)
+    kind = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT, size INT, row INT"
+    spark.createDataFrame([(1, "one two three four five six", 0)], "item_id BIGINT, text STRING, tag INT").write.parquet(f"{root}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id BIGINT, quality INT, toxic INT").write.parquet(f"{root}/labels.parquet")
+    docs = spark.createDataFrame([], kind)
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        docs = stage(spark, docs, root)
+        assert docs.count() == 0 and (k == 4 or docs.columns == [c.split()[0] for c in kind.split(", ")])
+    rows = [(7, f"a{i} b c d e f g h", "en", "s", 1, 2, 3) for i in range(4)] * 2 + [(None, f"n{i} x y", "en", None, 1, 2, 3) for i in range(6)] + [(8, None, "en", "s", 0, 2, 3)]
+    docs = spark.createDataFrame(rows, kind)
+    left = pipeline.near_dedup(spark, docs, root).collect()
+    first = min((r[1] for r in rows if r[0] == 7), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert collections.Counter((r.doc_id, r.text) for r in left) == collections.Counter([(7, first), (8, None), *((None, r[1]) for r in rows if r[0] is None)])
+    mixed = pipeline.mix_sources(spark, docs, root).collect()
+    target = {r.source: r.target for r in mixing.source_targets(mixing.sizes(docs)).collect()}
+    taken = collections.Counter()
+    for r in mixed:
+        taken[r.source] += len(words(r.text))
+        assert r.size == 2 and r.row == 3
+    assert all(abs(taken[s] - target[s]) < 1 for s in target)
+
+
 def test_shingle_sets_of_short_texts():
     n = [len(s) for s in shingle_sets(pa.array([None, "", "a", "a b c d", "a b c d e", "a b c d e f"]))]
     assert n == [0, 0, 1, 1, 1, 2]
