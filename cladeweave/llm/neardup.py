@@ -16,11 +16,13 @@ share one among the first n - 3n/4 + 1 of each, and their first common one stand
 enough in both for the rest to hold the overlap that the similarity takes. A document
 that differs too much from a group has only shingles of its own there and meets nobody;
 a pair is also left out when one of the two shares fewer shingles with all others
-together than the similarity takes. Those lists link to leaders again, and at last every
-pair across components that is left is checked, so no link between components is missed.
-Two sets of similarity 0.75 share none of 64 retained values with a probability of 1e-38.
+together than the similarity takes. Those lists link to leaders again. Then in rounds each
+member of a list meets one random block of it, of 16 and then of 128 members, and what
+links is one component from then on; at last every pair across components that is left is
+checked, so no link between components is missed. A member that has a link into a large
+component mostly finds one early and needs none of the others. Two sets of similarity 0.75 share none of 64 retained values with a probability of 1e-38.
 
-The last step pairs by size as well: a place in a list says how large a partner may be at
+The rounds pair by size as well: a place in a list says how large a partner may be at
 most, the similarity how small, and lists are met by (value, class of sizes). A place that
 no size fits, as a common line that is most of a short text leaves, is dropped; so texts
 that share a passage and aren't alike meet nobody, however many they are. Long lists are
@@ -56,8 +58,8 @@ WIDTH, SIMILARITY, K = 5, (75, 100), 64
 LEAST = 28
 #: Standard errors by which a sketch's estimate may stay below the threshold.
 SLACK = 6
-#: Members of a list that meet in one block.
-MEMBERS = 1024
+#: Members of a list that meet in one block; in the rounds of random blocks, and in the last.
+ROUNDS, MEMBERS = (16, 128), 1024
 
 SETS = "doc_id BIGINT, n_shingles BIGINT, fp BINARY, sketch ARRAY<BIGINT>"
 _TOP = np.uint64(1 << 63)
@@ -182,15 +184,27 @@ def _blocks(rows: DataFrame, other: DataFrame, mine: str, theirs: str) -> DataFr
     return held.withColumn(mine, own).withColumn(theirs, each).drop("_mine", "_theirs")
 
 
-def _across(lists: DataFrame, root: str) -> DataFrame:
-    """Pairs a < b of a list in different components whose sizes and places allow the similarity: the first value that two sets share leaves both long enough a rest for the overlap it takes."""
+def _one_block(small: DataFrame, large: DataFrame, members: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a block i, j: the larger side's lists fall into blocks of about so many members, and each row of the smaller side names one."""
+    size = F.ceil(F.count(F.lit(1)) / members).cast("int")
+    many = large.groupBy("v", "class").agg(size.alias("_size")).where("_size > 1")
+    many = many.select("v", "class", F.expr("shiftleft(1, length(bin(_size - 1)))").alias("_blocks"))
+    dealt = lambda df, *keys: df.join(many, ["v", "class"], "left").withColumn("i", F.pmod(F.xxhash64("doc", *keys), F.coalesce("_blocks", F.lit(1)))).withColumn("j", F.lit(0)).drop("_blocks")
+    return dealt(small, F.lit(members)), dealt(large)
+
+
+def _across(lists: DataFrame, root: str, members: int = 0) -> DataFrame:
+    """Pairs a < b of a list in different components whose sizes and places allow the similarity: the first value that two sets share leaves both long enough a rest for the overlap it takes. members: each meets one block of about so many only."""
     least, most = partner_sizes("n", "m", "at")
     places = lists.withColumn("least", least).withColumn("most", most).where("least <= most").select("v", "doc", "n", "least", "most", "comp")
     small = places.where("most >= n").withColumn("class", F.explode(F.sequence(size_class("n"), size_class("most"))))
     large = places.where("least <= n").withColumn("class", size_class("n"))
-    small, large = written(small, root, "small"), written(large, root, "large")
-    ones = _blocks(small, large, "i", "j")
-    others = _blocks(large, small, "j", "i").select("v", "class", "i", "j", *[F.col(c).alias(f"{c}2") for c in ("doc", "n", "least", "most", "comp")])
+    small, large = written(small, root, f"small_{members}"), written(large, root, f"large_{members}")
+    if members:
+        ones, others = _one_block(small, large, members)
+    else:
+        ones, others = _blocks(small, large, "i", "j"), _blocks(large, small, "j", "i")
+    others = others.select("v", "class", "i", "j", *[F.col(c).alias(f"{c}2") for c in ("doc", "n", "least", "most", "comp")])
     fit = "comp <> comp2 AND (n < n2 OR n = n2 AND doc < doc2) AND n2 <= most AND n >= least2 AND n <= most2"
     met = ones.join(others, ["v", "class", "i", "j"]).where(fit)
     return met.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
@@ -301,18 +315,19 @@ def links(classes: DataFrame, docs: DataFrame, root: str, k: int, width: int) ->
     lists = written(retained(classes, root), root, "lists")
     texts = gathered(docs, classes, lists, root)
     check = lambda pairs, name: verified(_alike(pairs, texts, k), texts, root, name, width)
-    first = written(_to_leaders(lists.withColumn("comp", F.col("doc"))), root, "pairs_0")
-    found = check(first, "leaders")
-    labels = components(found, root, "comp_0")
-    exact = written(prefixes(texts, _labelled(lists, labels), width), root, "prefixes")
-    open_lists = written(_labelled(exact, labels), root, "open_1")
-    second = written(_to_leaders(open_lists, True).join(first, ["a", "b"], "left_anti"), root, "pairs_1")
-    found = found.unionByName(check(second, "leaders_again"))
-    labels = components(found, root, "comp_1")
-    open_lists = written(_labelled(open_lists.drop("comp"), labels), root, "open_2")
-    third = _across(open_lists, root).join(first.unionByName(second), ["a", "b"], "left_anti")
-    found = found.unionByName(check(written(third, root, "pairs_2"), "across"))
-    return components(found, root, "comp_2")
+    seen = written(_to_leaders(lists.withColumn("comp", F.col("doc"))), root, "pairs")
+    labels = components(check(seen, "leaders"), root, "comp")
+    places = written(prefixes(texts, _labelled(lists, labels), width), root, "prefixes")
+    proposals = [lambda x: _to_leaders(x, True), *[lambda x, n=n: _across(x, root, n) for n in ROUNDS], lambda x: _across(x, root)]
+    for k, propose in enumerate(proposals):
+        torn = written(_labelled(places, labels), root, f"torn_{k}")
+        if torn.isEmpty():
+            break
+        pairs = written(propose(torn).join(seen, ["a", "b"], "left_anti"), root, f"pairs_{k}")
+        seen = seen.unionByName(pairs)
+        found = check(pairs, f"round_{k}").unionByName(labels.select(F.col("doc").alias("a"), F.col("comp").alias("b")))
+        labels = components(found, root, f"comp_{k}")
+    return labels
 
 
 def near_dedup(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
