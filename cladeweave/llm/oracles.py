@@ -69,4 +69,27 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM hashed WINDOW w AS (PARTITION BY text_sha256)
 """
 
-ORACLES = {"op1_mixing": OP1, "op3_line_dedup": OP3, "op5_chat_formatting": OP5, "op9_exact_dedup": OP9}
+URL_RULES = r"""
+WITH rests AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+  FROM rests),
+rules(say, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+fits AS (
+  SELECT page_id, h || p AS rule, say, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC, h || p) AS k
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT parts.page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, say AS ruled FROM parts LEFT JOIN fits ON parts.page_id = fits.page_id AND k = 1
+"""
+
+SHINGLE_COUNTS = r"""
+WITH told AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents)
+SELECT doc_id, CAST(CASE WHEN len(w) < 5 THEN least(len(w), 1) ELSE len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))) END AS BIGINT) AS n_shingles
+FROM told
+"""
+
+ORACLES = {
+    "op1_mixing": OP1, "op3_line_dedup": OP3, "op5_chat_formatting": OP5, "op9_exact_dedup": OP9, "url_rules": URL_RULES, "shingle_counts": SHINGLE_COUNTS,
+    "byte_counts": "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents",
+}

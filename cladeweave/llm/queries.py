@@ -1,4 +1,7 @@
-"""The queries of this subpackage, by name: each applies one operator to its whole table."""
+"""The queries of this subpackage, by name: each applies one operator to its whole table.
+
+Those without a number show the part of an operator's result that SQL can check.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, exact_dedup, line_dedup, mixing, neardup, token_counts, token_files, toxicity, urls
-from .common import shared_dir, written
+from .common import shared_dir, small_batches, written
 
 
 def vocabulary() -> str:
@@ -78,7 +81,26 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and rule of op2."""
+    return op2_url_filters(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
+def shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of op7's sets."""
+    small_batches(spark)
+    return neardup.sketched(table(spark, sf_dir, "documents"), neardup.K, neardup.WIDTH).select("doc_id", "n_shingles")
+
+
+def byte_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of op8's texts."""
+    return op8_token_counts(spark, sf_dir).select("doc_id", "n_bytes")
+
+
 QUERIES = {
+    "url_rules": url_rules,
+    "shingle_counts": shingle_counts,
+    "byte_counts": byte_counts,
     "op1_mixing": op1_mixing,
     "op2_url_filters": op2_url_filters,
     "op3_line_dedup": op3_line_dedup,

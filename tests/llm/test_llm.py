@@ -3,16 +3,18 @@
 import collections
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cladeweave.llm import chat, decontam, exact_dedup, line_dedup, mixing, neardup, rangecoder, token_counts, token_files, toxicity, transducer, urls
+from cladeweave.llm import chat, decontam, exact_dedup, line_dedup, mixing, neardup, oracles, queries, rangecoder, token_counts, token_files, toxicity, transducer, urls
 from cladeweave.llm.common import shared_dir
 from cladeweave.llm.queries import vocabulary
 from cladeweave.llm.words import mix, range_hashes, shingle_sets, word_hashes
@@ -684,6 +686,21 @@ def test_pipeline_of_an_empty_table_and_of_repeated_doc_ids(spark, tmp_path):
     assert all(abs(taken[s] - target[s]) < 1 for s in target)
 
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, SF), con.execute(oracles.ORACLES[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(columns) == sorted(got.columns)
+    plain = lambda rows: collections.Counter(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rows)
+    assert plain(got.select(*columns).collect()) == plain(want.fetchall())
+
+
 def test_shingle_sets_of_short_texts():
     n = [len(s) for s in shingle_sets(pa.array([None, "", "a", "a b c d", "a b c d e", "a b c d e f"]))]
     assert n == [0, 0, 1, 1, 1, 2]
