@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import sys
 
 from pyspark.sql import functions as F
@@ -16,12 +17,17 @@ from .session import session
 from .sources import files
 
 
+log = logging.getLogger("cladeweave")
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="cladeweave", description="Species trees from SNP quartets.")
+    p.add_argument("--log-level", help="of Spark and of this program, such as INFO or ERROR")
     sub = p.add_subparsers(dest="command", required=True)
     init = sub.add_parser("init", help="start a project from a SNP matrix (Parquet folder, .vcf or .hdf5)")
     init.add_argument("data")
-    init.add_argument("-n", "--name", required=True)
+    init.add_argument("-n", "--name", default="project")
+    init.add_argument("--log-level", default=argparse.SUPPRESS, help="as before the command")
     init.add_argument("-w", "--workdir", default=".")
     init.add_argument("-q", "--nquartets", type=int, default=0)
     init.add_argument("-r", "--random-seed", type=int, default=0)
@@ -100,9 +106,28 @@ def _run(args) -> None:
     quartets = files.read_quartets(spark, project.path("quartets"))
     rows = inference.replicate_trees(quartets, project.weights)
     rows.write.mode("overwrite").parquet(project.path("trees"))
+    newicks = {r.rep: r.newick for r in spark.read.parquet(project.path("trees")).collect()}  # one row a replicate
+    _write_trees(spark, project, newicks)
+    log.info("%d trees", len(newicks))
     print(f"replicates scored: {done}")
 
 
+def _write_trees(spark, project, newicks: dict[int, str]) -> None:
+    """The best tree, the replicates' trees, and with replicates their consensus and the best tree's supports, as newick files."""
+    if 0 in newicks:
+        files.write_text(project.path("best.nwk"), [named(newicks[0], project.samples)])
+    boots = [newicks[rep] for rep in sorted(newicks) if rep]
+    files.write_text(project.path("boots.nwk"), [named(t, project.samples) for t in boots])
+    if len(boots) < 2:
+        return
+    freqs = inference.replicate_split_frequencies(spark, boots)
+    agreed = consensus.consensus_tree([(tuple(r.side), r.freq) for r in freqs.collect()], sorted(project.samples))
+    files.write_text(project.path("cons.nwk"), [_finish(_named(agreed, project.samples), None)])
+    if 0 in newicks:
+        held = consensus.with_support(newicks[0], freqs, spark)
+        files.write_text(project.path("supports.nwk"), [_finish(_named(held, project.samples), None)])
+
+
 def _trees(spark, project, args, idx=None) -> list:
     quartets = files.read_quartets(spark, project.path("quartets"))
     if idx is not None:
@@ -144,6 +169,7 @@ def _concordance(args) -> None:
     quartets = files.read_quartets(spark, project.path("quartets"))
     edges, tips = concordance.concordance(quartets, trees.edge_sets(spark, root), args.min_snps, args.min_ratio, args.need_data)
     shown = lambda x: round(x, 6) if isinstance(x, float) else x
+    log.info("features: %s", ", ".join(concordance.features_added([k for n in root.nodes() for k in n.features], [*edges.columns[1:], "qf"])))
     for row in edges.collect():  # one row an edge
         own[order[row.edge_id]].features.update({k: shown(v) for k, v in row.asDict().items() if k != "edge_id" and v is not None})
     fidelity = {str(r.sample_idx): r.qf for r in tips.collect()}
@@ -155,6 +181,10 @@ def _concordance(args) -> None:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
+    logging.basicConfig(level=args.log_level or "WARNING", format="%(asctime)s %(levelname)s %(message)s")
+    log.setLevel(args.log_level or "WARNING")
+    if args.log_level:
+        session(log_level=args.log_level)
     if args.command == "info":
         project = files.Project.load(args.json)
         for k, v in files.project_info(session(), project, args.samples).first().asDict().items():

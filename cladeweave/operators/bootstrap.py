@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chance import draw, order_key
+from ..functions.numbering import numbered
 from .encode import encode, locus_spans
 
 
@@ -17,13 +18,13 @@ def draws(snps: DataFrame, reps: int, seed: int) -> DataFrame:
     """rep (1..reps), rlocus (the draw), locus (what was drawn), n_sites."""
     spark = snps.sparkSession
     spans = locus_spans(snps)
-    numbered = spans.withColumn("number", F.row_number().over(Window.orderBy("locus")) - 1)  # one row a locus
+    loci = numbered(spans, "number", {"_bin": F.expr("locus div 4096")}, "locus")
     n = spans.count()
     every = spark.range(1, reps + 1).withColumnRenamed("id", "rep").crossJoin(spark.range(n).withColumnRenamed("id", "rlocus")) if n else None
     if every is None:
-        return numbered.select(F.lit(0).cast("long").alias("rep"), F.lit(0).cast("long").alias("rlocus"), "locus", "n_sites").limit(0)
-    drawn = every.withColumn("number", F.pmod(draw(seed, F.col("rep"), F.col("rlocus")), F.lit(n)).cast("int"))
-    return drawn.join(numbered, "number").select("rep", "rlocus", "locus", "n_sites")
+        return loci.select(F.lit(0).cast("long").alias("rep"), F.lit(0).cast("long").alias("rlocus"), "locus", "n_sites").limit(0)
+    drawn = every.withColumn("number", F.pmod(draw(seed, F.col("rep"), F.col("rlocus")), F.lit(n)))
+    return drawn.join(loci, "number").select("rep", "rlocus", "locus", "n_sites")
 
 
 def widths(drawn: DataFrame) -> DataFrame:

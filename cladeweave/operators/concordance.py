@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,20 +66,36 @@ def split_totals(edges: DataFrame) -> DataFrame:
 
 
 def split_sampled(edges: DataFrame, quartets: DataFrame) -> DataFrame:
-    """edge_id, sampled: given quartets with one tip in each of the edge's four sets.
+    """edge_id, sampled: distinct given quartets with one tip in each of the edge's four sets.
 
-    Each tip of a quartet is looked up by hash in a broadcast table of (edge, set, tip),
-    of at most four times the tips for each edge.
+    A table of the tips' sets around each edge goes to the executors (a number for each
+    tip and edge); there a quartet is one of an edge's if its four numbers differ.
     """
-    sides = [edges.select("edge_id", F.posexplode(F.array(*[F.col(c) for c in "abcd"])).alias("set", "tips"))]
-    tips = sides[0].select("edge_id", "set", F.explode("tips").alias("tip"))
-    rows = quartets.select(*NAMES).distinct().withColumn("q", F.monotonically_increasing_id())
-    members = rows.select("q", F.explode(F.array(*NAMES)).alias("tip"))
-    hits = members.join(tips, "tip").groupBy("q", "edge_id").agg(F.countDistinct("set").alias("sets"))
-    counted = hits.where("sets = 4").groupBy("edge_id").agg(F.count(F.lit(1)).alias("sampled"))
+    rows = edges.collect()  # one row an edge; several at a polytomy
+    n = 1 + max((t for r in rows for c in "abcd" for t in r[c]), default=0)
+    sets = np.zeros((len(rows), n), np.uint8)
+    for k, r in enumerate(rows):
+        for bit, c in enumerate("abcd"):
+            sets[k, r[c]] = 1 << bit
+    shared = edges.sparkSession.sparkContext.broadcast((sets, np.array([r.edge_id for r in rows], np.int32)))
+
+    def run(batches):
+        sets, ids = shared.value
+        for batch in batches:
+            q = np.stack([batch.column(c).to_numpy() for c in NAMES], axis=1)
+            q = q[(q < sets.shape[1]).all(axis=1)]
+            hits = [int((np.bitwise_or.reduce(own[q], axis=1) == 15).sum()) if len(q) else 0 for own in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hits, pa.int64())], ["edge_id", "sampled"])
+
+    counted = quartets.select(*NAMES).distinct().mapInArrow(run, "edge_id INT, sampled BIGINT").groupBy("edge_id").agg(F.sum("sampled").alias("sampled"))
     return edges.select("edge_id").distinct().join(counted, "edge_id", "left").select("edge_id", F.coalesce("sampled", F.lit(0)).alias("sampled"))
 
 
+def features_added(before: list[str], after: list[str]) -> list[str]:
+    """Names of a tree's features that it did not have before, in order."""
+    return [x for x in dict.fromkeys(after) if x not in set(before)]
+
+
 def concordance(quartets: DataFrame, edges: DataFrame, min_snps: int = 0, min_ratio: float = 1.0, need_data: bool = False) -> tuple[DataFrame, DataFrame]:
     """Edge statistics with means, and tip fidelity, over all replicates at once."""
     rows = mapped(quartets, tree_quartets(edges), min_snps, min_ratio, need_data)

@@ -2,8 +2,9 @@
 
 A site counts for a quartet when none of its four codes is missing and they aren't all
 equal. Its pattern is the cell (4a + b, 4c + d) of a 16 x 16 matrix. codes: sample_idx,
-locus, site, code, and rep where there are replicates. quartets: i0..i3; without them
-all quartets that occur are counted.
+locus, site, code, and rep where there are replicates. Without quartets all that occur
+are counted, by joins on the site; quartets (distinct i0..i3) go to packed blocks instead
+(see packed), so that nothing else is counted. n is the number of samples.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chance import order_key
+from .packed import asked_counts
 from .quartets import NAMES
 
 
@@ -29,7 +31,7 @@ def distinct_columns(codes: DataFrame) -> DataFrame:
     return cells.select(*keys, "locus", "site", F.col("cell.sample_idx").alias("sample_idx"), F.col("cell.code").alias("code"), "mult")
 
 
-def patterns(codes: DataFrame, quartets: DataFrame | None = None) -> DataFrame:
+def patterns(codes: DataFrame) -> DataFrame:
     """One row for each quartet and site that counts: keys, i0..i3, r, c, locus, site (and mult)."""
     keys = [*_keys(codes), "site"]
     mult = ["mult"] if "mult" in codes.columns else []
@@ -39,39 +41,40 @@ def patterns(codes: DataFrame, quartets: DataFrame | None = None) -> DataFrame:
         other = known.select(*keys, F.col("sample_idx").alias(f"i{k}"), F.col("code").alias(f"c{k}"))
         out = out.join(other, keys).where(F.col(f"i{k - 1}") < F.col(f"i{k}"))
     out = out.where(~((F.col("c0") == F.col("c1")) & (F.col("c1") == F.col("c2")) & (F.col("c2") == F.col("c3"))))
-    if quartets is not None:
-        out = out.join(quartets.select(*NAMES).distinct(), NAMES)
     r, c = F.col("c0") * 4 + F.col("c1"), F.col("c2") * 4 + F.col("c3")
     return out.select(*keys, "locus", *NAMES, r.cast("int").alias("r"), c.cast("int").alias("c"), *mult)
 
 
-def pattern_counts(codes: DataFrame, quartets: DataFrame | None = None, compress: bool = True) -> DataFrame:
+def pattern_counts(codes: DataFrame, quartets: DataFrame | None = None, n: int = 0, compress: bool = True) -> DataFrame:
     """keys, i0..i3, r, c, n over all sites. compress: count each distinct column of the matrix once, with its multiplicity."""
+    if quartets is not None:
+        return asked_counts(codes, quartets, n)
     keys = _keys(codes)
     if compress:
-        rows = patterns(distinct_columns(codes), quartets)
-        n = F.sum("mult")
+        rows, sites = patterns(distinct_columns(codes)), F.sum("mult")
     else:
-        rows, n = patterns(codes, quartets), F.count(F.lit(1))
-    return rows.groupBy(*keys, *NAMES, "r", "c").agg(n.cast("long").alias("n"))
+        rows, sites = patterns(codes), F.count(F.lit(1))
+    return rows.groupBy(*keys, *NAMES, "r", "c").agg(sites.cast("long").alias("n"))
 
 
-def unlinked_counts(codes: DataFrame, quartets: DataFrame | None = None) -> DataFrame:
+def unlinked_counts(codes: DataFrame, quartets: DataFrame | None = None, n: int = 0) -> DataFrame:
     """As pattern_counts, but of each locus only the first site that counts for the quartet."""
+    if quartets is not None:
+        return asked_counts(codes, quartets, n, True)
     keys = _keys(codes)
     # site and pattern in one number: its minimum is a hash aggregate, that of a struct a sort
     first = F.min(F.col("site") * 256 + F.col("r") * 16 + F.col("c")).alias("p")
-    chosen = patterns(codes, quartets).groupBy(*keys, *NAMES, "locus").agg(first)
+    chosen = patterns(codes).groupBy(*keys, *NAMES, "locus").agg(first)
     r, c = (F.shiftright(F.col("p"), 4) % 16).cast("int"), (F.col("p") % 16).cast("int")
     return chosen.groupBy(*keys, *NAMES, r.alias("r"), c.alias("c")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def random_site_counts(codes: DataFrame, seed: int, quartets: DataFrame | None = None) -> DataFrame:
+def random_site_counts(codes: DataFrame, seed: int) -> DataFrame:
     """As unlinked_counts, with a random site of each locus."""
     keys = _keys(codes)
     rep = F.col("rep") if keys else F.lit(0)
     order = F.struct(order_key(seed, rep, *map(F.col, NAMES), F.col("site")), "site")
-    chosen = patterns(codes, quartets).groupBy(*keys, *NAMES, "locus").agg(F.min_by(F.struct("r", "c"), order).alias("p"))
+    chosen = patterns(codes).groupBy(*keys, *NAMES, "locus").agg(F.min_by(F.struct("r", "c"), order).alias("p"))
     return chosen.groupBy(*keys, *NAMES, F.col("p.r").alias("r"), F.col("p.c").alias("c")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -5,8 +5,9 @@ resolution's score is the norm of the singular values from that rank on. Numpy d
 for batches of quartets. A quartet without sites gets NO_DATA three times and a random
 resolution by hash.
 
-Two ways lead to counts: relational (operators.counts) or dense, from a packed matrix
-that goes to the executors in blocks of loci of bounded size, with only quartets as rows.
+Two ways lead to counts: by blocks of the matrix that each see the quartets (packed), or
+dense, where the whole matrix is small enough to go to every executor, with only quartets
+as rows.
 """
 
 from __future__ import annotations
@@ -18,19 +19,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packed import Matrix, blocks
 from .quartets import NAMES
 
 MOST_RANK, NO_DATA, TINY = 10, 0.001, 1e-9
 SCORED = "i0 INT, i1 INT, i2 INT, i3 INT, s0 DOUBLE, s1 DOUBLE, s2 DOUBLE, res INT, nsnps BIGINT"
-#: Cells (samples x sites) of a block of the matrix.
-BLOCK_CELLS = 256 << 20
+#: Cells (samples x sites, a byte each) of a matrix that goes to every executor at most.
+DENSE_CELLS = 256 << 20
 
 
-def scores(cells: np.ndarray, most_rank: int = MOST_RANK) -> np.ndarray:
-    """Three scores for each row of 256 counts."""
+def singular_values(cells: np.ndarray) -> np.ndarray:
+    """16 for each of the three flattenings of each row of 256 counts."""
     m = cells.reshape(-1, 4, 4, 4, 4).astype(np.float64)
     stacked = np.stack([m, m.transpose(0, 1, 3, 2, 4), m.transpose(0, 1, 4, 2, 3)], axis=1).reshape(-1, 3, 16, 16)
-    values = np.linalg.svd(stacked, compute_uv=False)
+    return np.linalg.svd(stacked, compute_uv=False)
+
+
+def scores(cells: np.ndarray, most_rank: int = MOST_RANK) -> np.ndarray:
+    """Three scores for each row of 256 counts."""
+    values = singular_values(cells)
     ranks = (values > values[..., :1] * 16 * np.finfo(np.float64).eps).sum(axis=-1).min(axis=1)
     ranks = np.minimum(ranks, most_rank)
     beyond = np.arange(16) >= ranks[:, None, None]
@@ -98,81 +105,42 @@ def no_data(quartets: DataFrame, seed: int) -> DataFrame:
     return quartets.select(*keys, *NAMES, *s, res.alias("res"), F.lit(0).cast("long").alias("nsnps"))
 
 
-_BASES = np.arange(256)
-#: Of each of the 256 patterns the cell with three bits a base; the patterns of four equal bases.
-_CELLS = (_BASES >> 6) << 9 | (_BASES >> 4 & 3) << 6 | (_BASES >> 2 & 3) << 3 | (_BASES & 3)
-_EQUAL = np.arange(4) * 85
-
-
-class Matrix:
-    """A block of the matrix: packed codes (samples x sites, 4 where missing) and each site's locus."""
-
-    def __init__(self, packed: list[bytes], locus: list[int], n: int):
-        data = np.frombuffer(b"".join(packed), np.uint8)
-        self.codes = np.ascontiguousarray(data.reshape(-1, n).T) if len(packed) else np.zeros((n, 0), np.uint8)
-        self.locus = np.asarray(locus, dtype=np.int64)
-
-    def counts(self, quartets: np.ndarray, unlinked: bool) -> np.ndarray:
-        """256 counts for each quartet."""
-        out = np.zeros((len(quartets), 256), np.int64)
-        for k, q in enumerate(quartets):
-            a, b, c, d = (self.codes[i] for i in q)
-            if not unlinked:  # three bits a base, so that missing ones fall into cells of their own
-                cell = (a.astype(np.uint16) << 9) | (b.astype(np.uint16) << 6) | (c << 3) | d
-                out[k] = np.bincount(cell, minlength=4096)[_CELLS]
-                out[k, _EQUAL] = 0
-                continue
-            known = (a < 4) & (b < 4) & (c < 4) & (d < 4) & ~((a == b) & (b == c) & (c == d))
-            at = np.flatnonzero(known)
-            if len(at):
-                locus = self.locus[at]
-                at = at[np.concatenate([[True], locus[1:] != locus[:-1]])]
-            cell = (a[at].astype(np.int64) << 6) | (b[at].astype(np.int64) << 4) | (c[at].astype(np.int64) << 2) | d[at]
-            out[k] = np.bincount(cell, minlength=256)
-        return out
-
-
-def packed_sites(codes: DataFrame, n: int) -> DataFrame:
-    """locus, site, bytes: one byte a sample."""
-    cells = F.map_from_entries(F.collect_list(F.struct("sample_idx", F.col("code").cast("int"))))
-    grouped = codes.where(F.col("code").isNotNull()).groupBy("locus", "site").agg(cells.alias("m"))
-    hexed = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.concat(F.lit("0"), F.coalesce(F.element_at("m", k), F.lit(4)).cast("string")))
-    return grouped.select("locus", "site", F.unhex(F.array_join(hexed, "")).alias("packed"))
-
-
-def score_dense(codes: DataFrame, quartets: DataFrame, n: int, seed: int, unlinked: bool = False, rep: int = 0, most_rank: int = MOST_RANK, block_cells: int = BLOCK_CELLS) -> DataFrame:
-    """i0..i3, s0..s2, res, nsnps of every quartet against one replicate's codes.
-
-    A block holds whole loci and about block_cells cells, so what is collected and
-    broadcast at once has a bound; counts of several blocks are added up by quartet.
+def spectra(dense: DataFrame) -> DataFrame:
+    """(rep,) i0..i3, f, values (16 singular values, the largest first), nsnps from counts.dense_rows()."""
+    keys = ["rep"] if "rep" in dense.columns else []
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                cells = part.column("cells").flatten().to_numpy(zero_copy_only=False).reshape(-1, 256)
+                values = singular_values(cells).reshape(-1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(3 * len(cells) + 1, dtype=np.int32) * 16), pa.array(values))
+                again = [pa.array(np.repeat(part.column(c).to_numpy(), 3)) for c in [*keys, *NAMES]]
+                f = pa.array(np.tile(np.arange(3, dtype=np.int32), len(cells)))
+                yield pa.RecordBatch.from_arrays([*again, f, lists, pa.array(np.repeat(cells.sum(axis=1), 3))], [*keys, *NAMES, "f", "values", "nsnps"])
+
+    return dense.mapInArrow(run, ("rep BIGINT, " if keys else "") + "i0 INT, i1 INT, i2 INT, i3 INT, f INT, values ARRAY<DOUBLE>, nsnps BIGINT")
+
+
+def score_dense(codes: DataFrame, quartets: DataFrame, n: int, seed: int, unlinked: bool = False, rep: int = 0, most_rank: int = MOST_RANK) -> DataFrame:
+    """i0..i3, s0..s2, res, nsnps of every quartet against one replicate's codes, whose matrix has at most DENSE_CELLS cells.
+
+    Executors pack the sites; the driver passes on a few rows of bytes.
     """
-    spark = codes.sparkSession
-    sites = packed_sites(codes, n)
-    size = sites.count() * n
-    blocks = max(1, -(-size // block_cells))
-    parts = []
-    for b in range(blocks):
-        own = sites if blocks == 1 else sites.where(F.pmod(F.xxhash64("locus"), F.lit(blocks)) == b)
-        rows = own.orderBy("locus", "site").select("locus", "packed").collect()
-        shared = spark.sparkContext.broadcast(Matrix([bytes(r.packed) for r in rows], [r.locus for r in rows], n))
-
-        def run(batches, shared=shared, last=blocks == 1):
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 512):
-                    q = np.stack([batch.slice(lo, 512).column(x).to_numpy() for x in NAMES], axis=1)
-                    cells = shared.value.counts(q, unlinked)
-                    if last:
-                        yield _batch([*NAMES, "s0", "s1", "s2", "res", "nsnps"], [*q.T, *resolve(q, cells, np.full(len(q), rep), seed, most_rank)])
-                    else:
-                        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1, dtype=np.int32) * 256), pa.array(cells.reshape(-1)))
-                        yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in q.T], lists], [*NAMES, "cells"])
-
-        kind = SCORED if blocks == 1 else "i0 INT, i1 INT, i2 INT, i3 INT, cells ARRAY<BIGINT>"
-        parts.append(quartets.select(*NAMES).mapInArrow(run, kind))
-    if blocks == 1:
-        return parts[0]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    cells = F.array(*[F.sum(F.element_at("cells", k + 1)) for k in range(256)])
-    return score_counts(every.groupBy(*NAMES).agg(cells.alias("cells")).withColumn("nsnps", F.lit(0)), seed, most_rank)
+    packed = blocks(codes, n).cache()
+    size = packed.agg(F.sum(F.length("packed"))).first()[0] or 0
+    if size > DENSE_CELLS:
+        raise ValueError(f"{size} cells are more than go to every executor; count by blocks")
+    matrix = Matrix.of_rows(packed.toArrow().to_pylist(), n)
+    packed.unpersist()
+    shared = codes.sparkSession.sparkContext.broadcast(matrix)
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                q = np.stack([batch.slice(lo, 512).column(x).to_numpy() for x in NAMES], axis=1)
+                cells = shared.value.unlinked_counts(q) if unlinked else shared.value.counts(q)
+                yield _batch([*NAMES, "s0", "s1", "s2", "res", "nsnps"], [*q.T, *resolve(q, cells, np.full(len(q), rep), seed, most_rank)])
+
+    return quartets.select(*NAMES).mapInArrow(run, SCORED)

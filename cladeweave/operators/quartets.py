@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.chance import order_key
+from ..functions.numbering import BUCKETS, first_rows
 
 NAMES = ["i0", "i1", "i2", "i3"]
 MOST = 4_294_967_295
@@ -67,8 +68,8 @@ def random_quartets(spark: SparkSession, n: int, k: int, seed: int, rep: int = 0
         return all_quartets(spark, n)
     if total <= SORTED:
         ranks = spark.range(total).withColumnRenamed("id", "rank")
-        chosen = ranks.orderBy(order_key(seed, rep, F.col("rank")), "rank").limit(k)
-        return unranked(chosen, n)
+        key = order_key(seed, rep, F.col("rank"))
+        return unranked(first_rows(ranks, k, F.conv(F.substring(key, 1, 4), 16, 10).cast("int"), key, "rank"), n)
     half = (total.bit_length() + 1) // 2
     domain = 1 << 2 * half
     taken = min(domain, k * domain // total + k * domain // total // 8 + 1024)
@@ -76,7 +77,8 @@ def random_quartets(spark: SparkSession, n: int, k: int, seed: int, rep: int = 0
         ids = spark.range(taken)
         ranks = ids.select("id", _feistel(F.col("id"), half, seed * 1_000_003 + rep).alias("rank")).where(F.col("rank") < total)
         if taken == domain or ranks.count() >= k:
-            return unranked(ranks.orderBy("id").limit(k).select("rank"), n)
+            bucket = F.expr(f"id div {-(-taken // BUCKETS)}")
+            return unranked(first_rows(ranks, k, bucket, "id").select("rank"), n)
         taken = min(domain, 2 * taken)
 
 
@@ -95,13 +97,9 @@ def budget(n: int, wanted: int = 0, default: str = "all") -> dict:
     return {"n_samples": n, "total": total, "rough": rough, "taken": taken, "sparse": 0 < wanted < min(rough, total)}
 
 
-def chunk_size(n_quartets: int, cores: int) -> int:
-    """Quartets a chunk: more and smaller chunks for more quartets."""
-    breaks = 1 if n_quartets < 5_000 else 2
-    for least, value in ((100_000, 8), (500_000, 16), (5_000_000, 32)):
-        if n_quartets > least:
-            breaks = value
-    return max(1, n_quartets // (breaks * cores) + n_quartets % (breaks * cores))
+def chunk_rows(n_quartets: int, cores: int, tasks: int = 4, least: int = 1000) -> int:
+    """Quartets a chunk: `tasks` chunks for each core, but none of fewer than `least`."""
+    return max(least, -(-n_quartets // (tasks * cores)))
 
 
 def chunk_ranges(spark: SparkSession, n_quartets: int, size: int) -> DataFrame:
@@ -110,21 +108,54 @@ def chunk_ranges(spark: SparkSession, n_quartets: int, size: int) -> DataFrame:
     return ids.select(F.col("id").alias("start"), F.least(F.col("id") + size, F.lit(n_quartets)).cast("long").alias("end"))
 
 
+def _permuted(spark: SparkSession, edges: DataFrame, quota: int, seed: int) -> DataFrame:
+    """edge_id, left, right and `quota` distinct numbers (all, where fewer) under the edge's number of two-and-two quartets.
+
+    Numbers 0.. go through a permutation of the next power of 4, in which more than a
+    quarter of the numbers stay below: so some multiples of the quota are enough, and the
+    first `quota` of these are taken by their place.
+    """
+    pairs = lambda c: F.expr(f"cast(size({c}) as bigint) * (size({c}) - 1) div 2")
+    sized = edges.withColumn("total", pairs("left") * pairs("right")).where("total > 0")
+    # half the bits of the domain: the smallest even power of 2 that holds the total
+    sized = sized.withColumn("half", F.expr("cast((length(bin(total - 1)) + 1) div 2 as int)")).withColumn("mask", F.expr("shiftleft(1L, half) - 1"))
+    ids = F.sequence(F.lit(0).cast("long"), F.least(F.expr("shiftleft(1L, 2 * half)"), F.lit(quota * 6 + 64)) - 1)
+    rows = sized.withColumn("id", F.explode(ids))
+    rows = rows.withColumn("x", F.expr("shiftright(id, half)")).withColumn("y", F.expr("id & mask"))
+    for r in range(4):
+        rows = rows.withColumn("z", F.col("x").bitwiseXOR(F.xxhash64("y", "edge_id", F.lit(seed), F.lit(r)).bitwiseAND(F.col("mask"))))
+        rows = rows.withColumn("x", F.col("y")).withColumn("y", F.col("z"))
+    rows = rows.withColumn("number", F.expr("shiftleft(x, half) | y")).where("number < total")
+    place = F.row_number().over(Window.partitionBy("edge_id").orderBy("id"))  # some quotas of numbers an edge
+    return rows.withColumn("place", place).where(F.col("place") <= quota).select("edge_id", "left", "right", "number")
+
+
+def _pair(array: str, number: str) -> tuple[Column, Column]:
+    """The pair (i < j) of an array's members with a number: those with j, before them those with smaller j."""
+    j = F.expr(f"cast(floor((1 + sqrt(8 * {number} + 1)) / 2) as bigint)")
+    j = F.when(j * (j - 1) / 2 > F.col(number), j - 1).when((j + 1) * j / 2 <= F.col(number), j + 1).otherwise(j)
+    i = F.col(number) - j * (j - 1) / 2
+    return F.get(array, i.cast("int")), F.get(array, j.cast("int"))
+
+
 def equal_split_quartets(edges: DataFrame, samples: DataFrame, k: int, seed: int) -> DataFrame:
     """About k quartets dealt evenly over a guide tree's internal edges, edge null where chosen beyond the quotas.
 
-    edges: edge_id, left, right (arrays of sample indices on both sides). Each edge gets
-    its two-and-two quartets in hash order up to its quota; what is short is topped up
-    from all quartets.
+    edges: edge_id, left, right (arrays of sample indices on both sides). Each edge draws
+    a pair from each side, up to its quota of distinct ones; what is short is topped up
+    by random quartets of all samples. Nothing is listed but what is drawn.
     """
-    n_edges = max(1, edges.count())
-    quota = -(-k // n_edges)
-    side = lambda c, a, b: F.explode(F.expr(f"flatten(transform({c}, x -> transform(filter({c}, y -> y > x), y -> named_struct('{a}', x, '{b}', y))))"))
-    pairs = edges.select("edge_id", "left", "right", side("left", "a", "b").alias("l")).select("edge_id", "l", side("right", "c", "d").alias("r"))
-    four = pairs.select("edge_id", F.array_sort(F.array("l.a", "l.b", "r.c", "r.d")).alias("q"))
-    four = four.select("edge_id", *[F.element_at("q", i + 1).alias(NAMES[i]) for i in range(4)])
-    place = F.row_number().over(Window.partitionBy("edge_id").orderBy(order_key(seed, F.col("edge_id"), *map(F.col, NAMES)), *NAMES))
-    first = four.withColumn("place", place).where(F.col("place") <= quota).groupBy(*NAMES).agg(F.min("edge_id").alias("edge_id"))
-    rest = quartets_of(samples).join(first, NAMES, "left_anti").withColumn("edge_id", F.lit(None).cast("int"))
+    spark = edges.sparkSession
+    quota = -(-k // max(1, edges.count()))
+    drawn = _permuted(spark, edges, quota, seed).withColumn("_n", F.expr("cast(size(right) as bigint) * (size(right) - 1) div 2"))
+    drawn = drawn.withColumn("_l", F.expr("number div _n")).withColumn("_r", F.col("number") % F.col("_n"))
+    four = drawn.select("edge_id", F.array_sort(F.array(*_pair("left", "_l"), *_pair("right", "_r"))).alias("q"))
+    first = four.groupBy(*[F.element_at("q", i + 1).alias(NAMES[i]) for i in range(4)]).agg(F.min("edge_id").alias("edge_id"))
+    every = [r.sample_idx for r in samples.select("sample_idx").distinct().orderBy("sample_idx").collect()]  # one row a sample
+    more = random_quartets(spark, len(every), k, seed).select(*[F.get(F.array(*map(F.lit, every)), F.col(c)).cast("int").alias(c) for c in NAMES])
+    rest = more.join(first, NAMES, "left_anti").withColumn("edge_id", F.lit(None).cast("int"))
     both = first.select(*NAMES, "edge_id").withColumn("late", F.lit(0)).unionByName(rest.withColumn("late", F.lit(1)))
-    return both.orderBy("late", order_key(seed, *map(F.col, NAMES)), *NAMES).limit(k).drop("late")
+    key = order_key(seed, *map(F.col, NAMES))
+    half = F.conv(F.substring(key, 1, 4), 16, 10).cast("int") / 2
+    bucket = (F.col("late") * (BUCKETS // 2) + F.floor(half)).cast("int")
+    return first_rows(both, k, bucket, "late", key, *NAMES).drop("late")

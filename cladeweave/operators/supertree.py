@@ -8,17 +8,19 @@ goes on with one label for the other; quartets cut two and two are done. A cut i
 split of all tips, and the splits found make the tree.
 
 A problem of at most LOCAL_ROWS distinct quartets is solved in one task. Larger ones are
-cut as Spark plans: pair sums are aggregated, one task finds candidate cuts in a problem's
-pair matrix (labels squared), another aggregate weighs the candidates on all quartets, and
-a join with the two label maps deals the quartets to the halves, until all are small.
-Trees may differ from other programs' on noisy data; on quartets of one tree without
-noise that tree comes back.
+cut as Spark plans: pair sums are aggregated, one task finds a problem's cuts in its pair
+matrix (labels squared), tasks weigh all of these on the quartets, and a join with the two
+label maps deals the quartets to the halves, until all are small. Both ways try the same
+cuts and compare their values rounded, so a tree doesn't depend on the way. Trees may
+differ from other programs' on noisy data; on quartets of one tree without noise that
+tree comes back.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ from .trees import canonical, parse_newick, relabel, tree_of_splits, write_newic
 
 #: The first of AGAINST that leaves a cut of positive value is used: with the last, chance level is 0.
 RATES, EXACT, AGAINST = (0.25, 0.5, 1.0, 2.0, 4.0), 9, (2.0, 1.0, 0.5)
-LOCAL_ROWS, CANDIDATES = 2_000_000, 8
+LOCAL_ROWS = 2_000_000
 
 
 def _value(sides: np.ndarray, q: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -70,26 +72,37 @@ def _spectral_cuts(good: np.ndarray, bad: np.ndarray) -> list[np.ndarray]:
 
 
 def _chosen(cuts: list, values: list[tuple[float, float]]):
-    """The cut of the most value, None where none has any."""
+    """The cut of the most value, the first by its labels of equal ones; None where none has any. Sums in another order give the same."""
+    if not cuts:
+        return None
+    scale = max(good + bad for good, bad in values) or 1.0
+    order = sorted(range(len(cuts)), key=lambda i: (cuts[i] ^ cuts[i][0]).tolist())
     for against in AGAINST:
-        worth = [good - against * bad for good, bad in values]
-        if worth and max(worth) > 1e-12:
-            return cuts[int(np.argmax(worth))]
+        worth = [round((values[i][0] - against * values[i][1]) / scale, 9) for i in order]
+        if max(worth) > 0:
+            return cuts[order[int(np.argmax(worth))]]
     return None
 
 
-def best_cut(n: int, q: np.ndarray, w: np.ndarray) -> np.ndarray | None:
-    """Which of labels 0..n-1 stand on one side; None where no cut gains."""
+def _cuts(n: int, good: np.ndarray, bad: np.ndarray) -> list[np.ndarray]:
+    """The cuts to try of n labels, each once: all for few labels, else spectral ones from the pair matrices, which are rounded first."""
     if n <= EXACT:
         masks = [((np.arange(n) > 0) & ((m << 1 >> np.arange(n)) & 1).astype(bool)) for m in range(1, 1 << (n - 1))]
-        cuts = [c for c in masks if 2 <= c.sum() <= n - 2]
-    else:
-        good, bad = np.zeros((n, n)), np.zeros((n, n))
+        return [c for c in masks if 2 <= c.sum() <= n - 2]
+    scale = max(good.max(), bad.max()) or 1.0
+    found = _spectral_cuts(np.round(good / scale, 9), np.round(bad / scale, 9))
+    return list({(c ^ c[0]).tobytes(): c for c in found}.values())
+
+
+def best_cut(n: int, q: np.ndarray, w: np.ndarray) -> np.ndarray | None:
+    """Which of labels 0..n-1 stand on one side; None where no cut gains."""
+    good, bad = np.zeros((n, n)), np.zeros((n, n))
+    if n > EXACT:
         for x, y in ((0, 2), (0, 3), (1, 2), (1, 3)):
             np.add.at(good, (q[:, x], q[:, y]), w)
         for x, y in ((0, 1), (2, 3)):
             np.add.at(bad, (q[:, x], q[:, y]), w)
-        cuts = _spectral_cuts(good + good.T, bad + bad.T)
+    cuts = _cuts(n, good + good.T, bad + bad.T)
     return _chosen(cuts, [_value(c, q, w) for c in cuts])
 
 
@@ -147,38 +160,47 @@ def _merged(state: DataFrame) -> DataFrame:
     return rows.select("rep", "prob", *[F.col("p")[i // 2][i % 2].cast("int").alias("abcd"[i]) for i in range(4)], "weight")
 
 
-def _candidates(large: DataFrame) -> DataFrame:
-    """rep, prob, cuts: some cuts of each problem, from its summed pairs."""
+def _candidates(large: DataFrame, labels: dict) -> DataFrame:
+    """rep, prob, cuts: the cuts to try of each problem, from its summed pairs. labels: of each problem."""
     cross = [("a", "c"), ("a", "d"), ("b", "c"), ("b", "d")]
     pair = lambda x, y, good: F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"), F.lit(good).alias("good"))
     pairs = F.array(*[pair(x, y, 1.0) for x, y in cross], pair("a", "b", 0.0), pair("c", "d", 0.0))
     sums = large.select("rep", "prob", "weight", F.explode(pairs).alias("p"))
     sums = sums.groupBy("rep", "prob", F.col("p.x").alias("x"), F.col("p.y").alias("y")).agg(F.sum(F.col("weight") * F.col("p.good")).alias("good"), F.sum(F.col("weight") * (1 - F.col("p.good"))).alias("bad"))
+    sizes = {k: len(v) for k, v in labels.items()}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(pdf["y"].max()) + 1
+        rep, prob = int(pdf["rep"].iloc[0]), int(pdf["prob"].iloc[0])
+        n = sizes[rep, prob]
         good, bad = np.zeros((n, n)), np.zeros((n, n))
         x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
         good[x, y] = good[y, x] = pdf["good"]
         bad[x, y] = bad[y, x] = pdf["bad"]
-        cuts = {c.tobytes(): c for c in _spectral_cuts(good, bad)}
-        value = lambda c: float((good - 0.5 * bad)[np.ix_(c, ~c)].sum())
-        best = sorted(cuts.values(), key=value, reverse=True)[:CANDIDATES]
-        return pd.DataFrame({"rep": [pdf["rep"].iloc[0]], "prob": [pdf["prob"].iloc[0]], "cuts": [[c.tolist() for c in best]]})
+        return pd.DataFrame({"rep": [rep], "prob": [prob], "cuts": [[c.tolist() for c in _cuts(n, good, bad)]]})
 
     return sums.groupBy("rep", "prob").applyInPandas(run, "rep BIGINT, prob BIGINT, cuts ARRAY<ARRAY<BOOLEAN>>")
 
 
-def _weighed(large: DataFrame, cuts: DataFrame) -> DataFrame:
-    """rep, prob, good, bad: both weights of each candidate over all quartets of the problem."""
-    rows, values = large.join(F.broadcast(cuts), ["rep", "prob"]), []
-    for k in range(CANDIDATES):
-        cut = F.get("cuts", F.lit(k))
-        a, b, c, d = (F.get(cut, F.col(x)) for x in "abcd")
-        good = (a == b) & (c == d) & (a != c)
-        two = (a.cast("int") + b.cast("int") + c.cast("int") + d.cast("int")) == 2
-        values += [F.coalesce(F.sum(F.when(x, F.col("weight"))), F.lit(0.0)) for x in (good, two & ~good)]
-    return rows.groupBy("rep", "prob").agg(F.array(*values[::2]).alias("good"), F.array(*values[1::2]).alias("bad"))
+def _weighed(large: DataFrame, cuts: dict) -> dict:
+    """For each problem both weights of each of its cuts over all its quartets. cuts: of each problem, some labels long each."""
+    shared = large.sparkSession.sparkContext.broadcast(cuts)
+
+    def run(batches):
+        for batch in batches:
+            rep, prob = batch.column("rep").to_numpy(), batch.column("prob").to_numpy()
+            q = np.stack([batch.column(c).to_numpy() for c in "abcd"], axis=1)
+            w, out = batch.column("weight").to_numpy(), []
+            for key in sorted(set(zip(rep.tolist(), prob.tolist()))):
+                own = (rep == key[0]) & (prob == key[1])
+                out += [(*key, k, *_value(c, q[own], w[own])) for k, c in enumerate(shared.value[key])]
+            columns = list(zip(*out)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.float64()] * 2)], ["rep", "prob", "k", "good", "bad"])
+
+    rows = large.select("rep", "prob", *"abcd", "weight").mapInArrow(run, "rep BIGINT, prob BIGINT, k BIGINT, good DOUBLE, bad DOUBLE")
+    found: dict = {key: [(0.0, 0.0)] * len(own) for key, own in cuts.items()}
+    for r in rows.groupBy("rep", "prob", "k").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect():
+        found[r.rep, r.prob][r.k] = (r.good, r.bad)
+    return found
 
 
 def supertrees(splits: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
@@ -217,26 +239,31 @@ def supertrees(splits: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
         if not large:
             break
         big = marked.where("large").drop("large")
-        for r in big.where("prob = 0").select("rep", F.explode(F.array("a", "b", "c", "d")).alias("t")).groupBy("rep").agg(F.array_sort(F.collect_set("t")).alias("tips")).collect():
+        whole = big.where("prob = 0")
+        for r in whole.select("rep", F.explode(F.array("a", "b", "c", "d")).alias("t")).groupBy("rep").agg(F.array_sort(F.collect_set("t")).alias("tips")).collect():
             tips[r.rep] = list(r.tips)
-            labels[r.rep, 0] = [frozenset([t]) if t in set(r.tips) else frozenset() for t in range(max(r.tips) + 1)]
-        cuts = _candidates(big).checkpoint()
-        weighed = {(r.rep, r.prob): r for r in _weighed(big, cuts).collect()}
+            labels[r.rep, 0] = [frozenset([t]) for t in r.tips]
+        # labels of a whole problem are its tips, numbered
+        places = [(rep, {t: i for i, t in enumerate(tips[rep])}) for rep, prob in large if prob == 0]
+        if places:
+            map_ = spark.createDataFrame([(rep, list(own.items())) for rep, own in places], "rep BIGINT, own ARRAY<STRUCT<t INT, i INT>>").select("rep", F.map_from_entries("own").alias("own"))
+            numbers = whole.join(F.broadcast(map_), "rep").select("rep", "prob", *[F.element_at("own", F.col(x)).alias(x) for x in "abcd"], "weight")
+            big = numbers.unionByName(big.where("prob <> 0"))
+        cuts = {(r.rep, r.prob): [np.array(c) for c in r.cuts] for r in _candidates(big, {k: labels[k] for k in large}).collect()}
+        weighed = _weighed(big, cuts)
         maps = []
-        for r in cuts.collect():
-            own = labels[r.rep, r.prob]
-            tried = [np.array(c) for c in r.cuts]
-            w = weighed[r.rep, r.prob]
-            cut = _chosen(tried, list(zip(w.good, w.bad)))
+        for key in sorted(cuts):
+            rep, prob = key
+            own = labels[key]
+            cut = _chosen(cuts[key], weighed[key])
             if cut is None:
                 continue
             side = frozenset().union(*(own[i] for i in np.flatnonzero(cut)))
-            if side and side != frozenset(tips[r.rep]):
-                found.setdefault(r.rep, []).append(canonical(side, tips[r.rep]))
+            found.setdefault(rep, []).append(canonical(side, tips[rep]))
             for new, names in _halves(cut, own):
                 number += 1
-                labels[r.rep, number] = names
-                maps.append((r.rep, r.prob, number, new, len(names) - 1))
+                labels[rep, number] = names
+                maps.append((rep, prob, number, new, len(names) - 1))
         if not maps:
             break
         dealt = big.join(F.broadcast(spark.createDataFrame(maps, "rep BIGINT, prob BIGINT, next BIGINT, new ARRAY<INT>, rest INT")), ["rep", "prob"])

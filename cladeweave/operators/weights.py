@@ -24,9 +24,11 @@ def filtered(quartets: DataFrame, strategy: int, min_snps: int = 0, min_ratio: f
     return rows.where((F.col("nsnps") >= max(1, min_snps)) & (F.col("ratio") >= min_ratio))
 
 
-def weighted_splits(quartets: DataFrame, strategy: int = 1, min_snps: int = 0, min_ratio: float = 1.0) -> DataFrame:
-    """rep (if any), a, b, c, d, weight. A quartet without a weight (strategy 3, all scores 0) says nothing and goes."""
+def weighted_splits(quartets: DataFrame, strategy: int = 1, min_snps: int = 0, min_ratio: float = 1.0, skip_zero: bool = False) -> DataFrame:
+    """rep (if any), a, b, c, d, weight. A quartet without a weight (strategy 3, all scores 0) says nothing and goes; with skip_zero all whose scores are 0 do."""
     keys = ["rep"] if "rep" in quartets.columns else []
+    if skip_zero:
+        quartets = quartets.where("s0 <> 0 OR s1 <> 0 OR s2 <> 0")
     return split_order(filtered(quartets, strategy, min_snps, min_ratio).where("weight IS NOT NULL")).select(*keys, "a", "b", "c", "d", "weight")
 
 
@@ -37,6 +39,6 @@ def qmc_lines(splits: DataFrame) -> DataFrame:
     return splits.select(*keys, line.alias("line"))
 
 
-def shuffled(splits: DataFrame, seed: int) -> DataFrame:
-    """splits in an order by hash."""
-    return splits.orderBy(order_key(seed, *[F.col(c) for c in "abcd"]))
+def shuffled(lines: DataFrame, seed: int) -> DataFrame:
+    """lines with column key: sorting by it deals them in a random order that is the same every time."""
+    return lines.withColumn("key", order_key(seed, F.col("line")))

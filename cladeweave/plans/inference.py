@@ -9,20 +9,17 @@ from ..operators.bootstrap import draws, replicate_codes, resampled
 from ..operators.consensus import split_frequencies
 from ..operators.counts import dense_rows, pattern_counts, unlinked_counts
 from ..operators.encode import encode
-from ..operators.kernel import score_counts, score_dense, with_no_data
+from ..operators.kernel import DENSE_CELLS, score_counts, score_dense, with_no_data
 from ..operators.quartets import NAMES, all_quartets, budget, random_quartets
 from ..operators.supertree import supertrees
 from ..operators.trees import split_rows
 from ..operators.weights import weighted_splits
 from ..sources.files import read_quartets, write_quartets
 
-#: A matrix of up to so many cells goes to the executors, so that only quartets are rows.
-DENSE_CELLS = 2 << 30
 
-
-def score_relational(codes: DataFrame, quartets: DataFrame, seed: int, unlinked: bool = False) -> DataFrame:
-    """(rep,) i0..i3, s0..s2, res, nsnps by joins and aggregates; quartets without sites included."""
-    counts = unlinked_counts(codes, quartets) if unlinked else pattern_counts(codes, quartets)
+def score_blocks(codes: DataFrame, quartets: DataFrame, n: int, seed: int, unlinked: bool = False) -> DataFrame:
+    """(rep,) i0..i3, s0..s2, res, nsnps by blocks of the matrix, aggregates and batches; quartets without sites included."""
+    counts = unlinked_counts(codes, quartets, n) if unlinked else pattern_counts(codes, quartets, n)
     scored = score_counts(dense_rows(counts), seed)
     if "rep" in codes.columns and "rep" not in quartets.columns:
         quartets = codes.select("rep").distinct().crossJoin(quartets.select(*NAMES))
@@ -37,8 +34,8 @@ def chosen_quartets(spark: SparkSession, n: int, wanted: int, seed: int, rep: in
 def run(snps: DataFrame, n: int, out: str, reps: int = 0, wanted: int = 0, seed: int = 0, unlinked: bool = False, dense_cells: int = DENSE_CELLS, counts_out: str | None = None) -> list[int]:
     """Score quartets of replicates 0..reps and write them below out by replicate; those already there stay.
 
-    A replicate is the unit of restart. Dense where the matrix has a bounded size, else
-    relational. counts_out: a folder that keeps each replicate's pattern counts too.
+    A replicate is the unit of restart. Dense where the matrix has a bounded size, else by
+    blocks. counts_out: a folder that keeps each replicate's pattern counts too.
     """
     spark = snps.sparkSession
     try:
@@ -62,9 +59,9 @@ def run(snps: DataFrame, n: int, out: str, reps: int = 0, wanted: int = 0, seed:
         if cells <= dense_cells:
             scored = score_dense(codes, quartets, n, seed, unlinked, rep)
         else:
-            scored = score_relational(codes, quartets, seed, unlinked)
+            scored = score_blocks(codes, quartets, n, seed, unlinked)
         if counts_out:
-            kept = unlinked_counts(codes, quartets) if unlinked else pattern_counts(codes, quartets)
+            kept = unlinked_counts(codes, quartets, n) if unlinked else pattern_counts(codes, quartets, n)
             write_quartets(kept.withColumn("rep", F.lit(rep).cast("long")), counts_out)
         write_quartets(scored.withColumn("rep", F.lit(rep).cast("long")), out)
         done.append(rep)
@@ -73,7 +70,7 @@ def run(snps: DataFrame, n: int, out: str, reps: int = 0, wanted: int = 0, seed:
 
 def replicate_scores(snps: DataFrame, n: int, reps: int, seed: int, unlinked: bool = False) -> DataFrame:
     """rep, i0..i3, s0..s2, res, nsnps of all replicates in one plan."""
-    return score_relational(replicate_codes(snps, reps, seed), all_quartets(snps.sparkSession, n), seed, unlinked)
+    return score_blocks(replicate_codes(snps, reps, seed), all_quartets(snps.sparkSession, n), n, seed, unlinked)
 
 
 def replicate_trees(quartets: DataFrame, strategy: int = 1, min_snps: int = 0, min_ratio: float = 1.0) -> DataFrame:

@@ -123,6 +123,27 @@ freqs AS (SELECT array_to_string(side, ',') AS side, count(DISTINCT tree_id) AS
 _ORDER = ("2,3", "4,5", "6,7", "8,9", "10,11", "4,5,6,7", "8,9,10,11", "4,5,6,7,8,9,10,11", "2,3,4,5,6,7,8,9,10,11")
 
 
+_MANY = _CODES.replace("% 12", "% 60").replace("// 12", "// 60") + f""",
+many AS (SELECT CAST(i AS INTEGER) AS i FROM range(60) t(i)),
+every AS (
+  SELECT row_number() OVER (ORDER BY a.i, b.i, c.i, d.i) - 1 AS rank, a.i AS i0, b.i AS i1, c.i AS i2, d.i AS i3
+  FROM many a JOIN many b ON a.i < b.i JOIN many c ON b.i < c.i JOIN many d ON c.i < d.i),
+asked AS (SELECT i0, i1, i2, i3 FROM every ORDER BY {_order('7', '0', 'rank')}, rank LIMIT 200),
+patterns AS (
+  SELECT i0, i1, i2, i3, a.locus, a.site, a.code * 4 + b.code AS r, c.code * 4 + d.code AS c
+  FROM asked JOIN codes a ON a.sample_idx = i0 JOIN codes b ON b.sample_idx = i1 AND b.site = a.site JOIN codes c ON c.sample_idx = i2 AND c.site = a.site
+  JOIN codes d ON d.sample_idx = i3 AND d.site = a.site
+  WHERE a.code IS NOT NULL AND b.code IS NOT NULL AND c.code IS NOT NULL AND d.code IS NOT NULL AND NOT (a.code = b.code AND b.code = c.code AND c.code = d.code))"""
+
+# splits of the fixed tree without the smallest tip, and the clades below the root of its rooting
+_TREE_SIDES = ("2,3", "4,5", "6,7", "8,9", "10,11", "4,5,6,7", "8,9,10,11", "4,5,6,7,8,9,10,11", "2,3,4,5,6,7,8,9,10,11")
+_TREE_CLADES = ("0,1", "2,3", "4,5", "6,7", "8,9", "10,11", "0,1,2,3", "4,5,6,7", "8,9,10,11", "0,1,2,3,4,5,6,7")
+
+
+def _column(values) -> str:
+    return ", ".join(f"('{v}')" for v in values)
+
+
 def _budget_rows() -> str:
     return ", ".join(f"({n}, {k})" for n in (4, 8, 12, 18, 30, 100, 568) for k in (0, 100, 5000, 10**7))
 
@@ -140,7 +161,38 @@ ORACLES = {
     "quartet_budget": f"""WITH asked(n, k) AS (VALUES {_budget_rows()}),
 sized AS (SELECT n, k, CAST(CAST(n AS HUGEINT) * (n - 1) * (n - 2) * (n - 3) // 24 AS BIGINT) AS total, CAST(floor(pow(n, 2.8)) AS BIGINT) AS rough FROM asked)
 SELECT CAST(n AS INTEGER) AS n_samples, total, rough, CAST(CASE WHEN k = 0 THEN total ELSE least(k, total) END AS BIGINT) AS taken FROM sized""",
-    "chunk_ranges": "WITH size AS (SELECT 5985 // 8 + 5985 % 8 AS s) SELECT i * s AS start, least(i * s + s, 5985) AS \"end\" FROM size, range(0, 10) t(i) WHERE i * s < 5985",
+    "chunk_ranges": "WITH size AS (SELECT greatest(1000, CAST(ceil(5985 / 16.0) AS BIGINT)) AS s) SELECT i * s AS start, least(i * s + s, 5985) AS \"end\" FROM size, range(0, 10) t(i) WHERE i * s < 5985",
+    "pattern_counts_sampled": f"WITH {_MANY} SELECT i0, i1, i2, i3, r, c, count(*) AS n FROM patterns GROUP BY ALL",
+    "pattern_counts_sampled_unlinked": f"""WITH {_MANY},
+firsts AS (SELECT *, row_number() OVER (PARTITION BY i0, i1, i2, i3, locus ORDER BY site) AS k FROM patterns)
+SELECT i0, i1, i2, i3, r, c, count(*) AS n FROM firsts WHERE k = 1 GROUP BY ALL""",
+    "quartet_scores_known": f"""WITH {_RANKS},
+lines AS (SELECT l_orderkey % 3 AS rep, l_orderkey % 495 AS qid, l_linenumber % 4 AS x, day(l_shipdate) % 4 AS y FROM lineitem),
+xs AS (SELECT rep, qid, a, count(*) FILTER (x = a) + a + 1 AS m FROM lines, range(4) t(a) GROUP BY rep, qid, a),
+ys AS (SELECT rep, qid, b, count(*) FILTER (y = b) + b + 1 AS k FROM lines, range(4) t(b) GROUP BY rep, qid, b),
+cells AS (SELECT rep, qid, a, b, m * k AS n FROM xs JOIN ys USING (rep, qid)),
+seen AS (SELECT rep, qid, sum(n) AS every, max(n) AS top, sum(n * n) AS squares FROM cells GROUP BY rep, qid)
+SELECT rep, i0, i1, i2, i3, CAST(CASE rep WHEN 2 THEN 0 ELSE squares - top * top END AS BIGINT) AS s0_squared, CAST(CASE rep WHEN 0 THEN 0 ELSE squares - top * top END AS BIGINT) AS s1_squared,
+  CAST(CASE rep WHEN 1 THEN 0 ELSE squares - top * top END AS BIGINT) AS s2_squared, CAST(CASE rep WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS INTEGER) AS res, CAST(every AS BIGINT) AS nsnps
+FROM seen JOIN ranks ON qid = rank""",
+    "singular_values": f"""WITH {_PATTERNS}, cells AS (SELECT i0, i1, i2, i3, r, c, count(*) AS n FROM patterns GROUP BY ALL)
+SELECT i0, i1, i2, i3, CAST(f AS INTEGER) AS f, CAST(sum(n * n) AS DOUBLE) AS squares, CAST(sum(n) AS BIGINT) AS nsnps FROM cells, range(3) t(f) GROUP BY ALL""",
+    "weightless_lines": f"""WITH {_QUARTETS} SELECT rep, CASE res WHEN 0 THEN format('{{}},{{}}|{{}},{{}}', i0, i1, i2, i3) WHEN 1 THEN format('{{}},{{}}|{{}},{{}}', i0, i2, i1, i3)
+ELSE format('{{}},{{}}|{{}},{{}}', i0, i3, i1, i2) END || ':1.00000' AS line FROM quartets_fx WHERE nsnps >= 1 AND greatest(s0, s1, s2) > 0""",
+    "shuffled_lines": f"""WITH {_QUARTETS}, lines AS (SELECT rep, CASE res WHEN 0 THEN format('{{}},{{}}|{{}},{{}}', i0, i1, i2, i3) WHEN 1 THEN format('{{}},{{}}|{{}},{{}}', i0, i2, i1, i3)
+ELSE format('{{}},{{}}|{{}},{{}}', i0, i3, i1, i2) END || ':' || printf('%.5f', upper) AS line FROM quartets_fx WHERE CASE WHEN lo = 0 THEN 1.0 ELSE upper / lo END >= 1.0)
+SELECT rep, line, {_order('7', 'line')} AS key FROM lines""",
+    "supertree_splits": f"SELECT CAST(rep AS BIGINT) AS rep, side FROM (SELECT DISTINCT l_linenumber % 4 AS rep FROM lineitem), (VALUES {_column(_TREE_SIDES)}) t(side)",
+    "consensus_tree": f"WITH {_SIDES} SELECT side, round(freq, 6)::DOUBLE AS support FROM freqs WHERE freq >= 0.5 AND len(string_split(side, ',')) BETWEEN 2 AND 10",
+    "rooted_tree": f"SELECT array_to_string(list_sort(string_split(clade, ',')), ',') AS clade FROM (VALUES {_column(_TREE_CLADES)}) t(clade)",
+    "named_tree": f"""WITH clades AS (SELECT clade, unnest(string_split(clade, ',')) AS tip FROM (VALUES {_column(_TREE_CLADES)}) t(clade))
+SELECT string_agg(n_name, ',' ORDER BY n_name) AS clade FROM clades JOIN nation ON n_nationkey = CAST(tip AS INTEGER) GROUP BY clades.clade""",
+    "quartets_tsv": f"WITH {_QUARTETS} SELECT i0, i1, i2, i3, round(s0, 6) AS s0, round(s1, 6) AS s1, round(s2, 6) AS s2, res, nsnps FROM quartets_fx WHERE rep = 1",
+    "vcf_matrix": f"""WITH {_SNPS}, sites AS (SELECT DISTINCT locus, site FROM snps_fx), samples AS (SELECT CAST(i AS INTEGER) AS sample_idx FROM range(12) t(i))
+SELECT sample_idx, locus, site, coalesce(base, 78) AS base FROM sites CROSS JOIN samples LEFT JOIN snps_fx USING (sample_idx, locus, site)""",
+    "project_info": f"""WITH {_SNPS}, seen AS (SELECT count(DISTINCT sample_idx) AS n, count(DISTINCT site) AS k FROM snps_fx)
+SELECT 'demo' AS name, 'embeddings' AS data, '.' AS workdir, '1' AS weights, 'False' AS subsample_snps, '100' AS nquartets, '7' AS random_seed, CAST(n AS VARCHAR) AS nsamples,
+  CAST(k AS VARCHAR) AS nsnps, CAST(least(100, n * (n - 1) * (n - 2) * (n - 3) // 24) AS VARCHAR) AS nqrts, CAST(n * (n - 1) * (n - 2) * (n - 3) // 24 AS VARCHAR) AS nqrts_total FROM seen""",
     "resolve_ambiguity": f"WITH {_SNPS}, {_RESOLVED} SELECT * FROM resolved",
     "bootstrap_draws": f"WITH {_drawn(3)} SELECT * FROM drawn",
     "bootstrap_width": f"WITH {_drawn(3)} SELECT rep, CAST(sum(n_sites) AS BIGINT) AS width FROM drawn GROUP BY rep",

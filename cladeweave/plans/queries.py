@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import best_resolution, ratio, weight
 from ..operators import bootstrap, concordance, consensus, counts, encode, kernel, quartets, supertree, trees, weights
+from ..session import shared_path
+from ..sources import files
 from ..sources import fixtures as fx
 from . import inference
 
@@ -79,7 +81,7 @@ def quartet_budget(s, d):
 
 
 def chunk_ranges(s, d):
-    return quartets.chunk_ranges(s, 5985, quartets.chunk_size(5985, 4))
+    return quartets.chunk_ranges(s, 5985, quartets.chunk_rows(5985, 4))
 
 
 def resolve_ambiguity(s, d):
@@ -119,6 +121,20 @@ def pattern_counts_unlinked(s, d):
     return counts.unlinked_counts(_codes(s, d))
 
 
+def _sampled(s):
+    return quartets.random_quartets(s, fx.MANY, 200, SEED)
+
+
+def pattern_counts_sampled(s, d):
+    codes = encode.encode(fx.snps(s, d, fx.MANY), SEED)
+    return counts.pattern_counts(codes, _sampled(s), fx.MANY)
+
+
+def pattern_counts_sampled_unlinked(s, d):
+    codes = encode.encode(fx.snps(s, d, fx.MANY), SEED)
+    return counts.unlinked_counts(codes, _sampled(s), fx.MANY)
+
+
 def pattern_counts_random_snp(s, d):
     return counts.random_site_counts(_codes(s, d), SEED)
 
@@ -152,6 +168,14 @@ def qmc_lines(s, d):
     return weights.qmc_lines(weights.weighted_splits(fx.scored_quartets(s, d), 1, 5, 1.5))
 
 
+def weightless_lines(s, d):
+    return weights.qmc_lines(weights.weighted_splits(fx.scored_quartets(s, d), 0, skip_zero=True))
+
+
+def shuffled_lines(s, d):
+    return weights.shuffled(weights.qmc_lines(weights.weighted_splits(fx.scored_quartets(s, d), 1)), SEED)
+
+
 def min_filters(s, d):
     return weights.filtered(fx.scored_quartets(s, d), 1, 20, 3.0).select("rep", *NAMES, "res", "nsnps")
 
@@ -218,11 +242,25 @@ def relabel_tips(s, d):
 
 
 def quartet_scores(s, d):
-    return inference.score_relational(_codes(s, d), quartets.all_quartets(s, N), SEED)
+    return inference.score_blocks(_codes(s, d), quartets.all_quartets(s, N), N, SEED)
 
 
 def quartet_scores_unlinked(s, d):
-    return inference.score_relational(_codes(s, d), quartets.all_quartets(s, N), SEED, unlinked=True)
+    return inference.score_blocks(_codes(s, d), quartets.all_quartets(s, N), N, SEED, unlinked=True)
+
+
+def quartet_scores_known(s, d):
+    """Scores of counts whose singular values are known: see fixtures.known_counts."""
+    scored = kernel.score_counts(counts.dense_rows(fx.known_counts(s, d)), SEED)
+    # the squares are whole numbers
+    return scored.select("rep", *NAMES, *[F.round(F.col(c) * F.col(c)).cast("long").alias(f"{c}_squared") for c in ("s0", "s1", "s2")], "res", "nsnps")
+
+
+def singular_values(s, d):
+    """The squares of each flattening's singular values add up to those of its counts."""
+    rows = kernel.spectra(counts.dense_rows(counts.pattern_counts(_codes(s, d), quartets.all_quartets(s, N), N)))
+    squares = F.aggregate("values", F.lit(0.0), lambda a, x: a + x * x)
+    return rows.select(*NAMES, "f", F.round(squares, 3).alias("squares"), "nsnps")
 
 
 def quartet_scores_dense(s, d):
@@ -237,20 +275,61 @@ def supertrees(s, d):
     return inference.replicate_trees(fx.scored_quartets(s, d))
 
 
+def _sides(newick: str) -> list[str]:
+    return [",".join(map(str, side)) for side in trees.edge_order(trees.splits(trees.parse_newick(newick)))]
+
+
+def supertree_splits(s, d):
+    """Quartets that all say what one tree says, with the data's weights, give that tree in each replicate."""
+    told = fx.scored_quartets(s, d).drop("res").join(concordance.tree_quartets(_edges(s)), NAMES).withColumnRenamed("r", "res")
+    rows = [(r.rep, side) for r in inference.replicate_trees(told).collect() for side in _sides(r.newick)]  # one row a replicate
+    return s.createDataFrame(rows, "rep BIGINT, side STRING")
+
+
 def consensus_tree(s, d):
+    """The splits and supports of the consensus as written and read back."""
     rows = [(tuple(r.side), r.freq) for r in inference.replicate_split_frequencies(s, list(fx.REPLICATE_TREES)).collect()]
-    root = consensus.consensus_tree(rows, range(N))
-    return s.createDataFrame([(trees.write_newick(root, features=True),)], "newick STRING")
+    root = trees.parse_newick(trees.write_newick(consensus.consensus_tree(rows, range(N))))
+    held = consensus.with_support(trees.write_newick(root), inference.replicate_split_frequencies(s, list(fx.REPLICATE_TREES)), s)
+    found = [(",".join(map(str, side)), node.features["support"]) for side, node in trees.splits(held).items()]
+    return s.createDataFrame(found, "side STRING, support DOUBLE")
+
+
+def _clades(root) -> list[tuple[str]]:
+    """Tips below each inner node but the root, sorted as text."""
+    return [(",".join(sorted(n.tips())),) for n in root.nodes() if n is not root and n.children]
 
 
 def rooted_tree(s, d):
     root = trees.rooted(trees.parse_newick(fx.TREE), "~^(8|9|10|11)$")
-    return s.createDataFrame([(trees.write_newick(root),)], "newick STRING")
+    return s.createDataFrame(_clades(trees.parse_newick(trees.write_newick(root))), "clade STRING")
 
 
 def named_tree(s, d):
     names = {r.sample_idx: r.name for r in fx.samples(s, d).collect()}  # one row a sample
-    return s.createDataFrame([(supertree.named(fx.TREE, names),)], "newick STRING")
+    return s.createDataFrame(_clades(trees.parse_newick(supertree.named(fx.TREE, names))), "clade STRING")
+
+
+def quartets_tsv(s, d):
+    """Scored quartets of one replicate written as text and read back."""
+    path = shared_path(s, "tsv")
+    files.write_quartets_tsv(fx.scored_quartets(s, d).where("rep = 1"), path)
+    return files.read_quartets_tsv(s, path)
+
+
+def vcf_matrix(s, d):
+    """The matrix written as a VCF and read back."""
+    path = shared_path(s, "vcf")
+    files.vcf_lines(fx.snps(s, d), [f"s{i}" for i in range(N)]).write.text(path)
+    cells, _ = files.read_vcf(s, path)
+    return files.numbered_sites(cells)
+
+
+def project_info(s, d):
+    found = encode.matrix_summary(fx.snps(s, d)).first()
+    sized = quartets.budget(found.n_samples, 100)
+    project = files.Project("demo", "embeddings", nquartets=100, random_seed=SEED, nsamples=found.n_samples, nsnps=found.n_sites, nqrts=sized["taken"], nqrts_total=sized["total"])
+    return files.project_info(s, project)
 
 
 QUERIES = {
@@ -259,7 +338,8 @@ QUERIES = {
         encode_bases, sample_names, matrix_summary, locus_spans, zero_based_loci, quartets_all, quartets_unrank, quartets_random, quartets_random_sorted,
         quartets_equal_splits, quartet_budget, chunk_ranges, resolve_ambiguity, bootstrap_draws, bootstrap_width, bootstrap_sites, population_pick,
         population_map, population_subset, pattern_counts_all, pattern_counts_unlinked, pattern_counts_random_snp, flattenings, quartet_nsnps, mean_nsnps,
-        no_data_quartets, best_resolutions, quartet_weights, qmc_lines, min_filters, tree_quartets, edge_tallies, edge_tallies_by_rep, edge_means,
+        no_data_quartets, best_resolutions, quartet_weights, qmc_lines, weightless_lines, shuffled_lines, min_filters, pattern_counts_sampled,
+        pattern_counts_sampled_unlinked, quartet_scores_known, singular_values, supertree_splits, quartets_tsv, vcf_matrix, project_info, tree_quartets, edge_tallies, edge_tallies_by_rep, edge_means,
         edge_stats, tip_fidelity, split_totals, split_sampled, split_frequencies, split_support, relabel_tips, quartet_scores, quartet_scores_unlinked,
         quartet_scores_dense, quartet_scores_boot, supertrees, consensus_tree, rooted_tree, named_tree,
     )

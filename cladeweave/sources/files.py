@@ -6,9 +6,10 @@ import json
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
 from ..operators.quartets import NAMES
 
 QUARTETS = "i0 INT, i1 INT, i2 INT, i3 INT, s0 DOUBLE, s1 DOUBLE, s2 DOUBLE, res INT, nsnps BIGINT"
@@ -30,6 +31,7 @@ def read_hdf5(spark: SparkSession, path: str) -> DataFrame:
         n_sites = f["snps"].shape[1]
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         with h5py.File(path, "r") as f:
@@ -37,8 +39,8 @@ def read_hdf5(spark: SparkSession, path: str) -> DataFrame:
                 for lo in batch.column("lo").to_pylist():
                     block, locus = f["snps"][:, lo : lo + 4096].astype("int32"), f["snpsmap"][lo : lo + 4096, 0].astype("int64") - 1
                     n, k = block.shape
-                    columns = [[i for i in range(n) for _ in range(k)], [*locus.tolist()] * n, [*range(lo, lo + k)] * n, block.reshape(-1).tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int32()))], ["sample_idx", "locus", "site", "base"])
+                    columns = [np.repeat(np.arange(n), k), np.tile(locus, n), np.tile(np.arange(lo, lo + k), n), block.reshape(-1)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int32()))], ["sample_idx", "locus", "site", "base"])
 
     return spark.range(0, n_sites, 4096).withColumnRenamed("id", "lo").mapInArrow(run, "sample_idx INT, locus BIGINT, site BIGINT, base INT")
 
@@ -51,42 +53,63 @@ def hdf5_names(path: str) -> list[str]:
 
 
 def read_vcf(spark: SparkSession, path: str, block: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(sample_idx, chrom, block, pos, base), samples from a VCF of single bases.
+    """(sample_idx, chrom, block, pos, ref, alt, copy, base), samples from a VCF of single bases.
 
     Two different called alleles become their two-base code; anything else is missing.
-    The locus is the chromosome, or with block the part of it of that length.
+    The locus is the chromosome, or with block the part of it of that length. A record is
+    a site: several at one position differ in ref or alt, and copy numbers equal ones.
     """
     lines = spark.read.text(path)
     head = lines.where(F.col("value").startswith("#CHROM")).first().value.split("\t")[9:]
     samples = spark.createDataFrame(list(enumerate(head)), "sample_idx INT, name STRING")
     fields = F.split("value", "\t")
-    rows = lines.where(~F.col("value").startswith("#")).select(fields.alias("f"))
-    alleles = F.concat(F.array(F.col("f")[3]), F.split(F.col("f")[4], ","))
-    cells = rows.select(F.col("f")[0].alias("chrom"), F.col("f")[1].cast("long").alias("pos"), alleles.alias("alleles"), F.posexplode(F.slice("f", 10, len(head))).alias("sample_idx", "cell"))
+    rows = lines.where(~F.col("value").startswith("#")).select(fields.alias("f"), F.xxhash64("value").alias("line"))
+    rows = rows.select(F.col("f")[0].alias("chrom"), F.col("f")[1].cast("long").alias("pos"), F.col("f")[3].alias("ref"), F.col("f")[4].alias("alt"), "f", "line")
+    part = F.expr(f"pos div {block}") if block else F.lit(0)
+    same = Window.partitionBy("chrom", "pos", "ref", "alt").orderBy("line")  # the records of one position
+    rows = rows.withColumn("block", part.cast("long")).withColumn("copy", F.row_number().over(same))
+    alleles = F.concat(F.array(F.col("ref")), F.split("alt", ","))
+    cells = rows.select(*SITE, alleles.alias("alleles"), F.posexplode(F.slice("f", 10, len(head))).alias("sample_idx", "cell"))
     calls = F.split(F.substring_index("cell", ":", 1), "[/|]")
     called = F.array_sort(F.array_distinct(F.transform(calls, lambda c: F.get("alleles", c.try_cast("int")))))
     codes = {"A": 65, "C": 67, "G": 71, "T": 84, "AG": 82, "GT": 75, "CG": 83, "CT": 89, "AT": 87, "AC": 77}
     base = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in codes.items() for x in kv]), F.array_join(called, "")), F.lit(78))
-    part = F.expr(f"pos div {block}") if block else F.lit(0)
     whole = ~F.exists(F.transform(calls, lambda c: F.get("alleles", c.try_cast("int"))), lambda x: x.isNull())
-    return cells.select("sample_idx", "chrom", part.cast("long").alias("block"), "pos", F.when(whole, base).otherwise(78).alias("base")), samples
+    return cells.select("sample_idx", *SITE, F.when(whole, base).otherwise(78).alias("base")), samples
+
+
+#: What makes a record of a VCF, in the order of sites.
+SITE = ["chrom", "block", "pos", "ref", "alt", "copy"]
 
 
 def numbered_sites(vcf: DataFrame) -> DataFrame:
-    """sample_idx, locus, site, base: loci and sites numbered in order of chromosome, block and position.
+    """sample_idx, locus, site, base: loci and sites numbered in order of chromosome, block, position and record.
 
-    Loci are numbered over the small table of loci; a site is its place inside its locus
-    behind the sites of all loci before, so no window spans all sites.
+    Numbers come from prefix sums over bins of positions (of blocks for loci), so no
+    window holds a chromosome.
     """
-    from pyspark.sql import Window
-
-    sites = vcf.select("chrom", "block", "pos").distinct()
-    loci = sites.groupBy("chrom", "block").agg(F.count(F.lit(1)).alias("k"))
-    order = Window.orderBy("chrom", "block")
-    loci = loci.withColumn("locus", (F.row_number().over(order) - 1).cast("long")).withColumn("first", F.coalesce(F.sum("k").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("chrom", "block").orderBy("pos")) - 1
-    sites = sites.withColumn("inside", inside).join(loci, ["chrom", "block"]).select("chrom", "block", "pos", "locus", (F.col("first") + F.col("inside")).alias("site"))
-    return vcf.join(sites, ["chrom", "block", "pos"]).select("sample_idx", "locus", "site", "base")
+    records = vcf.select(*SITE).distinct()
+    sites = numbered(records, "site", {"_chrom": F.col("chrom"), "_block": F.col("block"), "_bin": F.expr("pos div 16384")}, "pos", "ref", "alt", "copy")
+    loci = numbered(records.select("chrom", "block").distinct(), "locus", {"_chrom": F.col("chrom"), "_bin": F.expr("block div 4096")}, "block")
+    placed = sites.join(loci, ["chrom", "block"]).select(*SITE, F.col("locus").cast("long").alias("locus"), F.col("site").cast("long").alias("site"))
+    return vcf.join(placed, SITE).select("sample_idx", "locus", "site", "base")
+
+
+def vcf_lines(snps: DataFrame, names: list[str]) -> DataFrame:
+    """value: a matrix as the lines of a VCF, header included, in no order; samples it lacks at a site are missing calls."""
+    called = {65: "0/0", 67: "1/1", 71: "2/2", 84: "3/3", 82: "0/2", 75: "2/3", 83: "1/2", 89: "1/3", 87: "0/3", 77: "0/1"}
+    call = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in called.items() for x in kv]), F.col("base")), F.lit("./."))
+    known = F.map_from_entries(F.collect_list(F.struct("sample_idx", call.alias("call"))))
+    rows = snps.groupBy("locus", "site").agg(known.alias("m"))
+    cells = [F.coalesce(F.element_at("m", i), F.lit("./.")) for i in range(len(names))]
+    fixed = [F.format_string("c%012d", "locus"), (F.col("site") + 1).cast("string"), *map(F.lit, (".", "A", "C,G,T", ".", "PASS", ".", "GT"))]
+    head = ["##fileformat=VCFv4.2", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names])]
+    return snps.sparkSession.createDataFrame([(x,) for x in head], "value STRING").unionByName(rows.select(F.concat_ws("\t", *fixed, *cells).alias("value")))
+
+
+def write_text(path: str, lines: list[str]) -> None:
+    """A small text file of the driver, such as a tree for each line."""
+    Path(path).write_text("".join(x + "\n" for x in lines))
 
 
 def write_quartets(quartets: DataFrame, path: str, mode: str = "append") -> None:

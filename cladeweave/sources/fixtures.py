@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.quartets import unranked
 
-SAMPLES = 12
+SAMPLES, MANY = 12, 60
 TREE = "((((0,1),(2,3)),((4,5),(6,7))),((8,9),(10,11)));"
 REPLICATE_TREES = (
     TREE,
@@ -21,8 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def snps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sample_idx, locus, site, base from the embeddings' signs and sizes."""
+def snps(spark: SparkSession, sf_dir: str, n: int = SAMPLES) -> DataFrame:
+    """sample_idx, locus, site, base of n samples from the embeddings' signs and sizes."""
     cells = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x"))
     v, i = F.col("x").cast("double"), F.col("vec_id")
     base = (
@@ -33,8 +33,8 @@ def snps(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(v < 0.125, 71)
         .otherwise(84)
     )
-    locus = F.expr(f"vec_id div {SAMPLES}")
-    return cells.select((i % SAMPLES).cast("int").alias("sample_idx"), locus.alias("locus"), (locus * 64 + F.col("pos")).alias("site"), base.cast("int").alias("base"))
+    locus = F.expr(f"vec_id div {n}")
+    return cells.select((i % n).cast("int").alias("sample_idx"), locus.alias("locus"), (locus * 64 + F.col("pos")).alias("site"), base.cast("int").alias("base"))
 
 
 def scored_quartets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,3 +55,21 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def populations(spark: SparkSession) -> DataFrame:
     """pop, sample_idx: four populations of three."""
     return spark.range(SAMPLES).select(F.expr("CAST(id div 3 AS INT)").alias("pop"), F.col("id").cast("int").alias("sample_idx"))
+
+
+def known_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rep, i0..i3, r, c, n from line items: x(a) * y(b) sites with the bases a, b, a, b.
+
+    x and y count a quartet's lines by number and by day. One flattening then has rank 1
+    and the other two hold the products on a diagonal, so all singular values are known.
+    rep 0: the second flattening has rank 1 (a, b, a, b); 1: the third (a, b, b, a); 2: the first (a, a, b, b).
+    """
+    lines = table(spark, sf_dir, "lineitem").withColumn("rank", F.col("l_orderkey") % 495).withColumn("rep", (F.col("l_orderkey") % 3).cast("long"))
+    part = lambda c: [F.sum(F.when(c == k, 1).otherwise(0)) + k + 1 for k in range(4)]
+    sums = lines.groupBy("rep", "rank").agg(F.array(*part(F.col("l_linenumber") % 4)).alias("x"), F.array(*part(F.dayofmonth("l_shipdate") % 4)).alias("y"))
+    cells = sums.select("rep", "rank", F.posexplode("x").alias("a", "m"), "y").select("rep", "rank", "a", "m", F.posexplode("y").alias("b", "k"))
+    cells = cells.withColumn("n", (F.col("m") * F.col("k")).cast("long"))
+    a, b = F.col("a"), F.col("b")
+    r = F.when(F.col("rep") == 2, a * 4 + a).otherwise(a * 4 + b).cast("int")
+    c = F.when(F.col("rep") == 0, a * 4 + b).when(F.col("rep") == 1, b * 4 + a).otherwise(b * 4 + b).cast("int")
+    return unranked(cells.withColumn("r", r).withColumn("c", c), SAMPLES).select("rep", "i0", "i1", "i2", "i3", "r", "c", "n")

@@ -1,3 +1,4 @@
+import importlib.util
 import os
 import sys
 
@@ -5,7 +6,11 @@ import pytest
 
 HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, HERE)
-os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [HERE, os.environ.get("PYTHONPATH", "")]))
+PATHS = [HERE]
+if importlib.util.find_spec("h5py") is None:
+    PATHS.append(os.path.join(HERE, "tests", "stubs"))
+    sys.path.append(PATHS[-1])
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [*PATHS, os.environ.get("PYTHONPATH", "")]))
 
 
 @pytest.fixture(scope="session")

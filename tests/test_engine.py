@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cladeweave.functions import scores as sc
-from cladeweave.operators import concordance, consensus, counts, encode, kernel, quartets, supertree, trees
+from cladeweave.functions import numbering
+from cladeweave.operators import concordance, consensus, counts, encode, kernel, packed, quartets, supertree, trees
 from cladeweave.plans import inference
 from cladeweave.plans import oracles, queries
 from cladeweave.sources import files, fixtures
@@ -60,13 +61,13 @@ def codes_of(spark, columns, loci=None):
     ],
 )
 def test_scores_by_hand(spark, columns, want, res):
-    row = inference.score_relational(codes_of(spark, columns), quartets.all_quartets(spark, 4), 1).first()
+    row = inference.score_blocks(codes_of(spark, columns), quartets.all_quartets(spark, 4), 4, 1).first()
     assert (row.s0, row.s1, row.s2) == pytest.approx(want, abs=1e-6)
     assert (row.res, row.nsnps) == (res, len(columns))
 
 
 def test_no_data(spark):
-    row = inference.score_relational(codes_of(spark, ["0N11", "2222"]), quartets.all_quartets(spark, 4), 1).first()
+    row = inference.score_blocks(codes_of(spark, ["0N11", "2222"]), quartets.all_quartets(spark, 4), 4, 1).first()
     assert (row.s0, row.s1, row.s2, row.nsnps) == (0.001, 0.001, 0.001, 0) and row.res in (0, 1, 2)
 
 
@@ -76,15 +77,36 @@ def random_columns(seed, n, sites):
 
 
 @pytest.mark.parametrize("unlinked", [False, True])
-@pytest.mark.parametrize("block", [1 << 28, 200])
-def test_dense_equals_relational(spark, unlinked, block):
+@pytest.mark.parametrize("cells, slices", [(1 << 20, 1 << 22), (70, 9)])
+def test_dense_equals_blocks_equals_joins(spark, monkeypatch, unlinked, cells, slices):
+    monkeypatch.setattr(packed, "BLOCK_CELLS", cells)  # ten sites a block: loci of six go on in the next one
+    monkeypatch.setattr(packed, "QUARTETS", slices)
+    monkeypatch.setattr(packed, "PART", 5)
     columns = random_columns(1, 7, 90)
     codes = codes_of(spark, columns, [k // 6 for k in range(90)])
     q = quartets.all_quartets(spark, 7)
-    one = plain(inference.score_relational(codes, q, 5, unlinked).collect())
-    two = plain(kernel.score_dense(codes, q, 7, 5, unlinked, block_cells=block).select("i0", "i1", "i2", "i3", "s0", "s1", "s2", "res", "nsnps").collect())
+    one = plain(inference.score_blocks(codes, q, 7, 5, unlinked).collect())
+    two = plain(kernel.score_dense(codes, q, 7, 5, unlinked).select("i0", "i1", "i2", "i3", "s0", "s1", "s2", "res", "nsnps").collect())
     assert len(one) == math.comb(7, 4) and np.allclose(np.array(one)[:, [0, 1, 2, 3, 8]], np.array(two)[:, [0, 1, 2, 3, 8]])
     assert np.allclose(np.array(one)[:, 4:7], np.array(two)[:, 4:7], atol=1e-5)
+    count = counts.unlinked_counts if unlinked else counts.pattern_counts
+    some = q.where("rank % 3 = 0")
+    asked = count(codes, some, 7).select("i0", "i1", "i2", "i3", "r", "c", "n")
+    joined = count(codes).join(some.select(*quartets.NAMES), quartets.NAMES).select(asked.columns)
+    assert plain(asked.collect()) == plain(joined.collect())
+
+
+def test_blocks_of_replicates(spark):
+    codes = codes_of(spark, random_columns(4, 6, 40)).withColumn("rep", F.col("site") % 2)
+    got = counts.pattern_counts(codes, quartets.all_quartets(spark, 6), 6)
+    want = counts.pattern_counts(codes)
+    assert plain(got.select(sorted(got.columns)).collect()) == plain(want.select(sorted(got.columns)).collect())
+
+
+def test_a_matrix_too_large_for_executors_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(kernel, "DENSE_CELLS", 10)
+    with pytest.raises(ValueError):
+        kernel.score_dense(codes_of(spark, ["0011"] * 9), quartets.all_quartets(spark, 4), 4, 1)
 
 
 def test_compressed_columns_count_alike(spark):
@@ -129,7 +151,11 @@ def test_equal_splits(spark):
     per = {}
     for r in got:
         per[r.edge_id] = per.get(r.edge_id, 0) + 1
-    assert all(per[e] <= 23 for e in range(9))
+    assert all(0 < per[e] <= 23 for e in range(9))
+    root = trees.parse_newick(fixtures.TREE)
+    for r in got:
+        if r.edge_id is not None:
+            assert len(set(trees.edge_order(trees.splits(root))[r.edge_id]) & set(tuple(r)[:4])) == 2
 
 
 def test_partitioning_changes_nothing(spark):
@@ -281,6 +307,39 @@ def test_vcf(spark, tmp_path):
     assert [got[i, 2] for i in range(4)] == [(2, 84), (2, 78), (2, 78), (2, 84)]
 
 
+def test_vcf_records_at_one_position_are_sites_of_their_own(spark, tmp_path):
+    head = VCF.splitlines()[:2]
+    rows = ["c1\t9\t.\tA\tG\t.\t.\t.\tGT\t0/0\t1/1\t0/0\t1/1", "c1\t9\t.\tA\tT\t.\t.\t.\tGT\t0/0\t0/0\t1/1\t1/1"]
+    (tmp_path / "x.vcf").write_text("\n".join([*head, *rows, rows[0], ""]))
+    cells, _ = files.read_vcf(spark, str(tmp_path / "x.vcf"))
+    snps = files.numbered_sites(cells)
+    assert snps.count() == 12 and snps.select("site").distinct().count() == 3
+    (row,) = inference.score_blocks(encode.encode(snps, 1), quartets.all_quartets(spark, 4), 4, 1).collect()
+    assert row.nsnps == 3
+
+
+def test_numbering_in_bins(spark):
+    rows = spark.createDataFrame([(i * 37 % 1000,) for i in range(1000)], "x BIGINT")
+    got = numbering.numbered(rows, "place", {"bin": F.expr("x div 64")}, "x").collect()
+    assert all(r.place == r.x for r in got) and len(got) == 1000
+    for k in (0, 1, 63, 64, 65, 999, 1000, 2000):
+        assert sorted(r.x for r in numbering.first_rows(rows, k, F.expr("x div 64").cast("int"), "x").collect()) == list(range(min(k, 1000)))
+
+
+def test_hdf5(spark, tmp_path):
+    """With h5py, or a stand-in that reads the same names from .npz files."""
+    import h5py
+
+    snps, loci = np.array([[65, 67, 71], [84, 78, 82]], np.uint8), np.array([[1, 0, 5], [1, 1, 9], [2, 0, 3]])
+    path = str(tmp_path / "m.hdf5")
+    with h5py.File(path, "w") as f:
+        f.create_dataset("snps", data=snps).attrs["names"] = ["a", "b"]
+        f.create_dataset("snpsmap", data=loci)
+    assert files.hdf5_names(path) == ["a", "b"]
+    got = {(r.sample_idx, r.site): (r.locus, r.base) for r in files.read_hdf5(spark, path).collect()}
+    assert got == {(i, k): (int(loci[k, 0]) - 1, int(snps[i, k])) for i in range(2) for k in range(3)}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from cladeweave.streaming.tallies import quartet_stream, streaming_tallies
 
@@ -305,7 +364,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert files.read_quartets(spark, str(tmp_path / "p.quartets")).count() == 2 * 495
     main(["run", project, "-b", "2"])
     assert "[2]" in capsys.readouterr().out
-    main(["run", project, "-b", "1", "--force", "--save-counts"])
+    assert (tmp_path / "p.boots.nwk").read_text().count(";") == 2 and "support" in (tmp_path / "p.cons.nwk").read_text()
+    assert len(trees.parse_newick((tmp_path / "p.best.nwk").read_text()).tips()) == 12 and "support" in (tmp_path / "p.supports.nwk").read_text()
+    main(["--log-level", "ERROR", "run", project, "-b", "1", "--force", "--save-counts"])
     assert "[0, 1]" in capsys.readouterr().out
     assert files.read_quartets(spark, str(tmp_path / "p.quartets")).count() == 2 * 495
     assert spark.read.parquet(str(tmp_path / "p.counts")).select("rep").distinct().count() == 2
