@@ -31,6 +31,7 @@ import numpy as np
 BLOCK, LEAST_PAIR, SLOT_BITS, RATE = 1024, 3, 9, 5
 #: Shares of 256 that order 1 gets against order 0; none where an id has no listed pairs.
 LEVELS = np.array([0, 112, 176, 216, 238, 250], dtype=np.int64)
+_REST_OF = 256 - LEVELS
 _LEVEL_OF = np.abs(np.arange(256)[:, None] - LEVELS[None, 1:]).argmin(1) + 1
 _LEVEL_OF[0] = 0
 #: Where weights of order 2 start, by the hits in a row before, of 2**16.
@@ -169,6 +170,7 @@ class _Mixer:
     def __init__(self, prior: Prior, n: int):
         self.p = prior
         lanes = np.arange(n)
+        self.one = 8 + prior.scale
         # cells of order 2, 16 bytes each: the two ids, and symbol << 32 | place << 3 | hits
         self.cells = np.zeros(n << SLOT_BITS, np.complex128)
         self.cell_base = lanes << SLOT_BITS
@@ -184,33 +186,50 @@ class _Mixer:
         self.level_at = self.weight_base[:k] + p.level[last]
         self.w = self.weight[self.level_at]
         self.step = _LEVEL_OF[self.w >> 8]
-        self.a = LEVELS[self.step]
+        self.a, self.b = LEVELS[self.step], _REST_OF[self.step]
         self.key = (self.before[:k] << 32 | last) + 1
         self.slot = self.cell_base[:k] + ((self.key * 0x1E3779B97F4A7C15 >> 40) & ((1 << SLOT_BITS) - 1))
         cell = self.cells[self.slot].view(np.int64)
-        self.known = cell[::2] == self.key
-        value = cell[1::2]
+        # lanes whose context has been seen, and what order 2 says there
+        self.seen = np.flatnonzero(cell[::2] == self.key)
+        value = cell[1::2][self.seen]
         self.guess, self.hits = value >> 32, value & 7
         self.guess_place = value >> 3 & 0x1FFFFFFF
-        self.trust_at = self.trust_base[:k] + self.hits
+        self.trust_at = self.trust_base[self.seen] + self.hits
         self.t = self.trust[self.trust_at]
-        # of 4096
-        self.w2 = (self.t >> 4) * self.known
-        self.w01 = 4096 - self.w2
+        self.w2 = self.t >> 4  # of 4096
 
     def mixed(self, symbols: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and share of symbols in the sum of orders 0 and 1."""
-        both = self.a * self.p.packed1[places] + (256 - self.a) * self.p.packed0[symbols]
+        both = self.a * self.p.packed1[places] + self.b * self.p.packed0[symbols]
         return both >> 32, both & 0xFFFFFFFF
 
+    def mixed_of(self, lanes: np.ndarray, symbols: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As mixed, for some lanes."""
+        both = self.a[lanes] * self.p.packed1[places] + self.b[lanes] * self.p.packed0[symbols]
+        return both >> 32, both & 0xFFFFFFFF
+
+    def interval(self, symbols: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and share of symbols in the sum of all orders."""
+        start, share = self.mixed(symbols, places)
+        own, w2 = symbols[self.seen], self.w2 << self.one
+        w01 = 4096 - self.w2
+        late, hit = self.guess < own, self.guess == own
+        start_seen, share_seen = w01 * start[self.seen] + w2 * late, w01 * share[self.seen] + w2 * hit
+        start <<= 12
+        share <<= 12
+        start[self.seen], share[self.seen] = start_seen, share_seen
+        return start.view(np.uint64), share.view(np.uint64)
+
     def learn(self, k: int, symbols: np.ndarray, places: np.ndarray) -> None:
-        hit = self.known & (self.guess == symbols)
-        self.trust[self.trust_at] = self.t + (((hit * 65535 - self.t) >> RATE) * self.known)
+        hit = self.guess == symbols[self.seen]
+        self.trust[self.trust_at] = self.t + ((hit * 65535 - self.t) >> RATE)
         resp = self.p.resp[self.step * (2 * self.p.entries) + places]
         self.weight[self.level_at] = self.w + ((resp - self.w >> RATE) * (self.w > 0))
         cell = np.empty((k, 2), np.int64)
         cell[:, 0] = self.key
-        cell[:, 1] = symbols << 32 | places << 3 | np.minimum(self.hits + 1, len(_TRUST) - 1) * hit
+        cell[:, 1] = symbols << 32 | places << 3
+        cell[self.seen, 1] |= np.minimum(self.hits + 1, len(_TRUST) - 1) * hit
         self.cells[self.slot] = cell.view(np.complex128)[:, 0]
         self.before, self.last = self.last[:k], symbols
 
@@ -245,7 +264,6 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, list[bytes]]:
     del symbols, places
     mixer = _Mixer(prior, n)
     top = _U(12 + 8 + prior.scale)
-    one = 8 + prior.scale
     low, size = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
     width = block + 64
     out, at = np.zeros((n, width), np.uint16), np.zeros(n, np.int64)
@@ -253,14 +271,11 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, list[bytes]]:
         k = _lanes(sizes, t)
         now, place = symbol_cells[t, :k].astype(np.int64), place_cells[t, :k].astype(np.int64)
         mixer.predict(k)
-        start, share = mixer.mixed(now, place)
-        w2 = mixer.w2 << one
-        start = mixer.w01 * start + w2 * (mixer.guess < now)
-        share = mixer.w01 * share + w2 * (mixer.guess == now)
+        start, share = mixer.interval(now, place)
         low_k, size_k = low[:k], size[:k]
         r = size_k >> top
-        low_k += r * start.astype(np.uint64)
-        size_k[:] = r * share.astype(np.uint64)
+        low_k += r * start
+        size_k[:] = r * share
         lanes = np.flatnonzero(size_k < _LEAST)
         while len(lanes):
             if int(at.max()) + 2 >= out.shape[1]:
@@ -276,7 +291,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, list[bytes]]:
     return prior.tobytes(), [out[i, : at[i] + 1].astype("<u2").tobytes() for i in range(n)]
 
 
-def _placed(prior: Prior, mixer: _Mixer, y: np.ndarray, contexts: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _placed(prior: Prior, y: np.ndarray, contexts: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The symbols that hold y in the sum of orders 0 and 1, and their places."""
     row = (step * prior.lists + prior.row[contexts]) * prior.guide_row + (y >> prior.shift)
     base, sums = prior.base[contexts], step * prior.entries
@@ -315,32 +330,30 @@ def decode(model: bytes, payloads: list[bytes], total: int, block: int = BLOCK)
     at, last_word = first + 4, first + width - 1
     low, size = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
     mixer = _Mixer(prior, n)
-    top, one, most = _U(12 + 8 + prior.scale), 8 + prior.scale, _U((1 << 20 + prior.scale) - 1)
+    top, most = _U(12 + 8 + prior.scale), _U((1 << 20 + prior.scale) - 1)
     cells = np.zeros((block, n), np.int32)
     for t in range(int(sizes[0])):
         k = _lanes(sizes, t)
         mixer.predict(k)
         off_k, low_k, size_k = off[:k], low[:k], size[:k]
         r = size_k >> top
-        v = np.minimum(off_k // r, most).astype(np.int64)
-        guess_start, guess_share = mixer.mixed(mixer.guess, mixer.guess_place)
-        w2 = mixer.w2 << one
-        begin = mixer.w01 * guess_start
-        end = begin + w2 + mixer.w01 * guess_share
-        known = mixer.known
-        now, place = mixer.guess.copy(), mixer.guess_place.copy()
-        rest = np.flatnonzero(~known | (v < begin) | (v >= end))
-        if len(rest):
-            u = v[rest] - w2[rest] * (v[rest] >= end[rest])
-            y = (u.astype(np.uint64) // mixer.w01[rest].astype(np.uint64)).astype(np.int64)
-            now[rest], place[rest] = _placed(prior, mixer, y, mixer.last[rest], mixer.step[rest])
-        start, share = mixer.mixed(now, place)
-        start = mixer.w01 * start + w2 * (mixer.guess < now)
-        share = mixer.w01 * share + w2 * (mixer.guess == now)
-        skip = r * start.astype(np.uint64)
+        v = np.minimum(off_k // r, most).view(np.int64)
+        seen, own = mixer.seen, v[mixer.seen]
+        w01 = 4096 - mixer.w2
+        guess_start, guess_share = mixer.mixed_of(seen, mixer.guess, mixer.guess_place)
+        w2 = mixer.w2 << mixer.one
+        begin = w01 * guess_start
+        end = begin + w2 + w01 * guess_share
+        hit, late = (own >= begin) & (own < end), own >= end
+        y = v >> 12
+        y[seen] = (((own - w2 * late) * ~hit).view(np.uint64) // w01.view(np.uint64)).view(np.int64)
+        now, place = _placed(prior, y, mixer.last[:k], mixer.step)
+        now[seen[hit]], place[seen[hit]] = mixer.guess[hit], mixer.guess_place[hit]
+        start, share = mixer.interval(now, place)
+        skip = r * start
         off_k -= skip
         low_k += skip
-        size_k[:] = r * share.astype(np.uint64)
+        size_k[:] = r * share
         lanes = np.flatnonzero(size_k < _LEAST)
         while len(lanes):
             lo, sz = low_k[lanes], size_k[lanes]
