@@ -131,6 +131,8 @@ def _rows(columns: list[np.ndarray], locus: list | None, place: list | None) ->
 
 def asked_counts(codes: DataFrame, quartets: DataFrame, n: int, unlinked: bool = False) -> DataFrame:
     """(rep,) i0..i3, r, c, n of the distinct quartets given, over all sites or one site a locus."""
+    if n < 1:
+        raise ValueError("counts of given quartets need the number of samples")
     spark, keys = codes.sparkSession, ["rep"] if "rep" in codes.columns else []
     wanted = quartets.select(*NAMES)
     total = wanted.count()

@@ -103,6 +103,15 @@ def test_blocks_of_replicates(spark):
     assert plain(got.select(sorted(got.columns)).collect()) == plain(want.select(sorted(got.columns)).collect())
 
 
+@pytest.mark.parametrize("unlinked", [False, True])
+def test_runs_by_blocks_and_dense_agree(spark, tmp_path, unlinked):
+    snps = fixtures.snps(spark, SF)
+    for name, cells in (("a", 0), ("b", 1 << 28)):
+        assert inference.run(snps, 12, str(tmp_path / name), 1, 60, 3, unlinked, cells) == [0, 1]
+    one, two = (plain(files.read_quartets(spark, str(tmp_path / x)).select("rep", *quartets.NAMES, "s0", "s1", "s2", "res", "nsnps").collect()) for x in "ab")
+    assert len(one) == 120 and np.allclose(np.array(one), np.array(two), atol=1e-5)
+
+
 def test_a_matrix_too_large_for_executors_is_refused(spark, monkeypatch):
     monkeypatch.setattr(kernel, "DENSE_CELLS", 10)
     with pytest.raises(ValueError):
