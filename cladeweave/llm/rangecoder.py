@@ -37,7 +37,7 @@ _LEVEL_OF[0] = 0
 #: Where weights of order 2 start, by the hits in a row before, of 2**16.
 _TRUST = np.array([6000, 26000, 44000, 56000, 61000, 63000, 64000, 64500], dtype=np.int64)
 #: Entries of the decoder's guide to a chunk's lists, all levels together; each list gets 8 to 256 a level.
-_GUIDE = 1 << 22
+_GUIDE = 1 << 21
 _U = np.uint64
 _LEAST, _REST = _U(1 << 48), _U((1 << 48) - 1)
 
@@ -73,13 +73,13 @@ class Prior:
         total = 1 << self.scale
         self.f0 = _shares(counts, np.zeros(1, np.int64), total)
         self.F0 = np.cumsum(self.f0) - self.f0
-        self.of_slot = np.repeat(np.arange(d), self.f0)
+        self.of_slot = np.repeat(np.arange(d, dtype=np.int32), self.f0)
         # an entry without a share of its own leads each context's list, so that each place has an entry at or before it
         size = np.bincount(ctx, minlength=d)
         self.base = np.cumsum(size) - size + np.arange(d)
         n = d + len(ctx)
         at = np.arange(len(ctx)) + ctx + 1
-        self.sym = np.zeros(n, np.int64)
+        self.sym = np.zeros(n, np.int32)
         self.sym[at] = nxt
         f1, F1 = np.zeros(n, np.int64), np.zeros(n + 1, np.int64)
         first = np.flatnonzero(np.diff(ctx, prepend=-1))
@@ -87,16 +87,16 @@ class Prior:
         lists = np.repeat(np.arange(d), size + 1)
         run = np.cumsum(f1) - f1
         F1[:n] = run - run[self.base][lists]
-        self.f1, self.F1_next = f1, F1[:n] + f1
+        self.f1, self.F1_next = f1.astype(np.int32), (F1[:n] + f1).astype(np.int32)
         # start << 32 | share, of symbols in order 0; of places (2 * entry, plus 1 if the symbol is the entry's own) in order 1
         self.packed0 = self.F0 << 32 | self.f0
-        self.packed1 = np.stack([self.F1_next << 32, F1[:n] << 32 | f1], axis=1).reshape(-1)
+        self.packed1 = np.stack([F1[:n] + f1 << 32, F1[:n] << 32 | f1], axis=1).reshape(-1)
         a = LEVELS[:, None]
         f0, F0 = self.f0[self.sym], self.F0[self.sym]
         self.sums = (a * F1[None, :n] + (256 - a) * F0).astype(np.int32).reshape(-1)
-        # what part of a listed symbol's share order 1 has; what isn't listed speaks for order 0
-        part = (a * f1 * 65535 // (a * f1 + (256 - a) * f0)).astype(np.int32)
-        self.resp = np.stack([np.full_like(part, 16384), part], axis=2).reshape(-1)
+        # what part of a listed symbol's share order 1 has, of 255; what isn't listed speaks for order 0
+        part = (a * f1 * 255 // (a * f1 + (256 - a) * f0)).astype(np.uint8)
+        self.resp = np.stack([np.full_like(part, 64), part], axis=2).reshape(-1)
         self.entries = n
         self.row = np.cumsum(size > 0) * (size > 0)
         self.lists = int(self.row.max(initial=0)) + 1
@@ -104,8 +104,8 @@ class Prior:
         self.shift, self.guide_row = 8 + self.scale - bits, (1 << bits) + 2
         marks = self.row[ctx] * self.guide_row
         cells = self.lists * self.guide_row
-        guide = [np.bincount(marks - (-self.sums[i * n + at].astype(np.int64) >> self.shift), minlength=cells).astype(np.int32) for i in range(len(LEVELS))]
-        self.guide = np.cumsum(np.concatenate(guide).reshape(-1, self.guide_row), axis=1, dtype=np.int32).reshape(-1)
+        guide = [np.bincount(marks - (-self.sums[i * n + at].astype(np.int64) >> self.shift), minlength=cells).astype(np.uint32) for i in range(len(LEVELS))]
+        self.guide = np.cumsum(np.concatenate(guide).reshape(-1, self.guide_row), axis=1, dtype=np.uint16 if d < 1 << 16 else np.uint32).reshape(-1)
 
     @classmethod
     def of(cls, ids: np.ndarray, block: int) -> tuple["Prior", np.ndarray, np.ndarray]:
@@ -171,8 +171,11 @@ class _Mixer:
         self.p = prior
         lanes = np.arange(n)
         self.one = 8 + prior.scale
-        # cells of order 2, 16 bytes each: the two ids, and symbol << 32 | place << 3 | hits
-        self.cells = np.zeros(n << SLOT_BITS, np.complex128)
+        # cells of order 2: a check on the two ids, symbol, place and hits
+        self.place_bits = (2 * prior.entries).bit_length() + 3
+        self.check_at = self.place_bits + len(prior.ids).bit_length()
+        self.symbols, self.places = (1 << self.check_at - self.place_bits) - 1, (1 << self.place_bits - 3) - 1
+        self.cells = np.zeros(n << SLOT_BITS, np.int64)
         self.cell_base = lanes << SLOT_BITS
         self.trust = np.tile(_TRUST, n)
         self.trust_base = lanes * len(_TRUST)
@@ -187,14 +190,15 @@ class _Mixer:
         self.w = self.weight[self.level_at]
         self.step = _LEVEL_OF[self.w >> 8]
         self.a, self.b = LEVELS[self.step], _REST_OF[self.step]
-        self.key = (self.before[:k] << 32 | last) + 1
-        self.slot = self.cell_base[:k] + ((self.key * 0x1E3779B97F4A7C15 >> 40) & ((1 << SLOT_BITS) - 1))
-        cell = self.cells[self.slot].view(np.int64)
+        key = (self.before[:k] << 32 | last) * 0x1E3779B97F4A7C15
+        self.slot = self.cell_base[:k] + ((key >> 50) & ((1 << SLOT_BITS) - 1))
+        self.check = (key & 0x7FFFFFFFFFFFFFFF) >> self.check_at | 1
+        cell = self.cells[self.slot]
         # lanes whose context has been seen, and what order 2 says there
-        self.seen = np.flatnonzero(cell[::2] == self.key)
-        value = cell[1::2][self.seen]
-        self.guess, self.hits = value >> 32, value & 7
-        self.guess_place = value >> 3 & 0x1FFFFFFF
+        self.seen = np.flatnonzero(cell >> self.check_at == self.check)
+        value = cell[self.seen]
+        self.guess, self.hits = value >> self.place_bits & self.symbols, value & 7
+        self.guess_place = value >> 3 & self.places
         self.trust_at = self.trust_base[self.seen] + self.hits
         self.t = self.trust[self.trust_at]
         self.w2 = self.t >> 4  # of 4096
@@ -224,13 +228,11 @@ class _Mixer:
     def learn(self, k: int, symbols: np.ndarray, places: np.ndarray) -> None:
         hit = self.guess == symbols[self.seen]
         self.trust[self.trust_at] = self.t + ((hit * 65535 - self.t) >> RATE)
-        resp = self.p.resp[self.step * (2 * self.p.entries) + places]
+        resp = self.p.resp[self.step * (2 * self.p.entries) + places].astype(np.int64) << 8
         self.weight[self.level_at] = self.w + ((resp - self.w >> RATE) * (self.w > 0))
-        cell = np.empty((k, 2), np.int64)
-        cell[:, 0] = self.key
-        cell[:, 1] = symbols << 32 | places << 3
-        cell[self.seen, 1] |= np.minimum(self.hits + 1, len(_TRUST) - 1) * hit
-        self.cells[self.slot] = cell.view(np.complex128)[:, 0]
+        cell = self.check << self.check_at | symbols << self.place_bits | places << 3
+        cell[self.seen] |= np.minimum(self.hits + 1, len(_TRUST) - 1) * hit
+        self.cells[self.slot] = cell
         self.before, self.last = self.last[:k], symbols
 
 
@@ -305,7 +307,7 @@ def _placed(prior: Prior, y: np.ndarray, contexts: np.ndarray, step: np.ndarray)
         lo[open_], hi[open_] = a, b
         open_ = open_[a < b]
     a = LEVELS[step]
-    symbol, f1 = prior.sym[lo], prior.f1[lo]
+    symbol, f1 = prior.sym[lo].astype(np.int64), prior.f1[lo]
     beyond = np.flatnonzero((y >= prior.sums[sums + lo] + a * f1 + (256 - a) * prior.f0[symbol]) | (f1 == 0))
     over = (y[beyond] - a[beyond] * prior.F1_next[lo[beyond]]).astype(np.uint64)
     symbol[beyond] = prior.of_slot[over // (256 - a[beyond]).astype(np.uint64)]
