@@ -18,8 +18,8 @@ states, and the tokenizers library counts a new end's tokens once. All pieces of
 take a step at a time. States live in a table of fixed size that starts anew when half
 full; pieces over LONGEST characters are one transition, in the table of whole pieces.
 
-Where ids are asked for, a second table of fixed size, direct-mapped, keeps those of
-whole pieces. It compares a piece's key, which holds the bytes themselves up to 15 of
+Where ids are asked for, a second table of fixed size, with WAYS places for a hash, keeps
+those of whole pieces. It compares a piece's key, which holds the bytes themselves up to 15 of
 them and a 128-bit digest beyond (see words), never a plain hash.
 
 Special strings inside texts are single tokens, as the library's default has it.
@@ -37,7 +37,7 @@ import pyarrow as pa
 from .words import buffers, key_hashes, range_keys
 
 CHUNK = 256
-TABLE_BITS, POOL, LINES = 21, 1 << 23, 2000
+TABLE_BITS, WAYS, POOL, LINES = 21, 4, 1 << 23, 2000
 STATE_BITS, LONGEST, GROUP = 21, 64, 1 << 18
 
 # character classes
@@ -242,8 +242,8 @@ class Tokenizer:
             raise RuntimeError("the tokenizer doesn't cut lines as its pattern says")
         return counts, flat, order
 
-    def _learn(self, data: np.ndarray, a: np.ndarray, b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        """Encode pieces with keys a, b and put them in the table; a full pool starts anew."""
+    def _learn(self, data: np.ndarray, a: np.ndarray, b: np.ndarray, starts: np.ndarray, ends: np.ndarray, slot: np.ndarray) -> None:
+        """Encode pieces with keys a, b and put them in the table at slots of their own; a full pool starts anew."""
         raw = memoryview(data)
         counts, flat, order = self._encoded([str(raw[s:e], "utf-8") for s, e in zip(starts.tolist(), ends.tolist())])
         if self.used + len(flat) > len(self.pool):
@@ -251,8 +251,7 @@ class Tokenizer:
             self.used = 0
             if len(flat) > len(self.pool):
                 self.pool = np.zeros(2 * len(flat), self.kind)
-        a, b = a[order], b[order]
-        slot = self._slots(a, b)
+        a, b, slot = a[order], b[order], slot[order]
         self.pool[self.used : self.used + len(flat)] = flat
         self.keys[slot, 0], self.keys[slot, 1], self.count[slot] = a, b, counts
         self.first[slot] = self.used + np.cumsum(counts) - counts
@@ -273,20 +272,26 @@ class Tokenizer:
         count, parts = np.zeros(len(starts), np.int64), []
         todo = np.arange(len(starts))
         while len(todo):  # pieces that share a slot take turns
-            slot = slots[todo]
-            kept = self.keys[slot]
-            hit = (kept[:, 0] == a[todo]) & (kept[:, 1] == b[todo])
-            got, at = todo[hit], slot[hit]
-            count[got] = self.count[at]
-            if ids and len(got):
-                n = self.count[at].astype(np.int64)
-                k = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                parts.append((got, n, self.pool[k]))
-            todo = todo[~hit]
-            if len(todo):
-                _, alone = np.unique(slots[todo], return_index=True)  # of pieces that share a slot the first
+            for way in range(WAYS):
+                slot = slots[todo] ^ way
+                kept = self.keys[slot]
+                hit = (kept[:, 0] == a[todo]) & (kept[:, 1] == b[todo])
+                got, at = todo[hit], slot[hit]
+                count[got] = self.count[at]
+                if ids and len(got):
+                    n = self.count[at].astype(np.int64)
+                    k = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    parts.append((got, n, self.pool[k]))
+                todo = todo[~hit]
+                if not len(todo):
+                    break
+            else:
+                slot = slots[todo]
+                for way in range(1, WAYS):  # the first place that is empty, else the first
+                    slot = np.where((self.keys[slot, 1] != 0) & (self.keys[slots[todo] ^ way, 1] == 0), slots[todo] ^ way, slot)
+                _, alone = np.unique(slot, return_index=True)  # of pieces that share a slot the first
                 new = todo[alone]
-                self._learn(data, a[new], b[new], starts[new], ends[new])
+                self._learn(data, a[new], b[new], starts[new], ends[new], slot[alone])
         return count, parts
 
     def ids(self, column: pa.Array, cut=None) -> tuple[np.ndarray, np.ndarray]:
