@@ -14,8 +14,9 @@ emit for a piece isn't settled before its end, so inner transitions emit nothing
 transition that leads from a piece's last state back to the first one is annotated with
 the number of tokens. The merges' whole automaton would have a state for every start of
 every piece there can be, so it is compiled as texts reach it: new transitions make new
-states, and the tokenizers library counts a new end's tokens once. All pieces of a batch
-take a step at a time. States live in a table of fixed size that starts anew when half
+states, and a new end's tokens are counted once, from the tokenizer's merges (see merges;
+by the tokenizers library where a tokenizer has more than merges, and for long pieces).
+All pieces of a batch take a step at a time. States live in a table of fixed size that starts anew when half
 full; pieces over LONGEST characters are one transition, in the table of whole pieces.
 
 Where ids are asked for, a second table of fixed size, with WAYS places for a hash, keeps
@@ -34,6 +35,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
+from .merges import MOST, Merges
 from .words import buffers, key_hashes, range_keys
 
 CHUNK = 256
@@ -218,11 +220,27 @@ class Tokenizer:
         self.library.no_padding()
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = special[0].encode() if special else None
+        self.merges = Merges.of(self.library)
         (self.line_end,) = self.library.encode("\n", add_special_tokens=False).ids
         self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
         self.keys = None  # the table of whole pieces
         self.states = None  # the states of level two
 
+    def _encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of tokens of pieces, and all their ids; the order in which both come."""
+        raw = memoryview(data)
+        size = ends - starts
+        long = np.full(len(starts), True) if self.merges is None else size > MOST
+        if self.special is not None:
+            for i in np.flatnonzero(size == len(self.special)):
+                long[i] |= raw[starts[i] : ends[i]] == self.special
+        short, rest = np.flatnonzero(~long), np.flatnonzero(long)
+        counts, flat = self.merges.encode(data, starts[short], ends[short]) if len(short) else (np.zeros(0, np.int64), np.zeros(0, self.kind))
+        if len(rest):
+            more, ids, order = self._encoded([str(raw[s:e], "utf-8") for s, e in zip(starts[rest].tolist(), ends[rest].tolist())])
+            counts, flat, rest = np.concatenate([counts, more]), np.concatenate([flat.astype(self.kind), ids]), rest[order]
+        return counts, flat.astype(self.kind), np.concatenate([short, rest])
+
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of tokens of strings that hold no line end, or only blanks, and all their ids; the order in which both come."""
         # strings that end in no blank stay pieces of their own on the lines of a text, and one call encodes many
@@ -243,15 +261,11 @@ class Tokenizer:
         return counts, flat, order
 
     def _learn(self, data: np.ndarray, a: np.ndarray, b: np.ndarray, starts: np.ndarray, ends: np.ndarray, slot: np.ndarray) -> None:
-        """Encode pieces with keys a, b and put them in the table at slots of their own; a full pool starts anew."""
-        raw = memoryview(data)
-        counts, flat, order = self._encoded([str(raw[s:e], "utf-8") for s, e in zip(starts.tolist(), ends.tolist())])
-        if self.used + len(flat) > len(self.pool):
-            self.keys[:] = 0
-            self.used = 0
-            if len(flat) > len(self.pool):
-                self.pool = np.zeros(2 * len(flat), self.kind)
+        """Encode pieces with keys a, b and put them in the table at slots of their own."""
+        counts, flat, order = self._encode(data, starts, ends)
         a, b, slot = a[order], b[order], slot[order]
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(flat), len(self.pool) // 2), self.kind)])
         self.pool[self.used : self.used + len(flat)] = flat
         self.keys[slot, 0], self.keys[slot, 1], self.count[slot] = a, b, counts
         self.first[slot] = self.used + np.cumsum(counts) - counts
@@ -261,15 +275,15 @@ class Tokenizer:
     def _slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (key_hashes(a, b) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
-    def _looked_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: bool) -> tuple[np.ndarray, list]:
-        """Token counts of pieces, and with ids parts (pieces, counts, ids) that cover all of them."""
-        if self.keys is None:
+    def _looked_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token counts of pieces, and where the ids of each begin in the pool. A pool that is nearly full starts anew before."""
+        if self.keys is None or self.used > POOL - POOL // 8:
             self.keys = np.zeros((1 << TABLE_BITS, 2), np.uint64)
             self.first, self.count = np.zeros(1 << TABLE_BITS, np.int32), np.zeros(1 << TABLE_BITS, np.int32)
             self.pool, self.used = np.zeros(POOL, self.kind), 0
         a, b = range_keys(data, starts, ends)
         slots = self._slots(a, b)
-        count, parts = np.zeros(len(starts), np.int64), []
+        count, place = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
         todo = np.arange(len(starts))
         while len(todo):  # pieces that share a slot take turns
             for way in range(WAYS):
@@ -277,11 +291,7 @@ class Tokenizer:
                 kept = self.keys[slot]
                 hit = (kept[:, 0] == a[todo]) & (kept[:, 1] == b[todo])
                 got, at = todo[hit], slot[hit]
-                count[got] = self.count[at]
-                if ids and len(got):
-                    n = self.count[at].astype(np.int64)
-                    k = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    parts.append((got, n, self.pool[k]))
+                count[got], place[got] = self.count[at], self.first[at]
                 todo = todo[~hit]
                 if not len(todo):
                     break
@@ -292,19 +302,16 @@ class Tokenizer:
                 _, alone = np.unique(slot, return_index=True)  # of pieces that share a slot the first
                 new = todo[alone]
                 self._learn(data, a[new], b[new], starts[new], ends[new], slot[alone])
-        return count, parts
+        return count, place
 
     def ids(self, column: pa.Array, cut=None) -> tuple[np.ndarray, np.ndarray]:
         """Per text the number of its tokens, and all ids one after the other. cut: pieces or compared."""
         data, offsets = buffers(_valid(column))
         starts = (cut or compared)(data, offsets, self.special)
         ends = np.append(starts[1:], len(data)).astype(np.int64) if len(starts) else starts
-        count, parts = self._looked_up(data, starts, ends, True)
+        count, place = self._looked_up(data, starts, ends)
         total = np.concatenate([[0], np.cumsum(count)])
-        flat = np.zeros(int(total[-1]), self.kind)
-        for got, n, values in parts:
-            k = np.repeat(total[got] - (np.cumsum(n) - n), n) + np.arange(len(values))
-            flat[k] = values
+        flat = self.pool[np.repeat(place - total[:-1], count) + np.arange(total[-1])]
         return np.diff(total[np.searchsorted(starts, offsets)]), flat
 
     def _reset(self) -> None:
@@ -327,8 +334,8 @@ class Tokenizer:
             todo = todo[self.states[slot[todo]] != key[todo]]
         return slot
 
-    def _run(self, chars: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Token counts of pieces, the longest first, of about GROUP characters together."""
+    def _run(self, chars: np.ndarray, first: np.ndarray, size: np.ndarray, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Token counts of pieces, the longest first, of about GROUP characters together: first, size in characters, starts, stops in bytes."""
         if self.states is None or self.n_states > (1 << STATE_BITS) // 2:
             self._reset()
         ends = np.empty(len(first), np.int64)
@@ -340,8 +347,7 @@ class Tokenizer:
         new, one = np.unique(ends[self.emits[ends] == 0], return_index=True)
         if len(new):
             lanes = np.flatnonzero(self.emits[ends] == 0)[one]
-            texts = ["".join(map(chr, chars[i : i + n].tolist())) for i, n in zip(first[lanes].tolist(), size[lanes].tolist())]
-            counts, _, order = self._encoded(texts)
+            counts, _, order = self._encode(data, starts[lanes], stops[lanes])
             self.emits[new[order]] = counts
             self.n_states = int(np.count_nonzero(self.states))
         return self.emits[ends]
@@ -363,14 +369,14 @@ class Tokenizer:
         total = np.zeros(len(starts), np.int64)
         long = np.flatnonzero(size > LONGEST)
         if len(long):
-            total[long], _ = self._looked_up(data, starts[long], ends[long], False)
+            total[long], _ = self._looked_up(data, starts[long], ends[long])
         order = np.flatnonzero(size <= LONGEST)
         order = order[np.argsort(LONGEST - size[order].astype(np.uint8), kind="stable")]
         group = np.cumsum(size[order]) // GROUP
         cuts = np.flatnonzero(np.diff(group, prepend=-1))
         for lo, hi in zip(cuts, np.append(cuts[1:], len(order))):
             own = order[lo:hi]
-            total[own] = self._run(chars, first[own], size[own])
+            total[own] = self._run(chars, first[own], size[own], data, starts[own], ends[own])
         run_ = np.concatenate([[0], np.cumsum(total)])
         return np.diff(run_[np.searchsorted(starts, offsets)])
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cladeweave.llm import chat, decontam, exact_dedup, line_dedup, mixing, neardup, oracles, queries, rangecoder, token_counts, token_files, toxicity, transducer, urls
+from cladeweave.llm import chat, decontam, exact_dedup, line_dedup, merges, mixing, neardup, oracles, queries, rangecoder, token_counts, token_files, toxicity, transducer, urls
 from cladeweave.llm.common import shared_dir
 from cladeweave.llm.queries import vocabulary
 from cladeweave.llm.words import mix, range_hashes, shingle_sets, word_hashes
@@ -248,6 +248,33 @@ def test_transducer_equals_library(library):
             assert ids[at[i] : at[i + 1]].tolist() == want[i].ids, text
 
 
+def test_merges_equal_library(library):
+    rng = random.Random(15)
+    texts = ["".join(rng.choice(["th", "e", "in", "g", "ö", "ß", "日", "x", "Z", "7", "ing", "qu"]) for _ in range(rng.randint(1, 20))) for _ in range(2000)]
+    texts = [t for t in texts if len(t.encode()) <= merges.MOST and not re.search("[0-9]", t)]
+    raw = [t.encode() for t in texts]
+    ends = np.cumsum([len(t) for t in raw])
+    counts, ids = merges.Merges.of(library).encode(np.frombuffer(b"".join(raw), np.uint8), ends - [len(t) for t in raw], ends)
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    pieces = [len(library.pre_tokenizer.pre_tokenize_str(t)) for t in texts]
+    at = np.cumsum(counts)
+    for t, w, n, lo, hi in zip(texts, want, pieces, at - counts, at):
+        assert n > 1 or ids[lo:hi].tolist() == w, t
+    assert pieces.count(1) > 100
+
+
+def test_without_known_merges_the_library_counts(library, monkeypatch):
+    monkeypatch.setattr(merges.Merges, "of", classmethod(lambda cls, library: None))
+    monkeypatch.setattr(transducer, "POOL", 4000)
+    tok = transducer.Tokenizer(vocabulary())
+    texts = [f"alpha{k} beta{k * 7}'s  naïve\n" * 3 + "<|endoftext|>" for k in range(900)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for lo in range(0, 900, 300):  # the pool starts anew
+        column = pa.array(texts[lo : lo + 300])
+        assert tok.counts(column).tolist() == [len(w) for w in want[lo : lo + 300]]
+        assert tok.ids(column)[1].tolist() == [i for w in want[lo : lo + 300] for i in w]
+
+
 def test_token_counts(spark, rows, library):
     got = token_counts.token_counts(frame(spark, rows), vocabulary()).collect()
     want = collections.Counter((i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 512) for i, t, _ in rows)
