@@ -36,8 +36,8 @@ _LEVEL_OF = np.abs(np.arange(256)[:, None] - LEVELS[None, 1:]).argmin(1) + 1
 _LEVEL_OF[0] = 0
 #: Where weights of order 2 start, by the hits in a row before, of 2**16.
 _TRUST = np.array([6000, 26000, 44000, 56000, 61000, 63000, 64000, 64500], dtype=np.int64)
-#: Entries of the decoder's guide to a chunk's lists, all levels together; each list gets 8 to 256 a level.
-_GUIDE = 1 << 21
+#: The decoder's guide cuts a list's sums into two to four parts for each entry, 2**GUIDE_BITS at most.
+GUIDE_BITS = 12
 _U = np.uint64
 _LEAST, _REST = _U(1 << 48), _U((1 << 48) - 1)
 
@@ -98,14 +98,20 @@ class Prior:
         part = (a * f1 * 255 // (a * f1 + (256 - a) * f0)).astype(np.uint8)
         self.resp = np.stack([np.full_like(part, 64), part], axis=2).reshape(-1)
         self.entries = n
-        self.row = np.cumsum(size > 0) * (size > 0)
-        self.lists = int(self.row.max(initial=0)) + 1
-        bits = min(8, max(3, (_GUIDE // (len(LEVELS) * self.lists)).bit_length() - 1))
-        self.shift, self.guide_row = 8 + self.scale - bits, (1 << bits) + 2
-        marks = self.row[ctx] * self.guide_row
-        cells = self.lists * self.guide_row
-        guide = [np.bincount(marks - (-self.sums[i * n + at].astype(np.int64) >> self.shift), minlength=cells).astype(np.uint32) for i in range(len(LEVELS))]
-        self.guide = np.cumsum(np.concatenate(guide).reshape(-1, self.guide_row), axis=1, dtype=np.uint16 if d < 1 << 16 else np.uint32).reshape(-1)
+        # guide: for each level and list how many entries begin before each part of the sums; contexts without a list share a row of one part
+        lists = np.flatnonzero(size)
+        bits = np.zeros(d, np.int64)
+        bits[lists] = np.minimum(GUIDE_BITS, np.frexp(size[lists] - 0.5)[1] + 1)
+        rows = (1 << bits[lists]) + 2
+        self.row, self.shift = np.zeros(d, np.int64), 8 + self.scale - bits
+        self.row[lists] = 3 + np.cumsum(rows) - rows
+        self.guide_size = 3 + int(rows.sum())
+        before = np.repeat(np.append(0, (np.cumsum(size) - size)[lists]), np.append(3, rows))
+        guide = []
+        for i in range(len(LEVELS)):
+            mark = self.row[ctx] - (-self.sums[i * n + at].astype(np.int64) >> self.shift[ctx])
+            guide.append((np.cumsum(np.bincount(mark, minlength=self.guide_size)) - before).astype(np.uint16 if d < 1 << 16 else np.uint32))
+        self.guide = np.concatenate(guide)
 
     @classmethod
     def of(cls, ids: np.ndarray, block: int) -> tuple["Prior", np.ndarray, np.ndarray]:
@@ -295,7 +301,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, list[bytes]]:
 
 def _placed(prior: Prior, y: np.ndarray, contexts: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The symbols that hold y in the sum of orders 0 and 1, and their places."""
-    row = (step * prior.lists + prior.row[contexts]) * prior.guide_row + (y >> prior.shift)
+    row = step * prior.guide_size + prior.row[contexts] + (y >> prior.shift[contexts])
     base, sums = prior.base[contexts], step * prior.entries
     lo, hi = base + prior.guide[row], base + prior.guide[row + 1]
     open_ = np.flatnonzero(lo < hi)
