@@ -670,7 +670,7 @@ def test_pipeline(spark, rows, library):
     assert sum(r[0] is None for r in civil) == sum(r[0] is None for r in single)
     assert 3000 not in named and 3001 in named
     covered = lambda t: brute_tiles(words(item), words(t), 5) / 30 >= decontam.COVERAGE
-    want = [r for r in single if len(words(r[1])) > 3000 or not covered(r[1])]
+    want = [r for r in single if not covered(r[1])]
     assert collections.Counter(want) == collections.Counter(uncontaminated) and 3001 not in [r[0] for r in uncontaminated]
     # words taken of each source are its target, no document more than three times
     target = {r.source: r.target for r in mixing.source_targets(mixing.sizes(tables[3])).collect()}
