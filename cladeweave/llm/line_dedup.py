@@ -95,7 +95,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     rows = rows.withColumn("tag", tag(F.col("text")))
     marks = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), "keep_runs")
-    joined = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag")), "left")
+    # bitmaps grow with the documents: one plan at every size
+    joined = rows.join(marks.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag")), "left")
     flags = F.flatten(F.transform("keep_runs", lambda k, i: F.array_repeat(i % 2 == 0, k)))
     lines = F.arrays_zip(split_lines(F.col("text")).alias("line"), flags.alias("keep"))
     left = F.array_join(F.transform(F.filter(lines, lambda z: z["keep"]), lambda z: z["line"]), LINE_END)
