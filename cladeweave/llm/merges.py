@@ -13,7 +13,7 @@ import numpy as np
 
 #: Bytes of the longest piece; widths of the matrices that pieces are dealt into.
 MOST, WIDTHS = 64, (6, 10, 16, 28, 64)
-_NONE, _ID_BITS = np.int64(2**62), 20
+_NONE = np.int32(2**31 - 1)
 
 
 def byte_letters() -> list[str]:
@@ -28,16 +28,16 @@ class Merges:
         """base: the id of each byte; pairs: left and right id and the id of both, by rank."""
         self.base = np.array(base, np.int32)
         left, right, both = (np.array(x, np.int64) for x in zip(*pairs))
-        keys, values = left << 32 | right, np.arange(len(pairs), dtype=np.int64) << _ID_BITS | both
+        keys, self.both = left << 32 | right, both.astype(np.int32)
         self.bits = max(10, (4 * len(pairs)).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, _NONE, np.int64)
+        self.keys, self.rank = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, _NONE)
         todo, at = np.arange(len(pairs)), self._places(keys)
         while len(todo):  # a place that is taken sends a pair to the next one
             free = self.keys[at[todo]] < 0
             self.keys[at[todo][free]] = keys[todo][free]
             todo = todo[self.keys[at[todo]] != keys[todo]]
             at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
-        self.values[at] = values
+        self.rank[at] = np.arange(len(pairs))
 
     @classmethod
     def of(cls, library) -> "Merges | None":
@@ -50,7 +50,7 @@ class Merges:
         vocab = model["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         letters = byte_letters()
-        if not all(c in vocab for c in letters) or max(vocab.values()) >= 1 << _ID_BITS:
+        if not all(c in vocab for c in letters):
             return None
         return cls([vocab[c] for c in letters], [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges])
 
@@ -58,17 +58,17 @@ class Merges:
         return (keys * 0x1E3779B97F4A7C15 >> 63 - self.bits) & ((1 << self.bits) - 1)
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Rank and merged id of each pair, as one number; _NONE where they don't merge or one is missing (-1)."""
+        """Rank of each pair; _NONE where they don't merge or one is missing (-1)."""
         keys = left.astype(np.int64) << 32 | right
         at = self._places(keys)
         held = self.keys[at]
-        found = np.where((held == keys) & (right >= 0), self.values[at], _NONE)
+        found = np.where((held == keys) & (right >= 0), self.rank[at], _NONE)
         todo = np.flatnonzero((held != keys) & (held >= 0))
         while len(todo):
             at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
             held = self.keys[at[todo]]
             hit = held == keys[todo]
-            found[todo[hit]] = self.values[at[todo[hit]]]
+            found[todo[hit]] = self.rank[at[todo[hit]]]
             todo = todo[~hit & (held >= 0)]
         return found
 
@@ -80,25 +80,23 @@ class Merges:
         ranks[:, :-1] = self._ranks(rows[:, :-1].reshape(-1), rows[:, 1:].reshape(-1)).reshape(n, -1)
         done, todo = rows.copy(), np.arange(n)
         while len(todo):
+            first = np.arange(len(todo)) * width
             j = ranks.argmin(axis=1)
-            best = ranks[np.arange(len(todo)), j]
-            left = best < _NONE
-            if not left.all():
-                done[todo[~left]] = rows[~left]
-                todo, rows, ranks, j, best = todo[left], rows[left], ranks[left], j[left], best[left]
-            if not len(todo):
-                break
-            lane = np.arange(len(todo))
-            moved = np.minimum(columns + (columns > j[:, None]), width - 1)
-            shorter, ranks = np.take_along_axis(rows, moved, axis=1), np.take_along_axis(ranks, moved, axis=1)
-            shorter[:, -1] = -1
-            shorter[lane, j] = best & ((1 << _ID_BITS) - 1)
-            rows = shorter
-            ranks[:, -1] = _NONE
-            after = np.minimum(j + 1, width - 1)
-            ranks[lane, j] = np.where(j + 1 < width, self._ranks(rows[lane, j], rows[lane, after]), _NONE)
-            some = np.flatnonzero(j > 0)
-            ranks[some, j[some] - 1] = self._ranks(rows[some, j[some] - 1], rows[some, j[some]])
+            best = ranks.reshape(-1)[first + j]
+            left = np.flatnonzero(best < _NONE)
+            if len(left) < len(todo):
+                done[todo] = rows
+                todo, rows, ranks, j, best, first = todo[left], rows[left], ranks[left], j[left], best[left], first[: len(left)]
+            # what stands behind the pair moves up by one
+            source = first[:, None] + np.minimum(columns + (columns > j[:, None]), width - 1)
+            rows, ranks = rows.reshape(-1)[source], ranks.reshape(-1)[source]
+            rows[:, -1], ranks[:, -1] = -1, _NONE
+            flat, flat_ranks, at = rows.reshape(-1), ranks.reshape(-1), first + j
+            flat[at] = self.both[best]
+            after = np.flatnonzero(j + 1 < width)
+            flat_ranks[at[after]] = self._ranks(flat[at[after]], flat[at[after] + 1])
+            before = at[j > 0]
+            flat_ranks[before - 1] = self._ranks(flat[before - 1], flat[before])
         return done
 
     def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

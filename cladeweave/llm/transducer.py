@@ -288,9 +288,12 @@ class Tokenizer:
         while len(todo):  # pieces that share a slot take turns
             for way in range(WAYS):
                 slot = slots[todo] ^ way
-                kept = self.keys[slot]
-                hit = (kept[:, 0] == a[todo]) & (kept[:, 1] == b[todo])
-                got, at = todo[hit], slot[hit]
+                # both numbers of a key by one look, as 16 bytes
+                kept = self.keys.view(np.complex128)[slot, 0].view(np.uint64)
+                first = way == 0 and len(todo) == len(a)
+                hit = (kept[::2] == (a if first else a[todo])) & (kept[1::2] == (b if first else b[todo]))
+                got = np.flatnonzero(hit)
+                at, got = slot[got], todo[got]
                 count[got], place[got] = self.count[at], self.first[at]
                 todo = todo[~hit]
                 if not len(todo):
