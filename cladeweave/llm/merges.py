@@ -38,6 +38,8 @@ class Merges:
             todo = todo[self.keys[at[todo]] != keys[todo]]
             at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
         self.rank[at] = np.arange(len(pairs))
+        #: Ranks of all pairs of bytes.
+        self.of_bytes = self._ranks(np.repeat(self.base, 256), np.tile(self.base, 256))
 
     @classmethod
     def of(cls, library) -> "Merges | None":
@@ -72,12 +74,10 @@ class Merges:
             todo = todo[~hit & (held >= 0)]
         return found
 
-    def _merged(self, rows: np.ndarray) -> np.ndarray:
-        """Rows of ids (-1 behind their ends) with all merges done."""
+    def _merged(self, rows: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+        """Rows of ids (-1 behind their ends) with all merges done; ranks: of each id and the next."""
         n, width = rows.shape
         columns = np.arange(width)
-        ranks = np.full((n, width), _NONE)
-        ranks[:, :-1] = self._ranks(rows[:, :-1].reshape(-1), rows[:, 1:].reshape(-1)).reshape(n, -1)
         done, todo = rows.copy(), np.arange(n)
         while len(todo):
             first = np.arange(len(todo)) * width
@@ -112,7 +112,10 @@ class Merges:
             columns = np.arange(width)
             inside = columns < size[own, None]
             at = np.minimum(starts[own, None] + columns, len(data) - 1)
-            rows = self._merged(np.where(inside, self.base[data[at]], -1))
+            letters = data[at]
+            ranks = np.full(letters.shape, _NONE)
+            ranks[:, :-1] = np.where(inside[:, 1:], self.of_bytes[letters[:, :-1].astype(np.int32) << 8 | letters[:, 1:]], _NONE)
+            rows = self._merged(np.where(inside, self.base[letters], -1), ranks)
             kept = rows >= 0
             counts[own] = kept.sum(axis=1)
             parts.append(rows[kept])

@@ -112,6 +112,11 @@ class Prior:
             mark = self.row[ctx] - (-self.sums[i * n + at].astype(np.int64) >> self.shift[ctx])
             guide.append((np.cumsum(np.bincount(mark, minlength=self.guide_size)) - before).astype(np.uint16 if d < 1 << 16 else np.uint32))
         self.guide = np.concatenate(guide)
+        # of a context in one number: place in the guide << 32 | first entry << 8 | shift
+        self.lists = self.row << 32 | self.base << 8 | self.shift
+        # where an entry's own share ends; one without a share ends where it begins
+        own = np.where(f1 > 0, a * f1 + (256 - a) * f0, 0)
+        self.ends = self.sums + own.astype(np.int32).reshape(-1)
 
     @classmethod
     def of(cls, ids: np.ndarray, block: int) -> tuple["Prior", np.ndarray, np.ndarray]:
@@ -273,10 +278,11 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, list[bytes]]:
     mixer = _Mixer(prior, n)
     top = _U(12 + 8 + prior.scale)
     low, size = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
-    width = block + 64
-    out, at = np.zeros((n, width), np.uint16), np.zeros(n, np.int64)
+    out, at, lane = np.zeros((n, 512), np.uint16), np.zeros(n, np.int64), np.arange(n)
     for t in range(int(sizes[0])):
         k = _lanes(sizes, t)
+        if t % 64 == 0 and int(at.max()) + 4 * 64 + 8 > out.shape[1]:  # an id takes three words at most
+            out = np.concatenate([out, np.zeros((n, 512), np.uint16)], axis=1)
         now, place = symbol_cells[t, :k].astype(np.int64), place_cells[t, :k].astype(np.int64)
         mixer.predict(k)
         start, share = mixer.interval(now, place)
@@ -284,25 +290,25 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, list[bytes]]:
         r = size_k >> top
         low_k += r * start
         size_k[:] = r * share
-        lanes = np.flatnonzero(size_k < _LEAST)
+        lanes, flat = np.flatnonzero(size_k < _LEAST), out.reshape(-1)
         while len(lanes):
-            if int(at.max()) + 2 >= out.shape[1]:
-                out = np.concatenate([out, np.zeros_like(out)], axis=1)
             lo, sz = low_k[lanes], size_k[lanes]
             sz = np.minimum(sz, _LEAST - (lo & _REST)) << _U(16)
-            out[lanes, at[lanes]] = lo >> _U(48)
-            at[lanes] += 1
+            here = at[lanes]
+            flat[lanes * out.shape[1] + here] = lo >> _U(48)
+            at[lanes] = here + 1
             low_k[lanes], size_k[lanes] = lo << _U(16), sz
             lanes = lanes[sz < _LEAST]
         mixer.learn(k, now, place)
-    out[np.arange(n), at] = (low + _REST) >> _U(48)
+    out[lane, at] = (low + _REST) >> _U(48)
     return prior.tobytes(), [out[i, : at[i] + 1].astype("<u2").tobytes() for i in range(n)]
 
 
 def _placed(prior: Prior, y: np.ndarray, contexts: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The symbols that hold y in the sum of orders 0 and 1, and their places."""
-    row = step * prior.guide_size + prior.row[contexts] + (y >> prior.shift[contexts])
-    base, sums = prior.base[contexts], step * prior.entries
+    held = prior.lists[contexts]
+    row = step * prior.guide_size + (held >> 32) + (y >> (held & 255))
+    base, sums = held >> 8 & 0xFFFFFF, step * prior.entries
     lo, hi = base + prior.guide[row], base + prior.guide[row + 1]
     open_ = np.flatnonzero(lo < hi)
     while len(open_):
@@ -312,11 +318,11 @@ def _placed(prior: Prior, y: np.ndarray, contexts: np.ndarray, step: np.ndarray)
         a, b = np.where(under, middle, a), np.where(under, b, middle - 1)
         lo[open_], hi[open_] = a, b
         open_ = open_[a < b]
-    a = LEVELS[step]
-    symbol, f1 = prior.sym[lo].astype(np.int64), prior.f1[lo]
-    beyond = np.flatnonzero((y >= prior.sums[sums + lo] + a * f1 + (256 - a) * prior.f0[symbol]) | (f1 == 0))
-    over = (y[beyond] - a[beyond] * prior.F1_next[lo[beyond]]).astype(np.uint64)
-    symbol[beyond] = prior.of_slot[over // (256 - a[beyond]).astype(np.uint64)]
+    symbol = prior.sym[lo].astype(np.int64)
+    beyond = np.flatnonzero(y >= prior.ends[sums + lo])
+    a, last = LEVELS[step[beyond]], lo[beyond]
+    over = (y[beyond] - a * prior.F1_next[last]).astype(np.uint64)
+    symbol[beyond] = prior.of_slot[over // (256 - a).astype(np.uint64)]
     places = 2 * lo + 1
     places[beyond] -= 1
     return symbol, places
