@@ -16,11 +16,11 @@ share one among the first n - 3n/4 + 1 of each, and their first common one stand
 enough in both for the rest to hold the overlap that the similarity takes. A document
 that differs too much from a group has only shingles of its own there and meets nobody;
 a pair is also left out when one of the two shares fewer shingles with all others
-together than the similarity takes. Those lists link to leaders again. Then in rounds each
-member of a list meets one random block of it, of 16 and then of 128 members, and what
-links is one component from then on; at last every pair across components that is left is
-checked, so no link between components is missed. A member that has a link into a large
-component mostly finds one early and needs none of the others. Two sets of similarity 0.75 share none of 64 retained values with a probability of 1e-38.
+together than the similarity takes. Those lists link to leaders again. Then each member of
+a list meets one random block of it, of 16 and then of 128 members, and what links is one
+component from then on; at last every pair across components that is left is checked, so
+no link between components is missed. A member that has a link into a large component
+mostly finds one early and needs none of the others. Two sets of similarity 0.75 share none of 64 retained values with a probability of 1e-38.
 
 The rounds pair by size as well: a place in a list says how large a partner may be at
 most, the similarity how small, and lists are met by (value, class of sizes). A place that
@@ -193,13 +193,12 @@ def _one_block(small: DataFrame, large: DataFrame, members: int) -> tuple[DataFr
     return dealt(small, F.lit(members)), dealt(large)
 
 
-def _across(lists: DataFrame, root: str, members: int = 0) -> DataFrame:
+def _across(lists: DataFrame, members: int = 0) -> DataFrame:
     """Pairs a < b of a list in different components whose sizes and places allow the similarity: the first value that two sets share leaves both long enough a rest for the overlap it takes. members: each meets one block of about so many only."""
     least, most = partner_sizes("n", "m", "at")
     places = lists.withColumn("least", least).withColumn("most", most).where("least <= most").select("v", "doc", "n", "least", "most", "comp")
     small = places.where("most >= n").withColumn("class", F.explode(F.sequence(size_class("n"), size_class("most"))))
     large = places.where("least <= n").withColumn("class", size_class("n"))
-    small, large = written(small, root, f"small_{members}"), written(large, root, f"large_{members}")
     if members:
         ones, others = _one_block(small, large, members)
     else:
@@ -291,18 +290,12 @@ def verified(pairs: DataFrame, texts: DataFrame, root: str, name: str, width: in
 def components(edges: DataFrame, root: str, name: str) -> DataFrame:
     """doc, comp for each node of edges (a, b): comp is the smallest node reachable.
 
-    Alternating large-star and small-star steps until nothing moves; each ends in a written table.
+    Alternating large-star and small-star steps until nothing moves; each two end in a written table.
     """
-    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), root, f"{name}_0")
+    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     state = None
-    for step in itertools.count(1):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, root, f"{name}_{step}")
+    for step in itertools.count():
+        edges = written(_stars(_stars(edges)) if step else edges, root, f"{name}_{step}")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == now:
             break
@@ -310,6 +303,16 @@ def components(edges: DataFrame, root: str, name: str) -> DataFrame:
     return edges.select(F.col("u").alias("doc"), F.col("v").alias("comp"))
 
 
+def _stars(edges: DataFrame) -> DataFrame:
+    """Edges (u > v) after a large-star and a small-star step."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+
+
 def links(classes: DataFrame, docs: DataFrame, root: str, k: int, width: int) -> DataFrame:
     """doc, comp of the classes that are linked with others."""
     lists = written(retained(classes, root), root, "lists")
@@ -318,15 +321,16 @@ def links(classes: DataFrame, docs: DataFrame, root: str, k: int, width: int) ->
     seen = written(_to_leaders(lists.withColumn("comp", F.col("doc"))), root, "pairs")
     labels = components(check(seen, "leaders"), root, "comp")
     places = written(prefixes(texts, _labelled(lists, labels), width), root, "prefixes")
-    proposals = [lambda x: _to_leaders(x, True), *[lambda x, n=n: _across(x, root, n) for n in ROUNDS], lambda x: _across(x, root)]
+    proposals = [lambda x: _to_leaders(x, True), *[lambda x, n=n: _across(x, n) for n in ROUNDS], _across]
     for k, propose in enumerate(proposals):
         torn = written(_labelled(places, labels), root, f"torn_{k}")
         if torn.isEmpty():
             break
         pairs = written(propose(torn).join(seen, ["a", "b"], "left_anti"), root, f"pairs_{k}")
         seen = seen.unionByName(pairs)
-        found = check(pairs, f"round_{k}").unionByName(labels.select(F.col("doc").alias("a"), F.col("comp").alias("b")))
-        labels = components(found, root, f"comp_{k}")
+        found = check(pairs, f"round_{k}")
+        if not found.isEmpty():
+            labels = components(found.unionByName(labels.select(F.col("doc").alias("a"), F.col("comp").alias("b"))), root, f"comp_{k}")
     return labels
 
 

@@ -518,7 +518,7 @@ def test_common_passage_makes_no_pairs(spark):
     lists = neardup.written(neardup.retained(classes, root), root, "lists")
     texts = neardup.gathered(docs, classes, lists, root)
     places = neardup.prefixes(texts, lists, 5).withColumn("comp", F.col("doc"))
-    assert neardup._across(places, root).count() == 0
+    assert neardup._across(places).count() == 0
     assert neardup.near_dedup(docs).where("kept").count() == 3000
 
 
@@ -528,7 +528,7 @@ def test_long_lists_meet_in_blocks(spark, monkeypatch):
     rows = [(1, i, n := rng.randint(20, 30), n, 1, i) for i in range(60)]
     lists = spark.createDataFrame(rows, "v BIGINT, doc BIGINT, n BIGINT, m BIGINT, at BIGINT, comp BIGINT")
     want = {(min(a[1], b[1]), max(a[1], b[1])) for a, b in itertools.combinations(rows, 2) if 4 * min(a[2], b[2]) >= 3 * max(a[2], b[2])}
-    assert {tuple(r) for r in neardup._across(lists, shared_dir(spark)).collect()} == want
+    assert {tuple(r) for r in neardup._across(lists).collect()} == want
 
 
 def test_components_of_a_path(spark):
