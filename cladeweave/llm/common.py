@@ -89,6 +89,11 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(name, rows)
 
 
+def short_plans(spark: SparkSession, length: int = 4096) -> None:
+    """Cut the text that Spark keeps of each plan on the driver, anew with every stage of it: many small queries add up."""
+    spark.conf.set("spark.sql.maxPlanStringLength", length)
+
+
 def slices(batches, column: str = "text", nbytes: int = 1 << 20):
     """Arrow batches cut into pieces of about nbytes of text; a longer text is a piece of its own.
 

@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import finished, join_split, shared_dir, slices, small_batches, written
+from .common import finished, join_split, shared_dir, short_plans, slices, small_batches, written
 from .words import gram_hashes, key_hashes, shingle_sets, word_keys
 
 WIDTH, SIMILARITY, K = 5, (75, 100), 64
@@ -290,12 +290,12 @@ def verified(pairs: DataFrame, texts: DataFrame, root: str, name: str, width: in
 def components(edges: DataFrame, root: str, name: str) -> DataFrame:
     """doc, comp for each node of edges (a, b): comp is the smallest node reachable.
 
-    Alternating large-star and small-star steps until nothing moves; each two end in a written table.
+    Alternating large-star and small-star steps until nothing moves; each pair of them ends in a written table.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     state = None
     for step in itertools.count():
-        edges = written(_stars(_stars(edges)) if step else edges, root, f"{name}_{step}")
+        edges = written(_stars(edges) if step else edges, root, f"{name}_{step}")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == now:
             break
@@ -337,6 +337,7 @@ def links(classes: DataFrame, docs: DataFrame, root: str, k: int, width: int) ->
 def near_dedup(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     small_batches(docs.sparkSession)
+    short_plans(docs.sparkSession)
     root = shared_dir(docs.sparkSession)
     sets = written(sketched(docs, k, width), root, "sets")
     some = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
