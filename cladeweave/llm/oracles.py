@@ -84,12 +84,70 @@ SELECT parts.page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, ru
 
 SHINGLE_COUNTS = r"""
 WITH told AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents)
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents)
 SELECT doc_id, CAST(CASE WHEN len(w) < 5 THEN least(len(w), 1) ELSE len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))) END AS BIGINT) AS n_shingles
 FROM told
 """
 
+OP11 = r"""
+WITH told AS (
+  SELECT doc_id, row_number() OVER () AS d, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+docs AS (SELECT doc_id, d, w, CAST(len(w) AS BIGINT) AS n FROM told WHERE len(w) > 0),
+sums AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS words FROM docs),
+cells AS (SELECT d, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT d, unnest(w) AS term FROM docs) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1)::DOUBLE)) AS BIGINT) AS weight FROM (SELECT term, count(*) AS df FROM cells GROUP BY term), sums),
+items AS (
+  SELECT DISTINCT i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark)),
+scored AS (
+  SELECT i, item_id, d, docs.doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words)))) AS BIGINT) AS score
+  FROM items JOIN weights USING (term) JOIN cells USING (term) JOIN docs USING (d), sums GROUP BY ALL),
+placed AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM placed WHERE rank <= 10
+"""
+
+OP13 = r"""
+WITH rows AS (SELECT row_number() OVER () AS d, doc_id, lang, coalesce(text, '') AS text FROM documents),
+told AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM rows),
+windows AS (SELECT d, k, array_to_string(w[k : k + 4], ' ') AS words FROM (SELECT d, w, unnest(range(1, len(w) - 3)) AS k FROM told)),
+again AS (SELECT d, k FROM (SELECT d, k, count(*) OVER (PARTITION BY d, words) AS c FROM windows) WHERE c > 1),
+marked AS (SELECT d, count(DISTINCT p) AS n FROM (SELECT d, unnest(range(k, k + 5)) AS p FROM again) GROUP BY d),
+base AS (
+  SELECT told.d, doc_id, lang, text, terms, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(marked.n, 0) AS BIGINT) AS n_repeat_words
+  FROM told LEFT JOIN marked ON told.d = marked.d),
+failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CAST(len(text) AS BIGINT) AS chars FROM base),
+counted AS (
+  SELECT *, [len(regexp_replace(text, x, '', 'g')) FOR x IN ['[^aeiou]', '[^b-df-hj-np-tv-z]', '[^A-Z\x{C0}-\x{DE}]', '[^0-9]', '[^ \t]', '[^\n]', '[^.,;:!?''"()-]', '[^#*$%&|<>]', '[^\x{DF}-\x{FF}]', '[\x00-\x7F\x{C0}-\x{FF}]']] AS c
+  FROM failed),
+classes AS (SELECT d, lang, chars, base_failed, unnest(list_append(c, chars - list_sum(c))) AS n, unnest(range(11)) AS class FROM counted),
+steps AS (SELECT lang, class, n * 1000 // chars AS step, count(*) AS docs FROM classes WHERE NOT base_failed AND chars >= 200 AND lang IS NOT NULL GROUP BY ALL),
+halves AS (SELECT *, sum(docs) OVER (PARTITION BY lang, class ORDER BY step) AS upto, sum(docs) OVER (PARTITION BY lang, class) AS every FROM steps),
+medians AS (SELECT lang, class, min(step) AS step FROM halves WHERE 2 * upto >= every GROUP BY ALL),
+words AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(terms) AS word FROM failed WHERE NOT base_failed AND lang IS NOT NULL) GROUP BY ALL),
+totals AS (SELECT lang, sum(n) AS total FROM words GROUP BY lang),
+known AS (SELECT lang, total FROM totals WHERE total >= (SELECT sum(total) FROM totals) * 0.001),
+shares AS (SELECT lang, class, step / sum(step) OVER (PARTITION BY lang) AS q FROM medians JOIN known USING (lang)),
+chars_of AS (SELECT d, n / chars AS p, q FROM classes JOIN shares USING (lang, class) WHERE chars >= 200),
+common AS (SELECT * FROM (SELECT lang, word, n / total AS q, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS k FROM words JOIN known USING (lang)) WHERE k <= 200 AND q * 5000 >= 1),
+held AS (SELECT d, lang, word, count(*) AS n FROM (SELECT d, lang, unnest(terms) AS word FROM failed WHERE len(terms) >= 100) GROUP BY ALL),
+sized AS (SELECT d, lang, CAST(len(terms) AS BIGINT) AS size FROM failed JOIN known USING (lang) WHERE len(terms) >= 100),
+words_of AS (SELECT s.d, coalesce(h.n, 0) / s.size AS p, c.q FROM sized s JOIN common c USING (lang) LEFT JOIN held h ON h.d = s.d AND h.word = c.word),
+both_of AS (SELECT * FROM words_of UNION ALL SELECT d, greatest(0.0, 1 - sum(p)) AS p, greatest(0.0, 1 - sum(q)) AS q FROM words_of GROUP BY d),
+apart AS (
+  SELECT d, kind, sqrt(least(1.0, greatest(0.0, sum(CASE WHEN p > 1e-12 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2))) AS x
+  FROM (SELECT *, 'chars' AS kind FROM chars_of UNION ALL SELECT *, 'words' FROM both_of) GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(a.x, 6) AS chars_apart, round(b.x, 6) AS words_apart,
+  NOT base_failed AND NOT coalesce(a.x > sqrt(0.14 * 0.14 + 20.0 / chars), false) AND NOT coalesce(b.x > sqrt(0.25 * 0.25 + 30.0 / len(terms)), false) AS kept
+FROM failed LEFT JOIN apart a ON a.d = failed.d AND a.kind = 'chars' LEFT JOIN apart b ON b.d = failed.d AND b.kind = 'words'
+"""
+
 ORACLES = {
-    "op1_mixing": OP1, "op3_line_dedup": OP3, "op5_chat_formatting": OP5, "op9_exact_dedup": OP9, "url_rules": URL_RULES, "shingle_counts": SHINGLE_COUNTS,
+    "op1_mixing": OP1, "op3_line_dedup": OP3, "op5_chat_formatting": OP5, "op9_exact_dedup": OP9, "op11_ranked_lexical_search": OP11, "op13_quality_rules": OP13, "url_rules": URL_RULES, "shingle_counts": SHINGLE_COUNTS,
     "byte_counts": "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents",
 }

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact_dedup, line_dedup, mixing, neardup, token_counts, token_files, toxicity, urls
+from . import chat, decontam, exact_dedup, line_dedup, mixing, neardup, quality, search, spelling, token_counts, token_files, toxicity, urls
 from .common import shared_dir, small_batches, written
 
 
@@ -81,6 +81,19 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.quality(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", *quality.BASE, "base_failed", *[F.round(c, 6).alias(c) for c in ("chars_apart", "words_apart")], "kept")
+
+
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path and rule of op2."""
     return op2_url_filters(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
@@ -111,4 +124,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_ranked_lexical_search": op11_ranked_lexical_search,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_quality_rules": op13_quality_rules,
 }
