@@ -1,8 +1,8 @@
 """MinHash near-dedup by bottom-k sketches from one hash function.
 
 A document is the set of the hashes of its five-word shingles; its sketch is the k
-smallest. Documents with equal sets (by a 128-bit digest) form a class, which one
-document represents. The inverted lists of retained values propose pairs of classes, an
+smallest. Documents with equal sets (by a 128-bit digest) form a class with a number of
+its own (rep), which one row's text represents. The inverted lists of retained values propose pairs of classes, an
 estimate on the sketch of the union filters them, and the exact Jaccard similarity of
 full sets decides: it is counted on whole texts, word against word, where two hashes are
 the same. Components of the links are the groups.
@@ -37,8 +37,10 @@ with no cap on any list, unless a document hardly has others.
 
 Defined results: null or empty text and text without words: n_shingles 0, linked with
 nothing. Under five words: one shingle, the whole sequence. Whole texts count, however
-long. Rows that repeat a doc_id count as one document and are linked. A null doc_id is linked with nothing, has a null
-component_id and is kept. Extra columns are ignored. An empty table gives an empty result.
+long. Rows that repeat a doc_id count as one document and are linked, whatever their
+texts; each different set among them is a class of its own with one text, so no step sees
+more than one row of it. A null doc_id is linked with nothing, has a null component_id and
+is kept. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,7 +53,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import finished, join_split, shared_dir, short_plans, slices, small_batches, written
+from .common import HOT_SHARE, finished, join_split, shared_dir, short_plans, slices, small_batches, written
 from .words import gram_hashes, key_hashes, shingle_sets, word_keys
 
 WIDTH, SIMILARITY, K = 5, (75, 100), 64
@@ -61,7 +63,7 @@ SLACK = 6
 #: Members of a list that meet in one block; in the rounds of random blocks, and in the last.
 ROUNDS, MEMBERS = (16, 128), 1024
 
-SETS = "doc_id BIGINT, n_shingles BIGINT, fp BINARY, sketch ARRAY<BIGINT>"
+SETS = "doc_id BIGINT, tag BIGINT, n_shingles BIGINT, fp BINARY, sketch ARRAY<BIGINT>"
 _TOP = np.uint64(1 << 63)
 
 
@@ -71,7 +73,7 @@ def fingerprint(hashes: np.ndarray) -> bytes:
 
 
 def sketched(docs: DataFrame, k: int, width: int) -> DataFrame:
-    """doc_id, n_shingles, fp, sketch of each row."""
+    """doc_id, tag (a hash of the text), n_shingles, fp, sketch of each row."""
 
     def run(batches):
         for piece in slices(batches):
@@ -83,11 +85,22 @@ def sketched(docs: DataFrame, k: int, width: int) -> DataFrame:
             lengths = np.cumsum([0, *map(len, sketches)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(sketches)))
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), lists], ["doc_id", "n_shingles", "fp", "sketch"]
+                [piece.column("doc_id"), piece.column("tag"), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), lists], ["doc_id", "tag", "n_shingles", "fp", "sketch"]
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, SETS)
+    return _tagged(docs).mapInArrow(run, SETS)
+
+
+def _tagged(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+
+
+def classified(some: DataFrame) -> DataFrame:
+    """fp, rep (the class' number), first_id (its smallest doc_id), tag (of this row's text), copies, n_shingles, sketch of the rows with sets. To be written once, as numbers may differ from run to run."""
+    first = F.min(F.struct("doc_id", "tag")).alias("first")
+    classes = some.groupBy("fp").agg(first, F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    return classes.select("fp", F.monotonically_increasing_id().alias("rep"), F.col("first.doc_id").alias("first_id"), F.col("first.tag").alias("tag"), "copies", "n_shingles", "sketch")
 
 
 def retained(classes: DataFrame, root: str) -> DataFrame:
@@ -103,11 +116,30 @@ def retained(classes: DataFrame, root: str) -> DataFrame:
     return ranked.where(F.col("rank") <= F.col("k") - least + 1).select("v", "doc", "n", "pop", F.col("n").alias("m"))
 
 
-def gathered(docs: DataFrame, classes: DataFrame, lists: DataFrame, root: str) -> DataFrame:
-    """rep, fp, sketch, text of the classes that stand in a list: all that later steps read of the documents."""
-    nodes = classes.select("rep", "fp", "sketch").join(lists.select(F.col("doc").alias("rep")).distinct(), "rep", "left_semi")
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    return written(rows.join(nodes, "rep").select("rep", "fp", "sketch", "text"), root, "texts")
+def gathered(docs: DataFrame, classes: DataFrame, lists: DataFrame, sets: DataFrame, root: str) -> DataFrame:
+    """rep, fp, sketch, text, one row each, of the classes that stand in a list: all that later steps read of the documents.
+
+    A row that repeats another one by doc_id and text adds nothing. Rows that are repeated
+    HOT_SHARE of all rows or more, at most 1 / HOT_SHARE of them, find their class by a
+    broadcast and leave a task once; the others go by a shuffled join.
+    """
+    nodes = classes.select("first_id", "tag", "rep", "fp", "sketch").join(lists.select(F.col("doc").alias("rep")).distinct(), "rep", "left_semi")
+    rows = _tagged(docs).withColumnRenamed("doc_id", "first_id")
+    most = max(2, int(sets.count() * HOT_SHARE))
+    repeated = sets.groupBy(F.col("doc_id").alias("first_id"), "tag").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most).select("first_id", "tag")
+    hot = written(nodes.join(repeated, ["first_id", "tag"]), root, "hot_nodes")
+    own = ["rep", "fp", "sketch", "text"]
+    if hot.isEmpty():
+        return written(_once(rows.join(nodes, ["first_id", "tag"]), "first_id", "tag").select(*own), root, "texts")
+    marked = rows.join(F.broadcast(hot), ["first_id", "tag"], "left")
+    some = marked.where("rep IS NOT NULL").groupBy("rep", "fp").agg(F.first("sketch").alias("sketch"), F.first("text").alias("text"))
+    rest = marked.where("rep IS NULL").select("first_id", "tag", "text").join(nodes.join(hot, "rep", "left_anti"), ["first_id", "tag"])
+    return written(some.select(*own).unionByName(_once(rest, "first_id", "tag").select(*own)), root, "texts")
+
+
+def _once(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row of each key, of rows that a join by the keys has dealt and sorted already."""
+    return rows.dropDuplicates(list(keys))
 
 
 def prefixes(texts: DataFrame, torn: DataFrame, width: int) -> DataFrame:
@@ -313,14 +345,17 @@ def _stars(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def links(classes: DataFrame, docs: DataFrame, root: str, k: int, width: int) -> DataFrame:
-    """doc, comp of the classes that are linked with others."""
+def links(classes: DataFrame, docs: DataFrame, sets: DataFrame, root: str, k: int, width: int) -> DataFrame:
+    """doc, comp of the classes that are linked with others, by their numbers."""
     lists = written(retained(classes, root), root, "lists")
-    texts = gathered(docs, classes, lists, root)
+    texts = gathered(docs, classes, lists, sets, root)
     check = lambda pairs, name: verified(_alike(pairs, texts, k), texts, root, name, width)
     seen = written(_to_leaders(lists.withColumn("comp", F.col("doc"))), root, "pairs")
     labels = components(check(seen, "leaders"), root, "comp")
-    places = written(prefixes(texts, _labelled(lists, labels), width), root, "prefixes")
+    left = written(_labelled(lists, labels).select("doc").distinct(), root, "left")
+    if left.isEmpty():
+        return labels
+    places = written(prefixes(texts, left, width), root, "prefixes")
     proposals = [lambda x: _to_leaders(x, True), *[lambda x, n=n: _across(x, n) for n in ROUNDS], _across]
     for k, propose in enumerate(proposals):
         torn = written(_labelled(places, labels), root, f"torn_{k}")
@@ -341,15 +376,18 @@ def near_dedup(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
     root = shared_dir(docs.sparkSession)
     sets = written(sketched(docs, k, width), root, "sets")
     some = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    classes = written(classes, root, "classes")
-    # a doc_id that stands for several rows links their sets
-    same = some.groupBy("doc_id").agg(F.countDistinct("fp").alias("sets")).where("sets > 1").select("doc_id")
-    twice = some.join(same, "doc_id", "left_semi")
-    labels = links(classes, docs, root, k, width)
-    named = classes.join(labels.withColumnRenamed("doc", "rep"), "rep", "left")
-    of_class = named.select("fp", F.coalesce("comp", "rep").alias("component_id"), "copies")
-    bridges = twice.join(of_class, "fp").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    classes = written(classified(some), root, "classes")
+    labels = links(classes, docs, sets, root, k, width)
+    # a component is named by the smallest doc_id of its classes
+    joined = classes.select("fp", "rep", "first_id", "copies").join(labels.withColumnRenamed("doc", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    names = joined.where("comp <> rep OR comp IS NULL").select("comp").distinct()
+    least = joined.join(names, "comp", "left_semi").groupBy("comp").agg(F.min("first_id").alias("least"))
+    of_class = written(joined.join(least, "comp", "left").select("fp", F.coalesce("least", "first_id").alias("component_id"), "copies"), root, "of_class")
+    # a doc_id that stands for several sets links them
+    held = some.select("doc_id", "fp").distinct()
+    twice = held.join(held.groupBy("doc_id").count().where("count > 1").select("doc_id"), "doc_id", "left_semi")
+    bridges = twice.join(of_class, "fp").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).distinct()
+    bridges = written(bridges, root, "bridges")
     if not bridges.isEmpty():
         over = components(bridges, root, "comp_ids").withColumnRenamed("doc", "component_id")
         of_class = of_class.join(over, "component_id", "left").select("fp", F.coalesce("comp", "component_id").alias("component_id"), "copies")
