@@ -6,8 +6,9 @@ sort-merge anti-join, and what is new is appended. All of it is DataFrame code.
 Two texts are equal when they are identical after each run of white space became one
 space; a null text counts as empty, and all empty texts are equal. Within a batch the
 row with the smallest doc_id stays; a digest that an earlier batch brought keeps that
-batch's row. A null doc_id is larger than any other; where all ids of a group are null
-keep_id is null and each of its rows counts as kept. Rows that repeat a doc_id and text
+batch's row, and all rows of later batches are dropped. A null doc_id is larger than any
+other; where all ids of a group are null keep_id is null and each row of the batch that
+brought it counts as kept. Rows that repeat a doc_id and text
 are all kept or all dropped together. Whole texts are digested, however long. Extra columns are ignored by `digests`. An empty
 table gives an empty result.
 """
@@ -62,11 +63,17 @@ class DigestIndex:
         new.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.table)
         self.spark.catalog.refreshTable(self.table)
 
-    def decide(self, digested: DataFrame, rows: int) -> DataFrame:
-        """For each row of one batch: doc_id, keep_id, group_size, kept, digest. rows: their number."""
-        found = self.rows().select("digest", "keep_id", "group_size")
+    def decide(self, digested: DataFrame, rows: int, batch: str) -> DataFrame:
+        """For each row of one batch: doc_id, keep_id, group_size, kept, digest. rows: their number.
+
+        group_size counts this batch's rows of the digest, which also says which digests are
+        hot in it. A row of a digest that another batch brought is never kept.
+        """
+        own = digested.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
+        found = own.join(self.rows().select("digest", "keep_id", F.col("batch").alias("_batch")), "digest")
         joined = join_split(digested, found, "digest", "group_size", rows)
-        return joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+        kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_batch") == batch)
+        return joined.withColumn("kept", kept).drop("_batch")
 
 
 def exact_dedup(docs: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -76,6 +83,6 @@ def exact_dedup(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     digested = written(digests(docs), root, "digests")
     index = DigestIndex(spark, f"{root}/index", buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
     index.add(digested, "first")
-    decided = finished(index.decide(digested, digested.count()), root)
+    decided = finished(index.decide(digested, digested.count(), "first"), root)
     index.close()
     return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))

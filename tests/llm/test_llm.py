@@ -514,9 +514,9 @@ def test_common_passage_makes_no_pairs(spark):
     docs = frame(spark, [(i, f"please see our full report on item w{i}", "s") for i in range(3000)])
     root = shared_dir(spark)
     sets = neardup.written(neardup.sketched(docs, 64, 5), root, "sets")
-    classes = sets.select("fp", F.col("doc_id").alias("rep"), F.lit(1).alias("copies"), "n_shingles", "sketch")
+    classes = neardup.written(neardup.classified(sets), root, "classes")
     lists = neardup.written(neardup.retained(classes, root), root, "lists")
-    texts = neardup.gathered(docs, classes, lists, root)
+    texts = neardup.gathered(docs, classes, lists, sets, root)
     places = neardup.prefixes(texts, lists, 5).withColumn("comp", F.col("doc"))
     assert neardup._across(places).count() == 0
     assert neardup.near_dedup(docs).where("kept").count() == 3000
@@ -540,8 +540,10 @@ def test_components_of_a_path(spark):
 
 def test_tiles():
     # 0..9 stands at 20 in the other text, 5..16 at 40: the longest first, then what is left
-    assert decontam.tiles([(10, 0, 20), (12, 5, 40)], (17, 60), 5) == [(5, 40, 12), (0, 20, 5)]
-    assert decontam.tiles([], (0, 0), 5) == []
+    side = lambda words: decontam.Side(np.array(words, np.uint64), np.ones(len(words), np.uint64), np.ones(len(words), bool))
+    other = [*range(100, 120), *range(10), *range(130, 140), *range(5, 17)]
+    assert decontam.tiles(side(range(17)), side(other), 5) == [(5, 40, 12), (0, 20, 5)]
+    assert decontam.tiles(side([]), side([]), 5) == []
 
 
 def judged(texts, items):
@@ -640,7 +642,7 @@ def test_digest_index_persists(spark):
     second = exact_dedup.digests(frame(spark, [(1, "a b", "s"), (2, "d", "s")]))
     again.add(second, "two")
     assert sorted((r.keep_id, r.group_size, r.batch) for r in again.rows().collect()) == [(2, 1, "two"), (3, 2, "one"), (9, 1, "one")]
-    assert sorted((r.doc_id, r.keep_id, r.kept) for r in again.decide(second, 2).collect()) == [(1, 3, False), (2, 2, True)]
+    assert sorted((r.doc_id, r.keep_id, r.kept) for r in again.decide(second, 2, "two").collect()) == [(1, 3, False), (2, 2, True)]
 
 
 def test_pipeline(spark, rows, library):

@@ -4,13 +4,14 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from cladeweave.llm import quality, search, spelling
+from cladeweave.llm import decontam, exact_dedup, neardup, quality, search, spelling
 from cladeweave.llm.common import shared_dir
 from cladeweave.llm.terms import Tally
 from cladeweave.llm.words import range_keys
@@ -317,3 +318,140 @@ def test_repeated_words_by_hashes_and_plainly(monkeypatch):
     assert quality.Profile(column).base["n_repeat_words"].tolist() == want
     monkeypatch.setattr(quality, "mix", lambda x: np.zeros_like(x))  # all windows have one hash
     assert quality.Profile(column).base["n_repeat_words"].tolist() == want
+
+
+# --- repeated rows, repeated passages and several batches in the earlier operators
+
+
+def near_groups(rows):
+    """doc_id -> smallest doc_id of its component, from all pairs of sets."""
+    sets = collections.defaultdict(set)
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t or ""))
+        sets[i].add(frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if any(x and y and 100 * len(x & y) >= 75 * len(x | y) for x in sets[a] for y in sets[b]):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    return {i: find(i) for i in sets}
+
+
+def test_near_copies_that_repeat_a_doc_id_many_times(spark):
+    rng = random.Random(1)
+    base = [f"w{rng.randrange(9000)}" for _ in range(60)]
+    one, two = " ".join(base), " ".join([*base[:-1], "other"])
+    rows = [(1, one)] * 20_000 + [(2, two)] * 20_000 + [(3, "nothing like it at all here"), (3, "nor this one which is else")]
+    began = time.time()
+    found = neardup.near_dedup(frame(spark, rows).repartition(8))
+    got = {tuple(r) for r in found.select("doc_id", "component_id", "kept").distinct().collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 3, True)} and found.count() == len(rows)
+    assert time.time() - began < 90
+
+
+def test_a_doc_id_with_many_texts(spark):
+    rng = random.Random(2)
+    word = lambda: f"w{rng.randrange(5000)}"
+    base = [word() for _ in range(50)]
+    near = lambda: " ".join(w if rng.random() > 0.02 else word() for w in base)
+    rows = [(7, near()) for _ in range(300)] + [(8, near()) for _ in range(300)] + [(9, " ".join(word() for _ in range(40))) for _ in range(200)] + [(5, " ".join(base)), (6, "five words of a kind here")]
+    rows += [(9, "five words of a kind here"), (4, "alone with these words and more of them"), (None, " ".join(base)), (2, None), (2, "")]
+    want = near_groups([r for r in rows if r[0] is not None and r[0] != 7 and r[0] != 8] + [r for r in rows if r[0] in (7, 8)][::20])
+    got = collections.defaultdict(set)
+    for r in neardup.near_dedup(frame(spark, rows)).collect():
+        got[r.doc_id].add(r.component_id)
+    assert got.pop(None) == {None}
+    assert dict(got) == {i: {c} for i, c in want.items()}
+
+
+def tiled(a, b, width=5):
+    """Words of a that greedy tiling by b covers."""
+    taken_a, taken_b, total = [False] * len(a), [False] * len(b), 0
+    while True:
+        best = None
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and not taken_a[i + n] and not taken_b[j + n]:
+                    n += 1
+                if n >= width and (best is None or n > best[0]):
+                    best = (n, i, j)
+        if best is None:
+            return total
+        total += best[0]
+        for d in range(best[0]):
+            taken_a[best[1] + d] = taken_b[best[2] + d] = True
+
+
+def cover(text, items):
+    piece = pa.RecordBatch.from_arrays([pa.array([text], pa.string())], ["text"])
+    ids, covers = decontam.judged(piece, decontam.Items(items, 5))
+    return ids[0], covers[0]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tiling_of_passages_that_both_sides_repeat(seed):
+    rng = random.Random(seed)
+    for _ in range(60):
+        passages = [" ".join(rng.choice("pqrs") for _ in range(rng.randint(5, 8))) for _ in range(2)]
+        mixed = lambda tag, n: " ".join(x for k in range(n) for x in (rng.choice(passages), f"{tag}{k}"))
+        items = [(k, mixed("i", rng.randint(1, 4))) for k in range(3)]
+        text = mixed("d", rng.randint(1, 6))
+        want = max((tiled(t.split(), text.split()) / len(t.split()), -k) for k, t in items)
+        assert cover(text, items) == ((-want[1], pytest.approx(want[0])) if want[0] else (None, 0.0))
+
+
+def test_tiling_takes_time_in_proportion():
+    began = time.time()
+    text = " ".join(f"p q r s t u d{k}" for k in range(4000))
+    assert cover(text, [(0, " ".join(f"p q r s t u i{k}" for k in range(400)))]) == (0, pytest.approx(6 / 7))
+    opening = "o1 o2 o3 o4 o5 o6 o7 o8"
+    block = decontam.Items([(k, opening + " " + " ".join(f"i{k}w{j}" for j in range(12))) for k in range(8000)], 5)
+    piece = pa.RecordBatch.from_arrays([pa.array([f"{opening} and {opening}"] * 20)], ["text"])
+    assert decontam.judged(piece, block) == ([0] * 20, [pytest.approx(0.4)] * 20)
+    assert time.time() - began < 10
+
+
+def test_items_without_id_and_with_one_that_repeats(spark):
+    rng = random.Random(3)
+    say = lambda: " ".join(f"b{rng.randrange(10_000)}" for _ in range(20))
+    a, b, c, d = say(), say(), say(), say()
+    bench = spark.createDataFrame([(None, a), (None, b), (4, c), (4, d), (9, c), (None, c), (None, None), (5, None)] + [(6, f"{say()} x{k}") for k in range(300)], "item_id BIGINT, text STRING")
+    docs = frame(spark, [(1, f"in {a} here"), (2, b), (3, f"x {c} y"), (4, d), (5, "clean words only and nothing else"), (6, None)])
+    for words in (decontam.BLOCK_WORDS, 500):
+        got = {r.doc_id: (r.item_id, r.contaminated) for r in decontam.decontaminate(docs, bench, block_words=words).collect()}
+        assert got == {1: (None, True), 2: (None, True), 3: (4, True), 4: (4, True), 5: (None, False), 6: (None, False)}
+        assert {r.doc_id for r in decontam.clean(docs, bench, block_words=words).collect()} == {5, 6}
+    # rows that repeat an item are one item, and a block holds about so many words whatever the ids
+    sizes = [len(x.value.a) for x in decontam.blocks(bench.unionByName(bench), 5, 500)]
+    assert len(sizes) > 5 and max(sizes) < 1500
+
+
+def test_digest_index_over_three_batches(spark):
+    rng = random.Random(5)
+    index = exact_dedup.DigestIndex(spark, f"{shared_dir(spark)}/index", 4)
+    known = {}
+    for name in ("one", "two", "three"):
+        rows = [(rng.choice([None, *range(50)]), rng.choice(["a", "b  b", "b b", "c", f"{name} own", None, ""])) for _ in range(80)]
+        rows += [(None, f"{name} nobody")] * 3 + [(i, "hot in two") for i in range(3000 if name == "two" else 1)]
+        normal = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+        own = collections.defaultdict(list)
+        for i, t in rows:
+            own[normal(t)].append(i)
+        fresh = {t for t in own if t not in known}
+        for t in fresh:
+            known[t] = min((i for i in own[t] if i is not None), default=None)
+        want = collections.Counter((i, known[normal(t)], len(own[normal(t)]), normal(t) in fresh and i == known[normal(t)]) for i, t in rows)
+        digested = exact_dedup.digests(frame(spark, rows))
+        index.add(digested, name)
+        got = index.decide(digested, len(rows), name).select("doc_id", "keep_id", "group_size", "kept")
+        assert collections.Counter(map(tuple, got.collect())) == want
+    index.close()
