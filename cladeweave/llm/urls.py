@@ -89,6 +89,11 @@ def _margins(slots: np.ndarray, rows: np.ndarray, weights: np.ndarray, n: int) -
     return sums / np.sqrt(np.maximum(counts, 1)) + weights[-1]
 
 
+def _share(margin: np.ndarray) -> np.ndarray:
+    """The logistic function, with margins cut where it is 0 or 1 anyway."""
+    return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
+
+
 def fit(labelled: DataFrame, most: int = MOST, steps: int = STEPS) -> np.ndarray:
     """Weights (the bias last) from a table host, path, blocked of which `most` urls at most are used."""
     known = labelled.where(F.col("blocked").isNotNull()).groupBy("host", "path").agg(F.max("blocked").alias("blocked"))
@@ -102,7 +107,7 @@ def fit(labelled: DataFrame, most: int = MOST, steps: int = STEPS) -> np.ndarray
     y = chosen["blocked"].to_numpy().astype(float)
     speed = np.zeros_like(weights)
     for _ in range(steps):
-        wrong = 1 / (1 + np.exp(-_margins(slots, rows, weights, n))) - y
+        wrong = _share(_margins(slots, rows, weights, n)) - y
         slope = np.bincount(slots, (wrong * share)[rows], len(weights)) / n
         slope[-1] = wrong.mean()
         speed = 0.9 * speed - RATE * (slope + DECAY * weights)
@@ -121,7 +126,7 @@ def judge(urls: DataFrame, weights: np.ndarray, rules=RULES, threshold: float =
         dense[at] = values
         for piece in slices(batches, "path"):
             slots, rows = features(piece.column("host"), piece.column("path"))
-            score = 1 / (1 + np.exp(-_margins(slots, rows, dense, piece.num_rows))) if len(at) else np.zeros(piece.num_rows)
+            score = _share(_margins(slots, rows, dense, piece.num_rows)) if len(at) else np.zeros(piece.num_rows)
             yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(score)], [*piece.schema.names, "score"])
 
     schema = T.StructType([*urls.schema.fields, T.StructField("score", T.DoubleType())])
