@@ -12,6 +12,7 @@ from .operators import concordance, consensus, trees
 from .operators.encode import matrix_summary, zero_based
 from .operators.quartets import budget
 from .operators.supertree import named
+from .operators.treeindex import TreeIndex
 from .plans import inference
 from .session import session
 from .sources import files
@@ -24,10 +25,11 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="cladeweave", description="Species trees from SNP quartets.")
     p.add_argument("--log-level", help="of Spark and of this program, such as INFO or ERROR")
     sub = p.add_subparsers(dest="command", required=True)
-    init = sub.add_parser("init", help="start a project from a SNP matrix (Parquet folder, .vcf or .hdf5)")
+    told = argparse.ArgumentParser(add_help=False)
+    told.add_argument("--log-level", default=argparse.SUPPRESS, help="as before the command")
+    init = sub.add_parser("init", help="start a project from a SNP matrix (Parquet folder, .vcf or .hdf5)", parents=[told])
     init.add_argument("data")
     init.add_argument("-n", "--name", default="project")
-    init.add_argument("--log-level", default=argparse.SUPPRESS, help="as before the command")
     init.add_argument("-w", "--workdir", default=".")
     init.add_argument("-q", "--nquartets", type=int, default=0)
     init.add_argument("-r", "--random-seed", type=int, default=0)
@@ -35,22 +37,25 @@ def parser() -> argparse.ArgumentParser:
     init.add_argument("-s", "--subsample-snps", action="store_true")
     init.add_argument("-l", "--linkage-block", type=int, default=0, help="sites of one block of this length are linked (VCF)")
     init.add_argument("--one-based", action="store_true", help="loci of a Parquet matrix count from 1")
-    run = sub.add_parser("run", help="score quartets of the data and of bootstrap replicates")
+    run = sub.add_parser("run", help="score quartets of the data and of bootstrap replicates", parents=[told])
     run.add_argument("json")
     run.add_argument("-c", "--cores", type=int, default=0)
     run.add_argument("-b", "--nboots", type=int, default=0)
     run.add_argument("-f", "--force", action="store_true", help="score replicates anew that are there")
+    run.add_argument("--refine", action="store_true", help="improve trees by local search on the quartets")
     run.add_argument("--save-counts", action="store_true", help="keep the site patterns' counts")
-    info = sub.add_parser("info", help="show a project")
+    info = sub.add_parser("info", help="show a project", parents=[told])
     info.add_argument("json")
     info.add_argument("-s", "--samples", action="store_true")
     for name, text in (("supertree", "trees of replicates"), ("consensus", "consensus of replicates"), ("concordance", "concordance with a tree")):
-        q = sub.add_parser(name, help=text)
+        q = sub.add_parser(name, help=text, parents=[told])
         q.add_argument("json")
         q.add_argument("-w", "--weights", type=int, default=1)
         q.add_argument("-s", "--min-snps", type=int, default=0)
         q.add_argument("-r", "--min-ratio", type=float, default=1.0)
         q.add_argument("-o", "--outgroup")
+        if name != "concordance":
+            q.add_argument("--refine", action="store_true", help="improve trees by local search on the quartets")
         if name == "supertree":
             q.add_argument("-i", "--idx", type=int, help="one replicate; all without it")
         else:
@@ -100,11 +105,11 @@ def _run(args) -> None:
     snps = spark.read.parquet(project.path("snps"))
     kept = project.path("counts") if args.save_counts else None
     if args.force:
-        for what in ("quartets", "counts", "trees"):
+        for what in ("quartets", "quartets.manifest", "counts", "trees"):
             files.delete(spark, project.path(what))
     done = inference.run(snps, project.nsamples, project.path("quartets"), args.nboots, project.nquartets, project.random_seed, project.subsample_snps, counts_out=kept)
     quartets = files.read_quartets(spark, project.path("quartets"))
-    rows = inference.replicate_trees(quartets, project.weights)
+    rows = inference.replicate_trees(quartets, project.weights, refine=args.refine)
     rows.write.mode("overwrite").parquet(project.path("trees"))
     newicks = {r.rep: r.newick for r in spark.read.parquet(project.path("trees")).collect()}  # one row a replicate
     _write_trees(spark, project, newicks)
@@ -132,7 +137,7 @@ def _trees(spark, project, args, idx=None) -> list:
     quartets = files.read_quartets(spark, project.path("quartets"))
     if idx is not None:
         quartets = quartets.where(F.col("rep") == idx)
-    return inference.replicate_trees(quartets, args.weights, args.min_snps, args.min_ratio).orderBy("rep").collect()
+    return inference.replicate_trees(quartets, args.weights, args.min_snps, args.min_ratio, args.refine).orderBy("rep").collect()
 
 
 def _supertree(args) -> None:
@@ -167,7 +172,7 @@ def _concordance(args) -> None:
     own = trees.splits(root)
     order = trees.edge_order(own)
     quartets = files.read_quartets(spark, project.path("quartets"))
-    edges, tips = concordance.concordance(quartets, trees.edge_sets(spark, root), args.min_snps, args.min_ratio, args.need_data)
+    edges, tips = concordance.concordance(quartets, TreeIndex(root), args.min_snps, args.min_ratio, args.need_data)
     shown = lambda x: round(x, 6) if isinstance(x, float) else x
     log.info("features: %s", ", ".join(concordance.features_added([k for n in root.nodes() for k in n.features], [*edges.columns[1:], "qf"])))
     for row in edges.collect():  # one row an edge

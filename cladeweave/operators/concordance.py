@@ -1,4 +1,8 @@
-"""Concordance of resolved quartets with a fixed tree, by edge and by tip."""
+"""Concordance of resolved quartets with a fixed tree, by edge and by tip.
+
+Quartets find their edge in the tree's index (see treeindex) as they stream by;
+tree_quartets lists all that one edge resolves, for small trees.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import concordance_score, qc, qd, qf, qi, upper_mean
 from .quartets import NAMES
+from .treeindex import TreeIndex, tree_resolution
 
 
 def tree_quartets(edges: DataFrame) -> DataFrame:
@@ -24,9 +29,9 @@ def tree_quartets(edges: DataFrame) -> DataFrame:
     return rows.select(*places, (F.array_position("q", mate) - 2).cast("int").alias("r"), "edge_id")
 
 
-def mapped(quartets: DataFrame, tree: DataFrame, min_snps: int = 0, min_ratio: float = 1.0, need_data: bool = False) -> DataFrame:
+def mapped(quartets: DataFrame, tree: TreeIndex, min_snps: int = 0, min_ratio: float = 1.0, need_data: bool = False) -> DataFrame:
     """Quartets of the tree with weight, score, informative and kind (0 concordant, 1 and 2 discordant: the lower and higher other index)."""
-    rows = quartets.join(tree, NAMES)
+    rows = tree_resolution(quartets, tree)
     score = concordance_score()
     least = max(min_snps, 1) if need_data else min_snps
     rows = rows.withColumn("weight", upper_mean()).withColumn("score", score)
@@ -96,7 +101,7 @@ def features_added(before: list[str], after: list[str]) -> list[str]:
     return [x for x in dict.fromkeys(after) if x not in set(before)]
 
 
-def concordance(quartets: DataFrame, edges: DataFrame, min_snps: int = 0, min_ratio: float = 1.0, need_data: bool = False) -> tuple[DataFrame, DataFrame]:
+def concordance(quartets: DataFrame, tree: TreeIndex, min_snps: int = 0, min_ratio: float = 1.0, need_data: bool = False) -> tuple[DataFrame, DataFrame]:
     """Edge statistics with means, and tip fidelity, over all replicates at once."""
-    rows = mapped(quartets, tree_quartets(edges), min_snps, min_ratio, need_data)
+    rows = mapped(quartets, tree, min_snps, min_ratio, need_data)
     return edge_stats(edge_tallies(rows)).join(edge_means(rows), "edge_id"), tip_fidelity(rows)

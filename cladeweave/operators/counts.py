@@ -3,7 +3,7 @@
 A site counts for a quartet when none of its four codes is missing and they aren't all
 equal. Its pattern is the cell (4a + b, 4c + d) of a 16 x 16 matrix. codes: sample_idx,
 locus, site, code, and rep where there are replicates. Without quartets all that occur
-are counted, by joins on the site; quartets (distinct i0..i3) go to packed blocks instead
+are counted, by joins on the site; quartets (Ranks, or distinct i0..i3) go to packed blocks instead
 (see packed), so that nothing else is counted. n is the number of samples.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chance import order_key
-from .packed import asked_counts
+from .packed import Ranks, asked_counts
 from .quartets import NAMES
 
 
@@ -45,7 +45,7 @@ def patterns(codes: DataFrame) -> DataFrame:
     return out.select(*keys, "locus", *NAMES, r.cast("int").alias("r"), c.cast("int").alias("c"), *mult)
 
 
-def pattern_counts(codes: DataFrame, quartets: DataFrame | None = None, n: int = 0, compress: bool = True) -> DataFrame:
+def pattern_counts(codes: DataFrame, quartets: DataFrame | Ranks | None = None, n: int = 0, compress: bool = True) -> DataFrame:
     """keys, i0..i3, r, c, n over all sites. compress: count each distinct column of the matrix once, with its multiplicity."""
     if quartets is not None:
         return asked_counts(codes, quartets, n)
@@ -57,7 +57,7 @@ def pattern_counts(codes: DataFrame, quartets: DataFrame | None = None, n: int =
     return rows.groupBy(*keys, *NAMES, "r", "c").agg(sites.cast("long").alias("n"))
 
 
-def unlinked_counts(codes: DataFrame, quartets: DataFrame | None = None, n: int = 0) -> DataFrame:
+def unlinked_counts(codes: DataFrame, quartets: DataFrame | Ranks | None = None, n: int = 0) -> DataFrame:
     """As pattern_counts, but of each locus only the first site that counts for the quartet."""
     if quartets is not None:
         return asked_counts(codes, quartets, n, True)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import Matrix, blocks
+from .packed import Matrix, Ranks, blocks, cells_of, rank_rows, unranked_rows
 from .quartets import NAMES
 
 MOST_RANK, NO_DATA, TINY = 10, 0.001, 1e-9
@@ -87,6 +87,22 @@ def score_counts(dense: DataFrame, seed: int, most_rank: int = MOST_RANK) -> Dat
     return dense.mapInArrow(run, ("rep BIGINT, " if keys else "") + SCORED)
 
 
+def score_cells(dense: DataFrame, n: int, seed: int, most_rank: int = MOST_RANK) -> DataFrame:
+    """(rep,) i0..i3, s0..s2, res, nsnps from packed.cell_counts(); quartets without sites get NO_DATA."""
+    keys = ["rep"] if "rep" in dense.columns else []
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                q = unranked_rows(part.column("rank").to_numpy(), n)
+                reps = part.column("rep").to_numpy() if keys else np.zeros(len(q), np.int64)
+                out = resolve(q, cells_of(part.column("cells")), reps, seed, most_rank)
+                yield _batch([*keys, *NAMES, "s0", "s1", "s2", "res", "nsnps"], [*([reps] if keys else []), *q.T, *out])
+
+    return dense.mapInArrow(run, ("rep BIGINT, " if keys else "") + SCORED)
+
+
 def with_no_data(scored: DataFrame, quartets: DataFrame, seed: int) -> DataFrame:
     """scored plus the quartets that have no site: NO_DATA scores and a hash choice."""
     keys = ["rep"] if "rep" in scored.columns else []
@@ -123,7 +139,7 @@ def spectra(dense: DataFrame) -> DataFrame:
     return dense.mapInArrow(run, ("rep BIGINT, " if keys else "") + "i0 INT, i1 INT, i2 INT, i3 INT, f INT, values ARRAY<DOUBLE>, nsnps BIGINT")
 
 
-def score_dense(codes: DataFrame, quartets: DataFrame, n: int, seed: int, unlinked: bool = False, rep: int = 0, most_rank: int = MOST_RANK) -> DataFrame:
+def score_dense(codes: DataFrame, quartets: DataFrame | Ranks, n: int, seed: int, unlinked: bool = False, rep: int = 0, most_rank: int = MOST_RANK) -> DataFrame:
     """i0..i3, s0..s2, res, nsnps of every quartet against one replicate's codes, whose matrix has at most DENSE_CELLS cells.
 
     Executors pack the sites; the driver passes on a few rows of bytes.
@@ -139,8 +155,8 @@ def score_dense(codes: DataFrame, quartets: DataFrame, n: int, seed: int, unlink
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
-                q = np.stack([batch.slice(lo, 512).column(x).to_numpy() for x in NAMES], axis=1)
+                q = unranked_rows(batch.slice(lo, 512).column("rank").to_numpy(), n)
                 cells = shared.value.unlinked_counts(q) if unlinked else shared.value.counts(q)
                 yield _batch([*NAMES, "s0", "s1", "s2", "res", "nsnps"], [*q.T, *resolve(q, cells, np.full(len(q), rep), seed, most_rank)])
 
-    return quartets.select(*NAMES).mapInArrow(run, SCORED)
+    return rank_rows(codes.sparkSession, quartets, n).mapInArrow(run, SCORED)

@@ -1,38 +1,80 @@
-"""The matrix as packed blocks of sites, and pattern counts of just the quartets asked for.
+"""The matrix as packed blocks of sites, and pattern counts of quartets by tiles of ranks and blocks.
 
 A block holds a byte a cell (a base's code, 4 where missing) of all samples for a range of
-site numbers, about BLOCK_CELLS cells, so any task's share has a bound. Quartets go to the
-blocks, at most QUARTETS at a time; a block emits only the patterns that occur, and these
-are added up by quartet. No combination of samples is made that isn't asked for.
+site numbers, about BLOCK_CELLS cells, so any task's share has a bound. Quartets are known
+by their ranks: all of a universe are intervals of numbers, chosen ones lists of about
+PART numbers. A task takes a block and an interval or a list, unranks in numpy and counts;
+neither a quartet nor a count passes the driver, and all quartets of any universe take
+one pass over the blocks.
 
-A locus' sites have consecutive numbers, so only the first and last locus of a block may
-go on in another one. Where one site a locus counts, a block settles all other loci and
-says of these two which of its sites comes first.
+What a block says of a quartet is a row of 256 counts. Rows of several blocks are added up
+behind a shuffle by rank, as streams of sorted rows: no group is held whole.
+
+Where one site a locus counts, a block's states are (locus, place and pattern of the first
+site that counts there). Two states of one locus merge into the one of the earlier place,
+in any order, so loci need not be runs of sites nor end with a block. Loci that no other
+block holds are settled as counts at once; only states of loci in several blocks travel.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from math import comb
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_table
-from .quartets import NAMES
+from .quartets import NAMES, rank_of
 
-BLOCK_CELLS, QUARTETS, PART = 1 << 20, 1 << 22, 1 << 16
+BLOCK_CELLS, PART, PARTS, TILE = 1 << 20, 1 << 16, 1 << 12, 256
+#: Ranks that a broadcast table of lists holds at most.
+SMALL = 1 << 20
 MISSING = 4
 _BASES = np.arange(256)
-#: Of each of the 256 patterns the cell with three bits a base; the patterns of four equal bases.
-_CELLS = (_BASES >> 6) << 9 | (_BASES >> 4 & 3) << 6 | (_BASES >> 2 & 3) << 3 | (_BASES & 3)
+#: Of each of the 256 patterns the cell among those of four codes, MISSING included; the patterns of four equal bases.
+CELLS = 625
+_CELLS = (_BASES >> 6) * 125 + (_BASES >> 4 & 3) * 25 + (_BASES >> 2 & 3) * 5 + (_BASES & 3)
 _EQUAL = np.arange(4) * 85
-_FOUND = "i0 INT, i1 INT, i2 INT, i3 INT, cell INT, n BIGINT, locus BIGINT, place BIGINT"
+PARTIAL = "rank BIGINT, cells BINARY, locus BIGINT, first BIGINT"
+
+
+@dataclass(frozen=True)
+class Ranks:
+    """The quartets of n samples with ranks from start up to end (all without an end): numbers, never rows."""
+
+    n: int
+    start: int = 0
+    end: int | None = None
+
+    @property
+    def last(self) -> int:
+        return comb(self.n, 4) if self.end is None else min(self.end, comb(self.n, 4))
+
+    def __len__(self) -> int:
+        return max(0, self.last - self.start)
+
+
+def unranked_rows(ranks: np.ndarray, n: int) -> np.ndarray:
+    """Quartets (rows of four) of ranks, by the combinatorial number system."""
+    left, out = comb(n, 4) - 1 - ranks.astype(np.int64), np.empty((len(ranks), 4), np.int32)
+    for place, k in enumerate((4, 3, 2, 1)):
+        tops = np.array([comb(t, k) for t in range(n)], np.int64)
+        top = np.searchsorted(tops, left, side="right") - 1
+        out[:, place] = n - 1 - top
+        left -= tops[top]
+    return out
 
 
 class Matrix:
-    """Packed codes (samples x sites) with each site's locus and number; sites in order."""
+    """Packed codes (samples x sites) with each site's locus and number, in order of locus and site."""
 
     def __init__(self, codes: np.ndarray, locus: np.ndarray, site: np.ndarray):
+        order = np.lexsort((site, locus))
+        if (np.diff(order) != 1).any():
+            codes, locus, site = np.ascontiguousarray(codes[:, order]), locus[order], site[order]
         self.codes, self.locus, self.site = codes, locus, site
 
     @classmethod
@@ -46,24 +88,29 @@ class Matrix:
             site.append(np.frombuffer(r["sites"], np.int64))
         return cls(np.concatenate(parts, axis=1), np.concatenate(locus), np.concatenate(site))
 
-    def _four(self, q) -> list[np.ndarray]:
-        """The rows of a quartet's samples; one that the matrix lacks is missing everywhere."""
-        return [self.codes[i] if i < len(self.codes) else np.full(self.codes.shape[1], MISSING, np.uint8) for i in q]
+    def _row(self, i: int) -> np.ndarray:
+        """A sample's codes; one that the matrix lacks is missing everywhere."""
+        return self.codes[i] if i < len(self.codes) else np.full(self.codes.shape[1], MISSING, np.uint8)
 
     def counts(self, quartets: np.ndarray) -> np.ndarray:
-        """256 counts for each quartet, over all sites."""
+        """256 counts for each quartet, over all sites. Quartets in a row that share their first three samples are counted together."""
         out = np.zeros((len(quartets), 256), np.int64)
-        for k, q in enumerate(quartets):
-            a, b, c, d = self._four(q)
-            # three bits a base, so that missing ones fall into cells of their own
-            cell = (a.astype(np.uint16) << 9) | (b.astype(np.uint16) << 6) | (c << 3) | d
-            out[k] = np.bincount(cell, minlength=4096)[_CELLS]
+        many = max(1, (1 << 16) // max(1, self.codes.shape[1]))
+        new = np.flatnonzero((quartets[1:, :3] != quartets[:-1, :3]).any(axis=1)) + 1
+        for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(quartets)]):
+            if lo < hi:
+                a, b, c = (self._row(i).astype(np.int64) for i in quartets[lo, :3].tolist())
+                three = a * 125 + b * 25 + c * 5
+            for at in range(lo, hi, many):
+                last = np.stack([self._row(d) for d in quartets[at : min(at + many, hi), 3].tolist()])
+                cell = three + last + np.arange(len(last))[:, None] * CELLS
+                out[at : at + len(last)] = np.bincount(cell.reshape(-1), minlength=len(last) * CELLS).reshape(-1, CELLS)[:, _CELLS]
         out[:, _EQUAL] = 0
         return out
 
     def firsts(self, q) -> tuple[np.ndarray, np.ndarray]:
         """Where the first site of each locus stands that counts for a quartet, and its pattern."""
-        a, b, c, d = self._four(q)
+        a, b, c, d = (self._row(i) for i in q)
         known = (a < 4) & (b < 4) & (c < 4) & (d < 4) & ~((a == b) & (b == c) & (c == d))
         at = np.flatnonzero(known)
         if len(at):
@@ -76,10 +123,10 @@ class Matrix:
         return np.stack([np.bincount(self.firsts(q)[1], minlength=256) for q in quartets]) if len(quartets) else np.zeros((0, 256), np.int64)
 
 
-def blocks(codes: DataFrame, n: int) -> DataFrame:
-    """(rep,) block, n, loci, sites, packed: rows that hold a range of site numbers of all samples. n: about how many samples there are."""
+def blocks(codes: DataFrame, n: int, cells: int | None = None) -> DataFrame:
+    """(rep,) block, n, loci, sites, packed: rows that hold a range of site numbers of all samples, about `cells` cells. n: about how many samples there are."""
     keys = ["rep"] if "rep" in codes.columns else []
-    width = max(1, BLOCK_CELLS // max(1, n))
+    width = max(1, (cells or BLOCK_CELLS) // max(1, n))
     known = codes.where(F.col("code").isNotNull())
     rows = known.select(*keys, F.expr(f"site div {width}").alias("block"), "sample_idx", "locus", "site", F.col("code").cast("int").alias("code"))
     names = [*keys, "block", "n", "loci", "sites", "packed"]
@@ -100,79 +147,213 @@ def blocks(codes: DataFrame, n: int) -> DataFrame:
     return rows.groupBy(*keys, "block").applyInArrow(pack, kind)
 
 
-def _found(matrix: Matrix, quartets: np.ndarray, unlinked: bool) -> pa.RecordBatch:
-    """Patterns of quartets in one block: counts, or sites (place) of the loci that may go on elsewhere."""
+def torn_loci(held: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, block, torn: the loci of each block that other blocks hold too."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                loci = np.unique(np.frombuffer(row["loci"], np.int64))
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(loci), row[k])) for k in keys), pa.array(np.full(len(loci), row["block"])), pa.array(loci)], [*keys, "block", "locus"])
+
+    here = held.select(*keys, "block", "loci").mapInArrow(run, "".join(f"{k} BIGINT, " for k in keys) + "block BIGINT, locus BIGINT")
+    several = here.groupBy(*keys, "locus").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select(*keys, "locus")
+    return here.join(several, [*keys, "locus"]).groupBy(*keys, "block").agg(F.collect_list("locus").alias("torn"))
+
+
+def _tiled(held: DataFrame, quartets: DataFrame | Ranks, keys: list[str]) -> tuple[DataFrame, int]:
+    """held with each block once for every part of the quartets (lo and hi, or ranks), and the number of samples that ranks are of."""
+    if isinstance(quartets, Ranks):
+        step = max(PART, -(-len(quartets) // PARTS))
+        parts = max(1, -(-len(quartets) // step))
+        rows = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        lo = F.lit(quartets.start).cast("long") + F.col("part").cast("long") * step
+        rows = rows.withColumn("lo", lo).withColumn("hi", F.least(lo + step, F.lit(quartets.last).cast("long"))).withColumn("ranks", F.lit(None).cast("array<bigint>"))
+    else:
+        total = quartets.count()
+        parts = max(1, -(-total // PART))
+        lists = quartets.groupBy(F.pmod(F.xxhash64("rank"), F.lit(parts)).cast("int").alias("part")).agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
+        if total <= SMALL:
+            rows = held.join(F.broadcast(lists))  # at most SMALL numbers
+        else:
+            rows = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(lists, "part")
+        rows = rows.withColumn("lo", F.lit(0).cast("long")).withColumn("hi", F.lit(0).cast("long"))
+    return rows if parts == 1 else rows.repartition(*keys, "block", "part")
+
+
+def _partials(matrix: Matrix, ranks: np.ndarray, n: int, unlinked: bool, torn: np.ndarray) -> tuple[np.ndarray, list]:
+    """Rows of 256 counts for ranks, and (rank, locus, place and pattern) of the torn loci."""
+    quartets = unranked_rows(ranks, n)
     if not unlinked:
-        counts = matrix.counts(quartets)
-        q, cell = np.nonzero(counts)
-        columns = [*quartets[q].T, cell, counts[q, cell]]
-        return _rows(columns, None, None)
-    ends = matrix.locus[[0, -1]]
-    counts, torn = np.zeros((len(quartets), 256), np.int64), []
+        return matrix.counts(quartets), []
+    if not len(torn):
+        return matrix.unlinked_counts(quartets), []
+    cut, states, counts = np.isin(matrix.locus, torn), [], np.zeros((len(ranks), 256), np.int64)
     for k, four in enumerate(quartets):
         at, cell = matrix.firsts(four)
-        edge = np.isin(matrix.locus[at], ends)
-        counts[k] = np.bincount(cell[~edge], minlength=256)
-        torn += [(k, int(c), int(matrix.locus[x]), int(matrix.site[x])) for x, c in zip(at[edge], cell[edge])]
-    q, cell = np.nonzero(counts)
-    late = np.array(torn, np.int64).reshape(-1, 4)
-    columns = [np.concatenate([x, y]) for x, y in zip([*quartets[q].T, cell, counts[q, cell]], [*quartets[late[:, 0]].T, late[:, 1], np.ones(len(late), np.int64)])]
-    none = [None] * len(q)
-    return _rows(columns, none + late[:, 2].tolist(), none + late[:, 3].tolist())
+        late = cut[at]
+        counts[k] = np.bincount(cell[~late], minlength=256)
+        states.append(np.stack([np.full(int(late.sum()), ranks[k]), matrix.locus[at[late]], matrix.site[at[late]] * 256 + cell[late]], axis=1))
+    return counts, states
+
+
+def rank_rows(spark: SparkSession, quartets: DataFrame | Ranks, n: int) -> DataFrame:
+    """rank of each quartet, as rows."""
+    if isinstance(quartets, Ranks):
+        return spark.range(quartets.start, max(quartets.start, quartets.last)).withColumnRenamed("id", "rank")
+    return quartets.select(F.col("rank").cast("long").alias("rank") if "rank" in quartets.columns else rank_of(n).alias("rank"))
+
+
+def cell_counts(codes: DataFrame, quartets: DataFrame | Ranks, n: int, unlinked: bool = False, empty: bool = False, block_cells: int | None = None) -> DataFrame:
+    """(rep,) rank, cells (256 counts as 64-bit numbers) of quartets, over all sites or one site a locus.
+
+    quartets: Ranks, or distinct rows with i0..i3 (or rank) of n samples. empty: with the
+    quartets that have no site, as rows of zeros.
+    """
+    if n < 4:
+        raise ValueError("counts of quartets need the number of samples")
+    keys = ["rep"] if "rep" in codes.columns else []
+    spark = codes.sparkSession
+    if not isinstance(quartets, Ranks):
+        quartets = rank_rows(spark, quartets, n)
+    held = shared_table(blocks(codes, n, block_cells), "blocks")
+    most = held.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if not most and empty and not keys:
+        return rank_rows(spark, quartets, n).withColumn("cells", F.lit(bytes(2048)))
+    several = most > 1
+    if unlinked and several:
+        held = held.join(torn_loci(held, keys), [*keys, "block"], "left")
+    else:
+        held = held.withColumn("torn", F.lit(None).cast("array<bigint>"))
 
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                matrix, torn = Matrix.of_rows([row], n), np.array(row["torn"] or [], np.int64)
+                listed = None if row["ranks"] is None else np.array(row["ranks"], np.int64)
+                lo, hi = (row["lo"], row["hi"]) if listed is None else (0, len(listed))
+                for at in range(lo, hi, TILE):
+                    ranks = np.arange(at, min(at + TILE, hi)) if listed is None else listed[at : at + TILE]
+                    counts, states = _partials(matrix, ranks, n, unlinked, torn)
+                    some = counts.any(axis=1) | empty
+                    late = np.concatenate(states) if states else np.zeros((0, 3), np.int64)
+                    out = _partial_rows(ranks[some], counts[some], late)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.full(out.num_rows, row[k])) for k in keys), *out.columns], [*keys, *out.schema.names])
 
-def _rows(columns: list[np.ndarray], locus: list | None, place: list | None) -> pa.RecordBatch:
-    n = len(columns[0])
-    kinds = [*[pa.int32()] * 5, pa.int64()]
-    arrays = [pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(columns, kinds)]
-    arrays += [pa.array(x, pa.int64()) if x is not None else pa.nulls(n, pa.int64()) for x in (locus, place)]
-    return pa.RecordBatch.from_arrays(arrays, [*NAMES, "cell", "n", "locus", "place"])
+    kind = "".join(f"{k} BIGINT, " for k in keys)
+    found = _tiled(held, quartets, keys).mapInArrow(run, kind + PARTIAL)
+    if not several:
+        return found.select(*keys, "rank", "cells")
+    rows = found.where("cells IS NOT NULL").select(*keys, "rank", "cells")
+    if unlinked:
+        first = found.where("cells IS NULL").groupBy(*keys, "rank", "locus").agg(F.min("first").alias("first"))
+        late = first.groupBy(*keys, "rank", (F.col("first") % 256).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+        rows = rows.withColumn("cell", F.lit(None).cast("int")).withColumn("n", F.lit(None).cast("long")).unionByName(late.withColumn("cells", F.lit(None).cast("binary")).select(*keys, "rank", "cells", "cell", "n"))
+    return _added(rows, keys)
 
 
-def asked_counts(codes: DataFrame, quartets: DataFrame, n: int, unlinked: bool = False) -> DataFrame:
+def _partial_rows(ranks: np.ndarray, counts: np.ndarray, late: np.ndarray) -> pa.RecordBatch:
+    m, k = len(ranks), len(late)
+    cells = pa.concat_arrays([cell_column(counts), pa.nulls(k, pa.binary())])
+    columns = [pa.array(np.concatenate([ranks, late[:, 0]])), cells]
+    columns += [pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(late[:, c])]) for c in (1, 2)]
+    return pa.RecordBatch.from_arrays(columns, ["rank", "cells", "locus", "first"])
+
+
+def cell_column(counts: np.ndarray) -> pa.Array:
+    """Rows of 256 counts as binary values."""
+    data = np.ascontiguousarray(counts, np.int64)
+    offsets = np.arange(len(data) + 1, dtype=np.int32) * 2048
+    return pa.BinaryArray.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def cells_of(column: pa.Array) -> np.ndarray:
+    """Counts (rows of 256) of a column without nulls."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(np.int64).reshape(-1, 256) if len(column) else np.zeros((0, 256), np.int64)
+
+
+def _added(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of equal keys and rank added up, as a stream of sorted rows. Rows with cell and n add a single count."""
+    names = [*keys, "rank"]
+    spread = "cell" in rows.columns
+
+    def sums(table: pa.Table):
+        told = np.stack([table.column(c).to_numpy() for c in names], axis=1)
+        new = np.flatnonzero(np.append(True, (told[1:] != told[:-1]).any(axis=1)))
+        place, cells = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(told)))), table.column("cells").combine_chunks()
+        dense = cells.is_valid().to_numpy(zero_copy_only=False)
+        total = np.zeros((len(new), 256), np.int64)
+        np.add.at(total, place[dense], cells_of(cells.drop_null()))
+        if spread and not dense.all():
+            one = table.filter(pa.array(~dense))
+            np.add.at(total, (place[~dense], one.column("cell").to_numpy()), one.column("n").to_numpy())
+        return told[new], total
+
+    def out(told: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in told.T), cell_column(total)], [*names, "cells"])
+
+    def run(batches):
+        last, carried = None, None
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                told, total = sums(pa.Table.from_batches([batch.slice(lo, 1024)]))
+                if last is not None and (told[0] == last[0]).all():
+                    total[0] += carried[0]
+                elif last is not None:
+                    yield out(last, carried)
+                if len(told) > 1:
+                    yield out(told[:-1], total[:-1])
+                last, carried = told[-1:], total[-1:]
+        if last is not None:
+            yield out(last, carried)
+
+    dealt = rows.repartition(*names).sortWithinPartitions(*names)
+    return dealt.mapInArrow(run, "".join(f"{k} BIGINT, " for k in names) + "cells BINARY")
+
+
+def sparse_counts(dense: DataFrame, n: int) -> DataFrame:
+    """(rep,) i0..i3, r, c, n of cell_counts()."""
+    keys = ["rep"] if "rep" in dense.columns else []
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                counts = cells_of(part.column("cells"))
+                q, cell = np.nonzero(counts)
+                columns = [*(part.column(k).to_numpy()[q] for k in keys), *unranked_rows(part.column("rank").to_numpy(), n)[q].T, (cell // 16).astype(np.int32), (cell % 16).astype(np.int32), counts[q, cell]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*keys, *NAMES, "r", "c", "n"])
+
+    return dense.mapInArrow(run, "".join(f"{k} BIGINT, " for k in keys) + "i0 INT, i1 INT, i2 INT, i3 INT, r INT, c INT, n BIGINT")
+
+
+def pattern_totals(dense: DataFrame, n: int) -> DataFrame:
+    """i0, r, c, quartets, n, marked of cell_counts(): how many quartets that begin with i0 hold a pattern, at how many sites, and that number weighted by where the other three samples stand.
+
+    A task adds its quartets up, so what leaves it is as small as the samples are few.
+    """
+
+    def run(batches):
+        sums = np.zeros((n, 3, 256), np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                q, counts = unranked_rows(part.column("rank").to_numpy(), n).astype(np.int64), cells_of(part.column("cells"))
+                mark = ((q[:, 1] * n + q[:, 2]) * n + q[:, 3]) % 1009
+                for i in np.unique(q[:, 0]).tolist():  # ranks in a row mostly begin alike
+                    own = q[:, 0] == i
+                    for k, told in enumerate((counts[own] > 0, counts[own], counts[own] * mark[own, None])):
+                        sums[i, k] += told.sum(axis=0)
+        i, cell = np.nonzero(sums[:, 0])
+        columns = [i.astype(np.int32), (cell // 16).astype(np.int32), (cell % 16).astype(np.int32), *(sums[i, k, cell] for k in range(3))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["i0", "r", "c", "quartets", "n", "marked"])
+
+    found = dense.select("rank", "cells").mapInArrow(run, "i0 INT, r INT, c INT, quartets BIGINT, n BIGINT, marked BIGINT")
+    return found.groupBy("i0", "r", "c").agg(*[F.sum(x).alias(x) for x in ("quartets", "n", "marked")])
+
+
+def asked_counts(codes: DataFrame, quartets: DataFrame | Ranks, n: int, unlinked: bool = False) -> DataFrame:
     """(rep,) i0..i3, r, c, n of the distinct quartets given, over all sites or one site a locus."""
-    if n < 1:
-        raise ValueError("counts of given quartets need the number of samples")
-    spark, keys = codes.sparkSession, ["rep"] if "rep" in codes.columns else []
-    wanted = quartets.select(*NAMES)
-    total = wanted.count()
-    held = blocks(codes, n)
-    slices = max(1, -(-total // QUARTETS))
-    if slices > 1:
-        held = shared_table(held, "blocks")
-    found = []
-    for s in range(slices):
-        own = wanted if slices == 1 else wanted.where(F.pmod(F.xxhash64(*NAMES), F.lit(slices)) == s)
-        table = own.toArrow()  # about QUARTETS rows of four numbers
-        chosen = np.stack([table.column(c).to_numpy() for c in NAMES], axis=1).astype(np.int32)
-        shared = spark.sparkContext.broadcast(chosen)
-        parts = max(1, -(-len(chosen) // PART))
-        rows = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        if parts > 1:
-            rows = rows.repartition(*keys, "block", "part")
-
-        def run(batches, shared=shared, parts=parts):
-            for batch in batches:
-                for row in batch.to_pylist():
-                    matrix, own = Matrix.of_rows([row], row["n"]), shared.value[row["part"] :: parts]
-                    for lo in range(0, len(own), 1024):
-                        out = _found(matrix, own[lo : lo + 1024], unlinked)
-                        if keys:
-                            out = pa.RecordBatch.from_arrays([pa.array(np.full(out.num_rows, row["rep"])), *out.columns], ["rep", *out.schema.names])
-                        yield out
-
-        counted = rows.mapInArrow(run, ("rep BIGINT, " if keys else "") + _FOUND)
-        plain = counted.where(F.col("locus").isNull()).groupBy(*keys, *NAMES, "cell").agg(F.sum("n").alias("n"))
-        if unlinked:
-            first = counted.where(F.col("locus").isNotNull()).groupBy(*keys, *NAMES, "locus").agg(F.min(F.col("place") * 256 + F.col("cell")).alias("p"))
-            torn = first.groupBy(*keys, *NAMES, (F.col("p") % 256).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-            plain = plain.unionByName(torn).groupBy(*keys, *NAMES, "cell").agg(F.sum("n").alias("n"))
-        plain = plain.select(*keys, *NAMES, F.expr("cast(cell div 16 as int)").alias("r"), (F.col("cell") % 16).alias("c"), "n")
-        if slices > 1:
-            plain = shared_table(plain, "counts")
-            shared.unpersist()
-        found.append(plain)
-    every = found[0]
-    for part in found[1:]:
-        every = every.unionByName(part)
-    return every
+    return sparse_counts(cell_counts(codes, quartets, n, unlinked), n)

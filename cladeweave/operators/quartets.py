@@ -11,7 +11,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.chance import order_key
+from ..functions.chance import draw, order_key
 from ..functions.numbering import BUCKETS, first_rows
 
 NAMES = ["i0", "i1", "i2", "i3"]
@@ -38,6 +38,15 @@ def unranked(ranks: DataFrame, n: int, rank: str = "rank") -> DataFrame:
     return out.drop("_left", "_top")
 
 
+def rank_of(n: int) -> Column:
+    """The rank of i0 < i1 < i2 < i3 among the quartets of n samples."""
+    rank = F.lit(comb(n, 4) - 1).cast("long")
+    for name, k in zip(NAMES, (4, 3, 2, 1)):
+        tops = F.array(*[F.lit(comb(t, k)).cast("long") for t in range(n)])
+        rank = rank - F.element_at(tops, F.lit(n) - F.col(name))
+    return rank
+
+
 def all_quartets(spark: SparkSession, n: int) -> DataFrame:
     """rank and quartet of all 4-subsets of n samples, from a range that Spark cuts into tasks."""
     return unranked(spark.range(comb(n, 4)).withColumnRenamed("id", "rank"), n)
@@ -97,36 +106,30 @@ def budget(n: int, wanted: int = 0, default: str = "all") -> dict:
     return {"n_samples": n, "total": total, "rough": rough, "taken": taken, "sparse": 0 < wanted < min(rough, total)}
 
 
-def chunk_rows(n_quartets: int, cores: int, tasks: int = 4, least: int = 1000) -> int:
-    """Quartets a chunk: `tasks` chunks for each core, but none of fewer than `least`."""
-    return max(least, -(-n_quartets // (tasks * cores)))
-
+def budgets(rows: DataFrame, n: str = "n_samples", wanted: str = "wanted") -> DataFrame:
+    """rows with total, rough and taken as budget() gives them, null where a universe is too large."""
+    total = F.expr(f"cast(cast({n} as decimal(38,0)) * ({n} - 1) * ({n} - 2) * ({n} - 3) / 24 as bigint)")
+    out = rows.withColumn("total", F.when(F.col(n) < 4, F.lit(0).cast("long")).otherwise(total)).withColumn("total", F.when(F.col("total") < MOST, F.col("total")))
+    out = out.withColumn("rough", F.when(F.col("total").isNotNull(), F.floor(F.pow(F.col(n).cast("double"), F.lit(2.8)))))
+    return out.withColumn("taken", F.when(F.col(wanted) <= 0, F.col("total")).when(F.col("total").isNotNull(), F.least(F.col(wanted).cast("long"), F.col("total"))))
 
-def chunk_ranges(spark: SparkSession, n_quartets: int, size: int) -> DataFrame:
-    """start, end of each chunk of ranks; the engine itself leaves this to Spark's range."""
-    ids = spark.range(0, n_quartets, size)
-    return ids.select(F.col("id").alias("start"), F.least(F.col("id") + size, F.lit(n_quartets)).cast("long").alias("end"))
 
+def _drawn(edges: DataFrame, quota: int, seed: int) -> DataFrame:
+    """edge_id, left, right and up to `quota` distinct numbers under the edge's number of two-and-two quartets (total).
 
-def _permuted(spark: SparkSession, edges: DataFrame, quota: int, seed: int) -> DataFrame:
-    """edge_id, left, right and `quota` distinct numbers (all, where fewer) under the edge's number of two-and-two quartets.
-
-    Numbers 0.. go through a permutation of the next power of 4, in which more than a
-    quarter of the numbers stay below: so some multiples of the quota are enough, and the
-    first `quota` of these are taken by their place.
+    Where an edge has fewer than twice the quota, its numbers are all put in a hash order
+    and the first taken; else tries 0, 1, .. each name a number by hash, and the first
+    `quota` distinct ones count. Some more tries than the quota are enough then; what they
+    leave short is topped up with the rest.
     """
     pairs = lambda c: F.expr(f"cast(size({c}) as bigint) * (size({c}) - 1) div 2")
     sized = edges.withColumn("total", pairs("left") * pairs("right")).where("total > 0")
-    # half the bits of the domain: the smallest even power of 2 that holds the total
-    sized = sized.withColumn("half", F.expr("cast((length(bin(total - 1)) + 1) div 2 as int)")).withColumn("mask", F.expr("shiftleft(1L, half) - 1"))
-    ids = F.sequence(F.lit(0).cast("long"), F.least(F.expr("shiftleft(1L, 2 * half)"), F.lit(quota * 6 + 64)) - 1)
-    rows = sized.withColumn("id", F.explode(ids))
-    rows = rows.withColumn("x", F.expr("shiftright(id, half)")).withColumn("y", F.expr("id & mask"))
-    for r in range(4):
-        rows = rows.withColumn("z", F.col("x").bitwiseXOR(F.xxhash64("y", "edge_id", F.lit(seed), F.lit(r)).bitwiseAND(F.col("mask"))))
-        rows = rows.withColumn("x", F.col("y")).withColumn("y", F.col("z"))
-    rows = rows.withColumn("number", F.expr("shiftleft(x, half) | y")).where("number < total")
-    place = F.row_number().over(Window.partitionBy("edge_id").orderBy("id"))  # some quotas of numbers an edge
+    few = F.col("total") < 2 * quota
+    rows = sized.withColumn("try", F.explode(F.sequence(F.lit(0).cast("long"), F.when(few, F.col("total")).otherwise(F.lit(3 * quota + 64)) - 1)))
+    number = F.when(few, F.col("try")).otherwise(F.pmod(draw(seed, F.col("edge_id"), F.col("try")) * (1 << 20) + draw(seed + 1, F.col("edge_id"), F.col("try")) % (1 << 20), F.col("total")))
+    rows = rows.withColumn("number", number).groupBy("edge_id", "left", "right", "total", "number").agg(F.min("try").alias("try"))  # some quotas of rows an edge
+    order = F.when(few, order_key(seed, F.col("edge_id"), F.col("number"))).otherwise(F.lpad(F.col("try").cast("string"), 20, "0"))
+    place = F.row_number().over(Window.partitionBy("edge_id").orderBy(order, "number"))
     return rows.withColumn("place", place).where(F.col("place") <= quota).select("edge_id", "left", "right", "number")
 
 
@@ -147,7 +150,7 @@ def equal_split_quartets(edges: DataFrame, samples: DataFrame, k: int, seed: int
     """
     spark = edges.sparkSession
     quota = -(-k // max(1, edges.count()))
-    drawn = _permuted(spark, edges, quota, seed).withColumn("_n", F.expr("cast(size(right) as bigint) * (size(right) - 1) div 2"))
+    drawn = _drawn(edges, quota, seed).withColumn("_n", F.expr("cast(size(right) as bigint) * (size(right) - 1) div 2"))
     drawn = drawn.withColumn("_l", F.expr("number div _n")).withColumn("_r", F.col("number") % F.col("_n"))
     four = drawn.select("edge_id", F.array_sort(F.array(*_pair("left", "_l"), *_pair("right", "_r"))).alias("q"))
     first = four.groupBy(*[F.element_at("q", i + 1).alias(NAMES[i]) for i in range(4)]).agg(F.min("edge_id").alias("edge_id"))

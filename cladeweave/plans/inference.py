@@ -7,43 +7,37 @@ from pyspark.sql import functions as F
 
 from ..operators.bootstrap import draws, replicate_codes, resampled
 from ..operators.consensus import split_frequencies
-from ..operators.counts import dense_rows, pattern_counts, unlinked_counts
 from ..operators.encode import encode
-from ..operators.kernel import DENSE_CELLS, score_counts, score_dense, with_no_data
-from ..operators.quartets import NAMES, all_quartets, budget, random_quartets
+from ..operators.kernel import DENSE_CELLS, score_cells, score_dense
+from ..operators.packed import Ranks, cell_counts, sparse_counts
+from ..operators.quartets import budget, random_quartets
+from ..operators.refine import refined
 from ..operators.supertree import supertrees
 from ..operators.trees import split_rows
-from ..operators.weights import weighted_splits
-from ..sources.files import read_quartets, write_quartets
+from ..operators.weights import filtered, weighted_splits
+from ..session import shared_table
+from ..sources.files import committed, commit, write_quartets
 
 
-def score_blocks(codes: DataFrame, quartets: DataFrame, n: int, seed: int, unlinked: bool = False) -> DataFrame:
-    """(rep,) i0..i3, s0..s2, res, nsnps by blocks of the matrix, aggregates and batches; quartets without sites included."""
-    counts = unlinked_counts(codes, quartets, n) if unlinked else pattern_counts(codes, quartets, n)
-    scored = score_counts(dense_rows(counts), seed)
-    if "rep" in codes.columns and "rep" not in quartets.columns:
-        quartets = codes.select("rep").distinct().crossJoin(quartets.select(*NAMES))
-    return with_no_data(scored, quartets, seed)
+def score_blocks(codes: DataFrame, quartets: DataFrame | Ranks, n: int, seed: int, unlinked: bool = False) -> DataFrame:
+    """(rep,) i0..i3, s0..s2, res, nsnps by tiles of ranks and blocks of the matrix; quartets without sites included."""
+    return score_cells(cell_counts(codes, quartets, n, unlinked, empty=True), n, seed)
 
 
-def chosen_quartets(spark: SparkSession, n: int, wanted: int, seed: int, rep: int) -> DataFrame:
+def chosen_quartets(spark: SparkSession, n: int, wanted: int, seed: int, rep: int) -> DataFrame | Ranks:
     k = budget(n, wanted)["taken"]
-    return random_quartets(spark, n, k, seed, rep) if wanted else all_quartets(spark, n)
+    return random_quartets(spark, n, k, seed, rep) if wanted else Ranks(n)
 
 
 def run(snps: DataFrame, n: int, out: str, reps: int = 0, wanted: int = 0, seed: int = 0, unlinked: bool = False, dense_cells: int = DENSE_CELLS, counts_out: str | None = None) -> list[int]:
-    """Score quartets of replicates 0..reps and write them below out by replicate; those already there stay.
+    """Score quartets of replicates 0..reps and write them below out by replicate; those already committed stay.
 
-    A replicate is the unit of restart. Dense where the matrix has a bounded size, else by
-    blocks. counts_out: a folder that keeps each replicate's pattern counts too.
+    A replicate is the unit of restart, and done only when its manifest row is there (see
+    files.commit). Dense where the matrix has a bounded size, else by blocks. counts_out: a
+    folder that keeps each replicate's pattern counts too; they are counted once.
     """
     spark = snps.sparkSession
-    try:
-        have = {r.rep for r in read_quartets(spark, out).select("rep").distinct().collect()}
-    except Exception as gone:
-        if "PATH_NOT_FOUND" not in str(gone):
-            raise
-        have = set()
+    have = committed(spark, out)
     cells = snps.select("site").distinct().count() * n
     done = []
     drawn = draws(snps, reps, seed) if reps else None
@@ -56,26 +50,32 @@ def run(snps: DataFrame, n: int, out: str, reps: int = 0, wanted: int = 0, seed:
             own = resampled(snps, drawn.where(F.col("rep") == rep), seed)
             codes = encode(own.select("rep", F.col("rlocus").alias("locus"), F.col("rsite").alias("site"), "sample_idx", "base"), seed).drop("rep")
         quartets = chosen_quartets(spark, n, wanted, seed, rep)
-        if cells <= dense_cells:
+        if cells <= dense_cells and not counts_out:
             scored = score_dense(codes, quartets, n, seed, unlinked, rep)
         else:
-            scored = score_blocks(codes, quartets, n, seed, unlinked)
-        if counts_out:
-            kept = unlinked_counts(codes, quartets, n) if unlinked else pattern_counts(codes, quartets, n)
-            write_quartets(kept.withColumn("rep", F.lit(rep).cast("long")), counts_out)
-        write_quartets(scored.withColumn("rep", F.lit(rep).cast("long")), out)
+            counted = cell_counts(codes, quartets, n, unlinked, empty=True)
+            if counts_out:
+                counted = shared_table(counted, "counts")
+                write_quartets(sparse_counts(counted, n), counts_out, rep)
+            scored = score_cells(counted.withColumn("rep", F.lit(rep).cast("long")), n, seed).drop("rep")
+        commit(scored, out, rep)
         done.append(rep)
     return done
 
 
 def replicate_scores(snps: DataFrame, n: int, reps: int, seed: int, unlinked: bool = False) -> DataFrame:
     """rep, i0..i3, s0..s2, res, nsnps of all replicates in one plan."""
-    return score_blocks(replicate_codes(snps, reps, seed), all_quartets(snps.sparkSession, n), n, seed, unlinked)
+    return score_blocks(replicate_codes(snps, reps, seed), Ranks(n), n, seed, unlinked)
 
 
-def replicate_trees(quartets: DataFrame, strategy: int = 1, min_snps: int = 0, min_ratio: float = 1.0) -> DataFrame:
-    """rep, newick."""
-    return supertrees(weighted_splits(quartets, strategy, min_snps, min_ratio))
+def replicate_trees(quartets: DataFrame, strategy: int = 1, min_snps: int = 0, min_ratio: float = 1.0, refine: bool = False) -> DataFrame:
+    """rep, newick. refine: improve each tree by local search on the same quartets."""
+    found = supertrees(weighted_splits(quartets, strategy, min_snps, min_ratio))
+    if not refine:
+        return found
+    weighed = filtered(quartets, strategy, min_snps, min_ratio).where("weight IS NOT NULL")
+    better = refined(weighed, {r.rep: r.newick for r in found.collect()})  # one row a replicate
+    return quartets.sparkSession.createDataFrame(sorted(better.items()), "rep BIGINT, newick STRING")
 
 
 def replicate_split_frequencies(spark: SparkSession, newicks: list[str]) -> DataFrame:

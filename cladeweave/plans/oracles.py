@@ -103,7 +103,16 @@ drawn AS (SELECT rep, rlocus, locus, n_sites FROM draws JOIN numbered USING (num
 
 
 def _random(rep: int) -> str:
-    return f"{_RANKS}, chosen AS (SELECT * FROM ranks ORDER BY {_order('7', str(rep), 'rank')}, rank LIMIT 100)"
+    ranks = _RANKS.replace("range(12)", "range((SELECT count(*) FROM benchmark))")
+    return f"{ranks}, chosen AS (SELECT * FROM ranks ORDER BY {_order('7', str(rep), 'rank')}, rank LIMIT (SELECT count(*) FROM customer))"
+
+
+_ASKED = """
+many AS (SELECT CAST(i AS INTEGER) AS i FROM range(60) t(i)),
+every AS (
+  SELECT row_number() OVER (ORDER BY a.i, b.i, c.i, d.i) - 1 AS rank, a.i AS i0, b.i AS i1, c.i AS i2, d.i AS i3
+  FROM many a JOIN many b ON a.i < b.i JOIN many c ON b.i < c.i JOIN many d ON c.i < d.i),
+asked_q AS (SELECT rank, i0, i1, i2, i3 FROM (SELECT DISTINCT (l_orderkey * 7919 + l_partkey * 31) % 487635 AS rank FROM lineitem) JOIN every USING (rank))"""
 
 
 _TREES = (
@@ -135,6 +144,13 @@ patterns AS (
   JOIN codes d ON d.sample_idx = i3 AND d.site = a.site
   WHERE a.code IS NOT NULL AND b.code IS NOT NULL AND c.code IS NOT NULL AND d.code IS NOT NULL AND NOT (a.code = b.code AND b.code = c.code AND c.code = d.code))"""
 
+_MANY_PATTERNS = _CODES.replace("% 12", "% 60").replace("// 12", "// 60") + """,
+known AS (SELECT * FROM codes WHERE code IS NOT NULL),
+all_patterns AS (
+  SELECT a.sample_idx AS i0, b.sample_idx AS i1, c.sample_idx AS i2, d.sample_idx AS i3, a.code * 4 + b.code AS r, c.code * 4 + d.code AS c
+  FROM known a JOIN known b ON a.site = b.site AND a.sample_idx < b.sample_idx JOIN known c ON a.site = c.site AND b.sample_idx < c.sample_idx
+  JOIN known d ON a.site = d.site AND c.sample_idx < d.sample_idx WHERE NOT (a.code = b.code AND b.code = c.code AND c.code = d.code))"""
+
 # splits of the fixed tree without the smallest tip, and the clades below the root of its rooting
 _TREE_SIDES = ("2,3", "4,5", "6,7", "8,9", "10,11", "4,5,6,7", "8,9,10,11", "4,5,6,7,8,9,10,11", "2,3,4,5,6,7,8,9,10,11")
 _TREE_CLADES = ("0,1", "2,3", "4,5", "6,7", "8,9", "10,11", "0,1,2,3", "4,5,6,7", "8,9,10,11", "0,1,2,3,4,5,6,7")
@@ -144,10 +160,6 @@ def _column(values) -> str:
     return ", ".join(f"('{v}')" for v in values)
 
 
-def _budget_rows() -> str:
-    return ", ".join(f"({n}, {k})" for n in (4, 8, 12, 18, 30, 100, 568) for k in (0, 100, 5000, 10**7))
-
-
 ORACLES = {
     "encode_bases": f"WITH {_CODES} SELECT * FROM codes",
     "sample_names": "SELECT CAST(row_number() OVER (ORDER BY n_name) - 1 AS INTEGER) AS sample_idx, n_name AS name FROM nation WHERE n_nationkey < 12",
@@ -155,17 +167,39 @@ ORACLES = {
     "locus_spans": f"WITH {_LOCI} SELECT locus, start, past AS \"end\", n_sites FROM spans",
     "zero_based_loci": f"WITH {_SNPS} SELECT * FROM snps_fx",
     "quartets_all": f"WITH {_RANKS} SELECT i0, i1, i2, i3 FROM ranks",
-    "quartets_unrank": f"WITH {_RANKS} SELECT rank, i0, i1, i2, i3 FROM ranks",
+    "quartets_unrank": f"WITH {_ASKED} SELECT rank, i0, i1, i2, i3 FROM asked_q",
     "quartets_random": f"WITH {_random(1)} SELECT rank, i0, i1, i2, i3 FROM chosen",
-    "quartets_random_sorted": f"WITH {_random(2)} SELECT i0, i1, i2, i3, CAST(row_number() OVER (ORDER BY rank) - 1 AS INTEGER) AS place FROM chosen",
-    "quartet_budget": f"""WITH asked(n, k) AS (VALUES {_budget_rows()}),
+    "quartets_random_sorted": f"WITH {_random(2)} SELECT i0, i1, i2, i3, row_number() OVER (ORDER BY rank) - 1 AS place FROM chosen",
+    "quartet_budget": """WITH asked AS (SELECT DISTINCT CAST(l_quantity * 12 AS INTEGER) AS n, l_partkey * l_linenumber - 50 AS k FROM lineitem),
 sized AS (SELECT n, k, CAST(CAST(n AS HUGEINT) * (n - 1) * (n - 2) * (n - 3) // 24 AS BIGINT) AS total, CAST(floor(pow(n, 2.8)) AS BIGINT) AS rough FROM asked)
-SELECT CAST(n AS INTEGER) AS n_samples, total, rough, CAST(CASE WHEN k = 0 THEN total ELSE least(k, total) END AS BIGINT) AS taken FROM sized""",
-    "chunk_ranges": "WITH size AS (SELECT greatest(1000, CAST(ceil(5985 / 16.0) AS BIGINT)) AS s) SELECT i * s AS start, least(i * s + s, 5985) AS \"end\" FROM size, range(0, 10) t(i) WHERE i * s < 5985",
+SELECT n AS n_samples, k AS wanted, total, rough, CAST(CASE WHEN k <= 0 THEN total ELSE least(k, total) END AS BIGINT) AS taken FROM sized WHERE total < 4294967295""",
     "pattern_counts_sampled": f"WITH {_MANY} SELECT i0, i1, i2, i3, r, c, count(*) AS n FROM patterns GROUP BY ALL",
     "pattern_counts_sampled_unlinked": f"""WITH {_MANY},
 firsts AS (SELECT *, row_number() OVER (PARTITION BY i0, i1, i2, i3, locus ORDER BY site) AS k FROM patterns)
 SELECT i0, i1, i2, i3, r, c, count(*) AS n FROM firsts WHERE k = 1 GROUP BY ALL""",
+    "universe_totals": f"""WITH {_MANY_PATTERNS}
+SELECT i0, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, count(*) AS quartets, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * ((i1 * 3600 + i2 * 60 + i3) % 1009)) AS BIGINT) AS marked
+FROM (SELECT i0, i1, i2, i3, r, c, count(*) AS n FROM all_patterns GROUP BY ALL) GROUP BY i0, r, c""",
+    "pattern_counts_interleaved": f"""WITH {_MANY},
+firsts AS (SELECT *, row_number() OVER (PARTITION BY i0, i1, i2, i3, locus ORDER BY site % 64 * 37 % 64) AS k FROM patterns)
+SELECT i0, i1, i2, i3, r, c, count(*) AS n FROM firsts WHERE k = 1 GROUP BY ALL""",
+    "bootstrap_counts": f"""WITH {_drawn(20)},
+weights AS (SELECT rep, locus, count(*) AS m FROM drawn GROUP BY ALL),
+cells AS (SELECT rep, m, site, sample_idx, {_coin('base', '7', 'rep', 'sample_idx', 'site')} AS base FROM weights JOIN snps_fx USING (locus)),
+codes AS (SELECT rep, m, site, sample_idx, {_CODE} AS code FROM cells),
+known AS (SELECT * FROM codes WHERE code IS NOT NULL),
+told AS (
+  SELECT a.rep, a.sample_idx AS i0, b.sample_idx AS i1, c.sample_idx AS i2, d.sample_idx AS i3, (a.code * 4 + b.code) * 16 + c.code * 4 + d.code AS cell, sum(a.m) AS n
+  FROM known a JOIN known b ON a.rep = b.rep AND a.site = b.site AND a.sample_idx < b.sample_idx JOIN known c ON a.rep = c.rep AND a.site = c.site AND b.sample_idx < c.sample_idx
+  JOIN known d ON a.rep = d.rep AND a.site = d.site AND c.sample_idx < d.sample_idx
+  WHERE NOT (a.code = b.code AND b.code = c.code AND c.code = d.code) GROUP BY ALL)
+SELECT rep, i0, i1, i2, i3, CAST(sum(n) AS BIGINT) AS nsnps, CAST(sum(n * n) AS BIGINT) AS squares, CAST(sum(n * cell) AS BIGINT) AS checksum FROM told GROUP BY ALL""",
+    "quartet_spans": f"""WITH {_QUARTETS}, sides(edge_id, side) AS (VALUES {", ".join(f"({i}, [{s}])" for i, s in enumerate(_ORDER))}),
+cut AS (
+  SELECT rep, i0, i1, i2, i3, edge_id, len(list_intersect(side, [i0, i1, i2, i3])) AS inside, list_contains(side, i0) = list_contains(side, i1) AS r0, list_contains(side, i0) = list_contains(side, i2) AS r1
+  FROM quartets_fx, sides),
+found AS (SELECT rep, i0, i1, i2, i3, count(*) AS span, min(CASE WHEN r0 THEN 0 WHEN r1 THEN 1 ELSE 2 END) AS r, min(edge_id) AS edge_id FROM cut WHERE inside = 2 GROUP BY ALL)
+SELECT q.rep, q.i0, q.i1, q.i2, q.i3, CAST(r AS INTEGER) AS r, CAST(coalesce(span, 0) AS INTEGER) AS span, CAST(CASE WHEN span = 1 THEN edge_id END AS INTEGER) AS edge_id FROM quartets_fx q LEFT JOIN found USING (rep, i0, i1, i2, i3)""",
     "quartet_scores_known": f"""WITH {_RANKS},
 lines AS (SELECT l_orderkey % 3 AS rep, l_orderkey % 495 AS qid, l_linenumber % 4 AS x, day(l_shipdate) % 4 AS y FROM lineitem),
 xs AS (SELECT rep, qid, a, count(*) FILTER (x = a) + a + 1 AS m FROM lines, range(4) t(a) GROUP BY rep, qid, a),
@@ -183,6 +217,13 @@ ELSE format('{{}},{{}}|{{}},{{}}', i0, i3, i1, i2) END || ':1.00000' AS line FRO
 ELSE format('{{}},{{}}|{{}},{{}}', i0, i3, i1, i2) END || ':' || printf('%.5f', upper) AS line FROM quartets_fx WHERE CASE WHEN lo = 0 THEN 1.0 ELSE upper / lo END >= 1.0)
 SELECT rep, line, {_order('7', 'line')} AS key FROM lines""",
     "supertree_splits": f"SELECT CAST(rep AS BIGINT) AS rep, side FROM (SELECT DISTINCT l_linenumber % 4 AS rep FROM lineitem), (VALUES {_column(_TREE_SIDES)}) t(side)",
+    "supertree_refined": f"""WITH {_SIDES} SELECT CAST(tree_id AS BIGINT) AS rep, array_to_string(side, ',') AS side FROM canon
+WHERE len(side) BETWEEN 2 AND 10 AND tree_id IN (SELECT l_linenumber % 4 FROM lineitem)""",
+    "trees_read_back": f"""WITH {_SIDES} SELECT CAST(tree_id AS BIGINT) AS rep, array_to_string(side, ',') AS side FROM canon
+WHERE len(side) BETWEEN 2 AND 10 AND tree_id IN (SELECT l_linenumber % 4 FROM lineitem)""",
+    "replicates_run": f"""WITH {_PATTERNS},{_RANKS}, taken AS (SELECT * FROM ranks ORDER BY {_order('7', '0', 'rank')}, rank LIMIT 60),
+sites AS (SELECT count(*) AS n FROM patterns JOIN taken USING (i0, i1, i2, i3))
+SELECT rep, CAST(60 AS BIGINT) AS quartets, CAST(60 AS BIGINT) AS agree, CASE WHEN rep = 0 THEN CAST(n AS BIGINT) END AS nsnps FROM range(3) t(rep), sites""",
     "consensus_tree": f"WITH {_SIDES} SELECT side, round(freq, 6)::DOUBLE AS support FROM freqs WHERE freq >= 0.5 AND len(string_split(side, ',')) BETWEEN 2 AND 10",
     "rooted_tree": f"SELECT array_to_string(list_sort(string_split(clade, ',')), ',') AS clade FROM (VALUES {_column(_TREE_CLADES)}) t(clade)",
     "named_tree": f"""WITH clades AS (SELECT clade, unnest(string_split(clade, ',')) AS tip FROM (VALUES {_column(_TREE_CLADES)}) t(clade))
@@ -204,11 +245,11 @@ placed AS (
 cells AS (
   SELECT rep, rlocus, rsite, site, sample_idx, {_coin('base', '7', 'rep', 'sample_idx', 'site')} AS base FROM placed JOIN snps_fx USING (locus, site))
 SELECT rep, rlocus, rsite, site, sample_idx, {_CODE} AS code FROM cells""",
-    "population_pick": f"""WITH members AS (SELECT CAST(i // 3 AS INTEGER) AS pop, CAST(i AS INTEGER) AS sample_idx FROM range(12) t(i)),
-placed AS (SELECT rep, pop, sample_idx, row_number() OVER (PARTITION BY rep, pop ORDER BY {_order('7', 'rep', 'pop', 'sample_idx')}, sample_idx) AS k FROM members, range(5) r(rep))
-SELECT rep, pop, sample_idx FROM placed WHERE k = 1""",
-    "population_map": "SELECT CAST(i // 3 AS INTEGER) AS pop, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS samples FROM range(12) t(i) GROUP BY 1",
-    "population_subset": "SELECT n_nationkey AS sample_idx, n_name AS name FROM nation WHERE n_nationkey < 6",
+    "population_pick": f"""WITH placed AS (
+  SELECT rep, c_nationkey AS pop, c_custkey AS sample_idx, row_number() OVER (PARTITION BY rep, c_nationkey ORDER BY {_order('7', 'rep', 'c_nationkey', 'c_custkey')}, c_custkey) AS k FROM customer, range(5) r(rep))
+SELECT rep, CAST(pop AS INTEGER) AS pop, CAST(sample_idx AS INTEGER) AS sample_idx FROM placed WHERE k = 1""",
+    "population_map": "SELECT CAST(s_nationkey AS INTEGER) AS pop, string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey) AS samples FROM supplier GROUP BY 1",
+    "population_subset": "SELECT n_nationkey AS sample_idx, n_name AS name FROM nation WHERE n_nationkey < 12 AND n_nationkey IN (SELECT c_nationkey FROM customer)",
     "pattern_counts_all": f"WITH {_PATTERNS} SELECT i0, i1, i2, i3, r, c, count(*) AS n FROM patterns GROUP BY ALL",
     "pattern_counts_unlinked": f"WITH {_UNLINKED} SELECT * FROM unlinked",
     "pattern_counts_random_snp": f"""WITH {_PATTERNS},
@@ -221,8 +262,8 @@ UNION ALL SELECT i0, i1, i2, i3, n, 1, CAST(4 * a + cc AS INTEGER), CAST(4 * b +
 UNION ALL SELECT i0, i1, i2, i3, n, 2, CAST(4 * a + d AS INTEGER), CAST(4 * b + cc AS INTEGER) FROM cells""",
     "quartet_nsnps": f"WITH {_PATTERNS} SELECT i0, i1, i2, i3, count(*) AS nsnps FROM patterns GROUP BY ALL",
     "mean_nsnps": f"WITH {_QUARTETS} SELECT rep, avg(nsnps) AS mean_nsnps FROM quartets_fx GROUP BY rep",
-    "no_data_quartets": f"""WITH {_RANKS}
-SELECT i0, i1, i2, i3, 0.001::DOUBLE AS s0, 0.001::DOUBLE AS s1, 0.001::DOUBLE AS s2, CAST({_draw('7', '0', 'i0', 'i1', 'i2', 'i3')} % 3 AS INTEGER) AS res, CAST(0 AS BIGINT) AS nsnps FROM ranks""",
+    "no_data_quartets": f"""WITH {_ASKED}
+SELECT i0, i1, i2, i3, 0.001::DOUBLE AS s0, 0.001::DOUBLE AS s1, 0.001::DOUBLE AS s2, CAST({_draw('7', '0', 'i0', 'i1', 'i2', 'i3')} % 3 AS INTEGER) AS res, CAST(0 AS BIGINT) AS nsnps FROM asked_q""",
     "best_resolutions": f"WITH {_QUARTETS} SELECT rep, i0, i1, i2, i3, res AS best FROM quartets_fx",
     "quartet_weights": f"""WITH {_QUARTETS} SELECT rep, i0, i1, i2, i3, 1.0::DOUBLE AS w0, round(upper, 6) AS w1, round(CASE WHEN lo = 0 THEN 1.0 ELSE upper / lo END, 6) AS w2,
 round(1 - lo / (s0 + s1 + s2), 6) AS w3, round(CASE WHEN lo = 0 THEN 1.0 ELSE upper / lo END, 6) AS ratio FROM quartets_fx""",
@@ -245,9 +286,31 @@ SELECT edge_id, conc, disc1, disc2, nu, nqrts,
 told AS (SELECT sample_idx, count(*) FILTER (kind = 0) AS qfc, count(*) FILTER (kind <> 0) AS qfd FROM tips GROUP BY 1)
 SELECT sample_idx, qfc, qfd, round(qfc / (qfc + qfd), 6) AS qf FROM told""",
     "split_totals": f"WITH {_EDGES} SELECT CAST(edge_id AS INTEGER) AS edge_id, count(*) AS total FROM products GROUP BY edge_id",
-    "split_sampled": f"""WITH {_random(1)}, {_EDGES}
+    "split_sampled": f"""WITH {_QUARTETS}, {_EDGES}, chosen AS (SELECT DISTINCT i0, i1, i2, i3 FROM quartets_fx WHERE nsnps % 3 = 0)
 SELECT CAST(e.edge_id AS INTEGER) AS edge_id, count(c.i0) AS sampled FROM edges e LEFT JOIN chosen c ON list_has_any(e.a, [c.i0, c.i1, c.i2, c.i3]) AND list_has_any(e.b, [c.i0, c.i1, c.i2, c.i3])
 AND list_has_any(e.c, [c.i0, c.i1, c.i2, c.i3]) AND list_has_any(e.d, [c.i0, c.i1, c.i2, c.i3]) GROUP BY 1""",
+    "quartet_scores_capped": f"""WITH {_RANKS},
+lines AS (SELECT l_orderkey % 2 AS rep, l_orderkey % 495 AS qid, l_linenumber % 4 * 4 + day(l_shipdate) % 4 AS kind FROM lineitem),
+cells AS (SELECT rep, qid, k, count(*) FILTER (kind = k) + k + 1 AS n FROM lines, range(16) t(k) GROUP BY rep, qid, k),
+placed AS (SELECT rep, qid, n, row_number() OVER (PARTITION BY rep, qid ORDER BY n DESC) AS p FROM cells),
+seen AS (SELECT rep, qid, CAST(coalesce(sum(n * n) FILTER (p > 10), 0) AS BIGINT) AS rest, CAST(sum(n) AS BIGINT) AS nsnps FROM placed GROUP BY rep, qid)
+SELECT rep, i0, i1, i2, i3, rest AS s0_squared, rest AS s1_squared, rest AS s2_squared, nsnps FROM seen JOIN ranks ON qid = rank""",
+    "quartets_equal_splits": f"""WITH {_RANKS}, samples AS (SELECT CAST(i AS INTEGER) AS tip FROM range(12) t(i)),
+sides(edge_id, "right") AS (VALUES {", ".join(f"({i}, [{s}])" for i, s in enumerate(_ORDER))}),
+halves AS (SELECT CAST(edge_id AS INTEGER) AS edge_id, "right" AS side, list_sort(list_filter(range(12), lambda x: NOT list_contains("right", x))) AS other FROM sides),
+lefts AS (SELECT edge_id, j * (j - 1) // 2 + i AS p, side[i + 1] AS a, side[j + 1] AS b FROM halves, range(12) x(i), range(12) y(j) WHERE i < j AND j < len(side)),
+rights AS (SELECT edge_id, j * (j - 1) // 2 + i AS p, other[i + 1] AS c, other[j + 1] AS d FROM halves, range(12) x(i), range(12) y(j) WHERE i < j AND j < len(other)),
+sized AS (SELECT edge_id, len(side) * (len(side) - 1) // 2 AS nl, len(other) * (len(other) - 1) // 2 AS nr FROM halves),
+tries AS (SELECT edge_id, nr, nl * nr AS total, unnest(range(CASE WHEN nl * nr < 46 THEN nl * nr ELSE 133 END)) AS t FROM sized),
+named AS (SELECT edge_id, nr, total, t, CASE WHEN total < 46 THEN t ELSE ({_draw('7', 'edge_id', 't')} * 1048576 + {_draw('8', 'edge_id', 't')} % 1048576) % total END AS number FROM tries),
+firsts AS (SELECT edge_id, nr, total, number, min(t) AS t FROM named GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY CASE WHEN total < 46 THEN {_order('7', 'edge_id', 'number')} ELSE lpad(CAST(t AS VARCHAR), 20, '0') END, number) AS k FROM firsts),
+four AS (
+  SELECT p.edge_id, list_sort([a, b, c, d]) AS q FROM placed p JOIN lefts l ON l.edge_id = p.edge_id AND l.p = p.number // p.nr JOIN rights r ON r.edge_id = p.edge_id AND r.p = p.number % p.nr WHERE k <= 23),
+own AS (SELECT CAST(q[1] AS INTEGER) AS i0, CAST(q[2] AS INTEGER) AS i1, CAST(q[3] AS INTEGER) AS i2, CAST(q[4] AS INTEGER) AS i3, min(edge_id) AS edge_id FROM four GROUP BY q),
+more AS (SELECT i0, i1, i2, i3 FROM ranks ORDER BY {_order('7', '0', 'rank')}, rank LIMIT 200),
+every AS (SELECT i0, i1, i2, i3, edge_id, 0 AS late FROM own UNION ALL SELECT i0, i1, i2, i3, NULL, 1 FROM more ANTI JOIN own USING (i0, i1, i2, i3))
+SELECT i0, i1, i2, i3, CAST(edge_id AS INTEGER) AS edge_id FROM every ORDER BY late, {_order('7', 'i0', 'i1', 'i2', 'i3')}, i0, i1, i2, i3 LIMIT 200""",
     "split_frequencies": f"WITH {_SIDES} SELECT side, n, freq::DOUBLE AS freq FROM freqs",
     "split_support": f"""WITH {_SIDES}, own(edge_id, side) AS (VALUES {", ".join(f"({i}, '{s}')" for i, s in enumerate(_ORDER))})
 SELECT CAST(edge_id AS INTEGER) AS edge_id, coalesce(freq, 0.0)::DOUBLE AS support FROM own LEFT JOIN freqs USING (side)""",

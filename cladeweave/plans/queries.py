@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import numbering
 from ..functions.scores import best_resolution, ratio, weight
-from ..operators import bootstrap, concordance, consensus, counts, encode, kernel, quartets, supertree, trees, weights
+from ..operators import bootstrap, concordance, consensus, counts, encode, kernel, multiplicity, packed, quartets, refine, supertree, treeindex, trees, weights
 from ..session import shared_path
 from ..sources import files
 from ..sources import fixtures as fx
@@ -24,8 +25,12 @@ def _edges(s):
     return trees.edge_sets(s, trees.parse_newick(fx.TREE))
 
 
+def _index():
+    return treeindex.TreeIndex(trees.parse_newick(fx.TREE))
+
+
 def _mapped(s, d, min_snps=0, min_ratio=1.0):
-    return concordance.mapped(fx.scored_quartets(s, d), concordance.tree_quartets(_edges(s)), min_snps, min_ratio)
+    return concordance.mapped(fx.scored_quartets(s, d), _index(), min_snps, min_ratio)
 
 
 def encode_bases(s, d):
@@ -53,18 +58,21 @@ def quartets_all(s, d):
 
 
 def quartets_unrank(s, d):
-    return quartets.all_quartets(s, N)
+    return quartets.unranked(fx.asked_ranks(s, d), fx.MANY)
+
+
+def _chosen(s, d, rep):
+    """As many quartets of the benchmark's items as there are customers."""
+    n, k = fx.table(s, d, "benchmark").count(), fx.table(s, d, "customer").count()
+    return quartets.random_quartets(s, n, k, SEED, rep)
 
 
 def quartets_random(s, d):
-    return quartets.random_quartets(s, N, 100, SEED, 1)
+    return _chosen(s, d, 1)
 
 
 def quartets_random_sorted(s, d):
-    chosen = quartets.random_quartets(s, N, 100, SEED, 2)
-    from pyspark.sql import Window
-
-    return chosen.select(*NAMES, (F.row_number().over(Window.orderBy("rank")) - 1).alias("place"))
+    return numbering.numbered(_chosen(s, d, 2), "place", {"_bin": F.expr("rank div 65536")}, "rank").select(*NAMES, "place")
 
 
 def quartets_equal_splits(s, d):
@@ -76,12 +84,8 @@ def quartets_equal_splits(s, d):
 
 
 def quartet_budget(s, d):
-    rows = [quartets.budget(n, k) for n in (4, 8, 12, 18, 30, 100, 568) for k in (0, 100, 5000, 10**7)]
-    return s.createDataFrame([(r["n_samples"], r["total"], r["rough"], r["taken"]) for r in rows], "n_samples INT, total BIGINT, rough BIGINT, taken BIGINT")
-
-
-def chunk_ranges(s, d):
-    return quartets.chunk_ranges(s, 5985, quartets.chunk_rows(5985, 4))
+    lines = fx.table(s, d, "lineitem").select((F.col("l_quantity") * 12).cast("int").alias("n_samples"), (F.col("l_partkey") * F.col("l_linenumber") - 50).alias("wanted")).distinct()
+    return quartets.budgets(lines).where("total IS NOT NULL")
 
 
 def resolve_ambiguity(s, d):
@@ -102,15 +106,15 @@ def bootstrap_sites(s, d):
 
 
 def population_pick(s, d):
-    return bootstrap.population_pick(fx.populations(s), 5, SEED)
+    return bootstrap.population_pick(fx.populations(s, d), 5, SEED)
 
 
 def population_map(s, d):
-    return bootstrap.population_map(fx.populations(s)).select("pop", F.array_join("samples", ",").alias("samples"))
+    return bootstrap.population_map(fx.populations(s, d, "supplier")).select("pop", F.array_join("samples", ",").alias("samples"))
 
 
 def population_subset(s, d):
-    return bootstrap.population_subset(fx.samples(s, d), fx.populations(s).where("pop < 2"))
+    return bootstrap.population_subset(fx.samples(s, d), fx.populations(s, d).where("pop < 12").select(F.col("pop").alias("sample_idx")))
 
 
 def pattern_counts_all(s, d):
@@ -135,6 +139,31 @@ def pattern_counts_sampled_unlinked(s, d):
     return counts.unlinked_counts(codes, _sampled(s), fx.MANY)
 
 
+def universe_totals(s, d):
+    """All quartets of 60 samples, counted by rank intervals and blocks: totals of every pattern by first sample."""
+    codes = encode.encode(fx.snps(s, d, fx.MANY), SEED)
+    return packed.pattern_totals(packed.cell_counts(codes, packed.Ranks(fx.MANY), fx.MANY), fx.MANY)
+
+
+def pattern_counts_interleaved(s, d):
+    """One site a locus where loci aren't runs of sites, over many blocks of the matrix."""
+    codes = encode.encode(fx.snps(s, d, fx.MANY), SEED)
+    mixed = codes.withColumn("site", F.col("site") % 64 * 37 % 64 * (1 << 20) + F.col("locus"))
+    return packed.sparse_counts(packed.cell_counts(mixed, _sampled(s), fx.MANY, unlinked=True, block_cells=1 << 12), fx.MANY)
+
+
+def bootstrap_counts(s, d):
+    """Counts of 20 replicates by multiplicities of loci: sites, squares and a checksum of each quartet's counts."""
+    rows = packed.sparse_counts(multiplicity.replicate_counts(fx.snps(s, d), packed.Ranks(N), N, 20, SEED), N)
+    n, cell = F.col("n"), F.col("r") * 16 + F.col("c")
+    return rows.groupBy("rep", *NAMES).agg(F.sum(n).alias("nsnps"), F.sum(n * n).alias("squares"), F.sum(n * cell).alias("checksum"))
+
+
+def quartet_spans(s, d):
+    """The tree's resolution of every scored quartet and how many edges it spans."""
+    return treeindex.located(fx.scored_quartets(s, d).select("rep", *NAMES), _index())
+
+
 def pattern_counts_random_snp(s, d):
     return counts.random_site_counts(_codes(s, d), SEED)
 
@@ -152,7 +181,7 @@ def mean_nsnps(s, d):
 
 
 def no_data_quartets(s, d):
-    return kernel.no_data(quartets.all_quartets(s, N), SEED)
+    return kernel.no_data(quartets.unranked(fx.asked_ranks(s, d), fx.MANY), SEED)
 
 
 def best_resolutions(s, d):
@@ -180,8 +209,17 @@ def min_filters(s, d):
     return weights.filtered(fx.scored_quartets(s, d), 1, 20, 3.0).select("rep", *NAMES, "res", "nsnps")
 
 
+def _newicks(s, d):
+    """The supertree of each replicate of the told quartets, in order."""
+    return [r.newick for r in inference.replicate_trees(fx.told_quartets(s, d)).orderBy("rep").collect()]  # one row a replicate
+
+
+def _inferred_edges(s, d):
+    return trees.edge_sets(s, trees.parse_newick(_newicks(s, d)[0]))
+
+
 def tree_quartets(s, d):
-    return concordance.tree_quartets(_edges(s))
+    return concordance.tree_quartets(_inferred_edges(s, d))
 
 
 def edge_tallies(s, d):
@@ -207,32 +245,26 @@ def tip_fidelity(s, d):
 
 
 def split_totals(s, d):
-    return concordance.split_totals(_edges(s))
+    return concordance.split_totals(_inferred_edges(s, d))
 
 
 def split_sampled(s, d):
-    return concordance.split_sampled(_edges(s), quartets.random_quartets(s, N, 100, SEED, 1))
-
+    return concordance.split_sampled(_inferred_edges(s, d), fx.scored_quartets(s, d).where("nsnps % 3 = 0"))
 
-def _replicate_sides(s):
-    from pyspark.sql import Row
 
-    rows = []
-    for t, text in enumerate(fx.REPLICATE_TREES):
-        root = trees.parse_newick(text)
-        rows += [Row(tree_id=t, side=[int(x) for x in n.tips()]) for n in root.nodes() if n is not root and 1 < len(n.tips()) < N - 1]
-    sides = s.createDataFrame(rows, "tree_id INT, side ARRAY<INT>")
-    return consensus.canonical_sides(sides, s.range(N).select(F.col("id").cast("int").alias("tip")))
+def _replicate_sides(s, d):
+    sides = trees.split_rows(s, _newicks(s, d)).select("tree_id", "side")
+    return consensus.canonical_sides(sides, fx.snps(s, d).select(F.col("sample_idx").alias("tip")).distinct())
 
 
 def split_frequencies(s, d):
-    rows = consensus.split_frequencies(_replicate_sides(s), len(fx.REPLICATE_TREES))
+    rows = consensus.split_frequencies(_replicate_sides(s, d), len(fx.REPLICATE_TREES))
     return rows.select(F.array_join("side", ",").alias("side"), "n", "freq")
 
 
 def split_support(s, d):
     given = trees.split_rows(s, [fx.TREE]).select("edge_id", "side")
-    rows = consensus.split_support(given, consensus.split_frequencies(_replicate_sides(s), len(fx.REPLICATE_TREES)))
+    rows = consensus.split_support(given, consensus.split_frequencies(_replicate_sides(s, d), len(fx.REPLICATE_TREES)))
     return rows.select("edge_id", "support")
 
 
@@ -242,11 +274,11 @@ def relabel_tips(s, d):
 
 
 def quartet_scores(s, d):
-    return inference.score_blocks(_codes(s, d), quartets.all_quartets(s, N), N, SEED)
+    return inference.score_blocks(_codes(s, d), packed.Ranks(N), N, SEED)
 
 
 def quartet_scores_unlinked(s, d):
-    return inference.score_blocks(_codes(s, d), quartets.all_quartets(s, N), N, SEED, unlinked=True)
+    return inference.score_blocks(_codes(s, d), packed.Ranks(N), N, SEED, unlinked=True)
 
 
 def quartet_scores_known(s, d):
@@ -256,15 +288,21 @@ def quartet_scores_known(s, d):
     return scored.select("rep", *NAMES, *[F.round(F.col(c) * F.col(c)).cast("long").alias(f"{c}_squared") for c in ("s0", "s1", "s2")], "res", "nsnps")
 
 
+def quartet_scores_capped(s, d):
+    """Scores of counts whose three flattenings have rank 16, so that the cap of ten decides: see fixtures.capped_counts."""
+    scored = kernel.score_counts(counts.dense_rows(fx.capped_counts(s, d)), SEED)
+    return scored.select("rep", *NAMES, *[F.round(F.col(c) * F.col(c)).cast("long").alias(f"{c}_squared") for c in ("s0", "s1", "s2")], "nsnps")
+
+
 def singular_values(s, d):
     """The squares of each flattening's singular values add up to those of its counts."""
-    rows = kernel.spectra(counts.dense_rows(counts.pattern_counts(_codes(s, d), quartets.all_quartets(s, N), N)))
+    rows = kernel.spectra(counts.dense_rows(counts.pattern_counts(_codes(s, d), packed.Ranks(N), N)))
     squares = F.aggregate("values", F.lit(0.0), lambda a, x: a + x * x)
     return rows.select(*NAMES, "f", F.round(squares, 3).alias("squares"), "nsnps")
 
 
 def quartet_scores_dense(s, d):
-    return kernel.score_dense(_codes(s, d), quartets.all_quartets(s, N), N, SEED)
+    return kernel.score_dense(_codes(s, d), packed.Ranks(N), N, SEED)
 
 
 def quartet_scores_boot(s, d):
@@ -286,11 +324,39 @@ def supertree_splits(s, d):
     return s.createDataFrame(rows, "rep BIGINT, side STRING")
 
 
+def supertree_refined(s, d):
+    """Each replicate's tree after local search from a wrong start, on quartets of which a tenth says something else: the true tree's splits."""
+    told = fx.told_quartets(s, d)
+    noisy = told.withColumn("res", F.when((F.col("nsnps") * 7 + F.col("i3")) % 10 == 0, (F.col("res") + 1) % 3).otherwise(F.col("res"))).withColumn("weight", weight(1))
+    starts = {rep: fx.REPLICATE_TREES[(rep + 1) % len(fx.REPLICATE_TREES)] for rep in range(len(fx.REPLICATE_TREES))}
+    rows = [(rep, side) for rep, text in refine.refined(noisy, starts).items() for side in _sides(text)]
+    return s.createDataFrame(rows, "rep BIGINT, side STRING")
+
+
+def trees_read_back(s, d):
+    """The replicates' supertrees written as newick files and read back, as splits."""
+    path = shared_path(s, "trees")
+    files.write_trees(inference.replicate_trees(fx.told_quartets(s, d)), path)
+    rows = [(r.rep, side) for r in files.read_trees(s, path).collect() for side in _sides(r.newick)]  # one row a replicate
+    return s.createDataFrame(rows, "rep BIGINT, side STRING")
+
+
+def replicates_run(s, d):
+    """A whole run of the data and two replicates with kept counts, read back through its manifest: quartets, those whose kept counts agree with their sites, and the sites of replicate 0."""
+    out, kept = shared_path(s, "quartets"), shared_path(s, "counts")
+    inference.run(fx.snps(s, d), N, out, 2, 60, SEED, counts_out=kept)
+    scored = files.read_quartets(s, out)
+    counted = s.read.parquet(kept).groupBy("rep", *NAMES).agg(F.sum("n").alias("sites"))
+    both = scored.join(counted.withColumn("rep", F.col("rep").cast("long")), ["rep", *NAMES], "left").withColumn("sites", F.coalesce("sites", F.lit(0)))
+    agree = F.count_if(F.col("sites") == F.col("nsnps")).alias("agree")
+    return both.groupBy("rep").agg(F.count(F.lit(1)).alias("quartets"), agree, F.sum(F.when(F.col("rep") == 0, F.col("nsnps"))).alias("nsnps"))
+
+
 def consensus_tree(s, d):
-    """The splits and supports of the consensus as written and read back."""
-    rows = [(tuple(r.side), r.freq) for r in inference.replicate_split_frequencies(s, list(fx.REPLICATE_TREES)).collect()]
-    root = trees.parse_newick(trees.write_newick(consensus.consensus_tree(rows, range(N))))
-    held = consensus.with_support(trees.write_newick(root), inference.replicate_split_frequencies(s, list(fx.REPLICATE_TREES)), s)
+    """The splits and supports of the replicates' consensus as written and read back."""
+    freqs = inference.replicate_split_frequencies(s, _newicks(s, d))
+    root = trees.parse_newick(trees.write_newick(consensus.consensus_tree([(tuple(r.side), r.freq) for r in freqs.collect()], range(N))))
+    held = consensus.with_support(trees.write_newick(root), freqs, s)
     found = [(",".join(map(str, side)), node.features["support"]) for side, node in trees.splits(held).items()]
     return s.createDataFrame(found, "side STRING, support DOUBLE")
 
@@ -301,7 +367,7 @@ def _clades(root) -> list[tuple[str]]:
 
 
 def rooted_tree(s, d):
-    root = trees.rooted(trees.parse_newick(fx.TREE), "~^(8|9|10|11)$")
+    root = trees.rooted(trees.parse_newick(_newicks(s, d)[0]), "~^(8|9|10|11)$")
     return s.createDataFrame(_clades(trees.parse_newick(trees.write_newick(root))), "clade STRING")
 
 
@@ -336,12 +402,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         encode_bases, sample_names, matrix_summary, locus_spans, zero_based_loci, quartets_all, quartets_unrank, quartets_random, quartets_random_sorted,
-        quartets_equal_splits, quartet_budget, chunk_ranges, resolve_ambiguity, bootstrap_draws, bootstrap_width, bootstrap_sites, population_pick,
+        quartets_equal_splits, quartet_budget, resolve_ambiguity, bootstrap_draws, bootstrap_width, bootstrap_sites, population_pick,
         population_map, population_subset, pattern_counts_all, pattern_counts_unlinked, pattern_counts_random_snp, flattenings, quartet_nsnps, mean_nsnps,
         no_data_quartets, best_resolutions, quartet_weights, qmc_lines, weightless_lines, shuffled_lines, min_filters, pattern_counts_sampled,
-        pattern_counts_sampled_unlinked, quartet_scores_known, singular_values, supertree_splits, quartets_tsv, vcf_matrix, project_info, tree_quartets, edge_tallies, edge_tallies_by_rep, edge_means,
+        pattern_counts_sampled_unlinked, universe_totals, pattern_counts_interleaved, bootstrap_counts, quartet_spans, quartet_scores_known, quartet_scores_capped, singular_values, supertree_splits, quartets_tsv, vcf_matrix, project_info, tree_quartets, edge_tallies, edge_tallies_by_rep, edge_means,
         edge_stats, tip_fidelity, split_totals, split_sampled, split_frequencies, split_support, relabel_tips, quartet_scores, quartet_scores_unlinked,
-        quartet_scores_dense, quartet_scores_boot, supertrees, consensus_tree, rooted_tree, named_tree,
+        quartet_scores_dense, quartet_scores_boot, supertrees, supertree_refined, trees_read_back, replicates_run, consensus_tree, rooted_tree, named_tree,
     )
 }
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbering import numbered
 from ..operators.quartets import NAMES
+from .datasources import file_system, is_blocked, register
 
 QUARTETS = "i0 INT, i1 INT, i2 INT, i3 INT, s0 DOUBLE, s1 DOUBLE, s2 DOUBLE, res INT, nsnps BIGINT"
 
@@ -20,46 +21,37 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("sample_idx", "locus", "site", "base")
 
 
-def read_hdf5(spark: SparkSession, path: str) -> DataFrame:
-    """A SNP file with /snps (samples x sites) and /snpsmap (locus from 1 in its first column); needs h5py on the driver.
-
-    Blocks of columns become rows on the executors; the driver only counts columns.
-    """
-    import h5py
-
-    with h5py.File(path, "r") as f:
-        n_sites = f["snps"].shape[1]
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        with h5py.File(path, "r") as f:
-            for batch in batches:
-                for lo in batch.column("lo").to_pylist():
-                    block, locus = f["snps"][:, lo : lo + 4096].astype("int32"), f["snpsmap"][lo : lo + 4096, 0].astype("int64") - 1
-                    n, k = block.shape
-                    columns = [np.repeat(np.arange(n), k), np.tile(locus, n), np.tile(np.arange(lo, lo + k), n), block.reshape(-1)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int32()))], ["sample_idx", "locus", "site", "base"])
-
-    return spark.range(0, n_sites, 4096).withColumnRenamed("id", "lo").mapInArrow(run, "sample_idx INT, locus BIGINT, site BIGINT, base INT")
+def read_hdf5(spark: SparkSession, path: str, columns: int = 4096) -> DataFrame:
+    """A SNP file with /snps (samples x sites) and /snpsmap (locus from 1 in its first column), by tasks of whole chunks; needs h5py."""
+    register(spark)
+    return spark.read.format("snps_hdf5").option("path", path).option("columns", columns).load()
 
 
 def hdf5_names(path: str) -> list[str]:
     import h5py
 
-    with h5py.File(path, "r") as f:
+    system, inner = file_system(path)
+    with system.open_input_file(inner) as file, h5py.File(file, "r") as f:
         return [x.decode() if isinstance(x, bytes) else str(x) for x in f["snps"].attrs["names"]]
 
 
-def read_vcf(spark: SparkSession, path: str, block: int = 0) -> tuple[DataFrame, DataFrame]:
+def text_lines(spark: SparkSession, path: str, split: int | None = None) -> DataFrame:
+    """value: the lines of text files. Block-gzipped ones are read by many tasks, each from a block on; other gzip files have no place to begin at but the first."""
+    if path.endswith((".gz", ".bgz")) and is_blocked(path):
+        register(spark)
+        reader = spark.read.format("blocked_lines").option("path", path)
+        return (reader.option("split", split) if split else reader).load()
+    return spark.read.text(path)
+
+
+def read_vcf(spark: SparkSession, path: str, block: int = 0, split: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(sample_idx, chrom, block, pos, ref, alt, copy, base), samples from a VCF of single bases.
 
     Two different called alleles become their two-base code; anything else is missing.
     The locus is the chromosome, or with block the part of it of that length. A record is
     a site: several at one position differ in ref or alt, and copy numbers equal ones.
     """
-    lines = spark.read.text(path)
+    lines = text_lines(spark, path, split)
     head = lines.where(F.col("value").startswith("#CHROM")).first().value.split("\t")[9:]
     samples = spark.createDataFrame(list(enumerate(head)), "sample_idx INT, name STRING")
     fields = F.split("value", "\t")
@@ -112,13 +104,67 @@ def write_text(path: str, lines: list[str]) -> None:
     Path(path).write_text("".join(x + "\n" for x in lines))
 
 
-def write_quartets(quartets: DataFrame, path: str, mode: str = "append") -> None:
-    """Scored quartets as Parquet, a folder for each replicate."""
-    quartets.write.mode(mode).partitionBy("rep").parquet(path)
+def write_trees(trees: DataFrame, path: str) -> None:
+    """rep, newick as text files of a tree a line, a folder for each replicate, in any file system that Spark reaches."""
+    trees.select("rep", "newick").write.mode("overwrite").partitionBy("rep").text(path)
+
+
+def read_trees(spark: SparkSession, path: str) -> DataFrame:
+    """rep, newick of write_trees()."""
+    return spark.read.schema("value STRING, rep BIGINT").text(path).select("rep", F.col("value").alias("newick"))
+
+
+def write_quartets(quartets: DataFrame, path: str, rep: int) -> None:
+    """One replicate's rows as Parquet in its own folder, in place of what is there."""
+    quartets.write.mode("overwrite").parquet(f"{path}/rep={rep}")
+
+
+MANIFEST = "rep BIGINT, n BIGINT, checksum STRING"
+
+
+def _state(quartets: DataFrame) -> tuple[int, str]:
+    """Number of rows and a checksum that doesn't depend on their order."""
+    told = F.xxhash64(*[c.split()[0] for c in QUARTETS.split(", ")]).cast("decimal(38,0)")
+    row = quartets.agg(F.count(F.lit(1)), F.sum(told)).first()
+    return row[0], str(row[1])
+
+
+def commit(quartets: DataFrame, path: str, rep: int) -> None:
+    """Write a replicate's scored quartets, then its manifest row: rows and checksum of what the files hold.
+
+    The manifest is written last and each row of it in one job's commit, so a replicate
+    whose driver or job died in between is not in it, whatever files it left.
+    """
+    spark = quartets.sparkSession
+    write_quartets(quartets, path, rep)
+    n, checksum = _state(spark.read.schema(QUARTETS).parquet(f"{path}/rep={rep}"))
+    spark.createDataFrame([(rep, n, checksum)], MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}.manifest/rep={rep}")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def committed(spark: SparkSession, path: str) -> set[int]:
+    """The replicates that a manifest row says are whole."""
+    if not exists(spark, f"{path}.manifest"):
+        return set()
+    return {r.rep for r in spark.read.schema(MANIFEST).parquet(f"{path}.manifest").select("rep").collect()}  # one row a replicate
+
+
+def damaged(spark: SparkSession, path: str) -> list[int]:
+    """Committed replicates whose files no longer hold the rows and checksum of their manifest row."""
+    told = F.xxhash64(*[c.split()[0] for c in QUARTETS.split(", ")]).cast("decimal(38,0)")
+    found = spark.read.schema(QUARTETS + ", rep BIGINT").parquet(path).groupBy("rep").agg(F.count(F.lit(1)).alias("have"), F.sum(told).cast("string").alias("sum"))
+    rows = spark.read.schema(MANIFEST).parquet(f"{path}.manifest").join(found, "rep", "left")
+    return sorted(r.rep for r in rows.where("NOT (have <=> n AND sum <=> checksum) AND NOT (n = 0 AND have IS NULL)").select("rep").collect())
 
 
 def read_quartets(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(QUARTETS + ", rep BIGINT").parquet(path)
+    """Scored quartets of the committed replicates."""
+    rows = spark.read.schema(QUARTETS + ", rep BIGINT").parquet(path)
+    return rows.where(F.col("rep").isin(*sorted(committed(spark, path))))
 
 
 def delete(spark: SparkSession, path: str) -> None:

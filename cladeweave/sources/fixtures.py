@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.quartets import unranked
+from ..operators.treeindex import TreeIndex, located
+from ..operators.trees import parse_newick
 
 SAMPLES, MANY = 12, 60
 TREE = "((((0,1),(2,3)),((4,5),(6,7))),((8,9),(10,11)));"
@@ -47,14 +51,47 @@ def scored_quartets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unranked(scored, SAMPLES).select("rep", "i0", "i1", "i2", "i3", "s0", "s1", "s2", res.alias("res"), "nsnps")
 
 
+def asked_ranks(spark: SparkSession, sf_dir: str, n: int = MANY) -> DataFrame:
+    """rank: distinct ranks of quartets of n samples that line items name."""
+    return table(spark, sf_dir, "lineitem").select(((F.col("l_orderkey") * 7919 + F.col("l_partkey") * 31) % comb(n, 4)).alias("rank")).distinct()
+
+
+def told_quartets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scored_quartets whose resolution is what REPLICATE_TREES[rep] says of them: the data's weights, and trees that are known."""
+    rows = scored_quartets(spark, sf_dir).drop("res")
+    told = [located(rows.where(F.col("rep") == rep), TreeIndex(parse_newick(text))) for rep, text in enumerate(REPLICATE_TREES)]
+    every = told[0]
+    for part in told[1:]:
+        every = every.unionByName(part)
+    return every.where("r IS NOT NULL").drop("span", "edge_id").withColumnRenamed("r", "res")
+
+
+def capped_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rep, i0..i3, r, c, n from line items, in 16 patterns (a, b, f, g) of two orthogonal Latin squares of order 4.
+
+    Each flattening then holds the 16 numbers of a quartet, one in each row and column: all
+    three have rank 16, and their singular values are these numbers.
+    """
+    lines = table(spark, sf_dir, "lineitem").withColumn("rank", F.col("l_orderkey") % 495).withColumn("rep", (F.col("l_orderkey") % 2).cast("long"))
+    kind = (F.col("l_linenumber") % 4 * 4 + F.dayofmonth("l_shipdate") % 4).cast("int")
+    sums = lines.groupBy("rep", "rank").agg(F.array(*[F.sum(F.when(kind == k, 1).otherwise(0)) + k + 1 for k in range(16)]).alias("m"))
+    cells = sums.select("rep", "rank", F.posexplode("m").alias("k", "n"))
+    a, b = F.expr("k div 4").cast("int"), (F.col("k") % 4).cast("int")
+    # multiplication by the two generators of the field of four elements
+    times = lambda x, table: F.element_at(F.array(*map(F.lit, table)), x + 1)
+    f, g = a.bitwiseXOR(times(b, (0, 2, 3, 1))), a.bitwiseXOR(times(b, (0, 3, 1, 2)))
+    return unranked(cells.withColumn("r", a * 4 + b).withColumn("c", (f * 4 + g).cast("int")), SAMPLES).select("rep", "i0", "i1", "i2", "i3", "r", "c", F.col("n").cast("long").alias("n"))
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sample_idx, name."""
     return table(spark, sf_dir, "nation").where(F.col("n_nationkey") < SAMPLES).select(F.col("n_nationkey").alias("sample_idx"), F.col("n_name").alias("name"))
 
 
-def populations(spark: SparkSession) -> DataFrame:
-    """pop, sample_idx: four populations of three."""
-    return spark.range(SAMPLES).select(F.expr("CAST(id div 3 AS INT)").alias("pop"), F.col("id").cast("int").alias("sample_idx"))
+def populations(spark: SparkSession, sf_dir: str, name: str = "customer") -> DataFrame:
+    """pop, sample_idx: customers (or suppliers) by nation."""
+    key, pop = {"customer": ("c_custkey", "c_nationkey"), "supplier": ("s_suppkey", "s_nationkey")}[name]
+    return table(spark, sf_dir, name).select(F.col(pop).cast("int").alias("pop"), F.col(key).cast("int").alias("sample_idx"))
 
 
 def known_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

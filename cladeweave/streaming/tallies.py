@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.concordance import edge_tallies, mapped, tree_quartets
+from ..operators.concordance import edge_tallies, mapped
+from ..operators.treeindex import TreeIndex
 from ..sources.files import QUARTETS
 
 
@@ -14,6 +15,6 @@ def quartet_stream(spark: SparkSession, path: str, files_at_once: int = 1) -> Da
     return reader.parquet(path)
 
 
-def streaming_tallies(quartets: DataFrame, edges: DataFrame, min_snps: int = 0, min_ratio: float = 1.0) -> DataFrame:
+def streaming_tallies(quartets: DataFrame, tree: TreeIndex, min_snps: int = 0, min_ratio: float = 1.0) -> DataFrame:
     """edge_tallies of a stream; write it in complete mode."""
-    return edge_tallies(mapped(quartets, tree_quartets(edges), min_snps, min_ratio))
+    return edge_tallies(mapped(quartets, tree, min_snps, min_ratio))

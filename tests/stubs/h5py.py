@@ -8,6 +8,7 @@ class _Data:
         self.data, self.attrs = data, {}
 
     shape = property(lambda self: self.data.shape)
+    chunks = property(lambda self: (1, 2))
 
     def __getitem__(self, key):
         return self.data[key]
@@ -17,10 +18,10 @@ class File:
     def __init__(self, path, mode="r"):
         self.path, self.mode, self.sets = path, mode, {}
         if mode == "r":
-            with open(path, "rb") as f:
-                for name, (data, attrs) in pickle.load(f).items():
-                    self.sets[name] = _Data(data)
-                    self.sets[name].attrs.update(attrs)
+            held = pickle.loads(path.read()) if hasattr(path, "read") else pickle.loads(open(path, "rb").read())
+            for name, (data, attrs) in held.items():
+                self.sets[name] = _Data(data)
+                self.sets[name].attrs.update(attrs)
 
     def create_dataset(self, name, data):
         self.sets[name] = _Data(data)
