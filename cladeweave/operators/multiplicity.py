@@ -1,8 +1,8 @@
 """Pattern counts of many bootstrap replicates in one pass, by multiplicities of loci.
 
 A replicate over all sites is a weight for each locus: how often it is drawn. So a block
-counts a quartet's patterns locus by locus once, and all replicates are sums of these
-counts by their weights; the matrix is neither resampled nor written anew. Only sites
+finds a quartet's pattern at each site once, and each replicate's counts are sums of its
+weights by pattern; the matrix is neither resampled nor written anew. Only sites
 where one of the four samples has an ambiguity code are looked at for each replicate: its
 coin is that of (seed, replicate, sample, site), so a locus that a replicate draws twice
 counts twice as it was resolved there.
@@ -47,21 +47,21 @@ def ambiguous_codes(snps: DataFrame) -> DataFrame:
 
 
 class Weighted:
-    """A block with the weights of its loci in each replicate."""
-
-    def __init__(self, codes: np.ndarray, loci: np.ndarray, sites: np.ndarray, weights: dict[int, dict[int, int]], seed: int):
-        self.codes, self.reps = codes, sorted(weights)
-        names, self.locus = np.unique(loci, return_inverse=True)
-        place = {int(x): k for k, x in enumerate(names)}
-        self.weights = np.zeros((len(self.reps), len(names)), np.int64)
-        for r, rep in enumerate(self.reps):
-            for locus, m in weights[rep].items():
-                self.weights[r, place[locus]] = m
+    """A block with the weights of its loci in each of some replicates."""
+
+    def __init__(self, codes: np.ndarray, loci: np.ndarray, sites: np.ndarray, reps: np.ndarray, drawn: np.ndarray, seed: int):
+        """drawn: rows of replicate, locus and how often the one draws the other."""
+        self.codes, self.reps = codes, reps
+        names, locus = np.unique(loci, return_inverse=True)
+        weights = np.zeros((len(reps), len(names)))
+        own = drawn[np.isin(drawn[:, 0], reps)]
+        weights[np.searchsorted(reps, own[:, 0]), np.searchsorted(names, own[:, 1])] = own[:, 2]
+        self.weights = weights[:, locus]
         # the cells with an ambiguity code, resolved for each replicate
         i, s = np.nonzero(codes >= AMBIGUITY)
         heads, tails = _HEADS[codes[i, s] - AMBIGUITY], _TAILS[codes[i, s] - AMBIGUITY]
-        self.drawn = np.empty((len(self.reps), len(i)), np.uint8)
-        for r, rep in enumerate(self.reps):
+        self.drawn = np.empty((len(reps), len(i)), np.uint8)
+        for r, rep in enumerate(reps.tolist()):
             self.drawn[r] = np.where(coins(seed, rep, i, sites[s]), heads, tails)
         self.first = np.searchsorted(i, np.arange(len(codes) + 1))
         self.site = s
@@ -79,69 +79,82 @@ class Weighted:
         return out
 
     def counts(self, four: list[int]) -> np.ndarray:
-        """256 counts for each replicate."""
+        """256 counts for each replicate; weights are whole numbers, which sums of doubles keep."""
         rows = [self._row(i) for i in four]
         odd = np.maximum.reduce(rows) >= AMBIGUITY
-        total = np.zeros((len(self.reps), CELLS), np.int64)
-        plain = ~odd
-        a, b, c, d = (x[plain].astype(np.int64) for x in rows)
-        told, n = np.unique(self.locus[plain] * CELLS + a * 125 + b * 25 + c * 5 + d, return_counts=True)
-        cell, locus = told % CELLS, told // CELLS
-        order = np.argsort(cell, kind="stable")
-        cell, weighed = cell[order], (self.weights[:, locus] * n)[:, order]
-        if len(cell):
-            starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-            total[:, cell[starts]] = np.add.reduceat(weighed, starts, axis=1)
-        at = np.flatnonzero(odd)
-        if len(at):
+        some = odd.any()
+        a, b, c, d = (x[~odd] if some else x for x in rows)
+        cell = a.astype(np.int64) * 125 + b.astype(np.int64) * 25 + c * np.int64(5) + d
+        total = np.empty((len(self.reps), CELLS))
+        for r, own in enumerate(self.weights):
+            total[r] = np.bincount(cell, own[~odd] if some else own, CELLS)
+        if some:
+            at = np.flatnonzero(odd)
             a, b, c, d = (self._resolved(i, at).astype(np.int64) for i in four)
             every = np.arange(len(self.reps))[:, None] * CELLS + a * 125 + b * 25 + c * 5 + d
-            np.add.at(total.reshape(-1), every.reshape(-1), self.weights[:, self.locus[at]].reshape(-1))
-        out = total[:, _CELLS]
+            total += np.bincount(every.reshape(-1), self.weights[:, at].reshape(-1), total.size).reshape(total.shape)
+        out = total[:, _CELLS].astype(np.int64)
         out[:, _EQUAL] = 0
         return out
 
 
-def multiplicities(snps: DataFrame, reps: int, seed: int) -> DataFrame:
-    """rep, locus, m: how often each replicate 1..reps draws a locus, for those that it draws."""
-    return draws(snps, reps, seed).groupBy("rep", "locus").agg(F.count(F.lit(1)).alias("m"))
+def multiplicities(snps: DataFrame, reps: list[int], seed: int) -> DataFrame:
+    """rep, locus, m: how often each of the replicates draws a locus, for those that it draws."""
+    drawn = draws(snps, max(reps), seed).where(F.col("rep").isin(reps))
+    return drawn.groupBy("rep", "locus").agg(F.count(F.lit(1)).alias("m"))
 
 
-def replicate_counts(snps: DataFrame, quartets: DataFrame | Ranks, n: int, reps: int, seed: int) -> DataFrame:
-    """rep, rank, cells (256 counts) of replicates 1..reps over all sites, for quartets that have some."""
+def _numbers(column: pa.Array, i: int) -> np.ndarray:
+    """A row's list of numbers; none where it is null."""
+    return column[i].values.to_numpy() if column[i].is_valid else np.zeros(0, np.int64)
+
+
+def replicate_counts(snps: DataFrame, quartets: DataFrame | Ranks, n: int, reps: int | list[int], seed: int, empty: bool = False) -> DataFrame:
+    """rep, rank, cells (256 counts) over all sites of replicates 1..reps, or of those listed.
+
+    quartets: Ranks or distinct rows for all replicates, or rows with rep, each replicate's
+    own. empty: with the quartets that have no site, as rows of zeros.
+    """
     spark = snps.sparkSession
+    reps = list(range(1, reps + 1)) if isinstance(reps, int) else sorted(reps)
+    own = not isinstance(quartets, Ranks) and "rep" in quartets.columns
     if not isinstance(quartets, Ranks):
-        quartets = rank_rows(spark, quartets, n)
+        quartets = rank_rows(spark, quartets, n, ["rep"] if own else [])
     held = shared_table(blocks(ambiguous_codes(snps), n), "blocks")
-    several = held.count() > 1
+    several = held.count()
+    if not several and empty:
+        rows = rank_rows(spark, quartets, n, ["rep"] if own else [])
+        every = rows if own else rows.withColumn("rep", F.explode(F.array(*[F.lit(r).cast("long") for r in reps])))
+        return every.select("rep", "rank", F.lit(bytes(2048)).alias("cells"))
 
     def loci(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                own = np.unique(np.frombuffer(row["loci"], np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), row["block"])), pa.array(own)], ["block", "locus"])
+                told = np.unique(np.frombuffer(row["loci"], np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(told), row["block"])), pa.array(told)], ["block", "locus"])
 
     here = held.select("block", "loci").mapInArrow(loci, "block BIGINT, locus BIGINT")
-    weights = here.join(multiplicities(snps, reps, seed), "locus").groupBy("block").agg(F.collect_list(F.struct("rep", "locus", "m")).alias("weights"))
-    rows = _tiled(held.join(weights, "block"), quartets, [])
+    weights = here.join(multiplicities(snps, reps, seed), "locus").groupBy("block").agg(F.collect_list(F.struct("rep", "locus", "m")).alias("w"))
+    weights = weights.select("block", *[F.col(f"w.{c}").alias(f"w_{c}") for c in ("rep", "locus", "m")])
+    rows = _tiled(held.join(weights, "block", "left"), quartets, [])
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                told: dict[int, dict[int, int]] = {}
-                for w in row["weights"]:
-                    told.setdefault(w["rep"], {})[w["locus"]] = w["m"]
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in ("n", "packed", "loci", "sites", "lo", "hi")}
+                drawn = np.stack([_numbers(batch.column(f"w_{c}"), i) for c in ("rep", "locus", "m")], axis=1)
+                chosen = np.array([batch.column("rep")[i].as_py()] if own else reps, np.int64)
                 codes = np.frombuffer(row["packed"], np.uint8).reshape(row["n"], -1)
-                own = Weighted(codes, np.frombuffer(row["loci"], np.int64), np.frombuffer(row["sites"], np.int64), told, seed)
-                listed = None if row["ranks"] is None else np.array(row["ranks"], np.int64)
+                block = Weighted(codes, np.frombuffer(row["loci"], np.int64), np.frombuffer(row["sites"], np.int64), chosen, drawn, seed)
+                listed = _numbers(batch.column("ranks"), i) if batch.column("ranks")[i].is_valid else None
                 lo, hi = (row["lo"], row["hi"]) if listed is None else (0, len(listed))
-                step = max(1, TILE // max(1, len(own.reps)))
+                step = max(1, TILE // len(chosen))
                 for at in range(lo, hi, step):
                     ranks = np.arange(at, min(at + step, hi)) if listed is None else listed[at : at + step]
-                    counts = np.stack([own.counts(four) for four in unranked_rows(ranks, n).tolist()]).reshape(-1, 256)
-                    some = counts.any(axis=1)
-                    both = [np.tile(np.array(own.reps, np.int64), len(ranks))[some], np.repeat(ranks, len(own.reps))[some]]
+                    counts = np.stack([block.counts(four) for four in unranked_rows(ranks, n).tolist()]).reshape(-1, 256)
+                    some = counts.any(axis=1) | empty
+                    both = [np.tile(chosen, len(ranks))[some], np.repeat(ranks, len(chosen))[some]]
                     yield pa.RecordBatch.from_arrays([*map(pa.array, both), cell_column(counts[some])], ["rep", "rank", "cells"])
 
     found = rows.mapInArrow(run, "rep BIGINT, rank BIGINT, cells BINARY")
-    return _added(found, ["rep"]) if several else found
+    return _added(found, ["rep"]) if several > 1 else found

@@ -161,8 +161,9 @@ def torn_loci(held: DataFrame, keys: list[str]) -> DataFrame:
     return here.join(several, [*keys, "locus"]).groupBy(*keys, "block").agg(F.collect_list("locus").alias("torn"))
 
 
-def _tiled(held: DataFrame, quartets: DataFrame | Ranks, keys: list[str]) -> tuple[DataFrame, int]:
-    """held with each block once for every part of the quartets (lo and hi, or ranks), and the number of samples that ranks are of."""
+def _tiled(held: DataFrame, quartets: DataFrame | Ranks, keys: list[str]) -> DataFrame:
+    """held with each block once for every part of the quartets (lo and hi, or ranks; for rows with rep, each replicate's own)."""
+    own = ["rep"] if not isinstance(quartets, Ranks) and "rep" in quartets.columns else []
     if isinstance(quartets, Ranks):
         step = max(PART, -(-len(quartets) // PARTS))
         parts = max(1, -(-len(quartets) // step))
@@ -172,13 +173,13 @@ def _tiled(held: DataFrame, quartets: DataFrame | Ranks, keys: list[str]) -> tup
     else:
         total = quartets.count()
         parts = max(1, -(-total // PART))
-        lists = quartets.groupBy(F.pmod(F.xxhash64("rank"), F.lit(parts)).cast("int").alias("part")).agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
+        lists = quartets.groupBy(*own, F.pmod(F.xxhash64("rank"), F.lit(parts)).cast("int").alias("part")).agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
         if total <= SMALL:
             rows = held.join(F.broadcast(lists))  # at most SMALL numbers
         else:
             rows = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(lists, "part")
         rows = rows.withColumn("lo", F.lit(0).cast("long")).withColumn("hi", F.lit(0).cast("long"))
-    return rows if parts == 1 else rows.repartition(*keys, "block", "part")
+    return rows if parts == 1 and not own else rows.repartition(*keys, *own, "block", "part")
 
 
 def _partials(matrix: Matrix, ranks: np.ndarray, n: int, unlinked: bool, torn: np.ndarray) -> tuple[np.ndarray, list]:
@@ -197,11 +198,11 @@ def _partials(matrix: Matrix, ranks: np.ndarray, n: int, unlinked: bool, torn: n
     return counts, states
 
 
-def rank_rows(spark: SparkSession, quartets: DataFrame | Ranks, n: int) -> DataFrame:
-    """rank of each quartet, as rows."""
+def rank_rows(spark: SparkSession, quartets: DataFrame | Ranks, n: int, keys: list[str] = []) -> DataFrame:
+    """(keys,) rank of each quartet, as rows."""
     if isinstance(quartets, Ranks):
         return spark.range(quartets.start, max(quartets.start, quartets.last)).withColumnRenamed("id", "rank")
-    return quartets.select(F.col("rank").cast("long").alias("rank") if "rank" in quartets.columns else rank_of(n).alias("rank"))
+    return quartets.select(*[F.col(k).cast("long").alias(k) for k in keys], F.col("rank").cast("long").alias("rank") if "rank" in quartets.columns else rank_of(n).alias("rank"))
 
 
 def cell_counts(codes: DataFrame, quartets: DataFrame | Ranks, n: int, unlinked: bool = False, empty: bool = False, block_cells: int | None = None) -> DataFrame:

@@ -38,8 +38,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoints(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: its lineage ends in files that outlive executors."""
+def shared_table(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """df written to the shared folder, in a folder for each value of keys, and read back: its lineage ends in files that outlive executors."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*keys).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -111,13 +111,48 @@ def test_blocks_of_replicates(spark):
     assert plain(got.select(sorted(got.columns)).collect()) == plain(want.select(sorted(got.columns)).collect())
 
 
-@pytest.mark.parametrize("unlinked", [False, True])
-def test_runs_by_blocks_and_dense_agree(spark, tmp_path, unlinked):
+@pytest.mark.parametrize("unlinked, wanted", [(False, 60), (True, 60), (False, 0)])
+def test_runs_by_blocks_and_dense_and_together_agree(spark, tmp_path, monkeypatch, unlinked, wanted):
     snps = fixtures.snps(spark, SF)
-    for name, cells in (("a", 0), ("b", 1 << 28)):
-        assert inference.run(snps, 12, str(tmp_path / name), 1, 60, 3, unlinked, cells) == [0, 1]
-    one, two = (plain(files.read_quartets(spark, str(tmp_path / x)).select("rep", *quartets.NAMES, "s0", "s1", "s2", "res", "nsnps").collect()) for x in "ab")
+    monkeypatch.setattr(packed, "BLOCK_CELLS", 12 * 900)
+    monkeypatch.setattr(inference, "BLOCK_CELLS", 0)
+    ways = {"a": 0, "b": 1 << 28}
+    assert inference.by_multiplicities(1, 60, 0) and not inference.by_multiplicities(1, 60, 1)
+    for name, cells in ways.items():
+        assert inference.run(snps, 12, str(tmp_path / name), 2, wanted, 3, unlinked, cells, together=1) == [0, 1, 2]
+    one, two = (plain(files.read_quartets(spark, str(tmp_path / x)).select("rep", *quartets.NAMES, "s0", "s1", "s2", "res", "nsnps").collect()) for x in ways)
+    assert len(one) == 3 * (wanted or 495) and np.allclose(np.array(one), np.array(two), atol=1e-5)
+
+
+def test_replicates_together_start_again_where_they_stopped(spark, tmp_path, monkeypatch):
+    snps, out, kept = fixtures.snps(spark, SF), str(tmp_path / "q"), str(tmp_path / "c")
+    write = files.write_quartets
+
+    def lost(rows, path, rep):
+        if path == out and rep == 2:
+            raise RuntimeError("lost")
+        write(rows, path, rep)
+
+    with monkeypatch.context() as m:
+        m.setattr(files, "write_quartets", lost)
+        with pytest.raises(RuntimeError):
+            inference.run(snps, 12, out, 2, 40, 5, counts_out=kept)
+    assert files.committed(spark, out) == {0, 1}
+    assert inference.run(snps, 12, out, 2, 40, 5, counts_out=kept) == [2] and files.damaged(spark, out) == []
+    whole = str(tmp_path / "w")
+    assert inference.run(snps, 12, whole, 2, 40, 5) == [0, 1, 2]
+    one, two = (plain(files.read_quartets(spark, x).select("rep", *quartets.NAMES, "s0", "s1", "s2", "nsnps").collect()) for x in (out, whole))
     assert len(one) == 120 and np.allclose(np.array(one), np.array(two), atol=1e-5)
+    sums = spark.read.parquet(kept).groupBy("rep", *quartets.NAMES).agg(F.sum("n")).collect()
+    assert plain(sums) == [r[:5] + r[8:] for r in two if r[8]]
+
+
+def test_replicates_of_a_matrix_without_bases(spark, tmp_path):
+    snps = spark.createDataFrame([(i, 0, s, 78) for i in range(5) for s in range(3)], "sample_idx INT, locus BIGINT, site BIGINT, base INT")
+    for wanted, k in ((0, 5), (2, 2)):
+        assert inference.run(snps, 5, str(tmp_path / str(wanted)), 2, wanted, 5) == [0, 1, 2]
+        rows = files.read_quartets(spark, str(tmp_path / str(wanted))).collect()
+        assert len(rows) == 3 * k and {(r.s0, r.nsnps) for r in rows} == {(kernel.NO_DATA, 0)}
 
 
 def test_a_matrix_too_large_for_executors_is_refused(spark, monkeypatch):
@@ -201,6 +236,13 @@ def test_multiplicities_count_as_resampled_sites_do(spark, monkeypatch, cells):
     assert plain(got.select(want.columns).collect()) == plain(want.collect())
     few = multiplicity.replicate_counts(snps, packed.rank_rows(spark, packed.Ranks(6, 3, 5), 6), 6, 2, 4)
     assert {(r.rep, r.rank) for r in few.collect()} == {(rep, q) for rep in (1, 2) for q in (3, 4)}
+    # some replicates, each with quartets of its own
+    own = spark.createDataFrame([(rep, q) for rep in (3, 9, 17) for q in range(rep % 4, 15, 2)], "rep BIGINT, rank BIGINT")
+    part = packed.sparse_counts(multiplicity.replicate_counts(snps, own, 6, [17, 3, 9], 4), 6).select(want.columns)
+    wanted = want.withColumn("rank", quartets.rank_of(6)).join(own, ["rep", "rank"]).select(want.columns)
+    assert plain(part.collect()) == plain(wanted.collect())
+    empty = multiplicity.replicate_counts(snps.where("sample_idx < 5"), packed.Ranks(6), 6, [2, 5], 4, empty=True).collect()
+    assert sorted((r.rep, r.rank) for r in empty) == [(rep, q) for rep in (2, 5) for q in range(15)]
 
 
 @pytest.mark.parametrize("n, seed", [(4, 1), (5, 2), (9, 3), (14, 4)])
