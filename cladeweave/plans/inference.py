@@ -19,7 +19,7 @@ from ..operators.supertree import supertrees
 from ..operators.trees import split_rows
 from ..operators.weights import filtered, weighted_splits
 from ..session import shared_table
-from ..sources.files import committed, commit, write_quartets
+from ..sources.files import commit, commit_all, committed, write_quartets
 
 #: Replicates that one pass over the matrix counts.
 TOGETHER = 20
@@ -87,9 +87,7 @@ def run(
                 counted = shared_table(counted, "counts", "rep")
                 for rep in group:
                     write_quartets(sparse_counts(counted.where(F.col("rep") == rep).drop("rep"), n), counts_out, rep)
-            whole = shared_table(score_cells(counted, n, seed), "scored", "rep")
-            for rep in group:
-                commit(whole.where(F.col("rep") == rep).drop("rep"), out, rep)
+            commit_all(score_cells(counted, n, seed), out, group)
         return [0] * (0 not in have) + left
     for rep in left:
         own = resampled(snps, drawn.where(F.col("rep") == rep), seed)
@@ -101,8 +99,11 @@ def run(
 
 
 def replicate_scores(snps: DataFrame, n: int, reps: int, seed: int, unlinked: bool = False) -> DataFrame:
-    """rep, i0..i3, s0..s2, res, nsnps of all replicates in one plan."""
-    return score_blocks(replicate_codes(snps, reps, seed), Ranks(n), n, seed, unlinked)
+    """rep, i0..i3, s0..s2, res, nsnps of replicates 0..reps in one plan; those over all sites by multiplicities."""
+    if unlinked or reps < 1:
+        return score_blocks(replicate_codes(snps, reps, seed), Ranks(n), n, seed, unlinked)
+    zero = cell_counts(encode(snps, seed), Ranks(n), n, empty=True).withColumn("rep", F.lit(0).cast("long"))
+    return score_cells(zero.unionByName(replicate_counts(snps, Ranks(n), n, reps, seed, empty=True)), n, seed)
 
 
 def replicate_trees(quartets: DataFrame, strategy: int = 1, min_snps: int = 0, min_ratio: float = 1.0, refine: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ import json
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbering import numbered
@@ -122,10 +122,14 @@ def write_quartets(quartets: DataFrame, path: str, rep: int) -> None:
 MANIFEST = "rep BIGINT, n BIGINT, checksum STRING"
 
 
+def _told() -> Column:
+    """What a row adds to the checksum of its replicate, whatever the rows' order."""
+    return F.xxhash64(*[c.split()[0] for c in QUARTETS.split(", ")]).cast("decimal(38,0)")
+
+
 def _state(quartets: DataFrame) -> tuple[int, str]:
-    """Number of rows and a checksum that doesn't depend on their order."""
-    told = F.xxhash64(*[c.split()[0] for c in QUARTETS.split(", ")]).cast("decimal(38,0)")
-    row = quartets.agg(F.count(F.lit(1)), F.sum(told)).first()
+    """Number of rows and their checksum."""
+    row = quartets.agg(F.count(F.lit(1)), F.sum(_told())).first()
     return row[0], str(row[1])
 
 
@@ -141,6 +145,18 @@ def commit(quartets: DataFrame, path: str, rep: int) -> None:
     spark.createDataFrame([(rep, n, checksum)], MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}.manifest/rep={rep}")
 
 
+def commit_all(quartets: DataFrame, path: str, reps: list[int]) -> None:
+    """As commit, for the replicates `reps` at once (column rep); their manifest rows are written when all are there."""
+    spark = quartets.sparkSession
+    for rep in reps:  # what an earlier run left
+        delete(spark, f"{path}/rep={rep}")
+    quartets.hint("rebalance", "rep").write.mode("append").partitionBy("rep").parquet(path)
+    held = spark.read.schema(QUARTETS + ", rep BIGINT").parquet(path).where(F.col("rep").isin(reps))
+    states = {r.rep: (r.n, str(r.checksum)) for r in held.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.sum(_told()).alias("checksum")).collect()}  # one row a replicate
+    rows = [(rep, *states.get(rep, (0, str(None)))) for rep in reps]
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").partitionBy("rep").parquet(f"{path}.manifest")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
@@ -155,8 +171,7 @@ def committed(spark: SparkSession, path: str) -> set[int]:
 
 def damaged(spark: SparkSession, path: str) -> list[int]:
     """Committed replicates whose files no longer hold the rows and checksum of their manifest row."""
-    told = F.xxhash64(*[c.split()[0] for c in QUARTETS.split(", ")]).cast("decimal(38,0)")
-    found = spark.read.schema(QUARTETS + ", rep BIGINT").parquet(path).groupBy("rep").agg(F.count(F.lit(1)).alias("have"), F.sum(told).cast("string").alias("sum"))
+    found = spark.read.schema(QUARTETS + ", rep BIGINT").parquet(path).groupBy("rep").agg(F.count(F.lit(1)).alias("have"), F.sum(_told()).cast("string").alias("sum"))
     rows = spark.read.schema(MANIFEST).parquet(f"{path}.manifest").join(found, "rep", "left")
     return sorted(r.rep for r in rows.where("NOT (have <=> n AND sum <=> checksum) AND NOT (n = 0 AND have IS NULL)").select("rep").collect())
 

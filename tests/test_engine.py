@@ -126,17 +126,18 @@ def test_runs_by_blocks_and_dense_and_together_agree(spark, tmp_path, monkeypatc
 
 def test_replicates_together_start_again_where_they_stopped(spark, tmp_path, monkeypatch):
     snps, out, kept = fixtures.snps(spark, SF), str(tmp_path / "q"), str(tmp_path / "c")
-    write = files.write_quartets
+    write = inference.commit_all
 
-    def lost(rows, path, rep):
-        if path == out and rep == 2:
+    def lost(rows, path, reps):  # files of a replicate without its manifest row
+        if reps == [2]:
+            rows.where("i0 = 0").write.mode("append").partitionBy("rep").parquet(path)
             raise RuntimeError("lost")
-        write(rows, path, rep)
+        write(rows, path, reps)
 
     with monkeypatch.context() as m:
-        m.setattr(files, "write_quartets", lost)
+        m.setattr(inference, "commit_all", lost)
         with pytest.raises(RuntimeError):
-            inference.run(snps, 12, out, 2, 40, 5, counts_out=kept)
+            inference.run(snps, 12, out, 2, 40, 5, counts_out=kept, together=1)
     assert files.committed(spark, out) == {0, 1}
     assert inference.run(snps, 12, out, 2, 40, 5, counts_out=kept) == [2] and files.damaged(spark, out) == []
     whole = str(tmp_path / "w")
