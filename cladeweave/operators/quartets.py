@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions.chance import draw, order_key
 from ..functions.numbering import BUCKETS, first_rows
+from ..session import shared_table
 
 NAMES = ["i0", "i1", "i2", "i3"]
 MOST = 4_294_967_295
-#: Up to so many ranks are shuffled by a sort; beyond, a keyed permutation picks them.
+#: Up to so many ranks are put in a hash order unless more are asked for; beyond, a keyed permutation picks them.
 SORTED = 1 << 22
 
 
@@ -70,15 +71,21 @@ def _feistel(x: Column, half_bits: int, seed: int) -> Column:
     return F.shiftleft(left, half_bits).bitwiseOR(right)
 
 
-def random_quartets(spark: SparkSession, n: int, k: int, seed: int, rep: int = 0) -> DataFrame:
-    """k distinct quartets. Small universes are ordered by a hash; in large ones numbers 0.. go through a permutation."""
+def random_quartets(spark: SparkSession, n: int, k: int, seed: int, rep: int = 0, ordered: int = SORTED) -> DataFrame:
+    """k distinct quartets. Universes of up to `ordered` are ordered by a hash; in larger ones numbers 0.. go through a permutation.
+
+    The hash order is one that SQL can repeat, at a hash for each quartet of the universe;
+    the permutation costs what the chosen quartets do.
+    """
     total = comb(n, 4)
     if k >= total:
         return all_quartets(spark, n)
-    if total <= SORTED:
+    if total <= ordered:
         ranks = spark.range(total).withColumnRenamed("id", "rank")
         key = order_key(seed, rep, F.col("rank"))
-        return unranked(first_rows(ranks, k, F.conv(F.substring(key, 1, 4), 16, 10).cast("int"), key, "rank"), n)
+        if total > SORTED:
+            ranks, key = _early(ranks.withColumn("key", key), k, total), F.col("key")
+        return unranked(first_rows(ranks, k, F.conv(F.substring(key, 1, 4), 16, 10).cast("int"), key, "rank").select("rank"), n)
     half = (total.bit_length() + 1) // 2
     domain = 1 << 2 * half
     taken = min(domain, k * domain // total + k * domain // total // 8 + 1024)
@@ -91,6 +98,17 @@ def random_quartets(spark: SparkSession, n: int, k: int, seed: int, rep: int = 0
         taken = min(domain, 2 * taken)
 
 
+def _early(ranks: DataFrame, k: int, total: int) -> DataFrame:
+    """Rows with the least keys, k or somewhat more, as a table: of many rows each key is made once."""
+    wanted = k + k // 16 + 1024
+    while True:  # a cut on the first 32 bits; it leaves too few next to never
+        cut = wanted * (1 << 32) // total + 1
+        held = shared_table(ranks if cut >= 1 << 32 else ranks.where(F.col("key") < f"{cut:08x}"), "ranks")
+        if cut >= 1 << 32 or held.count() >= k:
+            return held
+        wanted *= 2
+
+
 def budget(n: int, wanted: int = 0, default: str = "all") -> dict:
     """How many quartets to take, never more than there are. default: what 0 means, "all" or "rough".
 

@@ -1,6 +1,7 @@
 """The engine against DuckDB, numpy and hand-made cases."""
 
 import gzip
+import hashlib
 import itertools
 import math
 import os
@@ -308,6 +309,20 @@ def test_random_quartets_of_a_large_universe(spark):
     assert quartets.random_quartets(spark, 6, 99, 3).count() == 15
 
 
+def test_random_quartets_of_a_large_universe_in_hash_order(spark, tmp_path, monkeypatch):
+    """The queries take what their SQL takes beyond the universes that runs put in a hash order."""
+    monkeypatch.setattr(quartets, "SORTED", 1000)
+    n = 20
+    ranks = sorted(range(math.comb(n, 4)), key=lambda r: (hashlib.md5(f"7:1:{r}".encode()).hexdigest(), r))[:300]
+    spark.range(n).select(F.col("id").alias("item_id")).write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.range(300).select(F.col("id").alias("c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    got = queries.quartets_random(spark, str(tmp_path)).collect()
+    assert sorted(r.rank for r in got) == sorted(ranks)
+    assert all(list(packed.unranked_rows(np.array([r.rank]), n)[0]) == [r.i0, r.i1, r.i2, r.i3] for r in got)
+    placed = queries.quartets_random_sorted(spark, str(tmp_path)).orderBy("place").collect()
+    assert [r.place for r in placed] == list(range(300)) and [tuple(r)[:4] for r in placed] == sorted(tuple(r)[:4] for r in placed)
+
+
 def test_budget_limits():
     assert quartets.budget(568)["total"] < quartets.MOST
     with pytest.raises(ValueError):
