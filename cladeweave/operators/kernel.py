@@ -35,16 +35,25 @@ def singular_values(cells: np.ndarray) -> np.ndarray:
     return np.linalg.svd(stacked, compute_uv=False)
 
 
-def scores(cells: np.ndarray, most_rank: int = MOST_RANK) -> np.ndarray:
-    """Three scores for each row of 256 counts."""
+def values_beyond(cells: np.ndarray, most_rank: int = MOST_RANK) -> np.ndarray:
+    """The three flattenings' singular values from the rank on, before it 0, for each row of 256 counts."""
     values = singular_values(cells)
     ranks = (values > values[..., :1] * 16 * np.finfo(np.float64).eps).sum(axis=-1).min(axis=1)
     ranks = np.minimum(ranks, most_rank)
-    beyond = np.arange(16) >= ranks[:, None, None]
-    found = np.sqrt((np.where(beyond, values, 0.0) ** 2).sum(axis=-1))
+    return np.where(np.arange(16) >= ranks[:, None, None], values, 0.0)
+
+
+def norms(beyond: np.ndarray) -> np.ndarray:
+    """Three scores for each row of values_beyond()."""
+    found = np.sqrt((beyond**2).sum(axis=-1))
     return np.where(found < TINY, 0.0, found)
 
 
+def scores(cells: np.ndarray, most_rank: int = MOST_RANK) -> np.ndarray:
+    """Three scores for each row of 256 counts."""
+    return norms(values_beyond(cells, most_rank))
+
+
 def random_resolution(seed: int, rep: int, quartet) -> int:
     """The hash choice of a quartet without data."""
     key = ":".join(map(str, (seed, rep, *quartet)))
@@ -53,25 +62,32 @@ def random_resolution(seed: int, rep: int, quartet) -> int:
 
 def resolve(quartets: np.ndarray, cells: np.ndarray, reps: np.ndarray, seed: int, most_rank: int = MOST_RANK) -> list[np.ndarray]:
     """s0, s1, s2, res, nsnps of quartets (k x 4) with counts (k x 256)."""
+    return resolved_values(quartets, cells, reps, seed, most_rank)[0]
+
+
+def resolved_values(quartets: np.ndarray, cells: np.ndarray, reps: np.ndarray, seed: int, most_rank: int = MOST_RANK) -> tuple[list[np.ndarray], np.ndarray]:
+    """As resolve(), and the singular values (k x 3 x 16) whose norms the scores are."""
     nsnps = cells.sum(axis=1)
-    s = np.full((len(cells), 3), NO_DATA)
+    s, beyond = np.full((len(cells), 3), NO_DATA), np.zeros((len(cells), 3, 16))
     res = np.zeros(len(cells), np.int32)
     some = nsnps > 0
     if some.any():
-        s[some] = scores(cells[some], most_rank)
+        beyond[some] = values_beyond(cells[some], most_rank)
+        s[some] = norms(beyond[some])
         res[some] = s[some].argmin(axis=1)
     for i in np.flatnonzero(~some):
         res[i] = random_resolution(seed, int(reps[i]), quartets[i].tolist())
-    return [*np.round(s, 6).T, res, nsnps.astype(np.int64)]
+    return [*np.round(s, 6).T, res, nsnps.astype(np.int64)], beyond
 
 
 def _batch(names, columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
 
-def score_counts(dense: DataFrame, seed: int, most_rank: int = MOST_RANK) -> DataFrame:
-    """(rep,) i0..i3, s0..s2, res, nsnps from counts.dense_rows()."""
+def score_counts(dense: DataFrame, seed: int, most_rank: int = MOST_RANK, values: bool = False) -> DataFrame:
+    """(rep,) i0..i3, s0..s2, res, nsnps from counts.dense_rows(). values: with v0..v2, the singular values whose norms the scores are (0 before the rank)."""
     keys = ["rep"] if "rep" in dense.columns else []
+    more = ["v0", "v1", "v2"] if values else []
 
     def run(batches):
         for batch in batches:
@@ -81,10 +97,11 @@ def score_counts(dense: DataFrame, seed: int, most_rank: int = MOST_RANK) -> Dat
                 lists = part.column("cells")
                 cells = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, 256)
                 reps = part.column("rep").to_numpy() if keys else np.zeros(len(q), np.int64)
-                out = resolve(q, cells, reps, seed, most_rank)
-                yield _batch([*keys, *NAMES, "s0", "s1", "s2", "res", "nsnps"], [*([reps] if keys else []), *q.T, *out])
+                out, beyond = resolved_values(q, cells, reps, seed, most_rank)
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(beyond[:, f].reshape(-1)), 16).cast(pa.list_(pa.float64())) for f in range(len(more))]
+                yield _batch([*keys, *NAMES, "s0", "s1", "s2", "res", "nsnps", *more], [*([reps] if keys else []), *q.T, *out, *lists])
 
-    return dense.mapInArrow(run, ("rep BIGINT, " if keys else "") + SCORED)
+    return dense.mapInArrow(run, ("rep BIGINT, " if keys else "") + SCORED + "".join(f", {c} ARRAY<DOUBLE>" for c in more))
 
 
 def score_cells(dense: DataFrame, n: int, seed: int, most_rank: int = MOST_RANK) -> DataFrame:

@@ -72,6 +72,18 @@ def test_scores_by_hand(spark, columns, want, res):
     assert (row.res, row.nsnps) == (res, len(columns))
 
 
+def test_known_scores_of_many_sites(spark, tmp_path):
+    """A quartet with 12,000 line items and more: the squares lie beyond what a double keeps of a score's own square."""
+    lines = spark.range(60_000).select((F.col("id") % 5).alias("l_orderkey"), (F.col("id") % 7).cast("int").alias("l_linenumber"), F.expr("timestamp '2020-01-01' + make_interval(0, 0, 0, int(id % 31))").alias("l_shipdate"))
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    for name in ("quartet_scores_known", "quartet_scores_capped"):
+        want = con.execute(oracles.ORACLES[name])
+        got = queries.QUERIES[name](spark, str(tmp_path)).select([c[0] for c in want.description])
+        assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
 def test_no_data(spark):
     row = inference.score_blocks(codes_of(spark, ["0N11", "2222"]), quartets.all_quartets(spark, 4), 4, 1).first()
     assert (row.s0, row.s1, row.s2, row.nsnps) == (0.001, 0.001, 0.001, 0) and row.res in (0, 1, 2)
