@@ -7,18 +7,24 @@ PART numbers. A task takes a block and an interval or a list, unranks in numpy a
 neither a quartet nor a count passes the driver, and all quartets of any universe take
 one pass over the blocks.
 
-What a block says of a quartet is a row of 256 counts. Rows of several blocks are added up
-behind a shuffle by rank, as streams of sorted rows: no group is held whole.
+What a block says of a quartet is a row of 256 counts. Where there are several blocks, a task
+takes HELD quartets at most through all of them, or through one group of them while there
+are fewer tasks than cores want, and adds up in place: what moves is the blocks, and a row
+a quartet and group. Rows of several groups are added up behind a shuffle by rank, as
+streams of sorted rows: no group is held whole.
 
 Where one site a locus counts, a block's states are (locus, place and pattern of the first
 site that counts there). Two states of one locus merge into the one of the earlier place,
 in any order, so loci need not be runs of sites nor end with a block. Loci that no other
 block holds are settled as counts at once; only states of loci in several blocks travel.
+With a seed each locus counts at a random site: place is then a hash of quartet and site.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
+from hashlib import md5
 from math import comb
 
 import numpy as np
@@ -30,6 +36,8 @@ from ..session import shared_table
 from .quartets import NAMES, rank_of
 
 BLOCK_CELLS, PART, PARTS, TILE = 1 << 20, 1 << 16, 1 << 12, 256
+#: Quartets that a task adds up counts of several blocks for (2 KB each), and cells of a block where each site is hashed for each quartet.
+HELD, HASHED_CELLS = 1 << 14, 1 << 16
 #: Ranks that a broadcast table of lists holds at most.
 SMALL = 1 << 20
 MISSING = 4
@@ -38,7 +46,7 @@ _BASES = np.arange(256)
 CELLS = 625
 _CELLS = (_BASES >> 6) * 125 + (_BASES >> 4 & 3) * 25 + (_BASES >> 2 & 3) * 5 + (_BASES & 3)
 _EQUAL = np.arange(4) * 85
-PARTIAL = "rank BIGINT, cells BINARY, locus BIGINT, first BIGINT"
+PARTIAL = "rank BIGINT, cells BINARY, locus BIGINT, first BIGINT, key BINARY"
 
 
 @dataclass(frozen=True)
@@ -108,15 +116,41 @@ class Matrix:
         out[:, _EQUAL] = 0
         return out
 
+    def _told(self, q) -> np.ndarray:
+        """Where the sites stand that count for a quartet."""
+        a, b, c, d = (self._row(i) for i in q)
+        return np.flatnonzero((a < 4) & (b < 4) & (c < 4) & (d < 4) & ~((a == b) & (b == c) & (c == d)))
+
+    def _patterns(self, q, at: np.ndarray) -> np.ndarray:
+        a, b, c, d = (self._row(i)[at].astype(np.int64) for i in q)
+        return (a << 6) | (b << 4) | (c << 2) | d
+
     def firsts(self, q) -> tuple[np.ndarray, np.ndarray]:
         """Where the first site of each locus stands that counts for a quartet, and its pattern."""
-        a, b, c, d = (self._row(i) for i in q)
-        known = (a < 4) & (b < 4) & (c < 4) & (d < 4) & ~((a == b) & (b == c) & (c == d))
-        at = np.flatnonzero(known)
+        at = self._told(q)
         if len(at):
             locus = self.locus[at]
             at = at[np.concatenate([[True], locus[1:] != locus[:-1]])]
-        return at, (a[at].astype(np.int64) << 6) | (b[at].astype(np.int64) << 4) | (c[at].astype(np.int64) << 2) | d[at]
+        return at, self._patterns(q, at)
+
+    @cached_property
+    def _texts(self) -> list[bytes]:
+        return [b"%d" % s for s in self.site.tolist()]
+
+    def drawn(self, q, seed: int, rep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As firsts, but of each locus the site with the least chance.order_key(seed, rep, *q, site); with these keys, as two numbers."""
+        at, texts = self._told(q), self._texts
+        if not len(at):
+            return at, self._patterns(q, at), np.zeros((0, 2), ">u8")
+        head = ":".join(map(str, (seed, rep, *map(int, q), ""))).encode()
+        keys = np.frombuffer(b"".join([md5(head + texts[i]).digest() for i in at.tolist()]), ">u8").reshape(-1, 2)
+        new = np.flatnonzero(np.append(True, np.diff(self.locus[at]) != 0))
+        high = keys[:, 0].astype(np.uint64)
+        least = np.repeat(np.minimum.reduceat(high, new), np.diff(np.append(new, len(at))))
+        left = np.flatnonzero(high == least)  # mostly one a locus
+        left = left[np.lexsort((self.site[at[left]], keys[left, 1].astype(np.uint64), self.locus[at[left]]))]
+        left = left[np.append(True, np.diff(self.locus[at[left]]) != 0)]
+        return at[left], self._patterns(q, at[left]), keys[left]
 
     def unlinked_counts(self, quartets: np.ndarray) -> np.ndarray:
         """256 counts for each quartet, of the first site that counts in each locus."""
@@ -182,20 +216,39 @@ def _tiled(held: DataFrame, quartets: DataFrame | Ranks, keys: list[str]) -> Dat
     return rows if parts == 1 and not own else rows.repartition(*keys, *own, "block", "part")
 
 
-def _partials(matrix: Matrix, ranks: np.ndarray, n: int, unlinked: bool, torn: np.ndarray) -> tuple[np.ndarray, list]:
-    """Rows of 256 counts for ranks, and (rank, locus, place and pattern) of the torn loci."""
+def _grouped(held: DataFrame, quartets: DataFrame | Ranks, keys: list[str], sizes: dict) -> tuple[DataFrame, int]:
+    """As _tiled, with a partition for each replicate, part of at most about HELD quartets and group of blocks; and the number of groups. sizes: blocks of each replicate."""
+    total = len(quartets) if isinstance(quartets, Ranks) else quartets.count()
+    parts = max(1, -(-total // HELD))
+    groups = max(1, min(max(sizes.values()), -(-2 * held.sparkSession.sparkContext.defaultParallelism // (parts * len(sizes)))))
+    rows = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    lo = F.lit(0).cast("long")
+    if isinstance(quartets, Ranks):
+        lo = quartets.start + F.col("part").cast("long") * HELD
+        rows = rows.withColumn("ranks", F.lit(None).cast("array<bigint>")).withColumn("lo", lo).withColumn("hi", F.least(lo + HELD, F.lit(quartets.last).cast("long")))
+    else:
+        lists = quartets.groupBy(F.pmod(F.xxhash64("rank"), F.lit(parts)).cast("int").alias("part")).agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
+        rows = rows.join(F.broadcast(lists) if total <= SMALL else lists, "part").withColumn("lo", lo).withColumn("hi", lo)
+    place = F.array_position(F.array(*[F.lit(rep) for rep in sorted(sizes)]), F.col(keys[0])) - 1 if keys else F.lit(0)
+    number = (place * parts + F.col("part")) * groups + F.pmod("block", F.lit(groups))
+    return rows.repartitionById(len(sizes) * parts * groups, number.cast("int")), groups
+
+
+def _partials(matrix: Matrix, ranks: np.ndarray, n: int, unlinked: bool, torn: np.ndarray, chance: tuple[int, int] | None = None) -> tuple[np.ndarray, list, list]:
+    """Rows of 256 counts for ranks, (rank, locus, place and pattern) of the torn loci and, for random sites by chance (seed, rep), their keys."""
     quartets = unranked_rows(ranks, n)
     if not unlinked:
-        return matrix.counts(quartets), []
-    if not len(torn):
-        return matrix.unlinked_counts(quartets), []
-    cut, states, counts = np.isin(matrix.locus, torn), [], np.zeros((len(ranks), 256), np.int64)
+        return matrix.counts(quartets), [], []
+    if not len(torn) and chance is None:
+        return matrix.unlinked_counts(quartets), [], []
+    cut, states, drawn, counts = np.isin(matrix.locus, torn), [], [], np.zeros((len(ranks), 256), np.int64)
     for k, four in enumerate(quartets):
-        at, cell = matrix.firsts(four)
+        at, cell, key = matrix.drawn(four, *chance) if chance else (*matrix.firsts(four), None)
         late = cut[at]
         counts[k] = np.bincount(cell[~late], minlength=256)
         states.append(np.stack([np.full(int(late.sum()), ranks[k]), matrix.locus[at[late]], matrix.site[at[late]] * 256 + cell[late]], axis=1))
-    return counts, states
+        drawn += [] if key is None else [row.tobytes() for row in key[late]]
+    return counts, states, drawn
 
 
 def rank_rows(spark: SparkSession, quartets: DataFrame | Ranks, n: int, keys: list[str] = []) -> DataFrame:
@@ -205,11 +258,11 @@ def rank_rows(spark: SparkSession, quartets: DataFrame | Ranks, n: int, keys: li
     return quartets.select(*[F.col(k).cast("long").alias(k) for k in keys], F.col("rank").cast("long").alias("rank") if "rank" in quartets.columns else rank_of(n).alias("rank"))
 
 
-def cell_counts(codes: DataFrame, quartets: DataFrame | Ranks, n: int, unlinked: bool = False, empty: bool = False, block_cells: int | None = None) -> DataFrame:
+def cell_counts(codes: DataFrame, quartets: DataFrame | Ranks, n: int, unlinked: bool = False, empty: bool = False, block_cells: int | None = None, seed: int | None = None) -> DataFrame:
     """(rep,) rank, cells (256 counts as 64-bit numbers) of quartets, over all sites or one site a locus.
 
     quartets: Ranks, or distinct rows with i0..i3 (or rank) of n samples. empty: with the
-    quartets that have no site, as rows of zeros.
+    quartets that have no site, as rows of zeros. seed: with one site a locus, a random one.
     """
     if n < 4:
         raise ValueError("counts of quartets need the number of samples")
@@ -217,8 +270,10 @@ def cell_counts(codes: DataFrame, quartets: DataFrame | Ranks, n: int, unlinked:
     spark = codes.sparkSession
     if not isinstance(quartets, Ranks):
         quartets = rank_rows(spark, quartets, n)
-    held = shared_table(blocks(codes, n, block_cells), "blocks")
-    most = held.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    hashed = unlinked and seed is not None
+    held = shared_table(blocks(codes, n, block_cells or (HASHED_CELLS if hashed else None)), "blocks")
+    sizes = {row[keys[0]] if keys else 0: row["count"] for row in held.groupBy(*keys).count().collect() if row["count"]}  # one row a replicate
+    most = max(sizes.values(), default=0)
     if not most and empty and not keys:
         return rank_rows(spark, quartets, n).withColumn("cells", F.lit(bytes(2048)))
     several = most > 1
@@ -228,37 +283,57 @@ def cell_counts(codes: DataFrame, quartets: DataFrame | Ranks, n: int, unlinked:
         held = held.withColumn("torn", F.lit(None).cast("array<bigint>"))
 
     def run(batches):
+        sums = {}
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                told = tuple(row[k] for k in keys)
                 matrix, torn = Matrix.of_rows([row], n), np.array(row["torn"] or [], np.int64)
-                listed = None if row["ranks"] is None else np.array(row["ranks"], np.int64)
-                lo, hi = (row["lo"], row["hi"]) if listed is None else (0, len(listed))
-                for at in range(lo, hi, TILE):
-                    ranks = np.arange(at, min(at + TILE, hi)) if listed is None else listed[at : at + TILE]
-                    counts, states = _partials(matrix, ranks, n, unlinked, torn)
+                every = np.arange(row["lo"], row["hi"]) if row["ranks"] is None else np.array(row["ranks"], np.int64)
+                if several:  # one key a partition
+                    total = sums.setdefault((told, row["part"]), (every, np.zeros((len(every), 256), np.int64)))[1]
+                for at in range(0, len(every), TILE):
+                    ranks = every[at : at + TILE]
+                    counts, states, drawn = _partials(matrix, ranks, n, unlinked, torn, (seed, told[0] if told else 0) if hashed else None)
+                    if several:
+                        total[at : at + TILE] += counts
+                        ranks, counts = ranks[:0], counts[:0]
                     some = counts.any(axis=1) | empty
                     late = np.concatenate(states) if states else np.zeros((0, 3), np.int64)
-                    out = _partial_rows(ranks[some], counts[some], late)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(np.full(out.num_rows, row[k])) for k in keys), *out.columns], [*keys, *out.schema.names])
+                    if some.any() or len(late):
+                        yield named(told, _partial_rows(ranks[some], counts[some], late, drawn))
+        for (told, _), (every, total) in sums.items():
+            for at in range(0, len(every), TILE):
+                counts = total[at : at + TILE]
+                some = counts.any(axis=1) | empty
+                yield named(told, _partial_rows(every[at : at + TILE][some], counts[some], np.zeros((0, 3), np.int64), []))
+
+    def named(told: tuple, out: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(np.full(out.num_rows, x)) for x in told), *out.columns], [*keys, *out.schema.names])
 
     kind = "".join(f"{k} BIGINT, " for k in keys)
-    found = _tiled(held, quartets, keys).mapInArrow(run, kind + PARTIAL)
-    if not several:
+    tiles, groups = _grouped(held, quartets, keys, sizes) if several else (_tiled(held, quartets, keys), 1)
+    found = tiles.mapInArrow(run, kind + PARTIAL)
+    if groups == 1 and not (several and unlinked):
         return found.select(*keys, "rank", "cells")
+    if hashed:
+        found = shared_table(found, "drawn")  # read twice, and dear
     rows = found.where("cells IS NOT NULL").select(*keys, "rank", "cells")
     if unlinked:
-        first = found.where("cells IS NULL").groupBy(*keys, "rank", "locus").agg(F.min("first").alias("first"))
+        least = F.min(F.struct("key", "first"))["first"] if hashed else F.min("first")
+        first = found.where("cells IS NULL").groupBy(*keys, "rank", "locus").agg(least.alias("first"))
         late = first.groupBy(*keys, "rank", (F.col("first") % 256).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
         rows = rows.withColumn("cell", F.lit(None).cast("int")).withColumn("n", F.lit(None).cast("long")).unionByName(late.withColumn("cells", F.lit(None).cast("binary")).select(*keys, "rank", "cells", "cell", "n"))
     return _added(rows, keys)
 
 
-def _partial_rows(ranks: np.ndarray, counts: np.ndarray, late: np.ndarray) -> pa.RecordBatch:
+def _partial_rows(ranks: np.ndarray, counts: np.ndarray, late: np.ndarray, drawn: list[bytes]) -> pa.RecordBatch:
     m, k = len(ranks), len(late)
     cells = pa.concat_arrays([cell_column(counts), pa.nulls(k, pa.binary())])
     columns = [pa.array(np.concatenate([ranks, late[:, 0]])), cells]
     columns += [pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(late[:, c])]) for c in (1, 2)]
-    return pa.RecordBatch.from_arrays(columns, ["rank", "cells", "locus", "first"])
+    columns.append(pa.array([None] * m + (drawn or [None] * k), pa.binary()))
+    return pa.RecordBatch.from_arrays(columns, ["rank", "cells", "locus", "first", "key"])
 
 
 def cell_column(counts: np.ndarray) -> pa.Array:
@@ -355,6 +430,6 @@ def pattern_totals(dense: DataFrame, n: int) -> DataFrame:
     return found.groupBy("i0", "r", "c").agg(*[F.sum(x).alias(x) for x in ("quartets", "n", "marked")])
 
 
-def asked_counts(codes: DataFrame, quartets: DataFrame | Ranks, n: int, unlinked: bool = False) -> DataFrame:
-    """(rep,) i0..i3, r, c, n of the distinct quartets given, over all sites or one site a locus."""
-    return sparse_counts(cell_counts(codes, quartets, n, unlinked), n)
+def asked_counts(codes: DataFrame, quartets: DataFrame | Ranks, n: int, unlinked: bool = False, seed: int | None = None) -> DataFrame:
+    """(rep,) i0..i3, r, c, n of the distinct quartets given, over all sites or one site a locus, a random one with a seed."""
+    return sparse_counts(cell_counts(codes, quartets, n, unlinked, seed=seed), n)

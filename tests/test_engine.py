@@ -124,6 +124,21 @@ def test_blocks_of_replicates(spark):
     assert plain(got.select(sorted(got.columns)).collect()) == plain(want.select(sorted(got.columns)).collect())
 
 
+def test_blocks_are_added_up_where_they_are_counted(spark, monkeypatch):
+    """Quartets by parts, blocks by groups: a row a quartet and group leaves the tasks, however many blocks there are."""
+    codes = codes_of(spark, random_columns(6, 7, 90), [s // 5 for s in range(90)])
+    want = plain(counts.pattern_counts(codes).collect())
+    for held, most in ((1 << 14, 2 * spark.sparkContext.defaultParallelism), (3, 1)):
+        monkeypatch.setattr(packed, "HELD", held)
+        seen = []
+        added = packed._added
+        monkeypatch.setattr(packed, "_added", lambda rows, keys: added(seen.append(rows) or rows, keys))
+        got = packed.sparse_counts(packed.cell_counts(codes, packed.Ranks(7), 7, block_cells=14), 7)
+        assert plain(got.select("i0", "i1", "i2", "i3", "r", "c", "n").collect()) == want
+        assert not seen or seen[0].groupBy("rank").count().agg(F.max("count")).first()[0] <= most
+        monkeypatch.setattr(packed, "_added", added)
+
+
 @pytest.mark.parametrize("unlinked, wanted", [(False, 60), (True, 60), (False, 0)])
 def test_runs_by_blocks_and_dense_and_together_agree(spark, tmp_path, monkeypatch, unlinked, wanted):
     snps = fixtures.snps(spark, SF)
