@@ -69,8 +69,10 @@ def unlinked_counts(codes: DataFrame, quartets: DataFrame | Ranks | None = None,
     return chosen.groupBy(*keys, *NAMES, r.alias("r"), c.alias("c")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def random_site_counts(codes: DataFrame, seed: int) -> DataFrame:
+def random_site_counts(codes: DataFrame, seed: int, quartets: DataFrame | Ranks | None = None, n: int = 0) -> DataFrame:
     """As unlinked_counts, with a random site of each locus."""
+    if quartets is not None:
+        return asked_counts(codes, quartets, n, True, seed)
     keys = _keys(codes)
     rep = F.col("rep") if keys else F.lit(0)
     order = F.struct(order_key(seed, rep, *map(F.col, NAMES), F.col("site")), "site")

@@ -139,6 +139,21 @@ def test_blocks_are_added_up_where_they_are_counted(spark, monkeypatch):
         monkeypatch.setattr(packed, "_added", added)
 
 
+@pytest.mark.parametrize("cells", [1 << 16, 7 * 3])
+def test_random_sites_by_blocks(spark, monkeypatch, cells):
+    """Random sites by packed blocks are those of the joins, with loci inside blocks and torn, of one matrix and of replicates, and of the quartets asked for."""
+    monkeypatch.setattr(packed, "HASHED_CELLS", cells)
+    codes = codes_of(spark, random_columns(8, 7, 60), [s % 4 if s < 30 else s // 6 for s in range(60)])
+    for own in (codes, codes.withColumn("rep", F.col("site") % 2 + 3)):
+        want = counts.random_site_counts(own, 11)
+        got = counts.random_site_counts(own, 11, packed.Ranks(7), 7).select(want.columns)
+        assert plain(got.collect()) == plain(want.collect())
+    some = quartets.all_quartets(spark, 7).where("rank % 3 = 0")
+    asked = counts.random_site_counts(codes, 11, some, 7)
+    joined = counts.random_site_counts(codes, 11).join(some.select(*quartets.NAMES), quartets.NAMES).select(asked.columns)
+    assert plain(asked.collect()) == plain(joined.collect())
+
+
 @pytest.mark.parametrize("unlinked, wanted", [(False, 60), (True, 60), (False, 0)])
 def test_runs_by_blocks_and_dense_and_together_agree(spark, tmp_path, monkeypatch, unlinked, wanted):
     snps = fixtures.snps(spark, SF)
