@@ -1,8 +1,9 @@
 """The merges of a byte-level BPE vocabulary, applied to many pieces in step by numpy.
 
-Each piece is a row of ids, one a byte at first, beside the ranks of its neighbouring
-pairs. In each step every row merges the leftmost of its pairs of the lowest rank, until
-no row has a pair that the vocabulary merges: what the library does, piece by piece.
+Each piece is a column of ids, one a byte at first, beside the ranks of its neighbouring
+pairs. In each step every column merges the first of its pairs of the lowest rank, until
+no column has a pair that the vocabulary merges: what the library does, piece by piece.
+Ids stay where they are; each knows the places of the ids before and behind it.
 """
 
 from __future__ import annotations
@@ -14,6 +15,12 @@ import numpy as np
 #: Bytes of the longest piece; widths of the matrices that pieces are dealt into.
 MOST, WIDTHS = 64, (6, 10, 16, 28, 64)
 _NONE = np.int32(2**31 - 1)
+#: A pair's rank << 7 | place, so that the least one is the one to merge; from _LAST on there is no rank.
+_LAST = np.int32((1 << 24) - 1 << 7)
+
+
+def _placed(ranks: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return np.minimum(ranks, _LAST >> 7) << 7 | places.astype(np.int32)
 
 
 def byte_letters() -> list[str]:
@@ -74,30 +81,35 @@ class Merges:
             todo = todo[~hit & (held >= 0)]
         return found
 
-    def _merged(self, rows: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-        """Rows of ids (-1 behind their ends) with all merges done; ranks: of each id and the next."""
-        n, width = rows.shape
-        columns = np.arange(width)
-        done, todo = rows.copy(), np.arange(n)
-        while len(todo):
-            first = np.arange(len(todo)) * width
-            j = ranks.argmin(axis=1)
-            best = ranks.reshape(-1)[first + j]
-            left = np.flatnonzero(best < _NONE)
-            if len(left) < len(todo):
-                done[todo] = rows
-                todo, rows, ranks, j, best, first = todo[left], rows[left], ranks[left], j[left], best[left], first[: len(left)]
-            # what stands behind the pair moves up by one
-            source = first[:, None] + np.minimum(columns + (columns > j[:, None]), width - 1)
-            rows, ranks = rows.reshape(-1)[source], ranks.reshape(-1)[source]
-            rows[:, -1], ranks[:, -1] = -1, _NONE
-            flat, flat_ranks, at = rows.reshape(-1), ranks.reshape(-1), first + j
-            flat[at] = self.both[best]
-            after = np.flatnonzero(j + 1 < width)
-            flat_ranks[at[after]] = self._ranks(flat[at[after]], flat[at[after] + 1])
-            before = at[j > 0]
-            flat_ranks[before - 1] = self._ranks(flat[before - 1], flat[before])
-        return done
+    def _merged(self, ids: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """Columns of ids with all merges done, -1 where an id went into the one before; ids: with -1 before and behind each column's own; pairs: of each id and the next."""
+        height, n = ids.shape
+        done, own = ids, np.arange(n)
+        links = np.repeat(np.arange(height)[:, None], n, axis=1)
+        before, behind = links - 1, links + 1
+        while True:
+            best = pairs.min(axis=0)
+            go = np.flatnonzero(best < _LAST)
+            if 2 * len(go) < len(own):
+                done[:, own] = ids
+                if not len(go):
+                    return done
+                ids, pairs, before, behind = (np.take(x, go, axis=1) for x in (ids, pairs, before, behind))
+                best, own, go = best[go], own[go], np.arange(len(go))
+            m = len(own)
+            best = best[go] if len(go) < m else best
+            j = (best & 127).astype(np.int64)
+            at = j * m + go
+            second = behind.reshape(-1)[at] * m + go
+            third = behind.reshape(-1)[second]
+            first = before.reshape(-1)[at]
+            flat, flat_pairs, new = ids.reshape(-1), pairs.reshape(-1), self.both[best >> 7]
+            flat[at], flat[second] = new, -1
+            flat_pairs[second] = _LAST
+            behind.reshape(-1)[at] = third
+            before.reshape(-1)[third * m + go] = j
+            ranks = self._ranks(np.concatenate([new, flat[first * m + go]]), np.concatenate([flat[third * m + go], new]))
+            flat_pairs[np.concatenate([at, first * m + go])] = _placed(ranks, np.concatenate([j, first]))
 
     def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token counts of data[starts:ends], pieces of at most MOST bytes, and their ids one after the other."""
@@ -109,16 +121,16 @@ class Merges:
             least = width
             if not len(own):
                 continue
-            columns = np.arange(width)
-            inside = columns < size[own, None]
-            at = np.minimum(starts[own, None] + columns, len(data) - 1)
-            letters = data[at]
-            ranks = np.full(letters.shape, _NONE)
-            ranks[:, :-1] = np.where(inside[:, 1:], self.of_bytes[letters[:, :-1].astype(np.int32) << 8 | letters[:, 1:]], _NONE)
-            rows = self._merged(np.where(inside, self.base[letters], -1), ranks)
-            kept = rows >= 0
+            rows = np.arange(width)[:, None]
+            inside = rows < size[own]
+            letters = data[np.minimum(starts[own] + rows, len(data) - 1)]
+            ids, pairs = np.full((width + 2, len(own)), -1, np.int32), np.full((width + 2, len(own)), _LAST)
+            ids[1:-1] = np.where(inside, self.base[letters], -1)
+            pairs[1:-2] = _placed(np.where(inside[1:], self.of_bytes[letters[:-1].astype(np.int32) << 8 | letters[1:]], _NONE), rows[1:])
+            found = np.ascontiguousarray(self._merged(ids, pairs).T)
+            kept = found >= 0
             counts[own] = kept.sum(axis=1)
-            parts.append(rows[kept])
+            parts.append(found[kept])
             order.append(own)
         order, ids = np.concatenate(order), np.concatenate(parts)
         # from width by width to the order of the pieces

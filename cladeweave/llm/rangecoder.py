@@ -30,7 +30,7 @@ import zlib
 
 import numpy as np
 
-BLOCK, LEAST_PAIR, SLOT_BITS, RATE = 1024, 3, 9, 5
+BLOCK, LEAST_PAIR, SLOT_BITS, RATE = 1024, 3, 8, 5
 #: Shares of 256 that order 1 gets against order 0; none where an id has no listed pairs.
 LEVELS = np.array([0, 112, 176, 216, 238, 250], dtype=np.int64)
 _LEVEL_OF = np.abs(np.arange(256)[:, None] - LEVELS[None, 1:]).argmin(1) + 1

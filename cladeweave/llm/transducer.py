@@ -267,8 +267,8 @@ class Tokenizer:
         if self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(len(flat), len(self.pool) // 2), self.kind)])
         self.pool[self.used : self.used + len(flat)] = flat
-        self.keys[slot, 0], self.keys[slot, 1], self.count[slot] = a, b, counts
-        self.first[slot] = self.used + np.cumsum(counts) - counts
+        self.keys[slot, 0], self.keys[slot, 1] = a, b
+        self.spans[slot] = self.used + np.cumsum(counts) - counts << 32 | counts
         self.used += len(flat)
 
     @staticmethod
@@ -279,11 +279,11 @@ class Tokenizer:
         """Token counts of pieces, and where the ids of each begin in the pool. A pool that is nearly full starts anew before."""
         if self.keys is None or self.used > POOL - POOL // 8:
             self.keys = np.zeros((1 << TABLE_BITS, 2), np.uint64)
-            self.first, self.count = np.zeros(1 << TABLE_BITS, np.int32), np.zeros(1 << TABLE_BITS, np.int32)
+            self.spans = np.zeros(1 << TABLE_BITS, np.int64)  # place in the pool << 32 | count
             self.pool, self.used = np.zeros(POOL, self.kind), 0
         a, b = range_keys(data, starts, ends)
         slots = self._slots(a, b)
-        count, place = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        spans = np.zeros(len(starts), np.int64)
         todo = np.arange(len(starts))
         while len(todo):  # pieces that share a slot take turns
             for way in range(WAYS):
@@ -293,8 +293,7 @@ class Tokenizer:
                 first = way == 0 and len(todo) == len(a)
                 hit = (kept[::2] == (a if first else a[todo])) & (kept[1::2] == (b if first else b[todo]))
                 got = np.flatnonzero(hit)
-                at, got = slot[got], todo[got]
-                count[got], place[got] = self.count[at], self.first[at]
+                spans[todo[got]] = self.spans[slot[got]]
                 todo = todo[~hit]
                 if not len(todo):
                     break
@@ -305,7 +304,7 @@ class Tokenizer:
                 _, alone = np.unique(slot, return_index=True)  # of pieces that share a slot the first
                 new = todo[alone]
                 self._learn(data, a[new], b[new], starts[new], ends[new], slot[alone])
-        return count, place
+        return spans & 0xFFFFFFFF, spans >> 32
 
     def ids(self, column: pa.Array, cut=None) -> tuple[np.ndarray, np.ndarray]:
         """Per text the number of its tokens, and all ids one after the other. cut: pieces or compared."""
